@@ -7,11 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .hilbert import op3_hilbert_sharding
 from .idstream import op10_arrow_id_streams
+from .ivfpq import op2_ivf_pq_search
+from .quality import op5_bradley_terry_quality
+from .toxicity import op8_factorization_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ivf_pq_search": op2_ivf_pq_search,
         "op3_hilbert_sharding": op3_hilbert_sharding,
+        "op5_bradley_terry_quality": op5_bradley_terry_quality,
+        "op8_factorization_toxicity": op8_factorization_toxicity,
         "op10_arrow_id_streams": op10_arrow_id_streams,
     }
 
