@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .hilbert import op3_hilbert_sharding
 from .idstream import op10_arrow_id_streams
 from .ivfpq import op2_ivf_pq_search
+from .jaccard import op7_ngram_jaccard_join
 from .quality import op5_bradley_terry_quality
 from .toxicity import op8_factorization_toxicity
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ivf_pq_search": op2_ivf_pq_search,
         "op3_hilbert_sharding": op3_hilbert_sharding,
         "op5_bradley_terry_quality": op5_bradley_terry_quality,
+        "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op8_factorization_toxicity": op8_factorization_toxicity,
         "op10_arrow_id_streams": op10_arrow_id_streams,
     }

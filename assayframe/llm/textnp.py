@@ -125,10 +125,10 @@ def shingle_sets(raw: np.ndarray, offs: np.ndarray, size: int = 5) -> tuple[np.n
     keep = np.repeat(first[:-1] - at[:-1], n_sh) + np.arange(at[-1])
     out = h[keep]
     for d in np.flatnonzero((count > 0) & (count < size)):
-        v = SHORT + U(count[d])
-        for x in w[first[d] : first[d + 1]]:
-            v = v * STEP + x
-        out[at[d]] = mix(np.array([v], U))[0]
+        v = np.array([SHORT + U(count[d])])
+        for x in range(first[d], first[d + 1]):
+            v = v * STEP + w[x]
+        out[at[d]] = mix(v)[0]
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         if b - a > 1:
             out[a:b].sort()
