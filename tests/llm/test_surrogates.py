@@ -1,0 +1,70 @@
+"""Surrogates: nothing left, format kept, mentions agree, entities stay apart."""
+import re
+
+from pyspark.sql import functions as F
+
+from assayframe.llm import surrogates as s
+
+ROWS = [
+    (1, "Call +1 (017) 555-7713 or mail er.23@mail3.example.com from 129.38.82.176.", "en"),
+    (2, "ER.23@MAIL3.EXAMPLE.COM!! and +1 017-555-7713, card 4111 1111 1111 1111 x", "en"),
+    (3, "4111111111111111 token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\"", "es"),
+    (4, "Mr. John Smith met Mrs Anna Smith and Frau Müller; Господин Иванов came.", "en"),
+    (5, None, "en"), (6, "", "en"), (7, "Nothing to see here, 42 times.", "en"), (7, "Nothing to see here, 42 times.", "en"),
+    (None, "1.2.3.4 and 1.2.3.4.5", "en"), (9, "öre.43@mail4.example.com", "fr"),
+]
+
+
+def run(spark, rows=ROWS, **kw):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = s.replace_entities(df, **kw)
+    assert out.columns == ["doc_id", "text", "lang", "n_entities"]
+    return out.collect()
+
+
+def test_formats_and_coreference(spark):
+    out = {r.doc_id: r.text for r in run(spark)}
+    phone, mail, ip = re.search(r"Call (.*) or mail (\S+) from (\S+)\.$", out[1]).groups()
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", phone) and phone != "+1 (017) 555-7713"
+    assert re.fullmatch(r"[a-z]{2}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com", mail) and mail != "er.23@mail3.example.com"
+    assert re.fullmatch(r"\d{3}\.\d\d\.\d\d\.\d{3}", ip) and all(int(o) < 256 for o in ip.split("."))
+    assert out[2].startswith(mail.upper() + "!!")
+    digits = lambda x: re.sub(r"\D", "", x)
+    assert digits(re.search(r"and (.*), card", out[2])[1]) == digits(phone)
+    assert digits(out[2].split("card")[1]) == out[3].split()[0] != "4111111111111111"
+    card = [int(d) for d in out[3].split()[0]]
+    assert card[0] == 4 and sum(sum(divmod(2 * d, 10)) if i % 2 == 0 else d for i, d in enumerate(card)) % 10 == 0
+    assert re.search(r'token = "[0-9a-f]{40}"', out[3]) and "24be" not in out[3]
+    he, his, she, hers, frau, ru = re.match(r"Mr\. (\w+) (\w+) met Mrs (\w+) (\w+) and Frau (\w+); Господин (\w+) came\.", out[4]).groups()
+    assert his == hers != "Smith" and re.search("(n|rd|s|no)$", he) and re.search("a$", she) and re.fullmatch("[А-Яа-я]+", ru)
+    assert out[5] is None and out[6] == "" and out[7] == ROWS[6][1]
+    assert out[None].endswith(" and 1.2.3.4.5") and not out[None].startswith("1.2.3.4 ")
+    assert out[9] != ROWS[9][1] and re.fullmatch(r"\w{3}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com", out[9])
+
+
+def test_key_decides(spark):
+    a, b, c = ({r.doc_id: r.text for r in run(spark, key=k)}[1] for k in ("k1", "k1", "k2"))
+    assert a == b != c
+
+
+def test_distinct_entities_stay_apart(spark):
+    """A space of 100 two-digit octet pairs forces collisions; none may remain."""
+    rows = [(i, f"host 1{i // 10}.{i % 10}.1.1 up", "en") for i in range(60)]
+    out = [r.text.split()[1] for r in run(spark, rows)]
+    assert len(set(out)) == 60 and not set(out) & {r[1].split()[1] for r in rows}
+
+
+def test_no_entity_of_the_table_survives(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    entities = lambda df: {e.lower() for r in df.select(s.found(F.col("text")).alias("e")).collect() for e in r.e}
+    before, after = entities(docs), entities(s.op1_pii_surrogates(spark, sf))
+    assert before and not before & after and len(before) == len(after)
+
+
+def test_native_plan(spark, sf):
+    plan = s.op1_pii_surrogates(spark, sf)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_empty(spark):
+    assert run(spark, []) == []
