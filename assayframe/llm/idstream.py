@@ -21,17 +21,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .textnp import SPACE, ragged, text_buffer
+from .textnp import SPACE, chunks, ragged, text_buffer
 
 END_ID = 2
 SEQ_LEN = 2048
 BATCH_SEQS = 64
-CACHE_WORDS = 200_000
+GROUP_BYTES = 10 << 20
+JOINED = 4000
 _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """The tokenizers library behind a cache of space-separated segments.
+    """The tokenizers library on the distinct space-separated segments of a batch.
 
     A byte-level BPE of this family never joins text across a single space
     between two non-space characters, so such segments are encoded apart, each
@@ -44,17 +45,49 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
-
-    def lookup(self, words: list[str]) -> list[np.ndarray]:
-        known = self.known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = words
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, np.uint32)
-        return [known[w] for w in words]
+        size = self.tokenizer.get_vocab_size()
+        # a byte-level vocabulary writes each byte of a token as one character
+        self.lengths = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)], np.int64)
+
+    def distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per segment) of distinct segments.
+
+        Segments that start with a space are encoded joined, some thousands
+        at once: the cuts between them are cuts of the tokenizer, and the
+        known byte lengths of ids tell where each segment ends.
+        """
+        raw, offs = text_buffer(words)
+        sizes = np.diff(offs)
+        spaced = np.zeros(len(sizes), bool)
+        spaced[:] = raw[offs[:-1]] == 0x20
+        joined, rest = np.flatnonzero(spaced), np.flatnonzero(~spaced)
+        counts = np.zeros(len(sizes), np.int64)
+        ids: list[np.ndarray] = []
+        if len(joined):
+            texts, groups = [], []
+            data = raw[ragged(offs[joined], sizes[joined])].tobytes()
+            at = np.concatenate(([0], np.cumsum(sizes[joined])))
+            for k in range(0, len(joined), JOINED):
+                end = min(len(joined), k + JOINED)
+                texts.append(data[at[k] : at[end]].decode())
+                groups.append((k, end))
+            for (k, end), e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                got = np.array(e.ids, np.uint32)
+                last = np.cumsum(self.lengths[got]) + at[k]
+                stop = np.searchsorted(last, at[k + 1 : end + 1]) + 1
+                counts[joined[k:end]] = np.diff(stop, prepend=0)
+                ids.append(got)
+        if len(rest):
+            texts = words.take(pa.array(rest)).to_pylist()
+            for w, e in zip(rest.tolist(), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                got = np.array(e.ids, np.uint32)
+                counts[w] = len(got)
+                ids.append(got)
+        order = np.concatenate((joined, rest))
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        first = np.zeros(len(sizes), np.int64)
+        first[order] = np.cumsum(counts[order]) - counts[order]
+        return flat[ragged(first, counts)], counts
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids per text)."""
@@ -79,9 +112,7 @@ class WordEncoder:
             bounds = np.concatenate(([0], np.cumsum(lengths)))
             segments = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(packed)))
             coded = segments.dictionary_encode()
-            pieces = self.lookup(coded.dictionary.to_pylist())
-            sizes = np.array([len(p) for p in pieces], np.int64)
-            flat = np.concatenate(pieces)
+            flat, sizes = self.distinct(coded.dictionary)
             at = np.concatenate(([0], np.cumsum(sizes)))
             which = coded.indices.to_numpy()
             ids = flat[ragged(at[which], sizes[which])]
@@ -210,8 +241,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                 out = StreamWriter(fs, f"{base}/{name}.arrows", seq_len, dtype)
                 sink = fs.open_output_stream(f"{base}/{name}.index.arrows")
                 places = pa.ipc.new_stream(sink, INDEX)
-            for a in range(0, len(batch), 2000):
-                some = batch.slice(a, 2000)
+            for a, b, _, _ in chunks(batch.column(2), GROUP_BYTES):
+                some = batch.slice(a, b - a)
                 ids, counts = enc.encode(some.column(2))
                 ends = np.cumsum(counts + 1)
                 full = np.empty(ends[-1], np.uint32)
