@@ -23,12 +23,16 @@ from . import common
 from .components import connected_components
 from .textnp import U, chunks, mix, ragged, shingle_sets
 
-SKETCH_BITS = 18
-SLOTS = 32
+SKETCH_BITS = 20
+SLOTS = 128
 SHINGLE = 5
 #: similarity at least NUM / DEN
 NUM, DEN = 80, 100
 POSTINGS_A_PART = 1_500_000
+#: pairs tried first: partners of a node, then rounds of hubs of each list
+FIRST_PARTNERS = 2
+HUB_ROUNDS = 1
+HUBS = 2
 ORDERS = (U(0x632BE59BD9B4E019), U(0x8CB92BA72F3D8DD7), U(0xAC565AD4ED9B4F3B))
 
 
@@ -45,38 +49,70 @@ def order_keys(flat: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
     return (classes[bucket].astype(U) << U(56)) | (mix(flat ^ ORDERS[order]) >> U(8))
 
 
+def bins(n: int) -> int:
+    """Histogram bins of a set: a power of two with two to four tokens a bin."""
+    return max(16, 1 << max(0, (n // 2).bit_length() - 1))
+
+
+def histograms(flat: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Tokens of each set by hash bin; the sum of minima bounds an intersection."""
+    low = (flat & U(0xFFFFFFFF)).astype(np.int64)
+    out = []
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        k = bins(e - s)
+        out.append(np.bincount(low[s:e] & (k - 1), minlength=k).astype(np.uint8).tobytes() if e > s else b"")
+    return out
+
+
+def most_shared(x: np.ndarray, y: np.ndarray) -> int:
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = x.reshape(-1, len(y)).sum(0)
+    return int(np.minimum(x, y).sum())
+
+
 def prefix_sizes(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, n - -(-n * NUM // DEN) + 1, 0)
 
 
 def frequency_classes(counts: np.ndarray) -> np.ndarray:
-    """0 for sketch buckets near the mean, then eighths of doublings above it."""
+    """Order classes of sketch buckets, from rare to frequent.
+
+    Counts within eight deviations of the mean load get eighths of a deviation
+    each, so a token of moderate frequency already stands after most others;
+    beyond, classes are eighths of doublings.
+    """
     mean = max(1.0, counts.mean())
-    bar = mean + 6 * mean**0.5 + 2
-    return np.clip(np.floor(8 * np.log2(np.maximum(counts, 1) / bar)) + 1, 0, 255).astype(np.uint8)
+    step = max(1.0, mean**0.5 / 8)
+    low, bar = max(0.0, mean - 4 * mean**0.5), mean + 8 * mean**0.5
+    inner = np.clip((counts - low) / step, 0, 100)
+    outer = 101 + 8 * np.log2(np.maximum(counts, bar) / bar)
+    return np.clip(np.floor(np.where(counts <= bar, inner, outer)), 0, 255).astype(np.uint8)
 
 
 def scan_sets(docs: DataFrame) -> DataFrame:
-    """Per document (doc_id, fp, n); per task and slot a piece of the token-count sketch."""
+    """Per document (doc_id, fp, n, histogram); per task and slot a piece of the token-count sketch."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            fps, sizes = [], []
+            fps, sizes, hists = [], [], []
             for _, _, raw, offs in chunks(batch.column(1)):
                 flat, bounds = shingle_sets(raw, offs, SHINGLE)
                 total += np.bincount((flat >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
                 fps.append(fingerprint(flat, bounds))
                 sizes.append(np.diff(bounds))
+                hists += histograms(flat, bounds)
             if fps:
                 k = len(batch)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps)), pa.array(np.concatenate(sizes)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["doc_id", "fp", "n", "slot", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps)), pa.array(np.concatenate(sizes)), pa.array(hists, pa.binary()), pa.nulls(k, pa.int32())], names=["doc_id", "fp", "n", "counts", "slot"])
         if total.any():
             pieces = [p.tobytes() for p in total.astype(np.uint32).reshape(SLOTS, -1)]
             none = pa.nulls(SLOTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SLOTS), pa.int32()), pa.array(pieces, pa.binary())], names=["doc_id", "fp", "n", "slot", "counts"])
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(pieces, pa.binary()), pa.array(range(SLOTS), pa.int32())], names=["doc_id", "fp", "n", "counts", "slot"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, fp long, n long, slot int, counts binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, fp long, n long, counts binary, slot int")
 
 
 def sketch(scanned: DataFrame) -> np.ndarray:
@@ -86,7 +122,7 @@ def sketch(scanned: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for slot, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums[slot] = sums.get(slot, 0) + np.frombuffer(piece, np.int64 if len(piece) == 8 << (SKETCH_BITS - 5) else np.uint32).astype(np.int64)
+                sums[slot] = sums.get(slot, 0) + np.frombuffer(piece, np.int64 if len(piece) == (8 << SKETCH_BITS) // SLOTS else np.uint32).astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["slot", "counts"])
 
@@ -201,8 +237,12 @@ def runs(packed: DataFrame, n_parts: int) -> DataFrame:
     return packed.repartitionById(n_parts, F.col("part")).mapInArrow(gather, RUN_SCHEMA)
 
 
-def cross_pairs(posted: DataFrame, n_parts: int) -> DataFrame:
-    """All pairs of one list that pass the position filter and lie in different components."""
+def cross_pairs(posted: DataFrame, n_parts: int, hubs: int = 0) -> DataFrame:
+    """Pairs of one list that pass the position filter and lie in different components.
+
+    With ``hubs`` only those of each component's earliest node with the
+    earliest few of the list's largest component; else all.
+    """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if len(b)]
@@ -224,6 +264,20 @@ def cross_pairs(posted: DataFrame, n_parts: int) -> DataFrame:
 
         for s, e in zip(head[mixed].tolist(), tail[mixed].tolist()):
             rn, rp, rc, rf = n[s:e], pos[s:e], comp[s:e], fp[s:e]
+            if hubs:
+                by = np.lexsort((rf, rp, rc))
+                first = np.flatnonzero(np.concatenate(([True], rc[by][1:] != rc[by][:-1])))
+                top = first[np.argmax(np.diff(np.concatenate((first, [len(by)]))))]
+                for i in by[top : top + hubs]:
+                    j = by[first]
+                    j = j[(rc[j] != rc[i]) & (rc[i] == rc[by[top]]) & may_pair(rn[i], rp[i], rn[j], rp[j])]
+                    if len(j):
+                        out.append(np.stack((np.minimum(rf[i], rf[j]), np.maximum(rf[i], rf[j])), 1))
+                        held += len(j)
+                if held > 500_000:
+                    yield flush()
+                    out, held = [], 0
+                continue
             upto = np.searchsorted(rn, rn * DEN // NUM, "right")
             for i, u in enumerate(upto.tolist()):
                 j = np.flatnonzero((rc[i + 1 : u] != rc[i]) & may_pair(rn[i], rp[i], rn[i + 1 : u], rp[i + 1 : u])) + i + 1
@@ -239,10 +293,32 @@ def cross_pairs(posted: DataFrame, n_parts: int) -> DataFrame:
     return posted.repartition(n_parts, "key").mapInArrow(meet, "a long, b long").distinct()
 
 
+def plausible(pairs: DataFrame, hists: DataFrame) -> DataFrame:
+    """The pairs whose histograms leave the similarity possible; loses none that has it."""
+    cols = [c for c in pairs.columns if c not in ("a", "b")]
+    schema = "a long, b long" + "".join(f", {c} {pairs.schema[c].dataType.simpleString()}" for c in cols)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.num_columns
+            keep = np.zeros(len(batch), bool)
+            size = (batch.column(k - 2).to_numpy() + batch.column(k - 1).to_numpy()) * NUM
+            for i, (x, y) in enumerate(zip(batch.column(k - 4), batch.column(k - 3))):
+                most = most_shared(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8))
+                keep[i] = most * (NUM + DEN) >= size[i]
+            yield batch.filter(pa.array(keep)).select(list(range(k - 4)))
+
+    left = hists.select(F.col("fp").alias("a"), F.col("hist").alias("x"), F.col("n").alias("nx"))
+    right = hists.select(F.col("fp").alias("b"), F.col("hist").alias("y"), F.col("n").alias("ny"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", *cols, "x", "y", "nx", "ny")
+    return joined.mapInArrow(check, schema)
+
+
 def node_sets(docs: DataFrame, wanted: DataFrame, classes: np.ndarray) -> DataFrame:
     """(fp, tokens) of wanted nodes (doc_id, fp): the set, then its prefixes under the further orders."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
             want = batch.column(1).to_numpy()
             for a, b, raw, offs in chunks(batch.column(0)):
@@ -251,6 +327,9 @@ def node_sets(docs: DataFrame, wanted: DataFrame, classes: np.ndarray) -> DataFr
                 further = [order_keys(flat, classes, k) for k in range(1, len(ORDERS))]
                 blobs, ids = [], []
                 for d in np.flatnonzero(fps == want[a:b]).tolist():
+                    if fps[d] in done:
+                        continue
+                    done.add(fps[d])
                     s, e = bounds[d], bounds[d + 1]
                     p = int(prefix_sizes(np.array([e - s]))[0])
                     heads = [np.sort(np.partition(k[s:e], p - 1)[:p]) for k in further]
@@ -304,6 +383,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+
+
 def similarity_groups(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id.
 
@@ -319,23 +402,35 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
     n_parts = max(common.parts(spark), -(-int(total) // (5 * POSTINGS_A_PART)))
     classes = frequency_classes(sketch(scanned)) if total else np.zeros(1 << SKETCH_BITS, np.uint8)
     met = common.staged(runs(postings(docs, classes, n_parts), n_parts), "jaccard-runs")
-    reps = common.staged(nodes.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
+    reps = scanned.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.first("counts").alias("hist"))
+    reps = common.staged(reps, "jaccard-reps")
+    common.release(spark)
 
     posted = met.where("key is not null").select("key", "fp", "n", "pos")
     first = met.where("a is not null").groupBy("a", "b").agg(F.count("*").alias("c"))
-    best = first.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
-    best = common.staged(best, "jaccard-pairs")
-    wanted = reps.join(posted.select("fp").distinct(), "fp").where("rep is not null").select(F.col("rep").alias("doc_id"), "fp")
-    sets = common.staged(node_sets(docs, wanted, classes), "jaccard-sets").dropDuplicates(["fp"])
-    common.release(spark)
-    links = common.staged(verified(best, sets), "jaccard-links")
-    comps = connected_components(links)
-    placed = posted.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", "pos", F.coalesce("component", "fp").alias("comp"))
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = common.staged(cross_pairs(placed, n_parts).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
-    more = verified(rest, sets)
-    named = links.unionByName(more)
-    named = named.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
+    best = Window.partitionBy("b").orderBy(F.desc("c"), "a")
+    first = plausible(first, reps).withColumn("r", F.row_number().over(best)).where(F.col("r") <= FIRST_PARTNERS)
+    done = sets = links = None
+    for step in range(HUB_ROUNDS + 2):
+        if step == 0:
+            pairs = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        else:
+            comps = connected_components(links)
+            placed = posted.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", "pos", F.coalesce("component", "fp").alias("comp"))
+            fresh = cross_pairs(placed, n_parts, HUBS if step <= HUB_ROUNDS else 0).join(done, ["a", "b"], "left_anti")
+            pairs = plausible(fresh, reps)
+        pairs = common.staged(pairs, "jaccard-pairs")
+        lack = reps.join(ends(pairs), "fp", "left_semi").where("rep is not null").select(F.col("rep").alias("doc_id"), "fp")
+        if sets is not None:
+            lack = lack.join(sets.select("fp"), "fp", "left_anti")
+        found = common.staged(node_sets(docs, common.staged(lack, "jaccard-lack"), classes), "jaccard-sets")
+        sets = found if sets is None else sets.unionByName(found)
+        common.release(spark)
+        linked = common.staged(verified(pairs, sets), "jaccard-links")
+        links = linked if links is None else links.unionByName(linked)
+        done = pairs if done is None else done.unionByName(pairs)
+        common.release(spark)
+    named = links.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
     groups = connected_components(named.select("ra", "rb"), "ra", "rb")
     by_fp = reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("group"))
     out = nodes.join(by_fp, "fp", "left")
