@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,13 +39,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = staged_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "_staged_path", None):
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files that no live DataFrame needs."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round drops Python's references, the second Spark's
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def parts(spark: SparkSession) -> int:

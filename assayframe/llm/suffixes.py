@@ -34,6 +34,7 @@ REACH = SPAN - GRAM + 1
 #: anchors are compared by the upper bits of their hash, then by place
 PLACE_BITS = 28
 SLICE = 400_000
+ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def prefix_sums(raw: np.ndarray) -> np.ndarray:
@@ -90,7 +91,7 @@ def part_of(doc_id: np.ndarray, n: int) -> np.ndarray:
 def pack(part: np.ndarray, columns: list[np.ndarray], extra: bytes = b"", sizes: np.ndarray | None = None):
     """(part ids, blobs): the columns' rows of each part, one array after another.
 
-    ``extra`` holds ``sizes`` bytes for each row, which follow the columns.
+    ``extra`` holds ``sizes`` bytes for each row, which follow compressed.
     """
     order = np.argsort(part, kind="stable")
     part = part[order]
@@ -104,7 +105,8 @@ def pack(part: np.ndarray, columns: list[np.ndarray], extra: bytes = b"", sizes:
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         blob = [c[a:b].tobytes() for c in columns]
         if sizes is not None:
-            blob.append(flat[ends[a] : ends[b]].tobytes())
+            piece = flat[ends[a] : ends[b]].tobytes()
+            blob.append(len(piece).to_bytes(8, "little") + ZSTD.compress(piece, asbytes=True))
         blobs.append(int(b - a).to_bytes(8, "little") + b"".join(blob))
     return part[cuts[:-1]].astype(np.int32), blobs
 
@@ -117,7 +119,9 @@ def unpack(blobs: list[bytes], kinds: list) -> list[np.ndarray]:
         for c, kind in zip(cols, kinds):
             c.append(np.frombuffer(blob, kind, n, at))
             at += n * np.dtype(kind).itemsize
-        cols[-1].append(np.frombuffer(blob, np.uint8, offset=at))
+        if at < len(blob):
+            size = int.from_bytes(blob[at : at + 8], "little")
+            cols[-1].append(np.frombuffer(ZSTD.decompress(blob[at + 8 :], size, asbytes=True), np.uint8))
     return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(cols, [*kinds, np.uint8])]
 
 
@@ -224,6 +228,27 @@ def place_keys(did: np.ndarray, row: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return mix(mix(did.view(U)) ^ ((row.astype(U) << U(32)) | pos.astype(np.uint32).astype(U)))
 
 
+def settled(raw: np.ndarray, sums: np.ndarray, first: np.ndarray, size: np.ndarray, back: np.ndarray, did: np.ndarray) -> np.ndarray:
+    """Whether another occurrence of smaller doc_id has equal surroundings.
+
+    All strings of such an occurrence are covered, and its fellow of least
+    doc_id stands for it.  Equality is by hash, then byte by byte.
+    """
+    inner = mix((sums[first + size] - sums[first]) * powers(INVERSE, len(raw))[first]) ^ mix((back * 128 + size).astype(U))
+    order = np.lexsort((did, inner))
+    s = inner[order]
+    head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    least = order[np.repeat(head, np.diff(np.concatenate((head, [len(s)]))))]
+    later = np.flatnonzero(did[order] > did[least])
+    out = np.zeros(len(did), bool)
+    for k in range(0, len(later), 50_000):
+        x, y = order[later[k : k + 50_000]], least[later[k : k + 50_000]]
+        width = np.minimum(size[x], size[y])
+        unlike = raw[ragged(first[x], width)] != raw[ragged(first[y], width)]
+        out[x] = ~(np.add.reduceat(unlike, np.cumsum(width) - width) > 0)
+    return out
+
+
 def repeated_ranges(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
     """Packed (doc_id, row hash, start, end) of the bytes to remove."""
 
@@ -246,26 +271,11 @@ def repeated_ranges(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
                 doc, place, first, last, gram, row, did = (x[hit] for x in (doc, place, first, last, gram, row, did))
                 if not len(doc):
                     continue
-                # equal surroundings: the least doc_id answers for the others
                 size = last - first + SPAN
-                inner = mix((sums[first + size] - sums[first]) * powers(INVERSE, len(raw))[first]) ^ mix(((place - first) * 128 + size).astype(U))
-                order = np.lexsort((did, inner))
-                s = inner[order]
-                head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-                count = np.diff(np.concatenate((head, [len(s)])))
-                least = order[np.repeat(head, count)]
-                later = did[order] > did[least]
-                same = np.flatnonzero(later)
-                if len(same):
-                    x, y = order[same], least[same]
-                    width = size[x]
-                    equal = raw[ragged(first[x], width)] == raw[ragged(first[y], width)]
-                    wrong = np.add.reduceat(~equal, np.cumsum(width) - width) > 0
-                    later[same[wrong]] = False
-                done, rest = order[later], np.sort(order[~later])
+                done = settled(raw, sums, first, size, place - first, did)
+                done, rest = np.flatnonzero(done), np.flatnonzero(~done)
                 start = (first - offs[doc]).astype(np.int32)
                 if len(done):
-                    done.sort()
                     yield emit(1, *pack(part_of(did[done], n), [did[done], row[done], start[done], (start + size)[done].astype(np.int32)]))
                 width = size[rest]
                 data = raw[ragged(first[rest], width)].tobytes()
@@ -297,9 +307,17 @@ def repeated_ranges(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
             r = order[head[a] : head[b] if b < len(head) else len(g)]
             a = b
             w = width[r]
-            out = covered(gram[r], did[r], n_str[r].astype(np.int64), back[r].astype(np.int64), data[ragged(at[r], w)], np.cumsum(w) - w)
-            if len(out[0]):
-                which, lo, hi = out
+            some = data[ragged(at[r], w)]
+            sums = prefix_sums(some)
+            place = np.cumsum(w) - w
+            done = settled(some, sums, place, w, back[r].astype(np.int64), did[r])
+            if done.any():
+                q = r[done]
+                yield emit(1, *pack(part_of(did[q], n), [did[q], row[q], start[q], (start[q] + width[q]).astype(np.int32)]))
+            left = ~done
+            r = r[left]
+            which, lo, hi = covered(gram[r], did[r], n_str[r].astype(np.int64), back[r].astype(np.int64), some, place[left], sums)
+            if len(which):
                 q = r[which]
                 yield emit(1, *pack(part_of(did[q], n), [did[q], row[q], (start[q] + lo).astype(np.int32), (start[q] + hi + SPAN).astype(np.int32)]))
 
@@ -307,22 +325,38 @@ def repeated_ranges(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
     return asked.repartitionById(n, F.col("part")).mapInArrow(answer, PACKED)
 
 
-def covered(gram: np.ndarray, did: np.ndarray, n_str: np.ndarray, back: np.ndarray, data: np.ndarray, at: np.ndarray):
+def covered(gram: np.ndarray, did: np.ndarray, n_str: np.ndarray, back: np.ndarray, data: np.ndarray, at: np.ndarray, sums: np.ndarray):
     """Runs (request, first string, last string) that a smaller doc_id also holds."""
+    none = np.zeros(0, np.int64)
+    order = np.argsort(gram, kind="stable")
+    g = gram[order]
+    same = np.zeros(len(g), bool)
+    if len(g) > 1:
+        same[1:] = g[1:] == g[:-1]
+        same[:-1] |= g[1:] == g[:-1]
+    keep = np.sort(order[same])  # a gram with one request left has no partner
+    if not len(keep):
+        return none, none, none
+    gram, did, n_str, back, at = (v[keep] for v in (gram, did, n_str, back, at))
     request = np.repeat(np.arange(len(gram)), n_str)
     string = np.arange(len(request)) - np.repeat(np.cumsum(n_str) - n_str, n_str)
     where = at[request] + string
     ahead = back[request] - string  # from the string's start to its anchor
-    order = np.lexsort((ahead, gram[request]))
-    g, h = gram[request][order], ahead[order]
+    # a string whose hash no other has is neither covered nor covers
+    whole = (sums[where + SPAN] - sums[where]) * powers(INVERSE, len(data))[where]
+    slot = (mix(whole) >> U(42)).astype(np.int64)
+    live = np.flatnonzero(np.bincount(slot, minlength=1 << 22)[slot] > 1)
+    if not len(live):
+        return none, none, none
+    order = live[np.lexsort((ahead[live], gram[request[live]]))]
+    g, h = gram[request[order]], ahead[order]
     new = np.concatenate(([True], (g[1:] != g[:-1]) | (h[1:] != h[:-1])))
     segment = np.cumsum(new) - 1
     several = np.bincount(segment)[segment] > 1
     order, segment = order[several], segment[several]
-    none = np.zeros(0, np.int64)
     if not len(order):
         return none, none, none
-    order, equal = sort_suffixes(data, where, order, segment)
+    order, equal = sort_suffixes(data, sums, where, whole, order, segment)
     head = np.flatnonzero(~equal)
     size = np.diff(np.concatenate((head, [len(order)])))
     least = np.repeat(np.minimum.reduceat(did[request[order]], head), size)
@@ -332,24 +366,21 @@ def covered(gram: np.ndarray, did: np.ndarray, n_str: np.ndarray, back: np.ndarr
     req, s = request[hit], string[hit]
     head = np.flatnonzero(np.concatenate(([True], (req[1:] != req[:-1]) | (s[1:] != s[:-1] + 1))))
     tail = np.concatenate((head[1:], [len(hit)])) - 1
-    return req[head], s[head], s[tail]
+    return keep[req[head]], s[head], s[tail]
 
 
-def sort_suffixes(data: np.ndarray, where: np.ndarray, order: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sort_suffixes(data: np.ndarray, sums: np.ndarray, where: np.ndarray, whole: np.ndarray, order: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mergesort of suffixes ``where[order]`` over SPAN bytes inside each segment.
 
-    Returns the sorted order and, for each place, whether its suffix equals the
+    ``sums`` are the prefix sums of ``data`` and ``whole`` the hash of SPAN
+    bytes of each suffix.  Returns the sorted order and, for each place, whether its suffix equals the
     one before it in the segment, verified byte by byte.
     """
-    sums = prefix_sums(data)
     inverse = powers(INVERSE, len(data))
 
     def sub(i: np.ndarray, size) -> np.ndarray:
         return (sums[i + size] - sums[i]) * inverse[i]
 
-    whole = np.zeros(len(where), U)
-    whole[order] = sub(where[order], SPAN)
-
     def less(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether suffix x precedes suffix y: common extension by binary search."""
         out = np.zeros(len(x), bool)
@@ -366,7 +397,11 @@ def sort_suffixes(data: np.ndarray, where: np.ndarray, order: np.ndarray, segmen
 
     seg_first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
     seg_size = np.diff(np.concatenate((seg_first, [len(segment)])))
-    begin, size = np.repeat(seg_first, seg_size), np.repeat(seg_size, seg_size)
+    # a segment whose suffixes all equal its first is sorted as it stands
+    unlike = whole[order] != np.repeat(whole[order[seg_first]], seg_size)
+    seg_size = np.where(np.add.reduceat(unlike, seg_first) > 0, seg_size, 1)
+    full = np.diff(np.concatenate((seg_first, [len(segment)])))
+    begin, size = np.repeat(seg_first, full), np.repeat(seg_size, full)
     place = np.arange(len(order))
     width = 1
     while width < seg_size.max():
@@ -417,6 +452,7 @@ def deduplicate(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     places = common.staged(shared_places(docs, n), "suffix-places")
     common.release(spark)
     ranges = common.staged(repeated_ranges(docs, places, n), "suffix-ranges")
+    common.discard(places)
     common.release(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

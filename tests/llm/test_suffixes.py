@@ -82,7 +82,9 @@ def test_mergesort_orders_suffixes():
     data = rng.integers(97, 99, 3000).astype(np.uint8)
     where = rng.integers(0, 2900, 400)
     segment = np.sort(rng.integers(0, 9, 400))
-    order, equal = suffixes.sort_suffixes(data, where, np.arange(400), segment)
+    sums = suffixes.prefix_sums(data)
+    whole = (sums[where + 50] - sums[where]) * suffixes.powers(suffixes.INVERSE, len(data))[where]
+    order, equal = suffixes.sort_suffixes(data, sums, where, whole, np.arange(400), segment)
     text = [(s, data[w : w + 50].tobytes()) for s, w in zip(segment, where[order])]
     assert text == sorted(text)
     assert equal.tolist() == [k > 0 and text[k] == text[k - 1] for k in range(400)]
