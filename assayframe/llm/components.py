@@ -30,10 +30,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _with_least(large.where("u != v").distinct())
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        edges = common.staged(small.where("u != v").distinct(), "edges")
+        last, edges = edges, common.staged(small.where("u != v").distinct(), "edges")
+        common.discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     tops = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)

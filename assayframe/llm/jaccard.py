@@ -411,6 +411,7 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
     best = Window.partitionBy("b").orderBy(F.desc("c"), "a")
     first = plausible(first, reps).withColumn("r", F.row_number().over(best)).where(F.col("r") <= FIRST_PARTNERS)
     done = sets = links = None
+    spent = [met]
     for step in range(HUB_ROUNDS + 2):
         if step == 0:
             pairs = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -423,13 +424,17 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
         lack = reps.join(ends(pairs), "fp", "left_semi").where("rep is not null").select(F.col("rep").alias("doc_id"), "fp")
         if sets is not None:
             lack = lack.join(sets.select("fp"), "fp", "left_anti")
-        found = common.staged(node_sets(docs, common.staged(lack, "jaccard-lack"), classes), "jaccard-sets")
+        lack = common.staged(lack, "jaccard-lack")
+        found = common.staged(node_sets(docs, lack, classes), "jaccard-sets")
+        common.discard(lack)
+        spent += [pairs, found]
         sets = found if sets is None else sets.unionByName(found)
         common.release(spark)
         linked = common.staged(verified(pairs, sets), "jaccard-links")
         links = linked if links is None else links.unionByName(linked)
         done = pairs if done is None else done.unionByName(pairs)
         common.release(spark)
+    common.discard(*spent)
     named = links.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
     groups = connected_components(named.select("ra", "rb"), "ra", "rb")
     by_fp = reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("group"))
