@@ -159,11 +159,21 @@ def script_of(token: Column) -> Column:
     return F.when(token.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(token.rlike(r"\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
 
 
-def name_kind(entity: Column, token: Column, last: Column) -> Column:
-    """name:<script>:<m, f or n, or last for a surname>."""
-    head = F.regexp_replace(F.split(entity, " ")[0], r"\.$", "")
+def name_units(e: Column) -> Column:
+    """The honorific, kept, and the name's parts as units of their own kinds.
+
+    A part's kind is name:<script>:<m, f or n>, or ..:last for a surname.
+    """
+    words = F.split(e, " ")
+    head = F.regexp_replace(words[0], r"\.$", "")
     gender = F.when(head.isin(*MALE), F.lit("m")).when(head.isin(*FEMALE), F.lit("f")).otherwise(F.lit("n"))
-    return F.concat_ws(":", F.lit("name"), script_of(token), F.when(last, F.lit("last")).otherwise(gender))
+
+    def unit(t: Column, i: Column) -> Column:
+        last = i == F.size(words) - 1
+        kind = F.concat_ws(":", F.lit("name"), script_of(t), F.when(last, F.lit("last")).otherwise(gender))
+        return F.struct(t.alias("text"), F.when(i == 0, F.lit("keep")).otherwise(kind).alias("kind"), F.when(last, F.lit("")).otherwise(F.lit(" ")).alias("glue"))
+
+    return F.transform(words, unit)
 
 
 def name_part(token: Column, kind: Column, h: Column) -> Column:
@@ -177,18 +187,10 @@ def name_part(token: Column, kind: Column, h: Column) -> Column:
     return F.when((token == F.upper(token)) & (F.length(token) > 1), F.upper(new)).otherwise(new)
 
 
-def map_units(entity: Column, kind: Column, unit) -> Column:
-    """Apply ``unit(text, kind)`` to the entity, or to each part of a name."""
-    parts = F.slice(F.split(entity, " "), 2, 2)
-    named = F.transform(parts, lambda t, i: unit(t, name_kind(entity, t, i == F.size(parts) - 1)))
-    return parts, named
-
-
-def surrogate_unit(text: Column, kind: Column, attempt: Column, key: str) -> Column:
-    h = draw(kind, normal(text, kind), attempt, key)
-    out = name_part(text, kind, h)
-    made = {"email": email, "ip": octets, "phone": digits, "national": digits, "account": account, "iban": iban, "secret": secret}
-    return reduce(lambda rest, k: F.when(kind == k, made[k](text, h)).otherwise(rest), made, out)
+def surrogate(text: Column, kind: Column, h: Column) -> Column:
+    """The replacement of one unit under its draw ``h``."""
+    made = {"keep": lambda e, _: e, "email": email, "ip": octets, "phone": digits, "national": digits, "account": account, "iban": iban, "secret": secret}
+    return reduce(lambda rest, k: F.when(kind == k, made[k](text, h)).otherwise(rest), made, name_part(text, kind, h))
 
 
 def found(text: Column) -> Column:
@@ -197,14 +199,22 @@ def found(text: Column) -> Column:
     return F.when(text.isNotNull() & text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
 
 
-def units(df: DataFrame) -> DataFrame:
-    """(doc_id, kind, norm, text) of every entity, a name by its parts."""
-    e = F.col("entity")
-    rows = df.select("doc_id", F.explode("__entities").alias("entity")).withColumn("kind", kind_of(e))
-    _, parts = map_units(e, F.col("kind"), lambda t, k: F.struct(t.alias("text"), k.alias("kind")))
-    one = F.array(F.struct(e.alias("text"), F.col("kind").alias("kind")))
-    rows = rows.select("doc_id", F.explode(F.when(F.col("kind") == "name", parts).otherwise(one)).alias("u")).select("doc_id", "u.text", "u.kind")
-    return rows.withColumn("norm", normal(F.col("text"), F.col("kind")))
+def with_units(df: DataFrame) -> DataFrame:
+    """Add ``__units``: for each entity of the text its units (text, kind, glue, norm).
+
+    Each step is one transform over the last, so nothing is computed twice.
+    """
+    kinds = F.transform(found(F.col("text")), lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
+    alone = lambda x: F.array(F.struct(x.e.alias("text"), x.kind.alias("kind"), F.lit("").alias("glue")))
+    split = F.transform(kinds, lambda x: F.when(x.kind == "name", name_units(x.e)).otherwise(alone(x)))
+    norm = lambda u: F.struct(u.text.alias("text"), u.kind.alias("kind"), u.glue.alias("glue"), normal(u.text, u.kind).alias("norm"))
+    return df.withColumn("__units", F.transform(split, lambda us: F.transform(us, norm)))
+
+
+def occurrences(df: DataFrame) -> DataFrame:
+    """(doc_id, kind, norm, text) of every unit that is replaced."""
+    rows = df.select("doc_id", F.explode(F.flatten("__units")).alias("u"))
+    return rows.select("doc_id", "u.kind", "u.norm", "u.text").where("kind != 'keep'")
 
 
 def later_draws(entities: DataFrame, key: str) -> DataFrame:
@@ -215,51 +225,47 @@ def later_draws(entities: DataFrame, key: str) -> DataFrame:
     state = entities.withColumn("attempt", F.lit(0))
     real = entities.select("kind", F.col("norm").alias("made"), F.lit(True).alias("real"))
     for _ in range(MAX_DRAWS):
-        made = normal(surrogate_unit(F.col("text"), F.col("kind"), F.col("attempt"), key), F.col("kind"))
-        drawn = common.staged(state.withColumn("made", made), "surrogate-draws")
+        h = draw(F.col("kind"), F.col("norm"), F.col("attempt"), key)
+        made = state.withColumn("h", h).withColumn("made", normal(surrogate(F.col("text"), F.col("kind"), F.col("h")), F.col("kind")))
+        drawn = common.staged(made.drop("h"), "surrogate-draws")
         first = drawn.groupBy("kind", "made").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count("*").alias("n"))
         clash = first.join(real, ["kind", "made"], "left").where("n > 1 or real")
         judged = drawn.join(clash, ["kind", "made"], "left")
         again = F.col("n").isNotNull() & (F.coalesce("real", F.lit(False)) | (F.col("first.norm") != F.col("norm")))
-        if clash.limit(1).count() == 0:
-            break
+        if clash.isEmpty():
+            return drawn.where("attempt > 0").select("kind", "norm", "attempt")
         state = judged.select("kind", "norm", "text", (F.col("attempt") + F.when(again, 1).otherwise(0)).alias("attempt"))
-    return drawn.where("attempt > 0").select("kind", "norm", "attempt")
+    raise RuntimeError(f"surrogates still collide after {MAX_DRAWS} draws: a kind's space is nearly full")
 
 
-def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """Replace the entities of ``text``; add ``n_entities``.
+def replace_entities(docs: DataFrame, key: str = KEY, count: str | None = "n_entities") -> DataFrame:
+    """Replace the entities of ``text``; add their number as ``count``, if named.
 
     Null text stays null and has none.  Repeated rows get equal texts; empty
-    tables give no rows; other columns pass through.  Texts never move: only a
+    tables give no rows; other columns pass through (one named as ``count``
+    gives way to it).  Texts never move: only a
     document with an entity whose first draw collides is joined to its draws.
+    A kind whose space cannot hold its entities apart raises an error.
     """
-    marked = docs.withColumn("__entities", found(F.col("text")))
-    occurs = units(marked)
+    marked = with_units(docs)
+    occurs = occurrences(with_units(docs.select("doc_id", "text")))
     entities = common.staged(occurs.groupBy("kind", "norm").agg(F.min("text").alias("text")), "surrogate-entities")
     later = common.staged(later_draws(entities, key), "surrogate-later")
-    if later.limit(1).count():
+    if not later.isEmpty():
         entry = F.struct(F.concat_ws("\x1f", "kind", "norm").alias("k"), F.col("attempt").alias("v"))
         per_doc = occurs.join(later, ["kind", "norm"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_set(entry)).alias("__draws"))
-        marked = marked.join(common.staged(per_doc, "surrogate-overrides"), "doc_id", "left")
+        per_doc = common.staged(per_doc.withColumnRenamed("doc_id", "__doc"), "surrogate-overrides")
+        marked = marked.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+        attempt = lambda u: F.coalesce(F.try_element_at("__draws", F.concat_ws("\x1f", u.kind, u.norm)), F.lit(0))
     else:
-        marked = marked.withColumn("__draws", F.lit(None).cast("map<string,int>"))
+        attempt = lambda u: F.lit(0)
 
-    def unit(text: Column, kind: Column) -> Column:
-        name = F.concat_ws("\x1f", kind, normal(text, kind))
-        attempt = F.coalesce(F.try_element_at("__draws", name), F.lit(0))
-        return surrogate_unit(text, kind, attempt, key)
-
-    def whole(e: Column) -> Column:
-        _, parts = map_units(e, kind_of(e), unit)
-        name = F.array_join(F.concat(F.array(F.split(e, " ")[0]), parts), " ")
-        return F.when(kind_of(e) == "name", name).otherwise(unit(e, kind_of(e)))
-
-    between = F.split("text", ANY, -1)
-    woven = F.zip_with(between, F.transform("__entities", whole), lambda s, r: F.concat(s, F.coalesce(r, F.lit(""))))
-    text = F.when(F.size("__entities") > 0, F.array_join(woven, "")).otherwise(F.col("text"))
-    order = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns]
-    return marked.select(*order, F.size("__entities").alias("n_entities"))
+    drawn = lambda u: F.struct(u.text.alias("text"), u.kind.alias("kind"), u.glue.alias("glue"), draw(u.kind, u.norm, attempt(u), key).alias("h"))
+    new = F.transform(F.transform("__units", lambda us: F.transform(us, drawn)), lambda us: F.array_join(F.transform(us, lambda u: F.concat(surrogate(u.text, u.kind, u.h), u.glue)), ""))
+    woven = F.zip_with(F.split("text", ANY, -1), new, lambda s, r: F.concat(s, F.coalesce(r, F.lit(""))))
+    text = F.when(F.size("__units") > 0, F.array_join(woven, "")).otherwise(F.col("text"))
+    order = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns if c != count]
+    return marked.select(*order, *([F.size("__units").alias(count)] if count else []))
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,6 +274,8 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def surrogate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data; n_chars follows the new text."""
-    out = replace_entities(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """Replace personal data; n_chars, where there is one, follows the new text."""
+    out = replace_entities(docs, count=None)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out

@@ -150,7 +150,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null text scores as empty text: the bias alone.  Labels train only outside
     the held-out fold.  Repeated rows score alike; an empty table gives no
-    rows; columns of other names pass through.
+    rows; columns of other names pass through, and those named score or
+    predicted give way.
     """
     machine = fit(docs, labels, common.crc_mod("doc_id", 5) != 0)
 

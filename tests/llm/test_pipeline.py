@@ -26,6 +26,14 @@ def test_stages(spark, sf):
     assert all(r.exact and r.n_tokens == len(r.ids) for r in encoded.collect())
 
 
+def test_stages_pass_clashing_columns_through(spark, sf):
+    docs = common.table(spark, sf, "documents").withColumns({c: F.lit(7) for c in ("score", "predicted", "n_entities", "component_id", "fp", "part", "item_id")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert out.where("score != 7 or n_entities != 7 or component_id != 7").isEmpty(), name
+
+
 def test_run_on_empty_table(spark, sf, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
