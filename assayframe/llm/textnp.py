@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,15 +32,16 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64, kept and grown by doubling."""
+    """base**0 .. base**n modulo 2**64, kept and grown in steps of a quarter million."""
     have = _powers.get(base)
     if have is None or len(have) <= n:
-        size = 1 << max(16, int(n + 1).bit_length())
+        size = ((n >> 18) + 1) << 18
         have = np.empty(size, U)
         have[0] = 1
         k = 1
         while k < size:
-            have[k : 2 * k] = have[:k] * U(pow(base, k, 1 << 64))
+            more = min(k, size - k)
+            have[k : k + more] = have[:more] * U(pow(base, k, 1 << 64))
             k *= 2
         _powers[base] = have
     return have[: n + 1]
