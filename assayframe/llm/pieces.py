@@ -27,7 +27,8 @@ from .textnp import BASE, INVERSE, U, chunks, mix, powers, ragged, text_buffer
 
 MARK = "▁"
 NORMAL, UNKNOWN, USER_DEFINED, BYTE_PIECE = 1, 2, 4, 6
-CHUNK = 2 << 20
+CHUNK = 4 << 20
+PRESENT_BITS = 20
 _models: dict[str, "Pieces"] = {}
 
 
@@ -60,9 +61,14 @@ def fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 @dataclass
 class Pieces:
-    """A vocabulary: sorted keys of pieces with ids and scores, byte ids, cuts."""
+    """A vocabulary: sorted keys of pieces with ids and scores, byte ids, cuts.
+
+    ``present`` marks the leading bits that any key has; most substrings fail
+    there and never reach the search.
+    """
 
     keys: np.ndarray
+    present: np.ndarray
     ids: np.ndarray
     scores: np.ndarray
     longest: int
@@ -102,7 +108,9 @@ class Pieces:
         byte_ids[byte_ids < 0] = unknown
         joined = {c for t in text if len(t) > 1 for c in t}
         solo = np.array([b < 128 and b != 32 and chr(b) not in joined for b in range(256)])
-        return Pieces(keys[order], np.array(ids, np.int32)[order], np.array(value)[order], int(size.max()), low - 10, byte_ids, solo, surface)
+        present = np.zeros(1 << PRESENT_BITS, bool)
+        present[(keys >> U(64 - PRESENT_BITS)).astype(np.int64)] = True
+        return Pieces(keys[order], present, np.array(ids, np.int32)[order], np.array(value)[order], int(size.max()), low - 10, byte_ids, solo, surface)
 
     def words(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per word) of words given as code points.
@@ -112,12 +120,15 @@ class Pieces:
         n = len(points)
         sums = point_sums(points)
         end_of = np.repeat(starts + lengths, lengths)
-        found = np.full((self.longest + 1, n), -1, np.int32)
+        found = np.full((self.longest + 1, n), -1, np.int16 if len(self.keys) < 1 << 15 else np.int32)
         for size in range(1, min(self.longest, int(lengths.max(initial=0))) + 1):
             i = np.flatnonzero(np.arange(n) + size <= end_of)
             key = hashes(sums, i, i + size)
+            likely = self.present[(key >> U(64 - PRESENT_BITS)).astype(np.int64)]
+            i, key = i[likely], key[likely]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            found[size, i] = np.where(self.keys[at] == key, at, -1)
+            same = self.keys[at] == key
+            found[size, i[same]] = at[same]
         step = np.zeros(n, np.int8 if self.longest < 128 else np.int32)  # piece length on the best path, by its end
         order = np.argsort(lengths, kind="stable")
         cuts = np.searchsorted(lengths[order], np.unique(lengths), "left").tolist() + [len(order)]
@@ -248,7 +259,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for batch in batches:
-            for a, b, raw, offs in chunks(batch.column(1), 4 * CHUNK):
+            for a, b, raw, offs in chunks(batch.column(1), 2 * CHUNK):
                 ids, counts = pieces.encode(batch.column(1).slice(a, b - a))
                 back = pieces.decode(ids, counts)
                 same = [raw[s:e].tobytes() == t for s, e, t in zip(offs[:-1].tolist(), offs[1:].tolist(), back)]
