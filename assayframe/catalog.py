@@ -31,13 +31,13 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import catalog_models  # noqa: F401  registers the model queries
+    from . import catalog_models, catalog_reports  # noqa: F401  these register their queries
 
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_models  # noqa: F401
+    from . import catalog_models, catalog_reports  # noqa: F401
 
     return ORACLES
 

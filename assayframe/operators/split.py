@@ -105,21 +105,21 @@ def silhouette(df: DataFrame, key: str, point: str = "embedding", label: str = "
     blocks = max(1, -(-n // block))
     dealt = df.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(point).alias("x")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = dealt.withColumn("mine", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = dealt.select(F.col("label").alias("to_label"), F.col("x").alias("y"), F.col("b").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
     kind = dict(df.dtypes)
 
     def sums(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(l) or not len(r):
             return pd.DataFrame({"id": [], "label": [], "to": [], "s": [], "n": []})
-        x, y = np.stack(l["x"]), np.stack(r["x"])
+        x, y = np.stack(l["x"]), np.stack(r["y"])
         out = []
-        for to, at in r.groupby("label").indices.items():
+        for to, at in r.groupby("to_label").indices.items():
             d = np.sqrt(((x[:, None, :] - y[at][None]) ** 2).sum(2)) if len(x) * len(at) * x.shape[1] < 5e7 else np.stack([np.sqrt(((y[at] - p) ** 2).sum(1)) for p in x])
             out.append(pd.DataFrame({"id": l["id"], "label": l["label"], "to": to, "s": d.sum(1), "n": len(at)}))
         return pd.concat(out)
 
     schema = f"id {kind[key]}, label {kind[label]}, to {kind[label]}, s double, n long"
-    met = left.groupBy("b", "other").cogroup(right.select("id", "label", "x", F.col("mine").alias("b"), F.col("b").alias("other")).groupBy("b", "other")).applyInPandas(sums, schema)
+    met = left.groupBy("b", "other").cogroup(right.groupBy("b", "other")).applyInPandas(sums, schema)
     mean = met.groupBy("id", "label", "to").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = F.max(F.when(F.col("to") == F.col("label"), F.try_divide("s", F.col("n") - 1)))
     alone = F.max(F.when(F.col("to") == F.col("label"), F.col("n"))) == 1

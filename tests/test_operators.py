@@ -226,3 +226,15 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     q.awaitTermination(120)
     batch = monitor.drift(events, "ts", "value", 50.0, 10.0).collect()
     assert sorted(spark.table("drift_out").collect()) == sorted(batch)
+
+
+def test_oversample_balances(spark):
+    from assayframe.operators.oversample import oversample
+
+    rng = np.random.default_rng(6)
+    rows = [(i, int(i < 7), rng.normal(size=2).tolist()) for i in range(40)]
+    out = oversample(spark.createDataFrame(rows, "id long, y int, x array<double>"), "id", "x", "y", 1, block=100)
+    made = np.array([r.features for r in out.where("synthetic").collect()])
+    assert out.count() == 33 + 33 and len(made) == 26
+    few = np.array([r[2] for r in rows[:7]])
+    assert (made >= few.min(0) - 1e-9).all() and (made <= few.max(0) + 1e-9).all()
