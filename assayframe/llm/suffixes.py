@@ -34,6 +34,8 @@ REACH = SPAN - GRAM + 1
 #: anchors are compared by the upper bits of their hash, then by place
 PLACE_BITS = 28
 SLICE = 400_000
+#: text for a part: what a task holds does not follow the table's size
+PART_BYTES = 32 << 20
 ZSTD = pa.Codec("zstd", compression_level=1)
 
 
@@ -448,7 +450,8 @@ def deduplicate(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     ``keep_text``.  Extra columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    n = common.parts(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(common.parts(spark), -(-size // PART_BYTES))
     places = common.staged(shared_places(docs, n), "suffix-places")
     common.release(spark)
     ranges = common.staged(repeated_ranges(docs, places, n), "suffix-ranges")

@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, rows: int = SAMPLE_ROW
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["label", "terms"])
 
-    got = labelled_sample(docs, labels, "toxic", keep, rows).mapInArrow(gather, "label int, terms array<int>").toArrow()
+    got = labelled_sample(docs, labels, "toxic", keep, rows).mapInArrow(gather, "label int, terms array<int>").limit(2 * rows).toArrow()
     if not len(got):
         return Machine(np.zeros(0, np.int32), np.zeros(0), np.zeros((0, FACTORS)), -2.0)
     lists = got.column("terms").combine_chunks()
