@@ -22,7 +22,7 @@ def strip_id(col: Column) -> Column:
 
 def squeeze(col: Column) -> Column:
     """The text stand-in for a canonical structure: lower case, single spaces."""
-    return F.lower(F.regexp_replace(F.regexp_replace(col, r"^\s+|\s+$", ""), r"\s+", " "))
+    return F.lower(F.trim(F.regexp_replace(col, r"\s+", " ")))
 
 
 def generated_id(row: Column) -> Column:

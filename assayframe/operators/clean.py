@@ -18,7 +18,10 @@ def require_columns(df: DataFrame, *names: str | None) -> None:
 
 
 def mark(df: DataFrame, structure: str, activity: str, compound_id: str | None = None, ordinal: str = "original_row_index", canonical: Callable[[Column], Column] = squeeze) -> DataFrame:
-    """Add the four meta columns and ``bad_activity``, ``bad_structure``.
+    """Add the four meta columns, ``structure_key`` and ``bad_activity``, ``bad_structure``.
+
+    The key is a SHA-256 of the canonical structure: rows are grouped and
+    joined on it, so long structures do not move with the shuffles.
 
     A structure that ``canonical`` turns to null or nothing is bad; infinite
     activity counts as bad, as does text that is no number.
@@ -26,15 +29,16 @@ def mark(df: DataFrame, structure: str, activity: str, compound_id: str | None =
     require_columns(df, structure, activity, compound_id, ordinal)
     row = F.col(ordinal).cast("long")
     cid = F.col(compound_id).cast("string") if compound_id else generated_id(row)
-    canon = canonical(F.col(structure).cast("string"))
-    marked = df.select(
-        "*", cid.alias("__id"), F.when(canon != "", canon).alias("canonical_smiles"),
+    once = df.withColumn("__canon", canonical(F.col(structure).cast("string")))
+    marked = once.select(
+        "*", cid.alias("__id"), F.when(F.col("__canon") != "", F.col("__canon")).alias("__structure"),
         to_number(F.col(activity).cast("string")).alias("__activity"), row.alias("__row"),
     )
-    kept = [c for c in marked.columns if c not in (*META, "__id", "__activity", "__row")]
+    added = ("__canon", "__id", "__structure", "__activity", "__row", "structure_key", "bad_activity", "bad_structure")
+    kept = [c for c in df.columns if c not in (*META, *added)]
     return marked.select(
-        *kept, F.col("__id").alias("compound_id"), "canonical_smiles", F.col("__activity").alias("activity"), F.col("__row").alias("original_row_index"),
-        F.col("__activity").isNull().alias("bad_activity"), F.col("canonical_smiles").isNull().alias("bad_structure"),
+        *kept, F.col("__id").alias("compound_id"), F.col("__structure").alias("canonical_smiles"), F.sha2("__structure", 256).alias("structure_key"), F.col("__activity").alias("activity"), F.col("__row").alias("original_row_index"),
+        F.col("__activity").isNull().alias("bad_activity"), F.col("__structure").isNull().alias("bad_structure"),
     )
 
 
@@ -48,7 +52,7 @@ def quarantine(marked: DataFrame) -> DataFrame:
 
 def ranked(marked: DataFrame) -> DataFrame:
     """Valid rows with their place among those of one structure, in input order."""
-    w = Window.partitionBy("canonical_smiles").orderBy("original_row_index")
+    w = Window.partitionBy("structure_key").orderBy("original_row_index")
     return marked.where(~bad()).withColumn("copy", F.row_number().over(w))
 
 
@@ -59,18 +63,19 @@ def keep_first(marked: DataFrame) -> DataFrame:
     a third of all rows share sends one row a task, unlike a window.
     """
     rest = F.struct("original_row_index", "compound_id", "activity")
-    first = marked.where(~bad()).groupBy("canonical_smiles").agg(F.min(rest).alias("r"))
+    first = marked.where(~bad()).groupBy("structure_key").agg(F.min(rest).alias("r"), F.min_by("canonical_smiles", "original_row_index").alias("canonical_smiles"))
     return first.select("r.compound_id", "canonical_smiles", "r.activity", "r.original_row_index")
 
 
 def duplicates(marked: DataFrame) -> DataFrame:
-    first = keep_first(marked).select("canonical_smiles", F.col("original_row_index").alias("first_row"))
-    return marked.where(~bad()).join(first, "canonical_smiles").where("original_row_index > first_row")
+    valid = marked.where(~bad())
+    first = valid.groupBy("structure_key").agg(F.min("original_row_index").alias("first_row"))
+    return valid.join(first, "structure_key").where("original_row_index > first_row")
 
 
 def counts(marked: DataFrame) -> DataFrame:
     """One row of counts; a row bad in both ways is in both counts."""
-    valid = F.when(~bad(), F.col("canonical_smiles"))
+    valid = F.when(~bad(), F.col("structure_key"))
     return marked.agg(
         F.count("*").alias("original_rows"), F.count_if("bad_structure").alias("invalid_structures"), F.count_if("bad_activity").alias("invalid_activities"),
         F.countDistinct(valid).alias("valid_rows"), (F.count(valid) - F.countDistinct(valid)).alias("duplicates"),
