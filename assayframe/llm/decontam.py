@@ -7,7 +7,8 @@ block-max WAND, a passage first looks at an item only through a term without
 which the item's other terms cannot reach the threshold, then bounds each
 block of items by the block's greatest impacts, and scores the items of the
 blocks that remain.  What passes is verified: word trigrams of the question
-and of the answer must both lie in the passage.
+and of the answer must both lie in the passage.  A part of one or two words is
+one gram of that many words; an item of one word is its own answer.
 """
 from __future__ import annotations
 
@@ -61,7 +62,7 @@ def grams(h: np.ndarray, size: int = GRAM) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Sorted terms, impacts by (item, term), block maxima and essential postings."""
+    """Sorted terms, impacts by (item, term), block maxima, essential postings, and gram size and grams by part."""
 
     item_ids: np.ndarray
     terms: np.ndarray
@@ -72,8 +73,8 @@ class Index:
     block_max: np.ndarray
     essential_at: np.ndarray
     essential_items: np.ndarray
-    question: list[np.ndarray]
-    answer: list[np.ndarray]
+    question: list[tuple[int, np.ndarray]]
+    answer: list[tuple[int, np.ndarray]]
 
 
 def build(ids: list[int], texts: list[str]) -> Index:
@@ -110,9 +111,10 @@ def build(ids: list[int], texts: list[str]) -> Index:
     ess = ess[np.lexsort((item[ess], term[ess]))]
     essential_at = np.searchsorted(term[ess], np.arange(t + 1))
     cut = [len(s) - max(1, len(s) // 3) if len(s) > 1 else 1 for s in seqs]
+    parts = [(s[:c], s[c:] if len(s) > 1 else s) for s, c in zip(seqs, cut)]
     return Index(
         np.array([ids[i] for i in order], np.int64), terms, max(1, t), keys, impact, block_keys, block_max, essential_at, item[ess],
-        [np.unique(grams(s[:c])) for s, c in zip(seqs, cut)], [np.unique(grams(s[c:])) for s, c in zip(seqs, cut)],
+        *([(min(GRAM, len(p)), np.unique(grams(p))) for p in side] for side in (list(zip(*parts)) or [(), ()])),
     )
 
 
@@ -168,14 +170,18 @@ def search(index: Index, raw: np.ndarray, offs: np.ndarray, step: int) -> list[t
     score = total(cand % n_items, cand // n_items, index.pair_keys, index.pair_impact)
     passed = np.flatnonzero(score >= THRESHOLD - 1e-9)
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    seen, have = -1, {}
     for c, s in zip(cand[passed].tolist(), score[passed].tolist()):
         w, i = divmod(c, n_items)
         d = int(np.searchsorted(win0, w, "right")) - 1
         while n_win[d] == 0:
             d -= 1
         a = bounds[d] + (w - win0[d]) * step
-        have = grams(h[a : min(bounds[d + 1], a + 2 * step)])
-        q, r = (float(np.isin(part, have).mean()) for part in (index.question[i], index.answer[i]))
+        if w != seen:
+            seen, have = w, {}
+        for size in {index.question[i][0], index.answer[i][0]} - have.keys():
+            have[size] = grams(h[a : min(bounds[d + 1], a + 2 * step)], size)
+        q, r = (float(np.isin(part, have[size]).mean()) for size, part in (index.question[i], index.answer[i]))
         if q >= OVERLAP and r >= OVERLAP and (s, q, r) > best.get((d, i), (-1.0,)):
             best[d, i] = (s, q, r)
     return [(d, i, *v) for (d, i), v in sorted(best.items())]

@@ -64,3 +64,18 @@ def test_edges(spark):
     assert decontam.leaks(docs, bench.limit(0)).collect() == [] and decontam.leaks(docs.limit(0), bench).collect() == []
     kept = docs.where(~decontam.leaked_column(bench)).collect()
     assert sorted(r.doc_id for r in kept) == [1, 2, 5]
+
+
+def test_short_items_equal_brute_force(spark):
+    """Verbatim items of 1 to 8 words are found inside longer texts, as by brute force."""
+    vocab = [f"w{k}x" for k in range(60)]
+    items = [(n, " ".join(vocab[n * (n - 1) // 2 : n * (n + 1) // 2])) for n in range(1, 9)] + [(9, "w0x w2x"), (10, " ".join(vocab[40:52]))]
+    docs = [(i, f"lead in {'pad ' * (7 * i)}{t} and more follows {'end ' * i}") for i, t in items]
+    docs += [(20, "w1x pad w5x pad w9x"), (21, "w28x w29x w30x pad w31x w32x"), (22, "w2x w1x"), (23, "w10x w11x w12x w13x")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()}
+    assert {(i, i) for i, _ in items} <= got
+    assert {h for h in got if h[1] != 1} == {h for h in brute(docs, items) if h[1] != 1}
+    assert {d for d, i in got if i == 1} == {1, 9}  # a one-word item is its own answer
+    kept = {r.doc_id for r in df.where(~decontam.leaked_column(bench)).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _ in got} and 21 in kept
