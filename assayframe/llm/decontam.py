@@ -77,10 +77,36 @@ class Index:
     answer: list[tuple[int, np.ndarray]]
 
 
-def build(ids: list[int], texts: list[str]) -> Index:
-    """The index of all items with words; an item is ordered beside those of its length."""
-    raw, offs = text_buffer(pa.array(texts, pa.large_string()))
-    h, bounds = term_spans(raw, offs)
+@dataclass
+class Totals:
+    """Figures of the whole test set: items by term, items, mean and greatest length in words."""
+
+    terms: np.ndarray
+    df: np.ndarray
+    n: int
+    mean: float
+    longest: int
+
+
+def totals(slices: list[tuple[list[int], np.ndarray, np.ndarray]]) -> Totals:
+    """Totals over the items with words of all slices (ids, word hashes, bounds)."""
+    sizes = np.concatenate([np.diff(bounds) for _, _, bounds in slices])
+    sizes = sizes[sizes > 0]
+    terms, df = np.zeros(0, U), np.zeros(0, np.int64)
+    for _, h, bounds in slices:
+        item = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        order = np.lexsort((item, h))
+        t, i = h[order], item[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (i[1:] != i[:-1])
+        mine, count = np.unique(t[new], return_counts=True)
+        terms, at = np.unique(np.concatenate((terms, mine)), return_inverse=True)
+        df = np.bincount(at, np.concatenate((df, count)), len(terms)).astype(np.int64)
+    return Totals(terms, df, len(sizes), float(sizes.mean()) if len(sizes) else 1.0, int(sizes.max(initial=0)))
+
+
+def build(ids: list[int], h: np.ndarray, bounds: np.ndarray, whole: Totals) -> Index:
+    """The index of a slice's items with words, weighed by the whole test set; an item is ordered beside those of its length."""
     sizes = np.diff(bounds)
     order = np.argsort(sizes, kind="stable")
     order = order[sizes[order] > 0]
@@ -91,10 +117,10 @@ def build(ids: list[int], texts: list[str]) -> Index:
     key = item * max(1, t) + np.searchsorted(terms, np.concatenate(seqs) if seqs else terms)
     keys, tf = np.unique(key, return_counts=True)
     item, term = keys // max(1, t), keys % max(1, t)
-    df = np.bincount(term, minlength=t)
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    df = whole.df[np.searchsorted(whole.terms, terms)]
+    idf = np.log(1 + (whole.n - df + 0.5) / (df + 0.5))
     length = np.array([len(s) for s in seqs], float)
-    norm = K1 * (1 - B + B * length / max(1.0, length.mean() if n else 1.0))
+    norm = K1 * (1 - B + B * length / max(1.0, whole.mean))
     impact = idf[term] * tf * (K1 + 1) / (tf + norm[item]) if n else np.zeros(0)
     impact = impact / np.bincount(item, impact, n)[item]
     block_key = (item // BLOCK) * max(1, t) + term
@@ -191,15 +217,15 @@ def indexes(benchmark: DataFrame) -> list[tuple[Index, int]]:
     """The items' indexes, each with its window step.
 
     The test set is what is broadcast: it is read in slices of SLICE_ITEMS
-    items, one index each.  Null or wordless items and null ids match nothing.
+    items, one index each; term weights and the step are those of all items, so
+    slices do not change a score.  Null or wordless items and null ids match nothing.
     """
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator()
-    out, ids, texts = [], [], []
+    slices, ids, texts = [], [], []
 
     def close():
         raw, offs = text_buffer(pa.array(texts, pa.large_string()))
-        _, bounds = term_spans(raw, offs)
-        out.append((build(ids, texts), max(32, int(np.diff(bounds).max()))))
+        slices.append((ids, *term_spans(raw, offs)))
 
     for r in items:
         ids.append(r["item_id"])
@@ -209,7 +235,10 @@ def indexes(benchmark: DataFrame) -> list[tuple[Index, int]]:
             ids, texts = [], []
     if ids:
         close()
-    return out
+    if not slices:
+        return []
+    whole = totals(slices)
+    return [(build(*s, whole), max(32, whole.longest)) for s in slices]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -79,3 +79,19 @@ def test_short_items_equal_brute_force(spark):
     assert {d for d, i in got if i == 1} == {1, 9}  # a one-word item is its own answer
     kept = {r.doc_id for r in df.where(~decontam.leaked_column(bench)).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in got} and 21 in kept
+
+
+def test_slices_do_not_change_scores(spark, sf, monkeypatch):
+    """An index in slices gives the rows of one index, edited passages included."""
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for i, t in items:
+        w = t.split()
+        docs += [(10_000 + 100 * i + k, " ".join(x for j, x in enumerate(w) if j % k)) for k in (3, 4, 5, 6, 8)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = lambda: sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in decontam.leaks(df, bench).collect())
+    whole = found()
+    monkeypatch.setattr(decontam, "SLICE_ITEMS", max(2, len(items) // 7))
+    assert len(decontam.indexes(bench)) > 3
+    assert whole and found() == whole
