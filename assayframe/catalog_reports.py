@@ -100,10 +100,7 @@ def minority_oversample(spark: SparkSession, d: str) -> DataFrame:
 @query("fold_scores")
 def fold_scores(spark: SparkSession, d: str) -> DataFrame:
     """Fold metrics of the five estimators with their defaults on ten features."""
-    data = training(spark, d)
-    small = {"n_estimators": 10, "max_depth": 4}
-    units = [(i, e, small if "n_estimators" in registry.DEFAULTS[e] else {}, list(range(10))) for i, e in enumerate(registry.NAMES) if e != "svr" or len(data.y) <= 1000]
-    return search.evaluate(spark, data, units)
+    return search.evaluate(spark, training(spark, d), [(i, e, {}, list(range(10))) for i, e in enumerate(registry.NAMES)])
 
 
 @query("plot_sfs_data")

@@ -238,3 +238,28 @@ def test_oversample_balances(spark):
     assert out.count() == 33 + 33 and len(made) == 26
     few = np.array([r[2] for r in rows[:7]])
     assert (made >= few.min(0) - 1e-9).all() and (made <= few.max(0) + 1e-9).all()
+
+
+def test_fold_scores_runs_every_estimator_at_every_size(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from assayframe import catalog_reports
+    from assayframe.operators import registry
+
+    for n in (100, 1001, 50_000):
+        monkeypatch.setattr(catalog_reports, "training", lambda *_: SimpleNamespace(y=np.zeros(n)))
+        monkeypatch.setattr(catalog_reports.search, "evaluate", lambda _, data, units: units)
+        assert [(e, p) for _, e, p, _ in catalog_reports.fold_scores(spark, "")] == [(e, {}) for e in registry.NAMES]
+
+
+def test_svr_does_not_depend_on_held_rows(monkeypatch):
+    from assayframe.kernels import linear
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3))
+    y = x[:, 0] - x[:, 1] ** 2
+    for kernel in ("rbf", "linear", "poly"):
+        a = linear.SVR(kernel=kernel).fit(x, y).predict(x)
+        with monkeypatch.context() as m:
+            m.setattr(linear, "KERNEL_VALUES", 300)
+            assert np.allclose(linear.SVR(kernel=kernel).fit(x, y).predict(x), a, atol=1e-6)
