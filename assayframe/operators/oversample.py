@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 def oversample(df: DataFrame, key: str, features: str, label: str, minority: int, k: int = 3, seed: int = 42, block: int = 2048) -> DataFrame:
     """Rows (features, synthetic) with the minority raised to the majority's count.
 
-    Minority rows are dealt into blocks by hash; neighbours are sought inside a
-    block, so a task holds one block.  Each row makes its share of new points
-    at seeded places on the lines to its neighbours.
+    Minority rows are dealt into blocks by hash.  Every block meets every other
+    and passes on each row's k nearest in it, ties to the smaller (block,
+    place), so a task holds two blocks and the neighbours are those of the
+    whole minority.  Each row makes its share of new points at seeded places
+    on the lines to its neighbours.
     """
     n = df.groupBy((F.col(label) == minority).alias("m")).count().collect()
     size = {r["m"]: r["count"] for r in n}
@@ -26,18 +28,46 @@ def oversample(df: DataFrame, key: str, features: str, label: str, minority: int
     small = df.where(F.col(label) == minority).select(key, F.col(features).alias("x"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
     small = small.withColumn("place", F.row_number().over(w))
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["x"]).astype(float)
-        rng = np.random.default_rng(seed + int(pdf["b"].iloc[0]))
-        mine = -(-extra * len(x) // few)
+    small = small.select("x", "b", "place")
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asks = small.withColumn("g", others)
+    gives = small.withColumnRenamed("b", "g").withColumn("b", others)
+
+    def near(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(c):
+            return pd.DataFrame({"b": [], "place": [], "tb": [], "tplace": [], "d": []})
+        c = c.sort_values("place")
+        x, at = np.stack(c["x"]).astype(float), c["place"].to_numpy()
+        b, g = int(a["b"].iloc[0]), int(c["g"].iloc[0])
         out = []
-        for i, p in enumerate(pdf["place"]):
-            d = ((x - x[i]) ** 2).sum(1)
-            near = np.argsort(d, kind="stable")[1 : k + 1]
-            for _ in range(share + (p <= mine)):
-                j = near[rng.integers(len(near))] if len(near) else i
-                out.append((x[i] + rng.random() * (x[j] - x[i])).tolist())
-        return pd.DataFrame({"features": out, "synthetic": True})
-
-    made = small.groupBy("b").applyInPandas(make, "features array<double>, synthetic boolean")
+        for p, v in zip(a["place"], a["x"]):
+            d = ((x - np.asarray(v, float)) ** 2).sum(1)
+            if b == g:
+                d[at == p] = np.inf
+            top = np.argsort(d, kind="stable")[: min(k, len(d) - (b == g))]
+            out.append(pd.DataFrame({"b": b, "place": p, "tb": g, "tplace": at[top], "d": d[top]}))
+        return pd.concat(out)
+
+    met = asks.groupBy("b", "g").cogroup(gives.groupBy("b", "g")).applyInPandas(near, "b int, place int, tb int, tplace int, d double")
+    rank = F.row_number().over(Window.partitionBy("b", "place").orderBy("d", "tb", "tplace"))
+    top = met.withColumn("r", rank).where(F.col("r") <= k)
+    ends = small.select(F.col("b").alias("tb"), F.col("place").alias("tplace"), F.col("x").alias("tx"))
+    ties = top.join(ends, ["tb", "tplace"]).groupBy("b", "place").agg(F.array_sort(F.collect_list(F.struct("r", "tx"))).alias("near"))
+    quota, before = {}, 0  # rows of each block that make one point more: ``extra`` in all
+    for r in small.groupBy("b").count().orderBy("b").collect():
+        quota[r["b"]] = (before + r["count"]) * extra // few - before * extra // few
+        before += r["count"]
+
+    def make(batches):
+        for pdf in batches:
+            out = []
+            for b, p, x, near in zip(pdf["b"], pdf["place"], pdf["x"], pdf["near"]):
+                rng = np.random.default_rng([seed, b, p])
+                x = np.asarray(x, float)
+                for _ in range(share + (p <= quota[b])):
+                    to = np.asarray(near[rng.integers(len(near))]["tx"], float)
+                    out.append((x + rng.random() * (to - x)).tolist())
+            yield pd.DataFrame({"features": out, "synthetic": True})
+
+    made = small.join(ties, ["b", "place"]).mapInPandas(make, "features array<double>, synthetic boolean")
     return real.unionByName(made)

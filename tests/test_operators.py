@@ -263,3 +263,17 @@ def test_svr_does_not_depend_on_held_rows(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(linear, "KERNEL_VALUES", 300)
             assert np.allclose(linear.SVR(kernel=kernel).fit(x, y).predict(x), a, atol=1e-6)
+
+
+def test_oversample_neighbours_of_all_blocks(spark):
+    """New points lie between true near neighbours, however many blocks there are."""
+    from assayframe.operators.oversample import oversample
+
+    at = [10.0 * (i // 4) + 0.1 * (i % 4) for i in range(40)]  # ten groups of four: a row's three nearest are its group
+    rows = [(i, 1, [at[i], 0.0]) for i in range(40)] + [(100 + i, 0, [0.0, 5.0]) for i in range(130)]
+    df = spark.createDataFrame(rows, "id long, y int, x array<double>")
+    out = oversample(df, "id", "x", "y", 1, block=6)
+    made = np.array([r.features for r in out.where("synthetic").collect()])
+    assert len(made) == 90
+    assert all(min(v % 10, 10 - v % 10) <= 0.3 + 1e-9 for v in made[:, 0])
+    assert sorted(map(tuple, made)) == sorted(tuple(r.features) for r in oversample(df, "id", "x", "y", 1, block=6).where("synthetic").collect())
