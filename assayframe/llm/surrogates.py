@@ -8,7 +8,10 @@ of one entity agree in all documents, however they are written.
 
 A collision check keeps different entities apart: where two of a kind would
 get the same surrogate, or one would get the normal form of a real entity,
-all but the first move to their next draw until nothing collides.
+all but the first move to their next draw until nothing collides.  From draw
+WIDEN on a surrogate may outgrow its format, more with every WIDEN draws: names
+gain syllables, addresses of mail letters, numbers of 6 to 9 digits more digits,
+and octets any width.  Account numbers, IBANs and secrets have room enough.
 """
 from __future__ import annotations
 
@@ -20,7 +23,10 @@ from pyspark.sql import functions as F
 from . import common
 
 KEY = "assayframe"
-MAX_DRAWS = 12
+#: draws in an entity's own format; later ones widen it, a syllable or a sign every WIDEN draws
+WIDEN = 4
+#: rounds in a row that settle no entity before a space counts as full
+STUCK = 64
 
 # Honorifics by gender, and syllables and endings of names.
 MALE = ["Mr", "Sir", "Herr", "Señor", "Monsieur", "Господин", "Κύριος"]
@@ -120,12 +126,19 @@ def email(e: Column, h: Column) -> Column:
     return each_char(e, lambda c, i: F.when(i > F.length(e) - keep, c).otherwise(letters(c, byte(h, i))))
 
 
-def octets(e: Column, h: Column) -> Column:
+def wider(e: Column, h: Column, attempt: Column, pool: str) -> Column:
+    """Signs that a late draw adds: none before draw WIDEN, then one more every WIDEN draws."""
+    n = (attempt / WIDEN).cast("int")
+    signs = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: pick(pool, byte(h, 40 + i))), "")
+    return F.when(n > 0, signs).otherwise("")
+
+
+def octets(e: Column, h: Column, attempt: Column) -> Column:
     parts = F.split(e, r"\.")
 
     def one(o: Column, i: Column) -> Column:
         b = 256 * byte(h, 2 * i) + byte(h, 2 * i + 1)
-        return F.when(F.length(o) == 1, b % 10).when(F.length(o) == 2, 10 + b % 90).otherwise(100 + b % 156).cast("string")
+        return F.when(attempt >= WIDEN, b % 256).when(F.length(o) == 1, b % 10).when(F.length(o) == 2, 10 + b % 90).otherwise(100 + b % 156).cast("string")
 
     return F.array_join(F.transform(parts, one), ".")
 
@@ -176,10 +189,12 @@ def name_units(e: Column) -> Column:
     return F.transform(words, unit)
 
 
-def name_part(token: Column, kind: Column, h: Column) -> Column:
+def name_part(token: Column, kind: Column, h: Column, attempt: Column) -> Column:
     cases = F.lit("")
     for script, syllables in SYLLABLES.items():
         stem = F.concat(*[F.element_at(F.array(*map(F.lit, syllables)), byte(h, F.lit(i)) % len(syllables) + 1) for i in range(3)])
+        more = F.transform(F.sequence(F.lit(1), (attempt / WIDEN).cast("int")), lambda i: F.element_at(F.array(*map(F.lit, syllables)), byte(h, 3 + i) % len(syllables) + 1))  # noqa: B023
+        stem = F.when(attempt >= WIDEN, F.concat(stem, F.array_join(more, ""))).otherwise(stem)
         for part in ("m", "f", "n", "last"):
             end = F.element_at(F.array(*map(F.lit, ENDINGS[script, part])), byte(h, F.lit(3)) % 4 + 1)
             cases = F.when(kind == f"name:{script}:{part}", F.concat(stem, end)).otherwise(cases)
@@ -187,10 +202,12 @@ def name_part(token: Column, kind: Column, h: Column) -> Column:
     return F.when((token == F.upper(token)) & (F.length(token) > 1), F.upper(new)).otherwise(new)
 
 
-def surrogate(text: Column, kind: Column, h: Column) -> Column:
-    """The replacement of one unit under its draw ``h``."""
-    made = {"keep": lambda e, _: e, "email": email, "ip": octets, "phone": digits, "national": digits, "account": account, "iban": iban, "secret": secret}
-    return reduce(lambda rest, k: F.when(kind == k, made[k](text, h)).otherwise(rest), made, name_part(text, kind, h))
+def surrogate(text: Column, kind: Column, h: Column, attempt: Column) -> Column:
+    """The replacement of one unit under its draw ``h``, the ``attempt``-th from 0."""
+    mail = lambda e, h: F.concat(wider(e, h, attempt, "abcdefghijklmnopqrstuvwxyz"), email(e, h))
+    number = lambda e, h: F.concat(digits(e, h), wider(e, h, attempt, "0123456789"))
+    made = {"keep": lambda e, _: e, "email": mail, "ip": lambda e, h: octets(e, h, attempt), "phone": number, "national": number, "account": account, "iban": iban, "secret": secret}
+    return reduce(lambda rest, k: F.when(kind == k, made[k](text, h)).otherwise(rest), made, name_part(text, kind, h, attempt))
 
 
 def found(text: Column) -> Column:
@@ -224,18 +241,21 @@ def later_draws(entities: DataFrame, key: str) -> DataFrame:
     """
     state = entities.withColumn("attempt", F.lit(0))
     real = entities.select("kind", F.col("norm").alias("made"), F.lit(True).alias("real"))
-    for _ in range(MAX_DRAWS):
+    left, stuck = None, 0
+    while stuck < STUCK:
         h = draw(F.col("kind"), F.col("norm"), F.col("attempt"), key)
-        made = state.withColumn("h", h).withColumn("made", normal(surrogate(F.col("text"), F.col("kind"), F.col("h")), F.col("kind")))
+        made = state.withColumn("h", h).withColumn("made", normal(surrogate(F.col("text"), F.col("kind"), F.col("h"), F.col("attempt")), F.col("kind")))
         drawn = common.staged(made.drop("h"), "surrogate-draws")
         first = drawn.groupBy("kind", "made").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count("*").alias("n"))
         clash = first.join(real, ["kind", "made"], "left").where("n > 1 or real")
+        moving = clash.agg(F.sum(F.col("n") - F.when(F.col("real"), 0).otherwise(1))).first()[0]
+        if not moving:
+            return drawn.where("attempt > 0").select("kind", "norm", "attempt")
+        left, stuck = moving, stuck + 1 if moving == left else 0
         judged = drawn.join(clash, ["kind", "made"], "left")
         again = F.col("n").isNotNull() & (F.coalesce("real", F.lit(False)) | (F.col("first.norm") != F.col("norm")))
-        if clash.isEmpty():
-            return drawn.where("attempt > 0").select("kind", "norm", "attempt")
         state = judged.select("kind", "norm", "text", (F.col("attempt") + F.when(again, 1).otherwise(0)).alias("attempt"))
-    raise RuntimeError(f"surrogates still collide after {MAX_DRAWS} draws: a kind's space is nearly full")
+    raise RuntimeError(f"{left} surrogates still collide and {STUCK} rounds settled none: a kind's space is full")
 
 
 def replace_entities(docs: DataFrame, key: str = KEY, count: str | None = "n_entities") -> DataFrame:
@@ -245,7 +265,8 @@ def replace_entities(docs: DataFrame, key: str = KEY, count: str | None = "n_ent
     tables give no rows; other columns pass through (one named as ``count``
     gives way to it).  Texts never move: only a
     document with an entity whose first draw collides is joined to its draws.
-    A kind whose space cannot hold its entities apart raises an error.
+    Draws go on
+    until all entities are apart, however many there are.
     """
     marked = with_units(docs)
     occurs = occurrences(with_units(docs.select("doc_id", "text")))
@@ -260,8 +281,8 @@ def replace_entities(docs: DataFrame, key: str = KEY, count: str | None = "n_ent
     else:
         attempt = lambda u: F.lit(0)
 
-    drawn = lambda u: F.struct(u.text.alias("text"), u.kind.alias("kind"), u.glue.alias("glue"), draw(u.kind, u.norm, attempt(u), key).alias("h"))
-    new = F.transform(F.transform("__units", lambda us: F.transform(us, drawn)), lambda us: F.array_join(F.transform(us, lambda u: F.concat(surrogate(u.text, u.kind, u.h), u.glue)), ""))
+    drawn = lambda u: F.struct(u.text.alias("text"), u.kind.alias("kind"), u.glue.alias("glue"), attempt(u).alias("attempt"), draw(u.kind, u.norm, attempt(u), key).alias("h"))
+    new = F.transform(F.transform("__units", lambda us: F.transform(us, drawn)), lambda us: F.array_join(F.transform(us, lambda u: F.concat(surrogate(u.text, u.kind, u.h, u.attempt), u.glue)), ""))
     woven = F.zip_with(F.split("text", ANY, -1), new, lambda s, r: F.concat(s, F.coalesce(r, F.lit(""))))
     text = F.when(F.size("__units") > 0, F.array_join(woven, "")).otherwise(F.col("text"))
     order = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns if c != count]

@@ -68,3 +68,16 @@ def test_native_plan(spark, sf):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_more_entities_than_a_format_holds(spark):
+    """Ten-thousands of names and of one-digit quads: more than their first formats can keep apart."""
+    from itertools import product
+
+    words = ["".join(w) for w in product("abcdefghijklmnopqrstuvwxyz", repeat=3)][:15_000]
+    rows = [(i, f"Mr Zz{w}k Qq{w}x and Mr Zz{w}q Qq{w}z and Mr Zz{w}j Qq{w}j and Mr Zz{w}w Qq{w}w from {i // 1000 % 10}.{i // 100 % 10}.{i // 10 % 10}.{i % 10} up", "en") for i, w in enumerate(words)]
+    text = [r.text for r in run(spark, rows)]
+    names = [n for t in text for n in re.findall(r"Mr (\w+) (\w+)", t)]
+    assert len(names) == 60_000 == len({a for a, _ in names}) == len({b for _, b in names})
+    quads = [re.search(r"from (\S+) up", t)[1] for t in text]
+    assert len(set(quads)) == 10_000 and not set(quads) & {re.search(r"from (\S+) up", r[1])[1] for r in rows}
