@@ -45,7 +45,10 @@ ENDINGS = {
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 HONORIFIC = "(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.?"
-NAME = r"\p{Lu}[\p{L}'’-]++"
+NAME = r"(?:[dl]['’])?\p{Lu}[\p{L}'’-]++"
+INITIAL = r"(?:\p{Lu}\.-?)++\p{Lu}?(?!\p{L})|\p{Lu}(?![\p{L}'’-])"
+PARTICLE = "(?:de|da|do|dos|das|du|di|del|della|degli|der|den|des|van|von|vom|zu|zum|zur|la|le|las|los|el|al|bin|ibn|bint|ben|ter|ten|af|av)"
+PART = rf"(?:{PARTICLE} )*(?:{NAME}|{INITIAL})"
 PATTERNS = {
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)++[\p{L}\p{N}-]*\p{L}[\p{L}\p{N}-]*+",
@@ -54,7 +57,7 @@ PATTERNS = {
     "national": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "account": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}}){HONORIFIC} {NAME}(?: {NAME})?",
+    "name": rf"(?<!\p{{L}}){HONORIFIC} {PART}(?: {PART})*",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = r"[0-9@]|" + HONORIFIC
@@ -172,10 +175,23 @@ def script_of(token: Column) -> Column:
     return F.when(token.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(token.rlike(r"\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
 
 
+def initial(e: Column, h: Column) -> Column:
+    """Each letter becomes another of its script; too few to keep apart, so no collision is sought."""
+
+    def other(c: Column, b: Column) -> Column:
+        out = F.when(c.rlike(r"^\p{L}$"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b))
+        for chars, pool in reversed([x for x in LETTERS if x[1] == x[1].upper()]):
+            out = F.when(c.rlike(f"^{chars}$"), F.substr(F.lit(pool), (F.position(c, F.lit(pool)) + b % (len(pool) - 1)) % len(pool) + 1, F.lit(1))).otherwise(out)
+        return F.coalesce(out, c)
+
+    return each_char(e, lambda c, i: other(c, byte(h, i)))
+
+
 def name_units(e: Column) -> Column:
     """The honorific, kept, and the name's parts as units of their own kinds.
 
-    A part's kind is name:<script>:<m, f or n>, or ..:last for a surname.
+    A part's kind is name:<script>:<m, f or n>, or ..:last for a surname;
+    particles are kept, and initials become other letters.
     """
     words = F.split(e, " ")
     head = F.regexp_replace(words[0], r"\.$", "")
@@ -184,7 +200,7 @@ def name_units(e: Column) -> Column:
     def unit(t: Column, i: Column) -> Column:
         last = i == F.size(words) - 1
         kind = F.concat_ws(":", F.lit("name"), script_of(t), F.when(last, F.lit("last")).otherwise(gender))
-        return F.struct(t.alias("text"), F.when(i == 0, F.lit("keep")).otherwise(kind).alias("kind"), F.when(last, F.lit("")).otherwise(F.lit(" ")).alias("glue"))
+        return F.struct(t.alias("text"), F.when((i == 0) | t.rlike(f"^{PARTICLE}$"), F.lit("keep")).when(t.rlike(f"^(?:{INITIAL})$"), F.lit("initial")).otherwise(kind).alias("kind"), F.when(last, F.lit("")).otherwise(F.lit(" ")).alias("glue"))
 
     return F.transform(words, unit)
 
@@ -206,7 +222,7 @@ def surrogate(text: Column, kind: Column, h: Column, attempt: Column) -> Column:
     """The replacement of one unit under its draw ``h``, the ``attempt``-th from 0."""
     mail = lambda e, h: F.concat(wider(e, h, attempt, "abcdefghijklmnopqrstuvwxyz"), email(e, h))
     number = lambda e, h: F.concat(digits(e, h), wider(e, h, attempt, "0123456789"))
-    made = {"keep": lambda e, _: e, "email": mail, "ip": lambda e, h: octets(e, h, attempt), "phone": number, "national": number, "account": account, "iban": iban, "secret": secret}
+    made = {"keep": lambda e, _: e, "initial": initial, "email": mail, "ip": lambda e, h: octets(e, h, attempt), "phone": number, "national": number, "account": account, "iban": iban, "secret": secret}
     return reduce(lambda rest, k: F.when(kind == k, made[k](text, h)).otherwise(rest), made, name_part(text, kind, h, attempt))
 
 
@@ -231,7 +247,7 @@ def with_units(df: DataFrame) -> DataFrame:
 def occurrences(df: DataFrame) -> DataFrame:
     """(doc_id, kind, norm, text) of every unit that is replaced."""
     rows = df.select("doc_id", F.explode(F.flatten("__units")).alias("u"))
-    return rows.select("doc_id", "u.kind", "u.norm", "u.text").where("kind != 'keep'")
+    return rows.select("doc_id", "u.kind", "u.norm", "u.text").where("kind not in ('keep', 'initial')")
 
 
 def later_draws(entities: DataFrame, key: str) -> DataFrame:

@@ -81,3 +81,11 @@ def test_more_entities_than_a_format_holds(spark):
     assert len(names) == 60_000 == len({a for a, _ in names}) == len({b for _, b in names})
     quads = [re.search(r"from (\S+) up", t)[1] for t in text]
     assert len(set(quads)) == 10_000 and not set(quads) & {re.search(r"from (\S+) up", r[1])[1] for r in rows}
+
+
+def test_names_of_many_parts(spark):
+    rows = [(1, "Dr. Maria Garcia Lopez met Mr John F. Kennedy, Frau Anna von der Leyen and Prof. J.R.R. Tolkien; Mr. d'Artagnan left. Dr Lopez stayed.", "en")]
+    text = run(spark, rows)[0].text
+    assert not re.search("Maria|Garcia|Lopez|John|F[.]|Kennedy|Anna|Leyen|J[.]R|Tolkien|Artagnan", text)
+    first, second, last = re.search(r"Dr\. (\w+) (\w+) (\w+) met", text).groups()
+    assert f"Dr {last} stayed." in text and re.search(r"Mr \w+ [A-Z]\. \w+, Frau \w+ von der \w+ and Prof\. [A-Z]\.[A-Z]\.[A-Z]\. \w+; Mr\. \w+ left", text)
