@@ -9,6 +9,7 @@ buffer.  A second stream beside it holds each document's place.
 """
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ END_ID = 2
 SEQ_LEN = 2048
 BATCH_SEQS = 64
 GROUP_BYTES = 10 << 20
+#: UTF-8 bytes of text a shard file: files and tasks keep this size however large the table
+SHARD_BYTES = 64 << 20
 JOINED = 4000
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -36,7 +40,9 @@ class WordEncoder:
 
     A byte-level BPE of this family never joins text across a single space
     between two non-space characters, so such segments are encoded apart, each
-    distinct one once.  Texts with white space beyond ASCII are encoded whole.
+    distinct one once.  Texts with white space beyond ASCII or with the string
+    of an added token (which the library turns into that token's id) are
+    encoded whole, and so are all texts under a tokenizer of another make.
     """
 
     def __init__(self, path: str):
@@ -44,8 +50,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
+        made = json.loads(self.tokenizer.to_str())
+        before = made["pre_tokenizer"] or {}
+        self.by_words = made["normalizer"] is None and made["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # a byte-level vocabulary writes each byte of a token as one character
         self.lengths = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)], np.int64)
 
@@ -93,7 +102,9 @@ class WordEncoder:
         """(ids of all texts, ids per text)."""
         raw, offs = text_buffer(column)
         n_docs = len(offs) - 1
-        odd = self.odd_space(raw, offs)
+        odd = self.odd_space(raw, offs) | (not self.by_words)
+        for token in self.added:
+            odd |= pc.match_substring(column, token).fill_null(False).to_numpy(zero_copy_only=False)
         counts = np.zeros(n_docs, np.int64)
         space = SPACE[raw]
         cut = np.zeros(len(raw) + 1, bool)
@@ -119,7 +130,7 @@ class WordEncoder:
             counts += np.bincount(doc, sizes[which], n_docs).astype(np.int64)
         if odd.any():
             whole = np.flatnonzero(odd)
-            texts = column.take(pa.array(whole)).to_pylist()
+            texts = [t or "" for t in column.take(pa.array(whole)).to_pylist()]
             apart = {d: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for d, t in zip(whole.tolist(), texts)}
             at = np.concatenate(([0], np.cumsum(counts)))
             ids = np.concatenate([apart.get(d, ids[at[d] : at[d + 1]]) for d in range(n_docs)])
@@ -145,6 +156,12 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system and path of a URI; Hadoop's names of S3 are its own ``s3``."""
+    kind, colon, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"s3{colon}{rest}" if kind in ("s3a", "s3n") else uri)
+
+
 class StreamWriter:
     """Packs ids into fixed-length sequences and writes whole batches."""
 
@@ -186,7 +203,7 @@ class StreamReader:
     """
 
     def __init__(self, uri: str):
-        fs, path = pafs.FileSystem.from_uri(uri)
+        fs, path = filesystem(uri)
         source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
         with pa.ipc.open_stream(source) as stream:
             self.batches = list(stream)
@@ -218,16 +235,21 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
     Rows: part, uri, n_docs, n_ids.  A task writes to names of its own and
     only the files of tasks that succeeded are listed, so retries and lost
-    executors leave no half-written shard in the result.  Null or empty text
-    gives the end id alone; null ids come first; repeated ids keep text order.
+    executors leave no half-written shard in the result.  A shard takes about
+    SHARD_BYTES of text, so their number follows the table.  Null or empty text
+    gives the end id alone; null ids come first; rows of one id come by the
+    hash of their text, and an id of very many rows is cut between shards.
     """
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_shards = max(common.parts(docs.sparkSession), -(-size // SHARD_BYTES))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ordered = keyed.repartitionByRange(n_shards, "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row")
     ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out, places = encoder(tokenizer_path), None, None
         dtype = np.uint16 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = filesystem(folder)
         part = n_docs = 0
         uri = ""
         for batch in batches:
@@ -279,7 +301,7 @@ def read_shards(spark: SparkSession, shards: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                fs, path = pafs.FileSystem.from_uri(r["uri"])
+                fs, path = filesystem(r["uri"])
                 with fs.open_input_file(f"{path}.index.arrows") as f, pa.ipc.open_stream(f) as index:
                     places = index.read_all()
                 shard = StreamReader(f"{r['uri']}.arrows")

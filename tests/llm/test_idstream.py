@@ -14,14 +14,13 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
-def expected(library, rows):
+def expected(library, rows, by=lambda text: 0):
+    """Rows of one id in the order of ``by``."""
     start, out = 0, []
-    for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, by(r[1]))):
         ids = np.array(library.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
         out.append((d, start, len(ids), zlib.crc32(ids)))
         start += len(ids)
@@ -41,7 +40,10 @@ def test_edges(spark, library):
     folder = common.staged_path(spark, "t")
     shards = idstream.write_shards(df, folder, PATH, seq_len=64)
     assert sum(r.n_docs for r in shards.collect()) == len(rows)
-    assert sorted(tuple(r) for r in idstream.read_shards(spark, shards).collect() if r.doc_id) == sorted(r for r in expected(library, rows) if r[0])
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) AS h").collect()}
+    want = expected(library, rows, hashes.__getitem__)
+    assert sorted(map(tuple, idstream.read_shards(spark, shards).where("doc_id is not null").collect())) == sorted(r for r in want if r[0])
+    assert library.encode("now <|endoftext|> x", add_special_tokens=False).ids[2] == 50256
     for r in shards.collect():
         reader = idstream.StreamReader(r.uri + ".arrows")
         whole = reader.ids(0, r.n_ids)
@@ -58,3 +60,10 @@ def test_encoder_equals_library_on_odd_space(library):
     for t, n in zip(texts, counts.tolist()):
         assert ids[at : at + n].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
         at += n
+
+
+def test_shards_follow_bytes(spark, monkeypatch):
+    monkeypatch.setattr(idstream, "SHARD_BYTES", 1000)
+    df = spark.range(200).selectExpr("0L AS doc_id", "repeat('same words ', 10) AS text")
+    shards = idstream.write_shards(df, common.staged_path(spark, "t"), PATH).collect()
+    assert len(shards) == 22 and max(r.n_docs for r in shards) < 60  # one id in all rows is dealt over all shards
