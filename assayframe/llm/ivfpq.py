@@ -2,13 +2,16 @@
 
 Coarse centroids split the vectors into lists; the residual to the centroid is
 product-quantised.  A query visits the lists whose centroids have the largest
-inner product with it, ranks their members by an asymmetric distance table
-(one row of 256 partial products for each part of the vector) and reranks the
-best of them exactly, in double precision, on the original vectors.
+inner product with it and ranks their members by an asymmetric distance table
+(one row of 256 partial products for each part of the vector).  Its best over
+all lists form one shortlist, and only they are ranked again by the exact
+product, in double precision, on the original vectors.
 
-Every vector is indexed.  A list of more than ``block`` members is dealt over
+Every vector is indexed.  The cells in which lists meet queries hold codes of
+a few bytes, not vectors.  A list of more than ``block`` members is dealt over
 several cells, so no task holds an unbounded group, and the queries that visit
-a list are dealt in blocks in the same way.
+a list are dealt in blocks in the same way.  A cell passes on only members
+above the query's bar, which the fitted sample sets.
 """
 from __future__ import annotations
 
@@ -25,6 +28,8 @@ SAMPLE_ROWS = 20_000
 MAX_LISTS = 2048
 BLOCK = 4096
 QUERY_BLOCK = 1024
+#: members of all visited lists that a query ranks exactly
+RERANK = 150
 
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -94,33 +99,54 @@ def tuned_probes(index: Index, sample: np.ndarray, k: int, target: float, n_quer
     return int(np.quantile(np.concatenate(hits), target)) + 1
 
 
+def bars(index: Index, codes: tuple[np.ndarray, np.ndarray], q: np.ndarray, rank: int) -> np.ndarray:
+    """Each query's ``rank``-th best asymmetric score among coded sample vectors."""
+    at, code = codes
+    tables, base = index.tables(q), q @ index.centers.T
+    out = np.empty(len(q), np.float32)
+    for i in range(len(q)):
+        score = base[i][at]
+        for m in range(code.shape[1]):
+            score = score + tables[i, m][code[:, m]]
+        out[i] = np.partition(score, -rank)[-rank]
+    return out
+
+
 def valid_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(vec_id, vec) without null, zero or non-finite vectors, of one length.
 
     The length is the table's most frequent one (the smaller at a tie).
+    Vectors of floats stay floats; others become doubles.
     """
     v = F.col(vector)
     ok = v.isNotNull() & F.col(key).isNotNull() & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
-    good = df.where(ok).select(F.col(key).cast("long").alias("vec_id"), v.cast("array<double>").alias("vec"))
+    kind = df.schema[vector].dataType.simpleString()
+    good = df.where(ok).select(F.col(key).cast("long").alias("vec_id"), (v if kind == "array<float>" else v.cast("array<double>")).alias("vec"))
     sizes = good.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     return good.where(F.size("vec") == (sizes[0]["d"] if sizes else -1))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float32)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float = 0.97, rerank: int = 200, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float = 0.97, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The ``k`` rows nearest to each query by inner product: query_id, rank, vec_id, score.
 
     ``vectors`` and ``queries`` have (vec_id, vec).  Rows of the query's own
     vec_id take no part.  A query visits at least 8 lists, as many as find the
     ``target`` share of neighbours within the sample, and lists of at least
-    10 k members together.  Codebooks and the number of lists to visit are
-    fitted on about ``sample_rows`` vectors, chosen by hash.  A cell of a list
-    reranks its best ``rerank`` members.  Repeated vec_ids: each row is found
-    for itself; as a query the least vector of the vec_id stands.
+    10 k members together; the best ``rerank`` of all their members are ranked
+    exactly.  Codebooks, the number of lists to visit and the bars are fitted
+    on about ``sample_rows`` vectors, chosen by hash.  A bar stands where the
+    sample lets expect 2 ``rerank`` members above it, or at its tenth best if
+    that is lower; queries that find fewer than ``k`` above it (clustered or
+    repeated vectors) search again without one.
+
+    Repeated vec_ids: each row is found for itself; as a query the least
+    vector of the vec_id stands.  Ties go to the smaller vec_id.  An empty
+    table on either side gives no rows; columns beside the two are ignored.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -128,39 +154,46 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
     if not n:
         return empty
     part = F.pmod(F.xxhash64(F.lit(17), "vec_id"), F.lit(1_000_000))
-    picked = vectors.where(part < min(1_000_000, -(-1_000_000 * sample_rows // n))).select("vec_id", "vec").toArrow()
+    picked = vectors.where(part < min(1_000_000, -(-1_000_000 * sample_rows // n))).select("vec_id", "vec").limit(2 * sample_rows).toArrow()
     if not len(picked):
         picked = vectors.limit(sample_rows).toArrow()
-    picked = picked.take(pa.array(np.argsort(picked.column("vec_id").to_numpy(), kind="stable")))
-    index = train(matrix(picked.column("vec")).astype(np.float32), int(np.clip(n**0.5, 1, MAX_LISTS)))
+    picked = matrix(picked.take(pa.array(np.argsort(picked.column("vec_id").to_numpy(), kind="stable"))).column("vec"))
+    index = train(picked, int(np.clip(n**0.5, 1, MAX_LISTS)))
     n_lists = len(index.centers)
-    n_probe = max(8, tuned_probes(index, matrix(picked.column("vec")).astype(np.float32), k, target))
+    n_probe = max(8, tuned_probes(index, picked, k, target))
+    rank = max(10, -(-2 * rerank * len(picked) // n))
+    sample = index.encode(picked) if rank < len(picked) else None  # a small table needs no bar
 
     def assign(batches):
         for b in batches:
-            x = matrix(b.column(1))
-            at, codes = index.encode(x.astype(np.float32))
+            at, codes = index.encode(matrix(b.column(2)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())],
-                names=["vec_id", "vec", "list", "codes"],
+                [*b.columns, pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())],
+                names=["row", "vec_id", "vec", "list", "codes"],
             )
 
-    indexed = common.staged(vectors.select("vec_id", "vec").mapInArrow(assign, "vec_id long, vec array<double>, list int, codes binary"), "ivf-index")
+    kind = vectors.schema["vec"].dataType.simpleString()
+    numbered = vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vec")
+    indexed = common.staged(numbered.mapInArrow(assign, f"row long, vec_id long, vec {kind}, list int, codes binary"), "ivf-index")
     sizes = np.zeros(n_lists, np.int64)
     for r in indexed.groupBy("list").count().collect():  # one row a list
         sizes[r["list"]] = r["count"]
 
     def visit(batches):
         for b in batches:
-            q = matrix(b.column(1)).astype(np.float32)
-            order = np.argsort(-(q @ index.centers.T), 1, kind="stable")
-            reach = np.cumsum(sizes[order], 1)
-            enough = (reach - sizes[order] < 10 * k + 1) | (np.arange(n_lists) < n_probe)
-            row, col = np.nonzero(enough & (sizes[order] > 0))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(order[row, col].astype(np.int32))], names=["query_id", "q", "list"])
-
-    once = queries.groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    visits = common.staged(once.mapInArrow(visit, "query_id long, q array<double>, list int"), "ivf-visits")
+            for a in range(0, len(b), 512):
+                some = b.slice(a, 512)
+                q = matrix(some.column(1))
+                bar = bars(index, sample, q, rank) if sample else np.full(len(q), -np.inf, np.float32)
+                order = np.argsort(-(q @ index.centers.T), 1, kind="stable")
+                reach = np.cumsum(sizes[order], 1)
+                enough = (reach - sizes[order] < 10 * k + 1) | (np.arange(n_lists) < n_probe)
+                row, col = np.nonzero(enough & (sizes[order] > 0))
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(at), pa.array(q.tolist(), pa.list_(pa.float32())).take(at), pa.array(bar[row]), pa.array(order[row, col].astype(np.int32))], names=["query_id", "q", "bar", "list"])
+
+    once = common.staged(queries.groupBy("vec_id").agg(F.min("vec").alias("q")).withColumnRenamed("vec_id", "query_id"), "ivf-queries")
+    visits = common.staged(once.repartition(common.parts(spark), "query_id").mapInArrow(visit, "query_id long, q array<float>, bar float, list int"), "ivf-visits")
     wanted = np.zeros(n_lists, np.int64)
     for r in visits.groupBy("list").count().collect():  # one row a list
         wanted[r["list"]] = r["count"]
@@ -170,48 +203,59 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
     )
     per_list = F.broadcast(per_list)  # at most MAX_LISTS rows
     rows = indexed.join(per_list, "list").select(
-        "list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"), "vec_id", "vec", "codes",
-    )
-    asked = visits.join(per_list, "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("query_block"), "query_id", "q",
+        "list", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"), "row", "vec_id", "codes",
     )
     cell = ["list", "block", "query_block"]
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = {"query_id": [], "vec_id": [], "score": []}
+        found: dict[str, list] = {"query_id": [], "row": [], "vec_id": [], "near": []}
         if len(left) and len(right):
-            left = left.take(pa.array(np.argsort(left.column("vec_id").to_numpy(), kind="stable")))
-            ids, x = left.column("vec_id").to_numpy(), matrix(left.column("vec"))
+            left = left.take(pa.array(np.lexsort((left.column("row").to_numpy(), left.column("vec_id").to_numpy()))))
+            rows, ids = left.column("row").to_numpy(), left.column("vec_id").to_numpy()
             codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
             base = index.centers[left.column("list")[0].as_py()]
-            qids, qs = right.column("query_id").to_numpy(), matrix(right.column("q"))
+            qids, qs, bar = right.column("query_id").to_numpy(), matrix(right.column("q")), right.column("bar").to_numpy()
             for a in range(0, len(qids), 64):
-                q = qs[a : a + 64].astype(np.float32)
+                q = qs[a : a + 64]
                 tables = index.tables(q)
                 near = np.repeat((q @ base)[:, None], len(ids), 1)
                 for m in range(codes.shape[1]):
                     near += tables[:, m, :][:, codes[:, m]]
                 for i, row in enumerate(near):
-                    if len(row) > rerank + 1:
-                        bar = np.partition(row, -rerank - 1)[-rerank - 1]
-                        best = np.flatnonzero(row > bar)
-                        best = np.concatenate((best, np.flatnonzero(row == bar)[: rerank + 1 - len(best)]))
-                    else:
-                        best = np.arange(len(row))
-                    best = best[ids[best] != qids[a + i]]
-                    score = (x[best] * qs[a + i]).sum(1)
-                    top = np.lexsort((ids[best], -score))[:k]
-                    found["query_id"].append(np.full(len(top), qids[a + i]))
-                    found["vec_id"].append(ids[best[top]])
-                    found["score"].append(score[top])
-        kinds = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
+                    best = np.flatnonzero((row >= bar[a + i]) & (ids != qids[a + i]))
+                    if len(best) > rerank:  # of equal scores the smaller vec_ids stay
+                        least = np.partition(row[best], -rerank)[-rerank]
+                        above, level = best[row[best] > least], best[row[best] == least]
+                        best = np.concatenate((above, level[: rerank - len(above)]))
+                    found["query_id"].append(np.full(len(best), qids[a + i]))
+                    found["row"].append(rows[best])
+                    found["vec_id"].append(ids[best])
+                    found["near"].append(row[best])
+        kinds = {"query_id": np.int64, "row": np.int64, "vec_id": np.int64, "near": np.float32}
         return pa.table({c: np.concatenate(v).astype(kinds[c]) if v else np.zeros(0, kinds[c]) for c, v in found.items()})
 
-    hits = rows.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(scan, "query_id long, vec_id long, score double")
+    def shortlist(asking: DataFrame) -> DataFrame:
+        """(query_id, row): the best of each query over all its lists by asymmetric score."""
+        asked = asking.join(per_list, "list").select(
+            "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+            F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("query_block"), "query_id", "q", "bar",
+        )
+        hits = rows.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(scan, "query_id long, row long, vec_id long, near float")
+        w = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id", "row")
+        return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rerank).select("query_id", "row")
+
+    short = common.staged(shortlist(visits), "ivf-shortlist")
+    if sample:
+        poor = once.join(short.groupBy("query_id").agg(F.count("*").alias("c")), "query_id", "left").where(F.coalesce("c", F.lit(0)) < k).select("query_id")
+        poor = common.staged(poor, "ivf-poor")
+        if not poor.isEmpty():
+            again = shortlist(visits.join(poor, "query_id", "left_semi").withColumn("bar", F.lit(float("-inf")).cast("float")))
+            short = common.staged(short.join(poor, "query_id", "left_anti").unionByName(again), "ivf-shortlist")
+    product = F.aggregate(F.zip_with("q", "vec", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
+    exact = short.join(once, "query_id").join(indexed.select("row", "vec_id", "vec"), "row").select("query_id", "vec_id", product.alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = exact.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

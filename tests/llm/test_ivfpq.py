@@ -28,6 +28,22 @@ def test_recall_on_whole_table(spark):
         assert np.allclose(g["score"], s, rtol=0, atol=1e-12)
         assert list(zip(-g["score"], g["vec_id"])) == sorted(zip(-g["score"], g["vec_id"]))
     assert hits / total >= 0.9
+    assert ivfpq.RERANK < 0.1 * len(ids)  # the quantiser chooses what is ranked exactly
+
+
+def test_clustered_vectors_and_extra_columns(spark):
+    """Tight clusters of unequal size: most queries' bars lie above or below their whole cluster."""
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(30, 16)) * 3
+    x = (centers[np.minimum(29, rng.geometric(0.15, 4000) - 1)] + rng.normal(size=(4000, 16)) * 0.3).astype(np.float32)
+    rows = [(i, v.tolist(), 1, "a") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, row int, list string")
+    v = ivfpq.valid_vectors(df, "vec_id", "embedding")
+    assert v.schema["vec"].dataType.simpleString() == "array<float>"
+    got = ivfpq.search(v, v.where("vec_id % 20 = 0"), sample_rows=800).toPandas()
+    ids, x = np.arange(4000), x.astype(float)
+    found = [len(set(exact(ids, x, q)[0]) & set(g["vec_id"])) / 20 for q, g in got.groupby("query_id")]
+    assert len(found) == 200 and np.mean(found) >= 0.9 and got.groupby("query_id").size().eq(20).all()
 
 
 def test_ties_and_invalid(spark):
