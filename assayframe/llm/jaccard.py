@@ -3,12 +3,18 @@
 Two sets whose Jaccard similarity reaches t share a token among the first
 n - ceil(t n) + 1 of each, whatever global order the tokens have.  Candidates
 come from an index of those prefixes under one order (rare tokens first) with
-length and position filters; they must also share prefix tokens under two
-further orders before the full sets are intersected.
+length and position filters.  Only the prefixes under two further orders then
+move, and pairs that share no token in either of them go; the full sets move
+for what is left, and are intersected.
 
 Sets that are equal are one node.  Nodes of one group do not meet in all
-pairs: each first meets the best supported partner of its prefix lists, the
+pairs: each first meets the best supported partner of its prefix lists, then
+one node of each component meets those of the list's largest one, the
 verified links are contracted, and only pairs of different components follow.
+
+No list is held whole: postings of a token that the sketch calls hot are dealt
+over several parts, the components of a list are counted before the shuffle,
+and a list of more than LIST_BLOCK nodes meets itself block by block.
 """
 from __future__ import annotations
 
@@ -16,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -29,10 +35,13 @@ SHINGLE = 5
 #: similarity at least NUM / DEN
 NUM, DEN = 80, 100
 POSTINGS_A_PART = 1_500_000
-#: pairs tried first: partners of a node, then rounds of hubs of each list
+#: partners that a node tries first, and rounds in which components meet the largest of each list
 FIRST_PARTNERS = 2
 HUB_ROUNDS = 1
-HUBS = 2
+#: postings of one token in a part, and nodes of one list that meet in a cell
+HOT_POSTINGS = 100_000
+LIST_BLOCK = 512
+HOT = 1 << 30
 ORDERS = (U(0x632BE59BD9B4E019), U(0x8CB92BA72F3D8DD7), U(0xAC565AD4ED9B4F3B))
 
 
@@ -136,12 +145,16 @@ def sketch(scanned: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def postings(docs: DataFrame, classes: np.ndarray, n_parts: int) -> DataFrame:
+def postings(docs: DataFrame, counts: np.ndarray, n_parts: int) -> DataFrame:
     """Prefix postings under the first order, packed by target part.
 
     A blob holds keys, fingerprints, set sizes and positions, one array after
-    another.  Equal sets of one task are posted once.
+    another.  Equal sets of one task are posted once.  The postings of a token
+    with more than HOT_POSTINGS in the sketch go to several parts by their
+    fingerprints, and HOT is added to their positions.
     """
+    classes, hot = frequency_classes(counts), -(-counts // HOT_POSTINGS)
+    hot = hot.astype(np.int32) if (hot > 1).any() else None
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -149,8 +162,11 @@ def postings(docs: DataFrame, classes: np.ndarray, n_parts: int) -> DataFrame:
             for _, _, raw, offs in chunks(batch.column(0)):
                 flat, bounds = shingle_sets(raw, offs, SHINGLE)
                 fps, n = fingerprint(flat, bounds), np.diff(bounds)
-                keys = order_keys(flat, classes, 0)
+                keys, flat_key = order_keys(flat, classes, 0), flat
                 fresh = np.zeros(len(n), bool)
+                if hot is not None:  # tokens in the order of their keys
+                    order = np.lexsort((keys, np.repeat(np.arange(len(n)), n)))
+                    keys, flat_key = keys[order], flat[order]
                 for d, fp in enumerate(fps.tolist()):
                     if n[d] and fp not in seen:
                         seen.add(fp)
@@ -163,7 +179,12 @@ def postings(docs: DataFrame, classes: np.ndarray, n_parts: int) -> DataFrame:
                 take = ragged(bounds[docs_at], p)
                 key, doc = keys[take], np.repeat(docs_at, p)
                 pos = (take - bounds[doc]).astype(np.int32)
-                part = (key % U(n_parts)).astype(np.int32 if n_parts > 1 << 15 else np.int16)
+                lot = key
+                if hot is not None:
+                    many = hot[(flat_key[take] >> U(64 - SKETCH_BITS)).astype(np.int64)]
+                    lot = key + np.where(many > 1, mix(fps[doc].view(U)) % np.maximum(many, 1).astype(U), U(0))
+                    pos = pos + np.where(many > 1, HOT, 0).astype(np.int32)
+                part = (lot % U(n_parts)).astype(np.int32 if n_parts > 1 << 15 else np.int16)
                 order = np.argsort(part, kind="stable")
                 key, doc, pos, part = key[order], doc[order], pos[order], part[order]
                 cuts = np.concatenate((np.flatnonzero(np.diff(part, prepend=-1)), [len(part)]))
@@ -207,13 +228,14 @@ def runs(packed: DataFrame, n_parts: int) -> DataFrame:
             return
         key, fp, n, pos = unpack(blobs)
         del blobs
+        hot, pos = pos >= HOT, pos & (HOT - 1)
         order = np.lexsort((fp, key))
-        key, fp, n, pos = key[order], fp[order], n[order], pos[order]
+        key, fp, n, pos, hot = key[order], fp[order], n[order], pos[order], hot[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
-        key, fp, n, pos = key[new], fp[new], n[new], pos[new]
+        key, fp, n, pos, hot = key[new], fp[new], n[new], pos[new], hot[new]
         order = np.lexsort((fp, n, pos, key))
-        key, fp, n, pos = key[order], fp[order], n[order], pos[order]
+        key, fp, n, pos, hot = key[order], fp[order], n[order], pos[order], hot[order]
         head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.concatenate((head, [len(key)])))
         many = np.repeat(size > 1, size)
@@ -225,6 +247,7 @@ def runs(packed: DataFrame, n_parts: int) -> DataFrame:
         after[head] = False
         at = np.flatnonzero(after)
         chain = at[may_pair(n[at - 1], pos[at - 1], n[at], pos[at])]
+        many |= hot  # the rest of a hot list is in other parts
         a, b = np.concatenate((a, fp[chain - 1])), np.concatenate((b, fp[chain]))
         for k in range(0, int(many.sum()), 100_000):
             i = np.flatnonzero(many)[k : k + 100_000]
@@ -237,22 +260,51 @@ def runs(packed: DataFrame, n_parts: int) -> DataFrame:
     return packed.repartitionById(n_parts, F.col("part")).mapInArrow(gather, RUN_SCHEMA)
 
 
-def cross_pairs(posted: DataFrame, n_parts: int, hubs: int = 0) -> DataFrame:
-    """Pairs of one list that pass the position filter and lie in different components.
+def can_pair(x: str, y: str) -> Column:
+    """``may_pair`` of two structs of n and pos."""
+    most = F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos")).cast("long")
+    return most * (NUM + DEN) >= NUM * (F.col(f"{x}.n").cast("long") + F.col(f"{y}.n"))
+
+
+def pair_of(x: str, y: str) -> list[Column]:
+    return [F.least(f"{x}.fp", f"{y}.fp").alias("a"), F.greatest(f"{x}.fp", f"{y}.fp").alias("b")]
+
+
+def components_of_lists(placed: DataFrame) -> DataFrame:
+    """(key, comp, size, early, other) of lists: two of each component's nodes, the one earliest in its prefix and one by hash."""
+    early, other = F.struct("pos", "fp", "n"), F.struct(F.xxhash64("fp").alias("h"), "fp", "n", "pos")
+    return placed.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min(early).alias("early"), F.min(other).alias("other"))
+
 
-    With ``hubs`` only those of each component's earliest node with the
-    earliest few of the list's largest component; else all.
+def hub_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs of each component's nodes with those of its list's largest component."""
+    top = lists.groupBy("key").agg(F.max(F.struct("size", "comp", "early", "other")).alias("top"), F.count("*").alias("n_comps")).where("n_comps > 1")
+    met = lists.join(top, "key").where("comp != top.comp")
+    met = met.select(F.explode(F.array(*[F.struct(F.struct("early.fp", "early.n", "early.pos").alias("x"), F.struct(f"top.{y}.fp", f"top.{y}.n", f"top.{y}.pos").alias("y")) for y in ("early", "other")])).alias("p"))
+    return met.where(can_pair("p.x", "p.y")).select(*pair_of("p.x", "p.y")).distinct()
+
+
+def cross_pairs(placed: DataFrame, lists: DataFrame, n_parts: int) -> DataFrame:
+    """All pairs of one list that pass the position filter and lie in different components.
+
+    Lists of a single component are left out before anything is dealt.  A
+    list's blocks meet two at a time, each meeting in a cell of its own.
     """
+    mixed = lists.groupBy("key").agg(F.count("*").alias("n_comps"), F.sum("size").alias("size")).where("n_comps > 1")
+    rows = placed.join(mixed.select("key", F.ceil(F.col("size") / LIST_BLOCK).cast("int").alias("blocks")), "key")
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), "own", "fp", "n", "pos", "comp")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if len(b)]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        key, fp, n, pos, comp = (t.column(c).to_numpy() for c in ("key", "fp", "n", "pos", "comp"))
-        order = np.lexsort((fp, n, key))
-        key, fp, n, pos, comp = key[order], fp[order], n[order], pos[order], comp[order]
-        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        key, x, y, own, fp, n, pos, comp = (t.column(c).to_numpy() for c in ("key", "i", "j", "own", "fp", "n", "pos", "comp"))
+        order = np.lexsort((fp, n, y, x, key))
+        key, x, y, own, fp, n, pos, comp = (v[order] for v in (key, x, y, own, fp, n, pos, comp))
+        head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
         tail = np.concatenate((head[1:], [len(key)]))
         mixed = np.minimum.reduceat(comp, head) != np.maximum.reduceat(comp, head)
         out: list[np.ndarray] = []
@@ -263,24 +315,14 @@ def cross_pairs(posted: DataFrame, n_parts: int, hubs: int = 0) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
         for s, e in zip(head[mixed].tolist(), tail[mixed].tolist()):
-            rn, rp, rc, rf = n[s:e], pos[s:e], comp[s:e], fp[s:e]
-            if hubs:
-                by = np.lexsort((rf, rp, rc))
-                first = np.flatnonzero(np.concatenate(([True], rc[by][1:] != rc[by][:-1])))
-                top = first[np.argmax(np.diff(np.concatenate((first, [len(by)]))))]
-                for i in by[top : top + hubs]:
-                    j = by[first]
-                    j = j[(rc[j] != rc[i]) & (rc[i] == rc[by[top]]) & may_pair(rn[i], rp[i], rn[j], rp[j])]
-                    if len(j):
-                        out.append(np.stack((np.minimum(rf[i], rf[j]), np.maximum(rf[i], rf[j])), 1))
-                        held += len(j)
-                if held > 500_000:
-                    yield flush()
-                    out, held = [], 0
-                continue
+            rn, rp, rc, rf, ro = n[s:e], pos[s:e], comp[s:e], fp[s:e], own[s:e]
+            apart = x[s] != y[s]
             upto = np.searchsorted(rn, rn * DEN // NUM, "right")
             for i, u in enumerate(upto.tolist()):
-                j = np.flatnonzero((rc[i + 1 : u] != rc[i]) & may_pair(rn[i], rp[i], rn[i + 1 : u], rp[i + 1 : u])) + i + 1
+                meets = (rc[i + 1 : u] != rc[i]) & may_pair(rn[i], rp[i], rn[i + 1 : u], rp[i + 1 : u])
+                if apart:
+                    meets &= ro[i + 1 : u] != ro[i]
+                j = np.flatnonzero(meets) + i + 1
                 if len(j):
                     out.append(np.stack((np.minimum(rf[i], rf[j]), np.maximum(rf[i], rf[j])), 1))
                     held += len(j)
@@ -290,7 +332,7 @@ def cross_pairs(posted: DataFrame, n_parts: int, hubs: int = 0) -> DataFrame:
         if out:
             yield flush()
 
-    return posted.repartition(n_parts, "key").mapInArrow(meet, "a long, b long").distinct()
+    return rows.repartition(n_parts, "key", "i", "j").mapInArrow(meet, "a long, b long").distinct()
 
 
 def plausible(pairs: DataFrame, hists: DataFrame) -> DataFrame:
@@ -315,7 +357,7 @@ def plausible(pairs: DataFrame, hists: DataFrame) -> DataFrame:
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(fp, tokens) of wanted nodes (doc_id, fp): the set, then its prefixes under the further orders."""
+    """(fp, heads, tokens) of wanted nodes (doc_id, fp): 32-bit hashes of its prefixes under the further orders, and the set."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -325,83 +367,68 @@ def node_sets(docs: DataFrame, wanted: DataFrame, classes: np.ndarray) -> DataFr
                 flat, bounds = shingle_sets(raw, offs, SHINGLE)
                 fps = fingerprint(flat, bounds)
                 further = [order_keys(flat, classes, k) for k in range(1, len(ORDERS))]
-                blobs, ids = [], []
+                heads, sets, ids = [], [], []
                 for d in np.flatnonzero(fps == want[a:b]).tolist():
                     if fps[d] in done:
                         continue
                     done.add(fps[d])
                     s, e = bounds[d], bounds[d + 1]
                     p = int(prefix_sizes(np.array([e - s]))[0])
-                    heads = [np.sort(np.partition(k[s:e], p - 1)[:p]) for k in further]
-                    blobs.append(b"".join(x.tobytes() for x in (flat[s:e], *heads)))
+                    heads.append(b"".join(np.partition(k[s:e], p - 1)[:p].astype(np.uint32).tobytes() for k in further))
+                    sets.append(flat[s:e].tobytes())
                     ids.append(fps[d])
                 if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)), pa.array(blobs, pa.binary())], names=["fp", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)), pa.array(heads, pa.binary()), pa.array(sets, pa.binary())], names=["fp", "heads", "tokens"])
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "fp").mapInArrow(build, "fp long, tokens binary")
+    return docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "fp").mapInArrow(build, "fp long, heads binary, tokens binary")
 
 
 def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Values that two arrays without repeats have in common."""
     both = np.concatenate((x, y))
     both.sort()
     return int((both[1:] == both[:-1]).sum())
 
 
-def split_sets(blob: bytes) -> list[np.ndarray]:
-    """[tokens, prefix under order 2, prefix under order 3] of a node's blob."""
-    x = np.frombuffer(blob, U)
-    # len = n + (orders - 1) * prefix(n) grows with n, so n is found by search
-    lo, hi = 0, len(x)
-    further = len(ORDERS) - 1
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if mid + further * int(prefix_sizes(np.array([mid]))[0]) < len(x):
-            lo = mid + 1
-        else:
-            hi = mid
-    p = (len(x) - lo) // further
-    return [x[:lo], *[x[lo + k * p : lo + (k + 1) * p] for k in range(further)]]
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share a prefix token under each order and are similar."""
+def checked(pairs: DataFrame, sets: DataFrame, column: str, holds) -> DataFrame:
+    """The pairs (a, b) whose values of ``column`` satisfy ``holds(x, y)``."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                one, two = split_sets(x.as_buffer()), split_sets(y.as_buffer())
-                if all(shared(p, q) for p, q in zip(one[1:], two[1:])):
-                    both = shared(one[0], two[0])
-                    keep.append(DEN * both >= NUM * (len(one[0]) + len(two[0]) - both))
-                else:
-                    keep.append(False)
+            keep = [holds(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y"))
+    left = sets.select(F.col("fp").alias("a"), F.col(column).alias("x"))
+    right = sets.select(F.col("fp").alias("b"), F.col(column).alias("y"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def share_prefixes(x, y) -> bool:
+    """Whether two nodes share a prefix token under each further order; equal 32-bit hashes only let more pass."""
+    x, y = (np.frombuffer(v, np.uint32).reshape(len(ORDERS) - 1, -1) for v in (x, y))
+    return all(np.isin(p, q).any() for p, q in zip(x, y))
+
+
+def similar(x, y) -> bool:
+    x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+    both = shared(x, y)
+    return DEN * both >= NUM * (len(x) + len(y) - both)
+
+
 def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
 
 
-def similarity_groups(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id.
-
-    Null and empty texts and texts of white space have no shingles and link
-    with nothing.  Equal sets link (similarity 1), so repeated rows share a
-    group.  A null doc_id gets the group of its text.  An empty table gives no
-    rows.  Extra columns are ignored.
-    """
+def named_rows(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, fp, n, group (the least doc_id of its similarity group, null without words)."""
     spark = docs.sparkSession
     scanned = common.staged(scan_sets(docs), "jaccard-scan")
     nodes = scanned.where("slot is null").select("doc_id", "fp", "n")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     n_parts = max(common.parts(spark), -(-int(total) // (5 * POSTINGS_A_PART)))
-    classes = frequency_classes(sketch(scanned)) if total else np.zeros(1 << SKETCH_BITS, np.uint8)
-    met = common.staged(runs(postings(docs, classes, n_parts), n_parts), "jaccard-runs")
+    counts = sketch(scanned) if total else np.zeros(1 << SKETCH_BITS, np.int64)
+    classes = frequency_classes(counts)
+    met = common.staged(runs(postings(docs, counts, n_parts), n_parts), "jaccard-runs")
     reps = scanned.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.first("counts").alias("hist"))
     reps = common.staged(reps, "jaccard-reps")
     common.release(spark)
@@ -418,19 +445,24 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
         else:
             comps = connected_components(links)
             placed = posted.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", "pos", F.coalesce("component", "fp").alias("comp"))
-            fresh = cross_pairs(placed, n_parts, HUBS if step <= HUB_ROUNDS else 0).join(done, ["a", "b"], "left_anti")
-            pairs = plausible(fresh, reps)
+            lists = common.staged(components_of_lists(placed), "jaccard-lists")
+            fresh = hub_pairs(lists) if step <= HUB_ROUNDS else cross_pairs(placed, lists, n_parts)
+            pairs = plausible(fresh.join(done, ["a", "b"], "left_anti"), reps)
         pairs = common.staged(pairs, "jaccard-pairs")
+        if step:
+            common.discard(lists)
         lack = reps.join(ends(pairs), "fp", "left_semi").where("rep is not null").select(F.col("rep").alias("doc_id"), "fp")
         if sets is not None:
             lack = lack.join(sets.select("fp"), "fp", "left_anti")
         lack = common.staged(lack, "jaccard-lack")
         found = common.staged(node_sets(docs, lack, classes), "jaccard-sets")
         common.discard(lack)
-        spent += [pairs, found]
         sets = found if sets is None else sets.unionByName(found)
         common.release(spark)
-        linked = common.staged(verified(pairs, sets), "jaccard-links")
+        met_in_all = common.staged(checked(pairs, sets, "heads", share_prefixes), "jaccard-candidates")
+        wanted = sets.select("fp", "tokens").join(ends(met_in_all), "fp", "left_semi")
+        linked = common.staged(checked(met_in_all, wanted, "tokens", similar), "jaccard-links")
+        spent += [pairs, found, met_in_all]
         links = linked if links is None else links.unionByName(linked)
         done = pairs if done is None else done.unionByName(pairs)
         common.release(spark)
@@ -438,19 +470,58 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
     named = links.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
     groups = connected_components(named.select("ra", "rb"), "ra", "rb")
     by_fp = reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("group"))
-    out = nodes.join(by_fp, "fp", "left")
+    return nodes.join(by_fp, "fp", "left").select("doc_id", "fp", "n", F.when(F.col("n") > 0, F.col("group")).alias("group"))
+
+
+def similarity_groups(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id.
+
+    Null and empty texts and texts of white space have no shingles and link
+    with nothing.  Equal sets link (similarity 1), so repeated rows share a
+    group.  A text whose rows have no id but null gets the group of equal
+    texts only.  Texts of any length count whole.  An empty table gives no
+    rows.  Extra columns are ignored.
+    """
     component = F.when(F.col("n") > 0, F.col("group")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return named_rows(docs).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_groups(common.table(spark, sf_dir, "documents"))
 
 
+def set_name(text: str) -> Column:
+    """The fingerprint of each text's shingle set."""
+
+    @F.arrow_udf("long")
+    def name(column: pa.Array) -> pa.Array:
+        out = [fingerprint(*shingle_sets(raw, offs, SHINGLE)) for _, _, raw, offs in chunks(column)]
+        return pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
+
+    return name(F.col(text))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each similarity group, once."""
-    groups = similarity_groups(docs)
-    drop = groups.where("component_id != doc_id").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text"))
-    return kept.withColumn("__copy", first).where("__copy = 1 or doc_id is null").select(*docs.columns)
+    """Keep one row of each similarity group: the least doc_id (null last), then the least set name and text.
+
+    Rows are judged one by one: a doc_id that repeats with another text is a
+    document of its own.  Null and empty texts and texts of white space are
+    copies of nothing, so all their rows stay.  Columns of any name pass
+    through; an empty table gives no rows.
+    """
+    rows = common.staged(named_rows(docs), "near-rows")
+    keyed = rows.where("n > 0").groupBy("doc_id", "fp").agg(F.count("*").alias("n_rows"), F.first("group").alias("group"))
+    group = F.coalesce(F.col("group"), F.col("fp"))  # only null ids: the equal texts are the group
+    keyed = keyed.withColumn("group", F.struct(F.col("group").isNull().alias("alone"), group.alias("id")))
+    least = keyed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")).alias("least"))
+    judged = keyed.join(least, "group").select(F.col("doc_id").alias("__doc"), F.col("fp").alias("__set"), "n_rows", (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("fp") == F.col("least.fp"))).alias("__first"))
+    judged = common.staged(judged.where("not __first or n_rows > 1").select("__doc", "__set", "__first"), "near-judged")
+    named = docs.withColumn("__name", set_name("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__name") == F.col("__set"))
+    kept = named.join(judged, same, "left_anti").select(*docs.columns)
+    repeated = judged.where("__first")
+    if repeated.isEmpty():
+        return kept
+    plain = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and not t.startswith(("map", "variant"))]
+    once = named.join(repeated, same, "left_semi").groupBy("doc_id", "__name").agg(F.min_by(F.struct(*docs.columns), F.struct("text", *plain)).alias("r"))
+    return kept.unionByName(once.select("r.*"))

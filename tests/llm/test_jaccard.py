@@ -70,16 +70,55 @@ def test_equals_all_pairs(spark):
         assert run(spark, rows) == brute(rows)
 
 
+def test_hot_lists_in_blocks(spark, monkeypatch):
+    """Postings of frequent tokens in several parts, lists met block by block: the same groups."""
+    monkeypatch.setattr(jaccard, "HOT_POSTINGS", 3)
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", 4)
+    monkeypatch.setattr(jaccard, "HUB_ROUNDS", 0)
+    rows = made(3)
+    assert run(spark, rows) == brute(rows)
+
+
 def test_null_id_and_empty_table(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (5, "x y z")]
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == []
 
 
-def test_stage_keeps_one_of_each_group(spark, sf):
-    docs = spark.createDataFrame([(5, "a b c d e f", "en"), (5, "a b c d e f", "en"), (6, "A b c d e f", "de"), (7, "other words are here now", "en"), (8, None, "en")], "doc_id long, text string, lang string")
+def stage(spark, sf, rows, columns="doc_id long, text string, lang string"):
+    docs = spark.createDataFrame(rows, columns)
     kept = jaccard.near_duplicate_stage(spark, docs, sf)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [5, 7, 8]
+    assert kept.columns == docs.columns
+    return sorted(map(tuple, kept.collect()), key=str)
+
+
+def test_stage_judges_rows_not_ids(spark, sf):
+    a, b = "a b c d e f", "other words are here now"
+    rows = [(5, a, "en"), (5, a, "en"), (5, a.upper(), "de"), (6, "A b c d e f", "de"), (7, b, "en"), (8, None, "en"), (8, None, "en"), (9, " ", "fr")]
+    assert stage(spark, sf, rows) == sorted([(5, a.upper(), "de"), (7, b, "en"), (8, None, "en"), (8, None, "en"), (9, " ", "fr")], key=str)
+    rows = [(1, a, "x"), (5, a, "y"), (5, b, "z"), (None, a, "n"), (None, "only here without an id", "n"), (None, "only here without an id", "m")]
+    assert stage(spark, sf, rows) == sorted([(1, a, "x"), (5, b, "z"), (None, "only here without an id", "m")], key=str)
+    assert stage(spark, sf, []) == []
+    clash = [(1, a, 1, {"k": "v"}), (2, a, 2, {"k": "w"}), (1, a, 3, {"k": "u"})]
+    assert stage(spark, sf, clash, "doc_id long, text string, fp int, m map<string,string>") == [(1, a, 1, {"k": "v"})]
+
+
+def test_further_orders_are_met_before_sets():
+    rng = np.random.default_rng(3)
+    pairs = []
+    for _ in range(40):
+        x = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+        y = np.concatenate((x[:54], rng.integers(0, 1 << 63, 6).astype(np.uint64)))
+        pairs += [(x, y, True), (x, np.concatenate((x[:3], rng.integers(0, 1 << 63, 57).astype(np.uint64))), False)]
+    none = np.zeros(1 << jaccard.SKETCH_BITS, np.uint8)
+
+    def heads(x):
+        p = int(jaccard.prefix_sizes(np.array([len(x)]))[0])
+        return b"".join(np.sort(jaccard.order_keys(x, none, k))[:p].astype(np.uint32).tobytes() for k in (1, 2))
+
+    passed = [jaccard.share_prefixes(heads(x), heads(y)) for x, y, _ in pairs]
+    assert all(p for p, (_, _, near) in zip(passed, pairs) if near)
+    assert sum(p for p, (_, _, near) in zip(passed, pairs) if not near) < 30  # of 40 unlike pairs, many go here
 
 
 def test_filters_lose_nothing():
