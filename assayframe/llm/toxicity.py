@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .quality import labelled_sample
+from .quality import gathered, labelled_sample
 from .textnp import chunks, span_hashes
 
 CUT = 0.5
@@ -127,22 +127,16 @@ def fit_machine(flat: np.ndarray, bounds: np.ndarray, labels: np.ndarray, seed:
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, rows: int = SAMPLE_ROWS) -> Machine:
-    def gather(batches):
-        for batch in batches:
-            flat, bounds = terms(batch.column(1))
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["label", "terms"])
+    def lists(column: pa.Array) -> pa.Array:
+        flat, bounds = terms(column)
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
 
-    got = labelled_sample(docs, labels, "toxic", keep, rows).mapInArrow(gather, "label int, terms array<int>").limit(2 * rows).toArrow()
+    got = gathered(labelled_sample(docs, labels, "toxic", keep, rows), lists, "array<int>")
     if not len(got):
         return Machine(np.zeros(0, np.int32), np.zeros(0), np.zeros((0, FACTORS)), -2.0)
-    lists = got.column("terms").combine_chunks()
-    y = got.column("label").to_numpy()
-    flat, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-    bounds = np.concatenate(([0], np.cumsum(size)))
-    order = np.lexsort((np.add.reduceat(np.append(flat, 0), bounds[:-1]) * (size > 0), size, y))
-    pick = np.concatenate([flat[bounds[d] : bounds[d + 1]] for d in order])
-    return fit_machine(pick, np.concatenate(([0], np.cumsum(size[order]))), y[order])
+    lists = got.column("x").combine_chunks()
+    bounds = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+    return fit_machine(lists.flatten().to_numpy(), bounds, got.column("label").to_numpy())
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
