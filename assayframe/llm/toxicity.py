@@ -3,6 +3,11 @@
 Score = sigmoid(b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), where x_i
 marks the presence of a hashed term.  The pair term lets a word count for more
 beside another (an insult beside a group's mention) than the two do alone.
+
+Every hashed term of the labelled sample that two documents hold has a weight
+and factors.  Weight decay follows the evidence: a term that tells the labels
+apart alone is hardly held back, one that does not is held back much, but its
+factors less, so that it can still tell in a pair.
 """
 from __future__ import annotations
 
@@ -20,8 +25,14 @@ from .textnp import chunks, span_hashes
 CUT = 0.5
 SAMPLE_ROWS = 20_000
 HASH_BITS = 22
-MAX_TERMS = 384
+#: documents of the sample that hold a term of the machine
+LEAST_DOCS = 2
 FACTORS = 6
+#: chi-square at which a term is decayed as given, and the most that weights and factors are decayed beyond
+EVIDENCE = 12.0
+MOST_WEIGHT_DECAY, MOST_FACTOR_DECAY = 1000.0, 30.0
+#: presences of terms handled at once
+BLOCK = 1 << 18
 
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -72,58 +83,82 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def choose_terms(flat: np.ndarray, bounds: np.ndarray, labels: np.ndarray, least: float = 12.0) -> np.ndarray:
-    """Terms whose presence tells the labels apart: chi-square with Yates' correction."""
-    doc = np.repeat(np.arange(len(labels)), np.diff(bounds))
-    size = 1 << HASH_BITS
-    in_pos = np.bincount(flat[labels[doc] == 1], minlength=size).astype(float)
-    in_any = np.bincount(flat, minlength=size).astype(float)
-    n, pos = float(len(labels)), float((labels == 1).sum())
-    seen = np.flatnonzero(in_any >= 3)
-    a, m = in_pos[seen], in_any[seen]
-    expect = m * pos / n
-    spread = expect * (1 - pos / n) * (1 - m / n) + 1e-9
-    chi = np.maximum(0, np.abs(a - expect) - 0.5) ** 2 / spread
-    ok = chi > least
-    order = np.lexsort((seen[ok], -chi[ok]))[:MAX_TERMS]
-    return np.sort(seen[ok][order]).astype(np.int32)
+def evidence(count: np.ndarray, toxic: np.ndarray, n: int, pos: float) -> np.ndarray:
+    """Chi-square with Yates' correction of each term's presence against the label."""
+    expect = count * pos / n
+    spread = expect * (1 - pos / n) * (1 - count / n) + 1e-9
+    return np.maximum(0, np.abs(toxic - expect) - 0.5) ** 2 / spread
+
+
+def runs(starts: np.ndarray, total: int) -> list[tuple[int, int, int, int]]:
+    """(first, end, start, stop): whole groups of about BLOCK members in all."""
+    out, a, ends = [], 0, np.append(starts, total)
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + BLOCK, "right")) - 1)
+        out.append((a, b, int(ends[a]), int(ends[b])))
+        a = b
+    return out
 
 
-def fit_machine(flat: np.ndarray, bounds: np.ndarray, labels: np.ndarray, seed: int = 11, rounds: int = 300, rate: float = 0.05, decay: float = 2e-4) -> Machine:
-    """Adam on the mean logistic loss of the whole sample, with weight decay.
+def fit_machine(flat: np.ndarray, bounds: np.ndarray, labels: np.ndarray, seed: int = 11, rounds: int = 80, rate: float = 0.05, decay: float = 2e-4) -> Machine:
+    """Adam on the mean logistic loss of the whole sample, each step followed by weight decay.
 
+    The presences are held once by document and once by term, and sums run
+    over blocks of either, so memory beside them does not follow their number.
     With one label only, or none, the score is that label's smoothed share.
     """
-    pos = float((labels == 1).sum())
-    b = float(np.log((pos + 0.5) / (len(labels) - pos + 0.5)))
-    none = np.zeros(0, np.int32)
-    if pos in (0.0, float(len(labels))):
-        return Machine(none, np.zeros(0), np.zeros((0, FACTORS)), b)
-    chosen = choose_terms(flat, bounds, labels)
+    n, pos = len(labels), float((labels == 1).sum())
+    b = float(np.log((pos + 0.5) / (n - pos + 0.5)))
+    nothing = Machine(np.zeros(0, np.int32), np.zeros(0), np.zeros((0, FACTORS)), b)
+    if pos in (0.0, float(n)):
+        return nothing
+    seen = np.bincount(flat, minlength=1 << HASH_BITS)
+    chosen = np.flatnonzero(seen >= LEAST_DOCS).astype(np.int32)
     m = len(chosen)
     if not m:
-        return Machine(none, np.zeros(0), np.zeros((0, FACTORS)), b)
-    at = np.minimum(np.searchsorted(chosen, flat), m - 1)
-    hit = np.flatnonzero(chosen[at] == flat)
-    doc = np.searchsorted(bounds, hit, "right") - 1
-    x = np.zeros((len(labels), m), np.float32)
-    x[doc, at[hit]] = 1
+        return nothing
+    place = np.full(1 << HASH_BITS, -1, np.int32)
+    place[chosen] = np.arange(m)
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
+    term = place[flat]
+    doc, term = doc[term >= 0], term[term >= 0]
+    chi = evidence(seen[chosen].astype(float), np.bincount(term, labels[doc] == 1, m), n, pos)
+    pull = (EVIDENCE / np.maximum(chi, 1e-2)) ** 2
+    held = np.concatenate((np.clip(pull, 1e-2, MOST_WEIGHT_DECAY)[:, None], np.repeat(np.clip(pull, 1e-2, MOST_FACTOR_DECAY)[:, None], FACTORS, 1)), 1)
+    held = (decay * held).astype(np.float32)
+    by_term = np.argsort(term, kind="stable")
+    doc_of = doc[by_term]
+    docs, first_of_doc = np.unique(doc, return_index=True)
+    first_of_term = np.searchsorted(term[by_term], np.arange(m))
+    doc_runs, term_runs = runs(first_of_doc, len(term)), runs(first_of_term, len(term))
     rng = np.random.default_rng(seed)
-    theta = np.concatenate(([b], np.zeros(m), rng.normal(0, 0.02, m * FACTORS))).astype(np.float32)
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    y = labels.astype(np.float32)
+    theta = np.zeros((m, 1 + FACTORS), np.float32)  # weight, then factors
+    theta[:, 1:] = rng.normal(0, 0.02, (m, FACTORS)) / np.sqrt(np.maximum(1, held[:, 1:] / decay))
+    first, second, grad = np.zeros_like(theta), np.zeros_like(theta), np.zeros_like(theta)
+    first_b = second_b = 0.0
+    y = (labels == 1).astype(np.float32)
     for t in range(1, rounds + 1):
-        w, v = theta[1 : m + 1], theta[m + 1 :].reshape(m, FACTORS)
-        s = x @ v
-        z = theta[0] + x @ w + 0.5 * (s * s - x @ (v * v)).sum(1)
-        e = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / len(y)
-        xe = x.T @ e
-        grad = np.concatenate(([e.sum()], xe + decay * w, ((x * e[:, None]).T @ s - xe[:, None] * v + decay * v).ravel()))
+        s, own = np.zeros((n, 1 + FACTORS), np.float32), np.zeros(n, np.float32)
+        squares = (theta[:, 1:] ** 2).sum(1)
+        for a, e, start, stop in doc_runs:
+            at = first_of_doc[a:e] - start
+            s[docs[a:e]] = np.add.reduceat(theta[term[start:stop]], at, axis=0)
+            own[docs[a:e]] = np.add.reduceat(squares[term[start:stop]], at)
+        z = b + s[:, 0] + 0.5 * ((s[:, 1:] ** 2).sum(1) - own)
+        error = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / n
+        s[:, 0] = error
+        s[:, 1:] *= error[:, None]
+        for a, e, start, stop in term_runs:
+            grad[a:e] = np.add.reduceat(s[doc_of[start:stop]], first_of_term[a:e] - start, axis=0)
+        grad[:, 1:] -= grad[:, :1] * theta[:, 1:]
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad * grad
-        theta = theta - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    theta = theta.astype(float)
-    return Machine(chosen, theta[1 : m + 1], theta[m + 1 :].reshape(m, FACTORS), float(theta[0]))
+        pace = rate / (np.sqrt(second / (1 - 0.999**t)) + 1e-7)
+        theta = ((theta - pace * first / (1 - 0.9**t)) / (1 + pace * held)).astype(np.float32)
+        slope = float(error.sum())
+        first_b, second_b = 0.9 * first_b + 0.1 * slope, 0.999 * second_b + 0.001 * slope * slope
+        b -= rate * (first_b / (1 - 0.9**t)) / ((second_b / (1 - 0.999**t)) ** 0.5 + 1e-8)
+    return Machine(chosen, theta[:, 0].astype(float), theta[:, 1:].astype(float), b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, rows: int = SAMPLE_ROWS) -> Machine:
