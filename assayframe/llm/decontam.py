@@ -1,14 +1,24 @@
 """Benchmark decontamination: BM25 retrieval of test items by every passage.
 
 The items form an inverted index of BM25 impacts, each divided by its item's
-score for itself, so one threshold serves all.  Passages are windows of two
-item lengths that step by one, so a whole item always lies within one.  As in
-block-max WAND, a passage first looks at an item only through a term without
-which the item's other terms cannot reach the threshold, then bounds each
-block of items by the block's greatest impacts, and scores the items of the
-blocks that remain.  What passes is verified: word trigrams of the question
-and of the answer must both lie in the passage.  A part of one or two words is
-one gram of that many words; an item of one word is its own answer.
+score for itself, so one threshold serves all.  Items are indexed by classes
+of length, and the passages for a class are windows of twice its greatest
+length that step by that length, so a whole item always lies within one and a
+short item never meets the windows of a long one.
+
+Pruning takes the block maxima of block-max WAND, and in place of its pivot,
+which walks one passage's lists in step, terms chosen beforehand: a passage
+first looks at an item only through a term without which the item's other
+terms cannot reach the threshold, then bounds each block of items by the
+block's greatest impacts, and scores the items of the blocks that remain.
+What passes is verified: word trigrams of the question and of the answer must
+both lie in the passage.  A part of one or two words is one gram of that many
+words; an item of one word is its own answer.
+
+The index is what is broadcast.  It holds items of INDEX_BYTES at most (or one
+longer item); a larger benchmark is dealt into slices, whose passes over the
+documents follow one another.  Weights are those of all items, so slices do
+not change a score.
 """
 from __future__ import annotations
 
@@ -28,8 +38,10 @@ THRESHOLD = 0.6
 OVERLAP = 0.5
 BLOCK = 16
 GRAM = 3
-#: an index of more items is searched in slices of this many
-SLICE_ITEMS = 20_000
+#: text of the items that one index holds
+INDEX_BYTES = 4 << 20
+#: words of the shortest class of items; each next class is twice as long
+SHORTEST = 32
 
 LETTER = np.zeros(256, bool)
 LETTER[48:58] = LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -79,34 +91,16 @@ class Index:
 
 @dataclass
 class Totals:
-    """Figures of the whole test set: items by term, items, mean and greatest length in words."""
+    """Figures of the whole test set: items by term (of the terms at hand), items, and mean length in words."""
 
     terms: np.ndarray
     df: np.ndarray
     n: int
     mean: float
-    longest: int
-
-
-def totals(slices: list[tuple[list[int], np.ndarray, np.ndarray]]) -> Totals:
-    """Totals over the items with words of all slices (ids, word hashes, bounds)."""
-    sizes = np.concatenate([np.diff(bounds) for _, _, bounds in slices])
-    sizes = sizes[sizes > 0]
-    terms, df = np.zeros(0, U), np.zeros(0, np.int64)
-    for _, h, bounds in slices:
-        item = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        order = np.lexsort((item, h))
-        t, i = h[order], item[order]
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (i[1:] != i[:-1])
-        mine, count = np.unique(t[new], return_counts=True)
-        terms, at = np.unique(np.concatenate((terms, mine)), return_inverse=True)
-        df = np.bincount(at, np.concatenate((df, count)), len(terms)).astype(np.int64)
-    return Totals(terms, df, len(sizes), float(sizes.mean()) if len(sizes) else 1.0, int(sizes.max(initial=0)))
 
 
 def build(ids: list[int], h: np.ndarray, bounds: np.ndarray, whole: Totals) -> Index:
-    """The index of a slice's items with words, weighed by the whole test set; an item is ordered beside those of its length."""
+    """The index of some items with words, weighed by the whole test set; an item is ordered beside those of its length."""
     sizes = np.diff(bounds)
     order = np.argsort(sizes, kind="stable")
     order = order[sizes[order] > 0]
@@ -149,11 +143,10 @@ def lookup(keys: np.ndarray, values: np.ndarray, want: np.ndarray) -> np.ndarray
     return np.where(keys[at] == want, values[at], 0.0)
 
 
-def search(index: Index, raw: np.ndarray, offs: np.ndarray, step: int) -> list[tuple[int, int, float, float, float]]:
+def search(index: Index, step: int, h: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, float, float, float]]:
     """(document, item, score, question overlap, answer overlap) of verified passages, the best of each pair."""
     if not len(index.terms):
         return []
-    h, bounds = term_spans(raw, offs)
     at = np.minimum(np.searchsorted(index.terms, h), len(index.terms) - 1)
     known = np.flatnonzero(index.terms[at] == h)
     n_words = np.diff(bounds)
@@ -213,68 +206,113 @@ def search(index: Index, raw: np.ndarray, offs: np.ndarray, step: int) -> list[t
     return [(d, i, *v) for (d, i), v in sorted(best.items())]
 
 
-def indexes(benchmark: DataFrame) -> list[tuple[Index, int]]:
-    """The items' indexes, each with its window step.
+def by_length(ids: list[int], texts: list[str], whole: Totals) -> list[tuple[Index, int]]:
+    """An index for each class of length, with the step of its windows."""
+    h, bounds = term_spans(*text_buffer(pa.array(texts, pa.large_string())))
+    size = np.diff(bounds)
+    step = SHORTEST << np.ceil(np.log2(np.maximum(size, SHORTEST) / SHORTEST)).astype(np.int64)
+    out = []
+    for k in np.unique(step[size > 0]).tolist():
+        own = np.flatnonzero((step == k) & (size > 0))
+        part = np.concatenate([h[bounds[i] : bounds[i + 1]] for i in own])
+        out.append((build([ids[i] for i in own], part, np.concatenate(([0], np.cumsum(size[own]))), whole), k))
+    return out
 
-    The test set is what is broadcast: it is read in slices of SLICE_ITEMS
-    items, one index each; term weights and the step are those of all items, so
-    slices do not change a score.  Null or wordless items and null ids match nothing.
+
+def slices(benchmark: DataFrame) -> Iterator[list[tuple[Index, int]]]:
+    """The indexes of one slice of the items after another.
+
+    Spark counts the items of each term; the driver holds one slice and the
+    counts of its terms.  Null or wordless items and null ids match nothing;
+    items that repeat count once.
     """
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator()
-    slices, ids, texts = [], [], []
-
-    def close():
-        raw, offs = text_buffer(pa.array(texts, pa.large_string()))
-        slices.append((ids, *term_spans(raw, offs)))
-
-    for r in items:
-        ids.append(r["item_id"])
-        texts.append(r["text"])
-        if len(ids) == SLICE_ITEMS:
-            close()
-            ids, texts = [], []
-    if ids:
-        close()
-    if not slices:
-        return []
-    whole = totals(slices)
-    return [(build(*s, whole), max(32, whole.longest)) for s in slices]
+    spark = benchmark.sparkSession
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, bounds = term_spans(*text_buffer(batch.column(1)))
+            lists = [np.unique(h[a:b]).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(bounds)), pa.array(lists, pa.list_(pa.int64()))], names=["item_id", "text", "n", "terms"])
+
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    items = common.staged(items.mapInArrow(read, "item_id long, text string, n long, terms array<long>").where("n > 0"), "benchmark-items")
+    size = items.agg(F.count("*").alias("n"), F.avg("n").alias("mean"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if not size["n"]:
+        return
+    parts = -(-size["bytes"] // INDEX_BYTES)
+    items = items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    terms = items.select("slice", F.explode("terms").alias("term"))
+    df = common.staged(terms.groupBy("term").agg(F.count("*").alias("df")), "benchmark-terms")
+    for k in range(parts):
+        own = items.where(F.col("slice") == k).select("item_id", "text").orderBy("item_id", "text").toArrow()
+        if len(own):
+            count = df.join(terms.where(F.col("slice") == k).select("term").distinct(), "term").toArrow()
+            key = count.column("term").to_numpy().view(U)
+            order = np.argsort(key)
+            whole = Totals(key[order], count.column("df").to_numpy()[order], size["n"], size["mean"])
+            yield by_length(own.column("item_id").to_pylist(), own.column("text").to_pylist(), whole)
+    common.discard(items, df)
+
+
+def found_in(index: list[tuple[Index, int]], column: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
+    """(row, item_id, score, question overlap, answer overlap) of a slice's items in whole texts."""
+    for a, _, raw, offs in chunks(column):
+        h, bounds = term_spans(raw, offs)
+        for part, step in index:
+            for d, i, *figures in search(part, step, h, bounds):
+                yield (a + d, int(part.item_ids[i]), *figures)
+
+
+SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of leaked items.
 
-    Null and empty texts hold none; repeated rows give equal rows once each;
-    an empty table on either side gives no rows; extra columns are ignored.
+    Null and empty texts hold none; texts of any length are searched whole;
+    repeated rows give equal rows once each; an empty table on either side
+    gives no rows; extra columns are ignored.
     """
-    found = indexes(benchmark)
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, raw, offs in chunks(batch.column(1)):
-                for index, step in found:
-                    rows = search(index, raw, offs, step)
-                    if rows:
-                        d, i, s, q, r = zip(*rows)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([a + x for x in d])), pa.array(index.item_ids[list(i)]), pa.array(s), pa.array(q), pa.array(r)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+    def search_with(index: list[tuple[Index, int]]) -> DataFrame:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if rows := list(found_in(index, batch.column(1))):
+                    d, *rest = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), *map(pa.array, rest)], names=names)
+
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, SCHEMA)
+
+    out = last = None
+    for index in slices(benchmark):
+        if last is not None:
+            last = common.staged(last, "leaks")
+            out = last if out is None else out.unionByName(last)
+        last = search_with(index)
+    if last is None:
+        return docs.sparkSession.createDataFrame([], SCHEMA)
+    return last if out is None else out.unionByName(last)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item."""
 
-def leaked_column(benchmark: DataFrame, text: str = "text") -> Column:
-    """Whether a text holds any item."""
-    found = indexes(benchmark)
+    def holds(index: list[tuple[Index, int]]) -> Column:
+        @F.arrow_udf("boolean")
+        def leaked(column: pa.Array) -> pa.Array:
+            out = np.zeros(len(column), bool)
+            for row in found_in(index, column):
+                out[row[0]] = True
+            return pa.array(out)
 
-    @F.arrow_udf("boolean")
-    def leaked(column: pa.Array) -> pa.Array:
-        out = np.zeros(len(column), bool)
-        for a, _, raw, offs in chunks(column):
-            for index, step in found:
-                for row in search(index, raw, offs, step):
-                    out[a + row[0]] = True
-        return pa.array(out)
+        return leaked(F.col("text"))
 
-    return leaked(F.col(text))
+    first = True
+    for index in slices(benchmark):
+        docs = (docs if first else common.staged(docs, "leaks-kept")).where(~holds(index))
+        first = False
+    return docs
 
 
 def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,5 +320,11 @@ def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark item."""
-    return docs.where(~leaked_column(common.table(spark, sf_dir, "benchmark")))
+    """Drop the documents that hold a benchmark item.
+
+    Rows are judged one by one, whatever their ids.  Null and empty texts hold
+    no item and stay; repeated rows are judged alike; texts of any length are
+    searched whole; columns of any name pass through; an empty table gives no
+    rows, and an empty benchmark keeps all.
+    """
+    return without_leaks(docs, common.table(spark, sf_dir, "benchmark"))
