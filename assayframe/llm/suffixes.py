@@ -11,9 +11,10 @@ polynomial hashes give the hash of any substring in constant time, and binary
 search over the length finds the common extension of two suffixes.  Suffixes
 that the hashes call equal over 50 bytes are then compared byte by byte.
 
-Within a task, occurrences with equal surroundings are settled at once and
-only the one of least doc_id is sent, so a string that a third of all
-documents share reaches another task at most once for each task.
+Within a task, an anchor that recurs is announced and not sent again, and of
+occurrences with equal surroundings only those of the least doc_id so far are
+sent.  So a string that a third of all documents share reaches another task a
+few times for each task, however many documents and chunks the task holds.
 """
 from __future__ import annotations
 
@@ -36,9 +37,42 @@ PLACE_BITS = 28
 SLICE = 400_000
 #: text for a part: what a task holds does not follow the table's size
 PART_BYTES = 32 << 20
+#: slots of the sketch by which a task tells what recurs in it, and surroundings that it keeps at most
+RECUR_BITS = 24
+KEEP = 200_000
 ZSTD = pa.Codec("zstd", compression_level=1)
 
 
+class Recurring:
+    """What a task has met in several chunks: sorted 64-bit keys, each with a value.
+
+    A key is kept from its third chunk on, as a sketch of small counts tells;
+    a key that the sketch takes for another costs memory and nothing else.
+    """
+
+    def __init__(self, kind):
+        self.counts = np.zeros(1 << RECUR_BITS, np.uint8)
+        self.keys, self.values = np.zeros(0, U), np.zeros(0, kind)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys, -1 for those not kept."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def due(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key of a chunk, none kept yet, has been met often enough; counts them."""
+        slot = (keys >> U(64 - RECUR_BITS)).astype(np.int64)
+        seen = self.counts[slot]
+        self.counts[slot] = np.minimum(seen, 254) + 1
+        return seen >= 2
+
+    def keep(self, keys: np.ndarray, values: np.ndarray) -> None:
+        keys, first = np.unique(np.concatenate((self.keys, keys)), return_index=True)
+        self.keys, self.values = keys, np.concatenate((self.values, values))[first]
+
+
 def prefix_sums(raw: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(raw) + 1, U)
     np.cumsum(BYTE[raw] * powers(BASE, len(raw))[: len(raw)], out=sums[1:])
@@ -58,6 +92,8 @@ def anchors(raw: np.ndarray, offs: np.ndarray, sums: np.ndarray):
     its first to its last string.
     """
     n = len(raw)
+    if n >> PLACE_BITS:
+        raise ValueError(f"a text of {n} bytes is longer than {1 << PLACE_BITS}")
     none = np.zeros(0, np.int64)
     if n < SPAN:
         return none, none, none, none, np.zeros(0, U)
@@ -148,6 +184,7 @@ def shared_places(docs: DataFrame, n: int) -> DataFrame:
     """Packed (doc_id, row hash, place) of anchors that several rows hold."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recurring = Recurring(bool)  # anchors sent before, and whether another task can tell that they are several
         for batch in batches:
             ids, missing = ids_of(batch.column(0))
             for a, b, raw, offs in chunks(batch.column(1)):
@@ -164,10 +201,18 @@ def shared_places(docs: DataFrame, n: int) -> DataFrame:
                 g, d = gram[order], doc[order]
                 head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
                 size = np.diff(np.concatenate((head, [len(g)])))
-                several = np.repeat(np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head), size)
+                distinct = g[head]
+                twice = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)
+                at = recurring.find(distinct)
+                again = at >= 0
+                told = again & recurring.values[at] if again.any() else again
+                several = np.repeat(twice | again, size)
                 known = order[several]
                 single = order[~several]
-                marks = g[head[several[head]]]
+                marks = distinct[(twice | again) & ~told]
+                recurring.values[at[again]] = True
+                due = np.flatnonzero(~again)[recurring.due(distinct[~again])]
+                recurring.keep(distinct[due], twice[due])
                 if len(known):
                     known.sort()
                     yield emit(1, *pack(part_of(did[known], n), [did[known], row[known], pos[known]]))
@@ -230,13 +275,17 @@ def place_keys(did: np.ndarray, row: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return mix(mix(did.view(U)) ^ ((row.astype(U) << U(32)) | pos.astype(np.uint32).astype(U)))
 
 
-def settled(raw: np.ndarray, sums: np.ndarray, first: np.ndarray, size: np.ndarray, back: np.ndarray, did: np.ndarray) -> np.ndarray:
+def surroundings(sums: np.ndarray, first: np.ndarray, size: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """A hash of each occurrence's bytes and of its anchor's place in them."""
+    return mix((sums[first + size] - sums[first]) * powers(INVERSE, len(sums) - 1)[first]) ^ mix((back * 128 + size).astype(U))
+
+
+def settled(raw: np.ndarray, inner: np.ndarray, first: np.ndarray, size: np.ndarray, did: np.ndarray) -> np.ndarray:
     """Whether another occurrence of smaller doc_id has equal surroundings.
 
     All strings of such an occurrence are covered, and its fellow of least
     doc_id stands for it.  Equality is by hash, then byte by byte.
     """
-    inner = mix((sums[first + size] - sums[first]) * powers(INVERSE, len(raw))[first]) ^ mix((back * 128 + size).astype(U))
     order = np.lexsort((did, inner))
     s = inner[order]
     head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
@@ -256,6 +305,9 @@ def repeated_ranges(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = None
+        recurring = Recurring(np.int64)  # surroundings sent before: places in the two lists
+        least: list[int] = []
+        bytes_of: list[bytes] = []
         for held, batch in split_kinds(batches, PLACE):
             if keys is None:
                 keys = np.unique(place_keys(*held[:3]))
@@ -274,7 +326,20 @@ def repeated_ranges(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
                 if not len(doc):
                     continue
                 size = last - first + SPAN
-                done = settled(raw, sums, first, size, place - first, did)
+                inner = surroundings(sums, first, size, place - first)
+                done = settled(raw, inner, first, size, did)
+                rest = np.flatnonzero(~done)
+                at = recurring.find(inner[rest])
+                for i, k in zip(rest[at >= 0].tolist(), recurring.values[at[at >= 0]].tolist()):
+                    if raw[first[i] : first[i] + size[i]].tobytes() == bytes_of[k]:
+                        if did[i] > least[k]:
+                            done[i] = True
+                        least[k] = min(least[k], int(did[i]))
+                fresh = rest[at < 0]
+                fresh = fresh[recurring.due(inner[fresh])][: max(0, KEEP - len(least))]
+                recurring.keep(inner[fresh], len(least) + np.arange(len(fresh)))
+                least += did[fresh].tolist()
+                bytes_of += [raw[a : a + w].tobytes() for a, w in zip(first[fresh].tolist(), size[fresh].tolist())]
                 done, rest = np.flatnonzero(done), np.flatnonzero(~done)
                 start = (first - offs[doc]).astype(np.int32)
                 if len(done):
@@ -312,7 +377,7 @@ def repeated_ranges(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
             some = data[ragged(at[r], w)]
             sums = prefix_sums(some)
             place = np.cumsum(w) - w
-            done = settled(some, sums, place, w, back[r].astype(np.int64), did[r])
+            done = settled(some, surroundings(sums, place, w, back[r].astype(np.int64)), place, w, did[r])
             if done.any():
                 q = r[done]
                 yield emit(1, *pack(part_of(did[q], n), [did[q], row[q], start[q], (start[q] + width[q]).astype(np.int32)]))

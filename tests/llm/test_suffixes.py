@@ -88,3 +88,42 @@ def test_mergesort_orders_suffixes():
     text = [(s, data[w : w + 50].tobytes()) for s, w in zip(segment, where[order])]
     assert text == sorted(text)
     assert equal.tolist() == [k > 0 and text[k] == text[k - 1] for k in range(400)]
+
+
+def test_passages_that_recur_over_chunks_of_a_task(spark):
+    """Every document is a chunk of its own and all lie in one task; ids fall and rise."""
+    rng = np.random.default_rng(8)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    passage = ["A" + "".join(map(chr, letters[rng.integers(0, 26, 298)])) + "Z" for _ in range(2)]
+    ids = [9, 8, 2, 7, 1, 5, 6, 3]
+    rows = []
+    for k, i in enumerate(ids):
+        body = letters[rng.integers(0, 26, 2_200_000)].tobytes().decode()
+        text = body[:1000] + f"{i}" + passage[0] + f"{i}-" + body[1000:]
+        if k > 2:
+            text += f"{i}" + passage[1] + f"{i}="
+        rows.append((i, text, "en", 1, "x"))
+    got = {r.doc_id: r for r in suffixes.deduplicate(spark.createDataFrame(rows, SCHEMA).coalesce(1), keep_text=True).collect()}
+    for k, i in enumerate(ids):
+        want = rows[k][1]
+        if i != 1:
+            want = want.replace(passage[0], "")
+        if k > 2 and i != 1:
+            want = want.replace(passage[1], "")
+        assert bytes(got[i].kept).decode() == want and got[i].n_spans == (i != 1) + (k > 2 and i != 1)
+
+
+def test_what_recurs_is_told_once_and_found_again():
+    r = suffixes.Recurring(np.int64)
+    keys = np.array([5, 1 << 60, 7 << 50], np.uint64)
+    assert r.find(keys).tolist() == [-1, -1, -1]
+    assert not r.due(keys).any() and not r.due(keys[:2]).any() and r.due(keys).tolist() == [True, True, False]
+    r.keep(keys[:2], np.array([10, 20]))
+    r.keep(np.array([1 << 61], np.uint64), np.array([30]))
+    at = r.find(np.array([1 << 60, 9, 1 << 61], np.uint64))
+    assert at[1] == -1 and r.values[at[[0, 2]]].tolist() == [20, 30]
+
+
+def test_overlong_text_is_refused():
+    with pytest.raises(ValueError):
+        suffixes.anchors(np.lib.stride_tricks.as_strided(np.zeros(1, np.uint8), (1 << 28,), (0,)), np.array([0, 1 << 28]), None)
