@@ -17,11 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder
-    is made and remembered in the session.
+    Where the session has none and all runs on one machine, as in tests, a
+    temporary folder is made and remembered in the session.  A cluster has to
+    name a folder: executors could not see each other's temporary ones.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="assayframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

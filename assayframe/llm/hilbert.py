@@ -46,9 +46,21 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def category_cell(col: Column, bits: int) -> Column:
-    """A string dimension's cell: null is 0, others by hash into the rest."""
-    return F.when(col.isNull(), F.lit(0)).otherwise(F.crc32(col) % ((1 << bits) - 1) + 1).cast("int")
+def category_cell(df: DataFrame, name: str, bits: int) -> Column:
+    """A string dimension's cell: null is 0, and the values have cells by falling frequency.
+
+    Seven eighths of the grid go to the most frequent values, one cell each at
+    most, ties to the lesser value; few values stand evenly apart, so the curve
+    tells them by its first bits.  The values beyond share the rest by hash, so
+    many rare values crowd only there.
+    """
+    cells = 1 << bits
+    own = (cells - 1) * 7 // 8
+    ranked = df.where(F.col(name).isNotNull()).groupBy(name).count().orderBy(F.desc("count"), name).limit(own).collect()  # at most own rows
+    col, top = F.col(name), [r[name] for r in ranked]
+    rest = F.crc32(col) % (cells - 1 - own) + own + 1
+    rank = F.array_position(F.array(*map(F.lit, top)), col) if top else F.lit(0)
+    return F.when(col.isNull(), 0).when(rank > 0, 1 + F.floor((rank - 1) * own / max(1, len(top)))).otherwise(rest).cast("int")
 
 
 def magnitude_cell(col: Column, bits: int) -> Column:
@@ -108,7 +120,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, bits: int = 7) -> DataFra
 
     Null text has no bytes (size 16, crc32 0); null lang or source is a cell
     of its own; a null doc_id sorts first.  Repeated rows are rows of their
-    own; an empty table gives no rows.  Only metadata moves, never the texts.
+    own, ties of one cell and doc_id go by size and text hash; an empty table
+    gives no rows; other columns are left out.  Only metadata moves, never
+    the texts, however long.
     """
     meta = docs.select(
         "doc_id",
@@ -116,7 +130,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, bits: int = 7) -> DataFra
         F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
         "lang", "source",
     )
-    cells = [category_cell(F.col("lang"), bits), category_cell(F.col("source"), bits), magnitude_cell(F.col("size"), bits)]
+    cells = [category_cell(meta, "lang", bits), category_cell(meta, "source", bits), magnitude_cell(F.col("size"), bits)]
     return cut_rows(hilbert_order(meta, cells, "doc_id", bits), shards)
 
 

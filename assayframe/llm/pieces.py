@@ -83,6 +83,10 @@ class Pieces:
             data = f.read()
         pieces = []
         for number, value in fields(data):
+            if number == 3:  # how text is normalised: as it stands, after a leading mark, with all its spaces
+                rule = dict(fields(value))
+                if rule.get(1) != b"identity" or rule.get(2) or not rule.get(3, 1) or rule.get(4, 1) or not rule.get(5, 1):
+                    raise ValueError(f"{path} asks for a normalisation that this encoder does not have")
             if number == 1:
                 got = dict(fields(value))
                 pieces.append((got.get(1, b"").decode(), struct.unpack("<f", got[2])[0] if 2 in got else 0.0, got.get(3, NORMAL)))
@@ -278,7 +282,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document; the pipeline's result."""
+    """Token ids of every document; the pipeline's result (doc_id, n_tokens, ids, exact).
+
+    Null text is encoded as empty text, with no ids; texts of any length are
+    encoded whole.  Repeated rows give equal rows; columns of other names are
+    left out; an empty table gives no rows.
+    """
     import public_tokenizers
 
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids", "exact")

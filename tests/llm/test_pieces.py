@@ -89,3 +89,15 @@ def test_edge_rows(spark):
     rows = pieces.encode_documents(df, PATH).collect()
     assert sorted(r.n_tokens for r in rows) == [0, 0, 0, 2]
     assert pieces.encode_documents(df.limit(0), PATH).collect() == []
+
+
+def test_other_normalisations_are_refused(tmp_path):
+    out = b""
+    for number, value in pieces.fields(open(PATH, "rb").read()):
+        if number == 3:
+            value = value.replace(b"identity", b"nmt_nfkc")
+        out += varint(number << 3 | 2) + varint(len(value)) + value
+    other = tmp_path / "other.model"
+    other.write_bytes(out)
+    with pytest.raises(ValueError):
+        pieces.Pieces.read(str(other))
