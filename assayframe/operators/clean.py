@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import generated_id, squeeze, to_number
+from .ranks import exact_median
 
 META = ("compound_id", "canonical_smiles", "activity", "original_row_index")
 
@@ -68,8 +69,9 @@ def keep_first(marked: DataFrame) -> DataFrame:
 
 
 def duplicates(marked: DataFrame) -> DataFrame:
+    """Rows after the first of their structure; only structures that repeat are joined back."""
     valid = marked.where(~bad())
-    first = valid.groupBy("structure_key").agg(F.min("original_row_index").alias("first_row"))
+    first = valid.groupBy("structure_key").agg(F.min("original_row_index").alias("first_row"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
     return valid.join(first, "structure_key").where("original_row_index > first_row")
 
 
@@ -84,10 +86,9 @@ def counts(marked: DataFrame) -> DataFrame:
 
 def activity_stats(clean: DataFrame) -> DataFrame:
     a = F.col("activity")
-    return clean.agg(
-        F.count("*").alias("n"), F.min(a).alias("min_activity"), F.max(a).alias("max_activity"), F.round(F.avg(a), 6).alias("mean_activity"),
-        F.round(F.median(a), 6).alias("median_activity"), F.round(F.stddev_samp(a), 6).alias("std_activity"),
-    )
+    middle = exact_median(clean, [], "activity").select(F.round("median", 6).alias("median_activity"))
+    rest = clean.agg(F.count("*").alias("n"), F.min(a).alias("min_activity"), F.max(a).alias("max_activity"), F.round(F.avg(a), 6).alias("mean_activity"), F.round(F.stddev_samp(a), 6).alias("std_activity"))
+    return rest.withColumn("__one", F.lit(1)).join(middle.withColumn("__one", F.lit(1)), "__one", "left").select("n", "min_activity", "max_activity", "mean_activity", "median_activity", "std_activity")
 
 
 def validate(df: DataFrame, structure: str, activity: str, compound_id: str | None = None, min_valid: int = 20, **kw) -> tuple[DataFrame, DataFrame, DataFrame, dict]:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from .ranks import exact_median
 
 
 def to_long(wide: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -28,7 +29,8 @@ def vector_to_long(df: DataFrame, key: str, vector: str, prefix: str = "d") -> D
 
 def medians(long: DataFrame) -> DataFrame:
     """Exact median, present and missing counts of each descriptor."""
-    return long.groupBy("descriptor").agg(F.count("*").alias("n"), F.count("value").alias("present"), F.median("value").alias("median"))
+    counts = long.groupBy("descriptor").agg(F.count("*").alias("n"), F.count("value").alias("present"))
+    return counts.join(exact_median(long, ["descriptor"], "value"), "descriptor", "left")
 
 
 def impute(long: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -85,30 +87,60 @@ def zscore(long: DataFrame, fitted: DataFrame) -> DataFrame:
 
 
 def to_vectors(long: DataFrame, key: str) -> DataFrame:
-    """(key, features) in descriptor order; the vector of one row is the group."""
+    """(key, features) in descriptor order; the vector of one row is the group.  Every key must have every descriptor."""
     pairs = F.array_sort(F.collect_list(F.struct("descriptor", "value")))
     return long.groupBy(key).agg(pairs.alias("p")).select(key, F.col("p.value").alias("features"))
 
 
+def aligned(long: DataFrame, key: str, fitted: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(key, features): scaled values in the fitted order, whatever descriptors the rows of ``long`` have.
+
+    Descriptors not fitted go; a fitted one that a key lacks, or has as null,
+    counts as its median, scaled like a value.  The fitted list is one row a
+    descriptor; ``names`` picks from it and gives the order.
+    """
+    rows = fitted.where("reason is null").select("descriptor", "median", "mean", "scale").collect()
+    fill = {r["descriptor"]: (r["median"] - r["mean"]) / r["scale"] for r in rows}
+    names = sorted(fill) if names is None else names
+    default = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.lit(float(fill[n])) for n in names]))
+    scaled = zscore(long, fitted).where(F.col("descriptor").isin(names) if len(names) < 100 else F.map_contains_key(default, F.col("descriptor")))
+    have = scaled.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("descriptor", "value"))).alias("m"))
+    every = long.select(key).distinct().join(have, key, "left")
+    value = lambda n: F.coalesce(F.try_element_at("m", n), F.element_at(default, n))
+    return every.select(key, F.transform(F.array(*map(F.lit, names)), value).alias("features"))
+
+
 def gramian(vectors: DataFrame, features: str, dims: int, extra: str | None = None) -> np.ndarray:
     """Sum of outer products of the rows, centred on the means first.
 
-    Each task sends one matrix of dims x dims, whatever its row count.
+    Each task sums its rows to one matrix of dims x dims, whatever their
+    number, and deals its rows out; the matrices are added where they meet,
+    and one of them comes to the driver.
     """
     cols = [F.col(features)[i] for i in range(dims)] + ([F.col(extra)] if extra else [])
     flat = vectors.select(F.array(*[c.cast("double") for c in cols]).alias("x"))
     d = len(cols)
     means = np.array([x or 0.0 for x in flat.agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)]).first()])
+    slices = min(d, 16)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))
         for b in batches:
             x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d) - means
             total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["g"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([total[i::slices].tobytes() for i in range(slices)], pa.binary())], names=["slice", "g"])
 
-    parts = flat.mapInArrow(add, "g binary").toLocalIterator()
-    return sum((np.frombuffer(r["g"]).reshape(d, d) for r in parts), np.zeros((d, d)))
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sums[i] = sums.get(i, 0) + np.frombuffer(g)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([g.tobytes() for g in sums.values()], pa.binary())], names=["slice", "g"])
+
+    out = np.zeros((d, d))
+    for r in flat.mapInArrow(add, "slice int, g binary").repartition(slices, "slice").mapInArrow(join, "slice int, g binary").collect():
+        out[r["slice"] :: slices] += np.frombuffer(r["g"]).reshape(-1, d)
+    return out
 
 
 def correlation(vectors: DataFrame, features: str, dims: int, extra: str | None = None) -> np.ndarray:

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +20,25 @@ def augmented_inverse(train: DataFrame, features: str, dims: int) -> np.ndarray:
     return np.linalg.pinv(g)
 
 
+#: descriptors up to which the form is written out as an expression
+WRITTEN_OUT = 12
+
+
 def leverage(features: str, inverse: np.ndarray) -> Column:
-    """x M x' of the augmented row as one JVM-side expression."""
-    x = F.concat(F.array(F.lit(1.0)), F.col(features).cast("array<double>"))
-    m = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in inverse])
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-    return dot(x, F.transform(m, lambda row: dot(row, x)))
+    """x M x' of the augmented row: an expression for few descriptors, one product a batch for many."""
+    if len(inverse) <= WRITTEN_OUT + 1:
+        x = F.concat(F.array(F.lit(1.0)), F.col(features).cast("array<double>"))
+        m = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in inverse])
+        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
+        return dot(x, F.transform(m, lambda row: dot(row, x)))
+
+    @F.arrow_udf("double")
+    def form(column: pa.Array) -> pa.Array:
+        x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        x = np.concatenate((np.ones((len(x), 1)), x), 1)
+        return pa.array(np.einsum("ij,ij->i", x @ inverse, x))
+
+    return form(F.col(features).cast("array<double>"))
 
 
 def williams_class(h: Column, limit: Column, residual: Column) -> Column:

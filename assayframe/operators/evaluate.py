@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import running_before
+
 
 def regression_metrics(df: DataFrame, by: list[str], y: str = "activity", p: str = "predicted") -> DataFrame:
     """n, r2, rmse, mae by group, from partial sums about the group's mean."""
@@ -42,9 +44,7 @@ def classification_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Rank-sum AUC with midranks: distinct scores are counted first, then cumulated."""
-    from pyspark.sql import Window
-
-    per = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.withColumn("below", below).agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
+    """Rank-sum AUC with midranks: distinct scores are counted first, then cumulated part by part."""
+    per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n"))
+    below = running_before(per, "s", ["n"])
+    return below.agg(F.try_divide(F.sum(F.col("p") * (F.col("n_before") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))

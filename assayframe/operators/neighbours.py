@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,30 +10,39 @@ from pyspark.sql import functions as F
 def knn_predict(train: DataFrame, test: DataFrame, key: str, features: str, target: str, k: int = 5, weights: str = "uniform", p: int = 2, block: int = 4096) -> DataFrame:
     """(key, predicted) of the test rows; k is cut to the training size, ties go to the smaller key.
 
-    Each block of the training rows meets the test rows once and passes on its
-    own k nearest, so a task holds one block and the shuffle k rows a block.
+    Blocks of the training rows meet blocks of the test rows once each and pass
+    on each test row's k nearest, so a task holds two blocks and the shuffle k
+    rows a block.  Exact search compares all pairs, whatever the plan.
     """
-    n = train.count()
-    k = min(k, n)
-    blocks = max(1, -(-n // block))
-    left = train.select(F.col(key).alias("tk"), F.col(features).alias("x"), F.col(target).cast("double").alias("y"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    right = test.select(F.col(key).alias("q"), F.col(features).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.xxhash64(key), F.lit(max(1, blocks))).cast("int").alias("g"))
-    left = left.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    k = min(k, train.count())
+    blocks, groups = (max(1, -(-n // block)) for n in (train.count(), test.count()))
+    deal = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = train.select(F.col(key).alias("tk"), F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"), deal(blocks).alias("b"), every(groups).alias("g"))
+    right = test.select(F.col(key).alias("q"), F.col(features).cast("array<double>").alias("x"), every(blocks).alias("b"), deal(groups).alias("g"))
     kind = dict(train.dtypes)[key]
 
-    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def near(a: pa.Table, b: pa.Table) -> pa.Table:
+        schema = pa.schema([("q", b.schema.field("q").type), ("tk", a.schema.field("tk").type), ("d", pa.float64()), ("y", pa.float64())])
         if not len(a) or not len(b):
-            return pd.DataFrame({"q": [], "tk": [], "d": [], "y": []})
-        a = a.sort_values("tk")
-        x, keys, y = np.stack(a["x"]).astype(float), a["tk"].to_numpy(), a["y"].to_numpy()
-        out = []
-        for q, v in zip(b["q"], b["x"]):
-            d = (np.abs(x - np.asarray(v, float)) ** p).sum(1) ** (1 / p)
-            top = np.argsort(d, kind="stable")[:k]
-            out.append(pd.DataFrame({"q": q, "tk": keys[top], "d": d[top], "y": y[top]}))
-        return pd.concat(out)
+            return schema.empty_table()
+        a = a.sort_by("tk")
+        x, z = (t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) for t in (a, b))
+        take, distance, row = [], [], []
+        some = max(1, (1 << 22) // max(1, x.size))
+        for at in range(0, len(z), some):  # a block of queries meets the whole block at once
+            d = (np.abs(x[None] - z[at : at + some, None]) ** p).sum(2) ** (1 / p)
+            bar = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+            for i in range(len(d)):
+                best = np.flatnonzero(d[i] <= bar[i])  # in key order, so ties go to the smaller key
+                best = best[np.argsort(d[i, best], kind="stable")[:k]]
+                take.append(best)
+                distance.append(d[i, best])
+                row.append(np.full(len(best), at + i))
+        take, row = np.concatenate(take), np.concatenate(row)
+        return pa.table([b.column("q").take(pa.array(row)), a.column("tk").take(pa.array(take)), pa.array(np.concatenate(distance)), a.column("y").take(pa.array(take))], schema=schema)
 
-    found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInPandas(near, f"q {kind}, tk {kind}, d double, y double")
+    found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(near, f"q {kind}, tk {kind}, d double, y double")
     w = Window.partitionBy("q").orderBy("d", "tk")
     top = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     if weights == "distance":

@@ -4,11 +4,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import first_share, running_before
+
 
 def shuffled(seed: int, key: str) -> Column:
     """A seeded order that any engine can repeat."""
@@ -22,11 +25,9 @@ def stratified_split(df: DataFrame, key: str, cluster: str = "cluster", fraction
     whole table is split with max(fraction, 1/n).
     """
     def divide(frame: DataFrame, by: list[str], share: float, least: int) -> DataFrame:
-        every = Window.partitionBy(*by)
-        w = every.orderBy(shuffled(seed, key), key)
-        n = F.count("*").over(every)
-        place = F.row_number().over(w)
-        return frame.withColumn("split", F.when((n > least) & (place <= F.ceil(F.lit(share) * n)), F.lit("test")).otherwise(F.lit("train")))
+        code = F.conv(F.substring(shuffled(seed, key), 1, 15), 16, 10).cast("long")  # the order of the whole hash, but for ties
+        placed = first_share(frame.withColumn("__md5", shuffled(seed, key)), by, code, ["__md5", key], share)
+        return placed.withColumn("split", F.when((F.col("n") > least) & F.col("first"), F.lit("test")).otherwise(F.lit("train"))).drop("n", "first", "__md5")
 
     out = divide(df, [cluster], fraction, least)
     got = out.agg(F.count_if(F.col("split") == "test").alias("t"), F.count("*").alias("n")).first()
@@ -53,11 +54,17 @@ def assign_folds(df: DataFrame, key: str, k: int = 5, seed: int | None = 42) ->
     """Add ``fold`` 0..k-1 by a seeded hash of the key, or contiguous by key order.
 
     The seeded form is row-wise: no global sort, folds equal in expectation.
+    The contiguous one takes keys that do not repeat.
     """
     if seed is not None:
         code = F.conv(F.substring(shuffled(seed, key), 1, 8), 16, 10).cast("long")
         return df.withColumn("fold", F.pmod(code, F.lit(k)).cast("int"))
-    return df.withColumn("fold", F.ntile(k).over(Window.orderBy(key)) - 1)
+    n = df.count()
+    small, large = divmod(n, k)  # the first ``large`` folds have one row more
+    placed = running_before(df.withColumn("__one", F.lit(1).cast("long")), key, ["__one"])
+    at, edge = F.col("__one_before"), large * (small + 1)
+    fold = F.when(at < edge, F.floor(at / (small + 1))).otherwise(large + F.floor((at - edge) / max(1, small)))
+    return placed.withColumn("fold", fold.cast("int")).drop("__one", "__one_before")
 
 
 def embed(vectors: DataFrame, features: str = "features", dims: int = 2) -> DataFrame:
@@ -129,13 +136,23 @@ def silhouette(df: DataFrame, key: str, point: str = "embedding", label: str = "
     return per.select(F.col("id").alias(key), F.col("label").alias(label), value.alias("silhouette"))
 
 
-def choose_k(embedded: DataFrame, key: str, least: int = 2, most: int = 10, seed: int = 60) -> tuple[int, dict[int, float]]:
-    """k with the greatest silhouette minus Davies-Bouldin, the first at a tie."""
+def mean_silhouette(df: DataFrame, point: str = "embedding", label: str = "cluster") -> float:
+    """Mean silhouette with squared distances, from sums by cluster: one pass, whatever the row count."""
+    frame = df.select(array_to_vector(point).alias("v"), F.col(label).cast("double").alias("c"))
+    return ClusteringEvaluator(featuresCol="v", predictionCol="c", distanceMeasure="squaredEuclidean").evaluate(frame)
+
+
+def choose_k(embedded: DataFrame, key: str, least: int = 2, most: int = 10, seed: int = 60, exact: bool = False) -> tuple[int, dict[int, float]]:
+    """k with the greatest silhouette minus Davies-Bouldin, the first at a tie.
+
+    The silhouette is that of squared distances; ``exact`` asks for plain
+    distances between all pairs of points, for tables of some ten thousand.
+    """
     scores: dict[int, float] = {}
     for k in range(least, most + 1):
         labelled = cluster(embedded, k, seed)
         if labelled.select("cluster").distinct().count() < 2:
             continue
-        mean = silhouette(labelled, key).agg(F.avg("silhouette")).first()[0]
+        mean = silhouette(labelled, key).agg(F.avg("silhouette")).first()[0] if exact else mean_silhouette(labelled)
         scores[k] = mean - davies_bouldin(labelled, key)
     return (max(scores, key=lambda k: (scores[k], -k)) if scores else least), scores
