@@ -277,3 +277,69 @@ def test_oversample_neighbours_of_all_blocks(spark):
     assert len(made) == 90
     assert all(min(v % 10, 10 - v % 10) <= 0.3 + 1e-9 for v in made[:, 0])
     assert sorted(map(tuple, made)) == sorted(tuple(r.features) for r in oversample(df, "id", "x", "y", 1, block=6).where("synthetic").collect())
+
+
+SAME = [
+    ("C[C@H](N)C(=O)O", "N[C@@H](C)C(=O)O"), ("C[C@H](N)C(=O)O", "OC(=O)[C@@H](N)C"), ("[C@H](F)(Cl)Br", "F[C@@H](Cl)Br"), ("F/C=C/F", "F\\C=C\\F"), ("F/C=C\\F", "F\\C=C/F"), ("C(/F)=C/F", "F\\C=C/F"),
+    ("C[C@H](C)O", "CC(C)O"), ("C/C(C)=C/F", "CC(C)=CF"), ("[H]C([H])([H])O", "CO"), ("N[C@@]([H])(C)C(=O)O", "N[C@@H](C)C(=O)O"), ("N[C@]1(F)CCO1", "N[C@@]1(F)OCC1"), ("C[S@](=O)CC", "CC[S@@](=O)C"),
+    ("F/C(Cl)=C/F", "Cl\\C(F)=C/F"), ("F/C=C/1CCCCCCCC1F", "F\\C=C\\1CCCCCCCC1F"),
+]
+OTHER = [
+    ("C[C@H](N)C(=O)O", "C[C@@H](N)C(=O)O"), ("F/C=C/F", "F/C=C\\F"), ("F/C=C/F", "FC=CF"), ("C[C@H](N)C(=O)O", "CC(N)C(=O)O"), ("N[C@]1(F)CCO1", "N[C@@]1(F)CCO1"), ("C[S@](=O)CC", "C[S@@](=O)CC"),
+    ("O[C@H]1CC[C@@H](C)CC1", "O[C@H]1CC[C@H](C)CC1"), ("F/C(Cl)=C/F", "F/C(Cl)=C\\F"),
+]
+
+
+def test_stereo_tells_compounds_apart():
+    from assayframe.functions.molecule import canonical
+
+    assert all(canonical(a) == canonical(b) for a, b in SAME)
+    assert all(canonical(a) != canonical(b) for a, b in OTHER)
+
+
+def written(mol, rng):
+    """Another SMILES of a parsed molecule without stereo: a walk from a random atom in random order."""
+    near = mol.neighbours()
+    marks = {1.0: "-", 1.5: ":", 2.0: "=", 3.0: "#"}
+    seen, tree, back, order = set(), {}, {}, {}
+
+    def walk(i, up):
+        seen.add(i)
+        order[i] = len(order)
+        tree[i] = []
+        for j in rng.sample(list(near[i]), len(near[i])):
+            if j == up:
+                continue
+            if j in seen:
+                if order[j] < order[i]:
+                    back.setdefault(i, []).append(j)
+            else:
+                walk(j, i)
+                tree[i].append(j)
+
+    walk(rng.randrange(len(mol.atoms)), None)
+    rings = {(i, j): 10 + k for k, (i, j) in enumerate((i, j) for i in back for j in back[i])}
+
+    def text(i):
+        symbol, aromatic, charge, isotope, hydrogens = mol.atoms[i]
+        out = f"[{isotope or ''}{symbol.lower() if aromatic else symbol}{f'H{hydrogens}' if hydrogens else ''}{f'{charge:+d}' if charge else ''}]"
+        for (a, b), n in rings.items():
+            if i in (a, b):
+                out += f"{marks[near[a][b]]}%{n}"
+        branches = [marks[near[i][j]] + text(j) for j in tree[i]]
+        return out + "".join(f"({b})" for b in branches[:-1]) + (branches[-1] if branches else "")
+
+    return text(next(iter(order)))
+
+
+def test_a_thousand_writings_of_symmetric_cages():
+    import random
+
+    from assayframe.functions.molecule import canonical, parse
+
+    rng = random.Random(1)
+    cages = ["C12C3C4C1C5C2C3C45", "C1C2CC3CC1CC(C2)C3", "C12C3C4C5C1C6C7C2C8C3C9C4C1C5C6C2C7C8C9C12", "CC(C)(C)C(C(C)(C)C)(C(C)(C)C)C(C(C)(C)C)(C(C)(C)C)C(C)(C)C", "c1ccc2ccccc2c1", "OC1C(O)C(O)C(O)C(O)C1O", "C1CC2CCC1CC2", "O=C(O)c1ccc(N)cc1"]
+    for smiles in cages:
+        mol, want = parse(smiles), canonical(smiles)
+        assert all(canonical(written(mol, rng)) == want for _ in range(125)), smiles
+    assert len({canonical(c) for c in cages}) == len(cages)
