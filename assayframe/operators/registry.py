@@ -26,19 +26,46 @@ SPACES: dict[str, dict[str, Any]] = {
     "knn": {"n_neighbors": (1, 30), "weights": {"uniform", "distance"}, "p": {1, 2}, "metric": {"minkowski", "euclidean", "manhattan"}},
 }
 NULLABLE = {"max_depth", "max_samples"}
+INTEGERS = {"n_estimators", "max_depth", "min_samples_split", "min_samples_leaf", "n_components", "n_neighbors", "p", "max_iter"}
 
 
-def forest_grid(n, depth, split, leaf, features, bootstrap=None, samples=None) -> dict[str, list]:
-    grid = {"n_estimators": n, "max_depth": depth, "min_samples_split": split, "min_samples_leaf": leaf, "max_features": features}
-    return grid | ({"bootstrap": bootstrap} if bootstrap else {}) | ({"max_samples": samples} if samples else {})
-
-
+# Grids by estimator and status.
 GRIDS: dict[str, dict[str, dict[str, list]]] = {
     "random_forest": {
-        "overfit": forest_grid([200, 500], [3, 5, 8, 12], [4, 8, 12], [2, 4, 8], ["sqrt", 0.3, 0.5], [True], [0.7, 0.9]),
-        "underfit": forest_grid([300, 500, 800], [None, 15, 25, 40], [2, 4], [1, 2], ["sqrt", 0.5, 0.7, 1.0], [True, False]),
-        "unstable": forest_grid([500, 800, 1000], [5, 8, 12, 20], [4, 8], [2, 4, 6], ["sqrt", 0.3, 0.5], [True], [0.7, 0.85, 1.0]),
-        "default": forest_grid([200, 400], [5, 10, 15], [2, 4, 8], [1, 2, 4], ["sqrt", 0.5], [True], [0.8, 1.0]),
+        "overfit": {
+            "n_estimators": [200, 500], "max_depth": [3, 5, 8, 12], "min_samples_split": [4, 8, 12], "min_samples_leaf": [2, 4, 8],
+            "max_features": ["sqrt", 0.3, 0.5], "bootstrap": [True], "max_samples": [0.7, 0.9],
+        },
+        "underfit": {
+            "n_estimators": [300, 500, 800], "max_depth": [None, 15, 25, 40], "min_samples_split": [2, 4], "min_samples_leaf": [1, 2],
+            "max_features": ["sqrt", 0.5, 0.7, 1.0], "bootstrap": [True, False],
+        },
+        "unstable": {
+            "n_estimators": [500, 800, 1000], "max_depth": [5, 8, 12, 20], "min_samples_split": [4, 8], "min_samples_leaf": [2, 4, 6],
+            "max_features": ["sqrt", 0.3, 0.5], "bootstrap": [True], "max_samples": [0.7, 0.85, 1.0],
+        },
+        "default": {
+            "n_estimators": [200, 400], "max_depth": [5, 10, 15], "min_samples_split": [2, 4, 8], "min_samples_leaf": [1, 2, 4],
+            "max_features": ["sqrt", 0.5], "bootstrap": [True], "max_samples": [0.8, 1.0],
+        },
+    },
+    "extra_trees": {
+        "overfit": {
+            "n_estimators": [200, 500], "max_depth": [3, 5, 8, 12], "min_samples_split": [4, 8, 12], "min_samples_leaf": [2, 4, 8],
+            "max_features": ["sqrt", 0.3, 0.5],
+        },
+        "underfit": {
+            "n_estimators": [300, 500, 800], "max_depth": [None, 15, 25, 40], "min_samples_split": [2, 4], "min_samples_leaf": [1, 2],
+            "max_features": ["sqrt", 0.5, 0.7, 1.0],
+        },
+        "unstable": {
+            "n_estimators": [500, 800, 1000], "max_depth": [5, 8, 12, 20], "min_samples_split": [4, 8], "min_samples_leaf": [2, 4, 6],
+            "max_features": ["sqrt", 0.3, 0.5],
+        },
+        "default": {
+            "n_estimators": [200, 400], "max_depth": [5, 10, 15], "min_samples_split": [2, 4, 8], "min_samples_leaf": [1, 2, 4],
+            "max_features": ["sqrt", 0.5],
+        },
     },
     "pls": {
         "overfit": {"n_components": [2, 3, 5, 8], "scale": [False, True], "max_iter": [500, 1000]},
@@ -59,7 +86,7 @@ GRIDS: dict[str, dict[str, dict[str, list]]] = {
         "default": {"n_neighbors": [3, 5, 7, 9], "weights": ["uniform", "distance"], "p": [2], "metric": ["minkowski"]},
     },
 }
-GRIDS["extra_trees"] = {s: {k: v for k, v in g.items() if k not in ("bootstrap", "max_samples")} for s, g in GRIDS["random_forest"].items()}
+SLUGS = {"random_forest": "rf", "pls": "pls", "extra_trees": "et", "svr": "svr", "knn": "knn"}
 
 
 def grid_for(estimator: str, status: str) -> dict[str, list]:
@@ -69,10 +96,10 @@ def grid_for(estimator: str, status: str) -> dict[str, list]:
 
 def create(estimator: str, params: dict | None = None, seed: int = 42):
     """A fresh estimator; explicit None values are kept."""
+    if estimator not in NAMES:
+        raise ValueError(f"unknown estimator {estimator!r}; one of {', '.join(NAMES)}")
     p = DEFAULTS[estimator] | (params or {})
     kinds = {"random_forest": lambda: Forest(**p, seed=seed), "extra_trees": lambda: Forest(**p, extra=True, seed=seed), "pls": lambda: PLS(**p), "svr": lambda: SVR(**p), "knn": lambda: KNN(**p)}
-    if estimator not in kinds:
-        raise ValueError(f"unknown estimator {estimator!r}; one of {', '.join(NAMES)}")
     return kinds[estimator]()
 
 
@@ -85,15 +112,18 @@ def normalise(name: str, value: Any) -> Any:
     if isinstance(value, str):
         for kind in (int, float):
             try:
-                return kind(value)
+                value = kind(value)
+                break
             except ValueError:
                 continue
-    return int(value) if isinstance(value, float) and value.is_integer() and name in ("n_estimators", "max_depth", "min_samples_split", "min_samples_leaf", "n_components", "n_neighbors", "p", "max_iter") else value
+    return int(value) if isinstance(value, float) and value.is_integer() and name in INTEGERS else value
 
 
 def allowed(name: str, rule: Any, value: Any) -> bool:
     if value is None:
         return name in NULLABLE
+    if name in INTEGERS and (isinstance(value, bool) or not isinstance(value, int)):
+        return False
     if isinstance(rule, set):
         return any(type(v) is type(value) and v == value or (not isinstance(v, (str, bool)) and not isinstance(value, (str, bool)) and v == value) for v in rule)
     if isinstance(rule[0], set):

@@ -343,3 +343,68 @@ def test_a_thousand_writings_of_symmetric_cages():
         mol, want = parse(smiles), canonical(smiles)
         assert all(canonical(written(mol, rng)) == want for _ in range(125)), smiles
     assert len({canonical(c) for c in cages}) == len(cages)
+
+
+def test_registry_tells_whole_numbers_from_others():
+    from assayframe.operators import registry
+
+    grid, notes = registry.sanitise("random_forest", {"n_estimators": [150.5, "200", 300.0, True], "max_depth": ["None", 7.5, "8"], "max_features": [1.0, "sqrt", 2]}, 10, 100)
+    assert grid == {"n_estimators": [200, 300], "max_depth": [None, 8], "max_features": [1.0, "sqrt"]} and len(notes) == 4
+    grid, _ = registry.sanitise("pls", {"n_components": ["3.0", 2.5, 4], "scale": ["yes", "false"]}, 10, 100)
+    assert grid == {"n_components": [3, 4], "scale": [True, False]}
+    for estimator in registry.NAMES:
+        with pytest.raises(TypeError):
+            registry.create(estimator, {"no_such_parameter": 1})
+    with pytest.raises(ValueError):
+        registry.create("linear")
+    assert [registry.SLUGS[e] for e in registry.NAMES] == ["rf", "pls", "et", "svr", "knn"]
+
+
+def plain_gain(t, k, criterion):
+    def error(part):
+        if criterion == "squared_error":
+            return ((part - part.mean()) ** 2).sum()
+        if criterion == "absolute_error":
+            return np.abs(part - np.median(part)).sum()
+        return -(part * np.log(part.mean())).sum() if part.sum() > 0 else np.inf
+
+    return error(t) - error(t[:k]) - error(t[k:])
+
+
+def test_criteria_equal_plain_sums():
+    from assayframe.kernels.trees import Criterion, Forest
+
+    rng = np.random.default_rng(3)
+    for criterion in ("squared_error", "absolute_error", "poisson"):
+        for _ in range(10):
+            t = rng.poisson(2.0, 12).astype(float)
+            t[0] += 1
+            assert np.allclose(Criterion(criterion).gains(t), [plain_gain(t, k, criterion) for k in range(1, 12)], atol=1e-9)
+    x, y = rng.normal(size=(60, 3)), rng.poisson(3.0, 60).astype(float)
+    fits = [Forest(10, criterion=c, seed=1).fit(x, y).predict(x) for c in ("squared_error", "absolute_error", "poisson")]
+    assert not np.allclose(fits[0], fits[1]) and not np.allclose(fits[0], fits[2])
+    with pytest.raises(ValueError):
+        Forest(2, criterion="poisson").fit(x, y - 10)
+    with pytest.raises(ValueError):
+        Forest(2, criterion="gini").fit(x, y)
+    plain, drawn = (Forest(10, extra=True, bootstrap=b, seed=1).fit(x, y).predict(x) for b in (None, True))
+    assert not np.allclose(plain, drawn) and np.allclose(plain, Forest(10, extra=True, bootstrap=False, seed=1).fit(x, y).predict(x))
+
+
+def test_svr_meets_the_conditions_of_its_optimum():
+    from assayframe.kernels.linear import SVR
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(80, 4))
+    y = 100 + x @ [1.0, -2.0, 0.5, 0.0] + 0.3 * rng.normal(size=80)
+    for kernel, c in (("linear", 1.0), ("rbf", 5.0), ("poly", 0.5)):
+        m = SVR(C=c, kernel=kernel, epsilon=0.2, tol=1e-6).fit(x, y)
+        assert abs(m.beta.sum()) < 1e-6 and np.abs(m.beta).max() <= c + 1e-9  # the bias is free
+        miss = y - m.predict(x)
+        full = np.zeros(80)
+        full[[int(np.flatnonzero((x == v).all(1))[0]) for v in m.x]] = m.beta
+        inside, free, bound = full == 0, (full != 0) & (np.abs(full) < c - 1e-6), np.abs(full) >= c - 1e-6
+        assert (np.abs(miss[inside]) <= 0.2 + 1e-4).all() and np.allclose(np.abs(miss[free]), 0.2, atol=1e-4) and (np.abs(miss[bound]) >= 0.2 - 1e-4).all()
+    line = SVR(C=100.0, kernel="linear", epsilon=0.0, tol=1e-9).fit(np.arange(10.0)[:, None], 3 * np.arange(10.0) + 50)
+    assert np.allclose(line.predict(np.array([[20.0], [-5.0]])), [110.0, 35.0], atol=1e-4)
+    assert SVR().fit(x, np.full(80, 7.0)).predict(x[:2]).tolist() == [7.0, 7.0]
