@@ -34,7 +34,7 @@ SLOTS = 128
 SHINGLE = 5
 #: similarity at least NUM / DEN
 NUM, DEN = 80, 100
-POSTINGS_A_PART = 1_500_000
+POSTINGS_A_PART = 1_000_000
 #: partners that a node tries first, and rounds in which components meet the largest of each list
 FIRST_PARTNERS = 2
 HUB_ROUNDS = 1

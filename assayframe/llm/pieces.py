@@ -27,7 +27,7 @@ from .textnp import BASE, INVERSE, U, chunks, mix, powers, ragged, text_buffer
 
 MARK = "▁"
 NORMAL, UNKNOWN, USER_DEFINED, BYTE_PIECE = 1, 2, 4, 6
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 PRESENT_BITS = 20
 _models: dict[str, "Pieces"] = {}
 
