@@ -31,13 +31,13 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import catalog_models, catalog_reports  # noqa: F401  these register their queries
+    from . import catalog_branches, catalog_models, catalog_reports  # noqa: F401  these register their queries
 
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_models, catalog_reports  # noqa: F401
+    from . import catalog_branches, catalog_models, catalog_reports  # noqa: F401
 
     return ORACLES
 
@@ -284,9 +284,17 @@ def corr_prune_simple(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(g,) for g in gone], "descriptor string")
 
 
-@query("corr_prune_greedy")
+GREEDY = f"""WITH RECURSIVE {PAIRS}, tc AS (SELECT i, abs(corr(v, label)) AS t FROM e GROUP BY 1),
+o AS (SELECT row_number() OVER (ORDER BY abs(r) DESC, i, j) AS k, {NAME.format('i')} AS first, {NAME.format('j')} AS second, (SELECT t FROM tc WHERE tc.i = corrs.i) AS ti, (SELECT t FROM tc WHERE tc.i = corrs.j) AS tj FROM corrs WHERE abs(r) > 0.08),
+l AS (SELECT k, first, second, CASE WHEN ti < tj THEN first ELSE second END AS lose, CASE WHEN ti < tj THEN second ELSE first END AS win FROM o),
+g(k, gone, because) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[] UNION ALL SELECT l.k, CASE WHEN list_contains(gone, first) OR list_contains(gone, second) THEN gone ELSE list_append(gone, lose) END,
+CASE WHEN list_contains(gone, first) OR list_contains(gone, second) THEN because ELSE list_append(because, win) END FROM g JOIN l ON l.k = g.k + 1)
+SELECT unnest(gone) AS dropped, unnest(because) AS because_of FROM g WHERE k = (SELECT max(k) FROM g)"""
+
+
+@query("corr_prune_greedy", GREEDY)
 def corr_prune_greedy(spark: SparkSession, d: str) -> DataFrame:
-    """The greedy rule depends on order; tests check it against a plain loop."""
+    """Pairs by falling correlation; of each the one farther from the target goes, unless either is gone."""
     e = read(spark, d, "embeddings")
     n = dims_of(e, "embedding")
     r = colstats.correlation(e, "embedding", n, extra="label")

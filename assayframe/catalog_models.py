@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .catalog import dims_of, embedding_names, predictions, query, read
 from .operators import search, split
+from .oracle_pls import pls_sql
 from .operators.scalable import pls_fit
 
 
@@ -37,7 +38,7 @@ def kmeans_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query("choose_clusters")
 def choose_clusters(spark: SparkSession, d: str) -> DataFrame:
-    best, scores = split.choose_k(split.embed(embeddings(spark, d)), "vec_id", 2, 4)
+    best, scores = split.choose_k(split.embed(embeddings(spark, d)), "vec_id")
     return spark.createDataFrame([(k, float(s), k == best) for k, s in scores.items()], "k int, score double, chosen boolean")
 
 
@@ -48,7 +49,7 @@ def rf_fit_predict(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(p).select("p_partkey", "split", F.round("predicted", 6).alias("predicted"))
 
 
-@query("pls_fit_predict")
+@query("pls_fit_predict", pls_sql(3))
 def pls_fit_predict(spark: SparkSession, d: str) -> DataFrame:
     e = embeddings(spark, d)
     model = pls_fit(e, "features", "label", dims_of(e, "features"), 3)
@@ -57,18 +58,18 @@ def pls_fit_predict(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sfs_select")
 def sfs_select(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(search.forward_selection(spark, training(spark, d), "pls", {"n_components": 3}, most=3))
+    return spark.createDataFrame(search.forward_selection(spark, training(spark, d), "pls", {"n_components": 3}))
 
 
 @query("ga_select")
 def ga_select(spark: SparkSession, d: str) -> DataFrame:
-    best, history = search.genetic_selection(spark, training(spark, d), 4, "pls", {"n_components": 3}, population=12, generations=4)
+    best, history = search.genetic_selection(spark, training(spark, d), 4, "pls", {"n_components": 3})
     return spark.createDataFrame(history).withColumn("selected", F.array(*map(F.lit, best)))
 
 
 @query("hpo_rounds")
 def hpo_rounds(spark: SparkSession, d: str) -> DataFrame:
-    found = search.tune(spark, training(spark, d), "pls", rounds=2, cap=12)
+    found = search.tune(spark, training(spark, d), "pls")
     rows = [(s["source"], s["mean_train_r2"], s["mean_cv_r2"], s["std_cv_r2"], s["status"], s is found.chosen) for s in found.summaries]
     return spark.createDataFrame(rows, "source string, mean_train_r2 double, mean_cv_r2 double, std_cv_r2 double, status string, selected boolean")
 

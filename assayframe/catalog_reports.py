@@ -8,6 +8,7 @@ from .catalog import CANDIDATES, DOMAIN, WIDE, candidates, one_feature, part_lon
 from .catalog_models import ga_select, hpo_rounds, sfs_select, training
 from .functions.scalars import r6
 from .operators import colstats, domain, plots, registry, search, select
+from .operators.branches import unique_branches
 from .operators.oversample import oversample
 
 
@@ -54,12 +55,13 @@ def ad_id_lists(spark: SparkSession, d: str) -> DataFrame:
     return flagged.groupBy("applicability_domain").agg(F.concat(F.lit("["), F.array_join(ids.cast("array<string>"), ", "), F.lit("]")).alias("ids"))
 
 
-@query("branches_unique", "SELECT p_brand AS branch, min(p_partkey) AS first_key FROM (SELECT * FROM part WHERE p_size > 10 UNION ALL SELECT * FROM part WHERE p_size <= 30) GROUP BY 1")
+@query("branches_unique", """SELECT branch, p_partkey AS first_key FROM (SELECT p_brand AS branch, p_partkey, 0 AS l FROM part WHERE p_size > 45 UNION ALL SELECT p_brand, p_partkey, 1 FROM part WHERE p_size <= 30)
+QUALIFY row_number() OVER (PARTITION BY branch ORDER BY l, p_partkey) = 1""")
 def branches_unique(spark: SparkSession, d: str) -> DataFrame:
     """Union of branch lists, the first of each name kept."""
-    part = read(spark, d, "part")
-    both = part.where("p_size > 10").unionByName(part.where("p_size <= 30"))
-    return both.groupBy(F.col("p_brand").alias("branch")).agg(F.min("p_partkey").alias("first_key"))
+    part = read(spark, d, "part").select(F.col("p_brand").alias("branch"), F.col("p_partkey").alias("place"), "p_size")
+    lists = [part.where("p_size > 45").drop("p_size"), part.where("p_size <= 30").drop("p_size")]
+    return unique_branches(lists).select("branch", F.col("place").alias("first_key"))
 
 
 @query("feature_list_concat", "SELECT p_partkey, p_brand || '|' || p_type AS features FROM part")
@@ -79,7 +81,30 @@ def latest_per_conversation(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max_by("role", "turn").alias("last_role"))
 
 
-@query("grid_sizes")
+# Combinations of the grids, as products of their lists and after the longest lists lost their middle values.
+GRID_SIZES = """('random_forest', 'overfit', 432, 96, false),
+('random_forest', 'underfit', 384, 96, false),
+('random_forest', 'unstable', 648, 96, false),
+('random_forest', 'default', 216, 96, false),
+('pls', 'overfit', 16, 16, false),
+('pls', 'underfit', 16, 16, false),
+('pls', 'unstable', 4, 4, false),
+('pls', 'default', 6, 6, false),
+('extra_trees', 'overfit', 216, 108, false),
+('extra_trees', 'underfit', 192, 108, false),
+('extra_trees', 'unstable', 216, 108, false),
+('extra_trees', 'default', 108, 108, false),
+('svr', 'overfit', 54, 54, false),
+('svr', 'underfit', 54, 54, false),
+('svr', 'unstable', 18, 18, false),
+('svr', 'default', 72, 72, false),
+('knn', 'overfit', 3, 3, false),
+('knn', 'underfit', 24, 24, false),
+('knn', 'unstable', 4, 4, false),
+('knn', 'default', 8, 8, false)"""
+
+
+@query("grid_sizes", f"SELECT * FROM (VALUES {GRID_SIZES}) g(estimator, status, n_all, n_kept, randomized)")
 def grid_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Combinations of each estimator's grid by status, before and after shrinking to 120."""
     rows = []

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import generated_id, squeeze, to_number
+from ..sources.tables import staged
 from .ranks import exact_median
 
 META = ("compound_id", "canonical_smiles", "activity", "original_row_index")
@@ -93,8 +94,8 @@ def activity_stats(clean: DataFrame) -> DataFrame:
 
 def validate(df: DataFrame, structure: str, activity: str, compound_id: str | None = None, min_valid: int = 20, **kw) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
     """(clean, invalid, duplicate) tables and the report; raises on too few."""
-    marked = mark(df, structure, activity, compound_id, **kw)
-    clean = keep_first(marked)
+    marked = staged(mark(df, structure, activity, compound_id, **kw), "marked")
+    clean = staged(keep_first(marked), "clean")
     report = {**counts(marked).first().asDict(), **activity_stats(clean).first().asDict()}
     if report["valid_rows"] < min_valid:
         raise ValueError(f"Too few valid compounds: {report['valid_rows']} < {min_valid}")

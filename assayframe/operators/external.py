@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import strip_id, to_number
 from .clean import META
 
+#: the order of an external table's rows, unless another column is named
+ORDINAL = "external_row_index"
 STRUCTURE_ALIASES = ("smiles", "SMILES", "Smiles")
 ID_NAMES = ("compound_id", "Compound_ID", "CompoundID", "id", "ID", "mol_id", "name", "Name")
 
@@ -51,13 +53,15 @@ def merge_external(generated: DataFrame, external: DataFrame, ordinal: str | Non
     """Left join on compound_id, or on the structure where no id matches.
 
     The side joined is keyed once and left to the optimizer: it is broadcast
-    only if its measured size allows.
+    only if its measured size allows.  Of rows with one key the first by
+    ``ordinal`` (or ORDINAL, which readers can add) stays; a table without any
+    has no order, and there the least row by its values stays.
     """
     if "compound_id" not in external.columns:
         raise ValueError(f"External table needs a compound_id column; did you mean {suggest_id_column(external.columns)!r}?")
-    order = ordinal or "__order"
-    if not ordinal:
-        external = external.withColumn(order, F.monotonically_increasing_id())
+    order = ordinal or (ORDINAL if ORDINAL in external.columns else "__order")
+    if order not in external.columns:
+        external = external.withColumn(order, F.lit(0))
     alias = next((c for c in STRUCTURE_ALIASES if c in external.columns), None)
     drop = [c for c in external.columns if c in META and c != "compound_id"]
     features = [c for c in external.columns if c not in (*META, alias, order)]

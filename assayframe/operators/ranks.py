@@ -45,15 +45,14 @@ def first_share(df: DataFrame, by: list[str], order: Column, ties: list[str], sh
     ``order`` is numeric and not null.
     """
     keyed = df.withColumn("__order", order)
-    found = bracket(keyed, by, F.col("__order"), share)
-    below = keyed.join(found, by).groupBy(*by).agg(F.count_if(F.col("__order") < F.col("lo")).alias("below"))
-    placed = keyed.join(found.join(below, by), by)
+    joined = keyed.join(bracket(keyed, by, F.col("__order"), share), by)
+    below = joined.groupBy(*by).agg(F.count_if(F.col("__order") < F.col("lo")).alias("below"))
     lot = F.col("__order").between(F.col("lo"), F.col("hi"))
-    inside, outside = placed.where(lot), placed.where(~lot)
-    place = F.col("below") + F.row_number().over(Window.partitionBy(*by).orderBy("__order", *ties))
-    inside = inside.withColumn("first", place <= F.ceil(F.lit(share) * F.col("n")))
-    both = inside.unionByName(outside.withColumn("first", F.col("__order") < F.col("lo")))
-    return both.drop("__order", "lo", "hi", "below")
+    # rows outside the bracket need no order: they go to windows of their own, many and small
+    window = Window.partitionBy(*by, F.when(lot, -1).otherwise(F.pmod(F.xxhash64(*ties), F.lit(4096)))).orderBy("__order", *ties)
+    placed = joined.withColumn("__place", F.row_number().over(window)).join(below, by)
+    inside = F.col("below") + F.col("__place") <= F.ceil(F.lit(share) * F.col("n"))
+    return placed.withColumn("first", F.when(lot, inside).otherwise(F.col("__order") < F.col("lo"))).drop("__order", "__place", "lo", "hi", "below")
 
 
 def cut_points(df: DataFrame, order: str, parts: int = 64) -> list:

@@ -4,15 +4,14 @@ from __future__ import annotations
 import json
 import time
 from dataclasses import asdict, dataclass, field
-from pathlib import Path
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.molecule import canonical_column, descriptor_table
+from ..operators import branches as branching
 from ..operators import clean, colstats, domain, evaluate, external, registry, search, split
-from ..sources import tables
+from ..sources import models, tables
 
 STAGES = (
     "validation", "descriptors", "external_merge", "embedding", "split", "preprocessing", "feature_selection", "feature_count", "genetic_selection",
@@ -43,6 +42,8 @@ class Config:
     params: dict = field(default_factory=dict)
     fallbacks: tuple[str, ...] = ("pls", "extra_trees", "svr", "knn")
     expand_by: int = 2
+    tuning: bool = True
+    fallback: bool = True
 
 
 @dataclass
@@ -51,6 +52,7 @@ class Run:
     log: list[dict] = field(default_factory=list)
     report: dict = field(default_factory=dict)
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    scorer: models.Scorer | None = None
 
     def stage(self, name: str, work, callback=None):
         """Run one stage and keep its status and seconds."""
@@ -70,22 +72,28 @@ class Run:
                 callback(dict(entry))
 
 
-def branch(spark: SparkSession, data: search.Training, c: Config, estimator: str, params: dict, base: bool) -> dict:
-    """Selection, count, genetic search and tuning of one estimator."""
+def branch(spark: SparkSession, data: search.Training, c: Config, estimator: str, params: dict, base: bool, proposer=None) -> dict:
+    """Selection, count, genetic search and tuning of one estimator.
+
+    ``expansion`` is the wider branch, or None with the reason in ``skipped``.
+    """
+    rounds = c.rounds if c.tuning else 0
     sfs = search.forward_selection(spark, data, estimator, params, min(c.sfs_features, len(data.names)))
     k = search.one_se(sfs)
     chosen, history = search.genetic_selection(spark, data, k, estimator, params, population=c.population, generations=c.generations, seed=c.seed)
     part = search.Training(data.x[:, [data.names.index(n) for n in chosen]], data.y, chosen, data.folds)
-    tuned = search.tune(spark, part, estimator, c.rounds, c.cap)
+    tuned = search.tune(spark, part, estimator, rounds, c.cap, proposer)
     out = {"estimator": estimator, "features": chosen, "sfs": sfs, "history": history, "summaries": tuned.summaries, "is_expansion": False, **tuned.chosen}
     free = len(data.names) - len(chosen)
-    if tuned.chosen["status"] == "good" or free < c.expand_by or not c.expand_by:
+    reasons = (("disabled", not c.expand_by), ("branch is acceptable", tuned.chosen["status"] == "good"), ("no descriptor is left", not free), (f"fewer than {c.expand_by} descriptors are left", free < c.expand_by))
+    out["skipped"] = next((reason for reason, holds in reasons if holds), None)
+    if out["skipped"]:
         out["expansion"] = None
         return out
     used = tuned.chosen["params"] if base else {}  # other estimators expand with their defaults
     more, _ = search.genetic_selection(spark, data, c.expand_by, estimator, used, fixed=chosen, population=c.population, generations=c.generations, seed=c.seed)
     wide = search.Training(data.x[:, [data.names.index(n) for n in more]], data.y, more, data.folds)
-    again = search.tune(spark, wide, estimator, c.rounds, c.cap)
+    again = search.tune(spark, wide, estimator, rounds, c.cap, proposer)
     out["expansion"] = {"estimator": estimator, "features": more, "summaries": again.summaries, "is_expansion": True, **again.chosen}
     return out
 
@@ -102,111 +110,162 @@ def cross_model(branches: list[dict]) -> dict:
     return min(near, key=lambda b: b["simplicity"])
 
 
-def run(spark: SparkSession, raw: DataFrame, config: Config | None = None, extra: DataFrame | None = None, out_dir: str | None = None, callback=None) -> Run:
-    """All stages; ``raw`` needs the ordinal that ``tables.read_csv`` adds."""
+def run(spark: SparkSession, raw: DataFrame, config: Config | None = None, extra: DataFrame | None = None, out_dir: str | None = None, callback=None, proposer=None) -> Run:
+    """All stages; ``raw`` needs the ordinal that ``tables.read_csv`` adds.
+
+    ``proposer(estimator, status, summaries)`` may give the grids of the tuning
+    rounds.  A fallback branch that fails is reported and the others go on.
+    """
     c = config or Config()
     r = Run(c)
     step = lambda name, work: r.stage(name, work, callback)
+    keep = tables.staged
     rows, invalid, dups, report = step("validation", lambda: clean.validate(raw, c.structure, c.activity, c.compound_id, c.min_valid, canonical=canonical_column))
     r.report["validation"] = report
     source = raw.select(F.col("original_row_index").cast("long").alias("original_row_index"), F.col(c.structure).alias("__smiles"))
-    rows = rows.join(source, "original_row_index").persist()
+    rows = keep(rows.join(source, "original_row_index"), "rows")
     r.tables |= {"invalid": invalid, "duplicates": dups}
-    long = step("descriptors", lambda: descriptor_table(rows, "compound_id", "__smiles").persist())
+    long = step("descriptors", lambda: keep(descriptor_table(rows, "compound_id", "__smiles"), "descriptors"))
 
     def merge() -> DataFrame:
         if extra is None:
             return long
         m = external.merge_external(rows.select(*clean.META), extra)
         r.report["external"] = {"key": m.key, "warnings": m.warnings}
-        return long.unionByName(colstats.to_long(m.table, "compound_id", m.features))
+        return keep(long.unionByName(colstats.to_long(m.table, "compound_id", m.features)), "merged")
 
     long = step("external_merge", merge)
 
     def embed() -> DataFrame:
-        fitted = colstats.filter_reasons(long, 1.0, 0.0)
-        vectors = colstats.to_vectors(colstats.zscore(long, fitted), "compound_id")
-        return split.embed(vectors).persist()
+        fitted = keep(colstats.filter_reasons(long, 1.0, 0.0), "provisional")
+        vectors = keep(colstats.to_vectors(colstats.zscore(long, fitted), "compound_id"), "provisional-vectors")
+        return keep(split.embed(vectors), "embedding")
 
     embedded = step("embedding", embed)
 
     def divide() -> DataFrame:
         k, scores = split.choose_k(embedded, "compound_id", *c.k_range, c.cluster_seed)
         r.report["clusters"] = {"k": k, "scores": scores}
-        parts = split.stratified_split(split.cluster(embedded, k, c.cluster_seed), "compound_id", fraction=c.test_fraction, seed=c.seed)
-        parts = parts.select("compound_id", "embedding", "cluster", "split").persist()
+        placed = keep(split.cluster(embedded, k, c.cluster_seed), "clusters")
+        parts = split.stratified_split(placed, "compound_id", fraction=c.test_fraction, seed=c.seed)
+        parts = keep(parts.select("compound_id", "embedding", "cluster", "split"), "split")
         split.check_split(parts, "compound_id")
         return parts
 
     parts = step("split", divide)
 
     def preprocess() -> tuple[DataFrame, list[str]]:
-        train = long.join(parts.where("split = 'train'").select("compound_id"), "compound_id")
-        fitted = colstats.filter_reasons(train, c.max_missing, c.min_std).persist()
+        train = keep(long.join(parts.where("split = 'train'").select("compound_id"), "compound_id"), "train")
+        fitted = keep(colstats.filter_reasons(train, c.max_missing, c.min_std), "fitted")
         z = colstats.zscore(long, fitted)
         names = [x[0] for x in fitted.where("reason is null").select("descriptor").orderBy("descriptor").collect()]
         if not names:
             raise ValueError("no descriptor is left after the filters")
-        vectors = colstats.to_vectors(z, "compound_id").join(rows.select("compound_id", "activity"), "compound_id").join(parts.select("compound_id", "split"), "compound_id")
+        vectors = keep(colstats.to_vectors(z, "compound_id").join(rows.select("compound_id", "activity"), "compound_id").join(parts.select("compound_id", "split"), "compound_id"), "vectors")
         corr = colstats.correlation(vectors.where("split = 'train'"), "features", len(names), "activity")
         gone = dict(colstats.greedy_prune(corr[:-1, :-1], corr[:-1, -1], names, c.max_corr))
         r.report["removed"] = {x["descriptor"]: x["reason"] for x in fitted.where("reason is not null").collect()} | {k: f"correlated_with_{v}" for k, v in gone.items()}
         kept = [n for n in names if n not in gone]
-        wide = vectors.select("compound_id", "activity", "split", *[F.col("features")[names.index(n)].alias(n) for n in kept]).persist()
-        return wide, kept
+        wide = keep(vectors.select("compound_id", "activity", "split", *[F.col("features")[names.index(n)].alias(n) for n in kept]), "matrix")
+        return wide, kept, fitted
 
-    wide, names = step("preprocessing", preprocess)
+    wide, names, fitted = step("preprocessing", preprocess)
     data = search.Training.load(wide.where("split = 'train'"), "compound_id", names, "activity", c.folds, c.seed)
-    first = step("feature_selection", lambda: branch(spark, data, c, c.estimator, c.params, True))
+    first = step("feature_selection", lambda: branch(spark, data, c, c.estimator, c.params, True, proposer))
     step("feature_count", lambda: r.report.update(features=first["features"]))
     step("genetic_selection", lambda: r.tables.update(ga_history=spark.createDataFrame(first["history"])))
     step("baseline_cv", lambda: r.report.update(baseline=first["summaries"][0]))
     step("tuning", lambda: r.report.update(rounds=first["summaries"][1:]))
     step("expansion", lambda: r.report.update(expansion=bool(first["expansion"])))
-    others = step("fallback", lambda: [] if first["status"] == "good" else [branch(spark, data, c, e, {}, False) for e in c.fallbacks if e != c.estimator])
+
+    def fall_back() -> list[dict]:
+        out: list[dict] = []
+        if first["status"] == "good" or not c.fallback:
+            return out
+        for e in c.fallbacks:
+            if e != c.estimator:
+                try:
+                    out.append(branch(spark, data, c, e, {}, False, proposer))
+                except Exception as error:  # the run has other branches
+                    r.report.setdefault("failed_branches", {})[e] = str(error)
+        return out
+
+    others = step("fallback", fall_back)
     winner = step("cross_model_selection", lambda: cross_model([first, *others]))
     r.report["winner"] = {k: winner[k] for k in ("estimator", "features", "params", "status", "mean_cv_r2", "std_cv_r2", "is_expansion")}
     r.report["branches"] = [{k: b[k] for k in ("estimator", "source", "mean_cv_r2", "gap", "status", "is_expansion")} for x in [first, *others] for b in (x, x["expansion"]) if b]
+    r.report["skipped_expansions"] = {x["estimator"]: x["skipped"] for x in [first, *others] if x["skipped"]}
 
     def final() -> DataFrame:
+        table = branching.branch_table(spark, [first, *others])
+        predicted = keep(branching.branch_predictions(spark, table, data, wide, seed=c.seed), "branch-predictions")
+        judged = branching.branch_evaluation(predicted.join(table.select("branch", "status"), "branch"))
+        r.tables["branch_evaluation"] = judged.drop("acceptable", "place").join(table.drop("place"), "branch")
+        chosen = spark.createDataFrame([(winner["estimator"], winner["is_expansion"], winner["features"])], "estimator string, is_expansion boolean, features array<string>")
+        r.report["winner_branch"] = branching.match_winner(table, chosen).first()["branch"]
         at = [data.names.index(n) for n in winner["features"]]
         model = registry.create(winner["estimator"], winner["params"], c.seed).fit(data.x[:, at], data.y)
-        lot = spark.sparkContext.broadcast(model)
-        cols = winner["features"]
-
-        def score(batches):
-            for pdf in batches:
-                yield pdf.assign(predicted=lot.value.predict(np.stack(pdf["x"].to_numpy())))
-
-        ready = wide.select("compound_id", "activity", "split", F.array(*cols).alias("x"))
-        scored = ready.mapInPandas(score, "compound_id string, activity double, split string, x array<double>, predicted double").persist()
+        r.scorer = models.Scorer(winner["estimator"], winner["params"], winner["features"], fitted.where("reason is null").select("descriptor", "median", "mean", "scale", "reason"), model)
+        ready = wide.select("compound_id", "activity", "split", F.array(*winner["features"]).alias("x"))
+        scored = keep(r.scorer.predict(ready, "x"), "predictions")
         r.report["metrics"] = [x.asDict() for x in evaluate.regression_metrics(scored, ["split"]).orderBy("split").collect()]
         return scored
 
     scored = step("final_model", final)
-    ad = step("applicability_domain", lambda: domain.applicability(scored, "x", len(winner["features"])).persist())
+    ad = step("applicability_domain", lambda: keep(domain.applicability(scored, "x", len(winner["features"])), "domain"))
     r.report["domain"] = [x.asDict() for x in domain.domain_summary(ad).orderBy("split").collect()]
     r.tables |= {"clean": rows.drop("__smiles"), "split": parts, "matrix": wide, "predictions": scored.drop("x"), "applicability_domain": ad.drop("x"), "stage_log": spark.createDataFrame([{"stage": x["stage"], "status": x["status"], "seconds": x["seconds"]} for x in r.log])}
     if out_dir:
         for name, table in r.tables.items():
             tables.write_table(table, f"{out_dir}/{name}")
-        tables.save_json(Path(out_dir) / "report.json", {"config": asdict(c), **r.report})
-        (Path(out_dir) / "report.md").write_text(markdown(r))
+        models.save(spark, f"{out_dir}/final_model", r.scorer)
+        r.report["sfs"] = json.loads(first["sfs"].to_json(orient="records"))
+        models.write_text(spark, f"{out_dir}/report.json", json.dumps({"config": asdict(c), **r.report}, indent=2, default=str))
+        models.write_text(spark, f"{out_dir}/report.md", markdown(r))
     return r
 
 
+def table_of(rows: list[dict], columns: list[str]) -> list[str]:
+    cell = lambda v: f"{v:.3f}" if isinstance(v, float) else str(v)
+    return ["| " + " | ".join(columns) + " |", "|---" * len(columns) + "|", *["| " + " | ".join(cell(x.get(c)) for c in columns) + " |" for x in rows], ""]
+
+
 def markdown(r: Run) -> str:
-    w = r.report["winner"]
-    lines = ["# Model report", "", f"Compounds: {r.report['validation']['valid_rows']}; descriptors removed: {len(r.report['removed'])}.", "", f"Winner: {w['estimator']} on {', '.join(w['features'])} ({w['status']}, CV R2 {w['mean_cv_r2']:.3f} +- {w['std_cv_r2']:.3f}).", "", "| split | n | R2 | RMSE | MAE |", "|---|---|---|---|---|"]
-    lines += [f"| {m['split']} | {m['n']} | {m['r2']:.3f} | {m['rmse']:.3f} | {m['mae']:.3f} |" for m in r.report["metrics"]]
+    """The report: data, descriptors, feature count, tuning, branches, the model and its domain."""
+    w, v = r.report["winner"], r.report["validation"]
+    reasons: dict[str, int] = {}
+    for reason in r.report["removed"].values():
+        kind = next((k for k in ("near_constant", "nonnumeric", "missing", "constant", "correlated") if str(reason).startswith(k)), "other")
+        reasons[kind] = reasons.get(kind, 0) + 1
+    lines = ["# Model report", "", f"Compounds: {v['valid_rows']} of {v['original_rows']} rows; {v['duplicates']} duplicates, {v['invalid_structures']} invalid structures, {v['invalid_activities']} invalid activities.", ""]
+    lines += ["## Descriptors", "", f"Removed: {len(r.report['removed'])}.", "", *table_of([{"reason": k, "n": n} for k, n in sorted(reasons.items())], ["reason", "n"])]
+    if "sfs" in r.report:
+        lines += ["## Feature count", "", *table_of(r.report["sfs"], ["n_features", "mean_train_r2", "mean_cv_r2", "std_cv_r2", "train_r2"])]
+    lines += ["## Tuning", "", *table_of([r.report["baseline"], *r.report["rounds"]], ["source", "mean_train_r2", "mean_cv_r2", "std_cv_r2", "gap", "status"])]
+    lines += ["## Branches", "", *table_of(r.report["branches"], ["estimator", "source", "mean_cv_r2", "gap", "status", "is_expansion"])]
+    lines += [f"No expansion of {e}: {reason}." for e, reason in r.report["skipped_expansions"].items()]
+    lines += [f"Branch {e} failed: {error}" for e, error in r.report.get("failed_branches", {}).items()]
+    lines += ["", "## Model", "", f"Winner: {w['estimator']} on {', '.join(w['features'])} ({w['status']}, CV R2 {w['mean_cv_r2']:.3f} +- {w['std_cv_r2']:.3f}).", "", *table_of(r.report["metrics"], ["split", "n", "r2", "rmse", "mae"])]
+    lines += ["## Applicability domain", "", *table_of(r.report["domain"], ["split", "n", "n_in_domain", "pct_in_domain"])]
     return "\n".join(lines) + "\n"
 
 
-def resume_search(spark: SparkSession, folder: str, estimator: str = "random_forest", rounds: int = 3, cap: int = 120, folds: int = 5) -> search.Search:
-    """Tune again on the stored matrix and features of an earlier run."""
-    report = json.loads((Path(folder) / "report.json").read_text())
-    wide = spark.read.parquet(f"{folder}/matrix")
-    data = search.Training.load(wide.where("split = 'train'"), "compound_id", report["winner"]["features"], "activity", folds, report["config"]["seed"])
-    return search.tune(spark, data, estimator, rounds, cap)
+def score_compounds(spark: SparkSession, folder: str, raw: DataFrame, key: str, smiles: str) -> DataFrame:
+    """(key, features, predicted) of new compounds by a stored run's model; structures that do not parse are left out."""
+    scorer = models.load(spark, f"{folder}/final_model")
+    return scorer.predict(scorer.vectors(descriptor_table(raw, key, smiles), key))
 
 
+def resume_search(spark: SparkSession, folder: str, estimator: str = "random_forest", rounds: int = 3, cap: int = 120, folds: int = 5, proposer=None, final: bool = False) -> search.Search:
+    """Tune again on the stored matrix and features of an earlier run; ``final`` also stores the chosen model in its place."""
+    report = json.loads(models.read_text(spark, f"{folder}/report.json"))
+    wide = spark.read.parquet(f"{folder}/matrix")
+    names = report["winner"]["features"]
+    data = search.Training.load(wide.where("split = 'train'"), "compound_id", names, "activity", folds, report["config"]["seed"])
+    found = search.tune(spark, data, estimator, rounds, cap, proposer)
+    if final:
+        old = models.load(spark, f"{folder}/final_model")
+        model = registry.create(estimator, found.chosen["params"], report["config"]["seed"]).fit(data.x, data.y)
+        fitted = spark.createDataFrame(old.fitted.collect(), old.fitted.schema)  # one row a descriptor; its files are overwritten
+        models.save(spark, f"{folder}/final_model", models.Scorer(estimator, found.chosen["params"], names, fitted, model))
+    return found

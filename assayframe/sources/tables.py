@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,3 +62,22 @@ def save_json(path: str | Path, data: dict) -> None:
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(json.dumps(data, indent=2, default=str))
+
+
+def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """The table written as Parquet and read back: later stages neither repeat its work nor carry its plan.
+
+    It goes to ``folder`` or to ``spark.checkpoint.dir``.  Only a session on
+    one machine that names neither gets a temporary folder.
+    """
+    spark = df.sparkSession
+    root = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="assayframe-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/stages/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

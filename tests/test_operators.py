@@ -408,3 +408,89 @@ def test_svr_meets_the_conditions_of_its_optimum():
     line = SVR(C=100.0, kernel="linear", epsilon=0.0, tol=1e-9).fit(np.arange(10.0)[:, None], 3 * np.arange(10.0) + 50)
     assert np.allclose(line.predict(np.array([[20.0], [-5.0]])), [110.0, 35.0], atol=1e-4)
     assert SVR().fit(x, np.full(80, 7.0)).predict(x[:2]).tolist() == [7.0, 7.0]
+
+
+def test_models_survive_the_store(spark):
+    from assayframe.sources import models
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(50, 3))
+    y = x @ [1.0, 2.0, -1.0] + rng.normal(size=50)
+    for estimator in registry.NAMES:
+        model = registry.create(estimator, {"n_estimators": 7} if "trees" in estimator or "forest" in estimator else {}).fit(x, y)
+        rows = spark.createDataFrame(models.to_rows(model), models.SCHEMA).collect()
+        back = models.from_rows(estimator, [tuple(r) for r in rows])
+        assert np.array_equal(model.predict(x), back.predict(x))
+        if hasattr(model, "importances"):
+            assert np.array_equal(model.importances(), back.importances())
+
+
+def test_vectors_align_with_the_training_descriptors(spark):
+    train = spark.createDataFrame([("a", "p", 1.0), ("b", "p", 3.0), ("a", "q", 10.0), ("b", "q", 30.0), ("a", "r", 5.0), ("b", "r", 7.0)], "k string, descriptor string, value double")
+    fitted = colstats.filter_reasons(train)
+    new = spark.createDataFrame([("x", "q", 20.0), ("x", "other", 9.0), ("y", "r", None), ("y", "p", 1.0), ("z", "other", 1.0)], "k string, descriptor string, value double")
+    got = {r["k"]: r["features"] for r in colstats.aligned(new, "k", fitted).collect()}
+    assert got == {"x": [0.0, 0.0, 0.0], "y": [-1.0, 0.0, 0.0], "z": [0.0, 0.0, 0.0]}
+    assert {r["k"]: r["features"] for r in colstats.aligned(new, "k", fitted, ["r", "p"]).collect()}["y"] == [0.0, -1.0]
+
+
+def test_backend_rows_are_aligned_by_key(spark):
+    import pandas as pd
+
+    from assayframe.operators import backend
+
+    compounds = spark.createDataFrame([("a", "C"), ("b", "CC"), ("c", "bad"), ("d", "CCC")], "id string, smiles string").coalesce(1)
+
+    def program(batches):
+        for pdf in batches:
+            for k, s in zip(pdf["id"], pdf["smiles"]):
+                if k != "d":
+                    yield pd.DataFrame({"id": [k, k], "error": ["broken" if s == "bad" else "", ""], "size": [float(len(s)), 99.0], "odd": [float("inf"), 1.0]})
+
+    out = backend.run_backend(compounds, "id", "smiles", program, ["size", "odd", "absent"])
+    aligned = backend.align_backend(compounds, out, "id")
+    assert sorted(map(tuple, aligned.select("id", "size", "odd", "absent", "backend_status").collect())) == [("a", 1.0, None, None, "ok"), ("b", 2.0, None, None, "ok"), ("c", 3.0, None, None, "error"), ("d", None, None, None, "missing")]
+    assert sorted(map(tuple, backend.backend_report(aligned, "id").collect())) == [("error", 1, "c"), ("missing", 1, "d"), ("ok", 2, "")]
+
+
+def test_order_statistics_of_large_groups(spark, monkeypatch):
+    """Past SMALL only a bracket is put in order; the results are those of a sort."""
+    from assayframe.operators import ranks
+
+    monkeypatch.setattr(ranks, "SMALL", 50)
+    rng = np.random.default_rng(2)
+    rows = [(g, float(v)) for g, vs in (("a", rng.normal(size=3001)), ("b", rng.integers(0, 5, 2000)), ("c", [1.0, 2.0])) for v in vs] + [("d", None), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {g: float(np.median([v for h, v in rows if h == g and v is not None])) for g in "abc"}
+    assert {r["g"]: r["median"] for r in ranks.exact_median(df, ["g"], "v").collect()} == want
+    numbered = df.where("v is not null").selectExpr("g", "v", "row_number() over (order by g, v) as i")
+    for share in (0.2, 0.5, 1.0):
+        first = ranks.first_share(numbered, ["g"], F.col("v"), ["i"], share).where("first").groupBy("g").count().collect()
+        assert {r["g"]: r["count"] for r in first} == {"a": int(np.ceil(share * 3001)), "b": int(np.ceil(share * 2000)), "c": int(np.ceil(share * 2))}
+    chosen = [r["v"] for r in ranks.first_share(numbered, ["g"], F.col("v"), ["i"], 0.2).where("first and g = 'a'").collect()]
+    assert sorted(chosen) == sorted(v for g, v in rows if g == "a" and v is not None)[:601]
+    run = ranks.running_before(spark.range(1000).selectExpr("id * 7 % 1000 as k", "id as n"), "k", ["n"], 8)
+    got = {r["k"]: r["n_before"] for r in run.collect()}
+    values = {i * 7 % 1000: i for i in range(1000)}
+    assert all(got[k] == sum(values[j] for j in range(k)) for k in range(0, 1000, 37))
+    folds = split.assign_folds(spark.range(103).selectExpr("concat('k', lpad(id, 4, '0')) as k"), "k", 5, None).groupBy("fold").count().collect()
+    assert sorted(r["count"] for r in folds) == [20, 20, 21, 21, 21]
+
+
+def test_searches_beyond_the_plain_ones(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 5))
+    y = x[:, 1] + x[:, 3] + 0.1 * rng.normal(size=60)
+    data = search.Training(x, y, list("abcde"), np.arange(60) % 3)
+    best = search.exhaustive_selection(spark, data, 2, "pls", {"n_components": 2})
+    assert len(best) == 10 and best.iloc[0]["selected_features"] == ["b", "d"]
+    with pytest.raises(ValueError):
+        search.exhaustive_selection(spark, data, 2, most=9)
+    front = search.two_objective_selection(spark, data, 2, "pls", {"n_components": 2}, population=8, generations=3)
+    assert front.iloc[0]["selected_features"] == ["b", "d"]
+    classes = search.Training(x, (y > 0).astype(float), data.names, data.folds)
+    sfs = search.forward_selection(spark, classes, "pls", {"n_components": 1}, most=1, scorer="mcc", fixed=["b"])
+    assert sfs.iloc[0]["selected_features"] == ["b", "d"] and 0.5 < sfs.iloc[0]["mean_cv_r2"] <= 1 and 0.5 < sfs.iloc[0]["train_r2"] <= 1
+    assert search.matthews(np.array([1, 1, 0, 0]), np.array([0.9, 0.2, 0.1, 0.3])) == pytest.approx((1 * 2 - 0 * 1) / (1 * 2 * 2 * 3) ** 0.5)
+    some = search.drawn({"a": [1, 2, 3], "b": list("xyzw")}, 5, 1)
+    assert len({tuple(c.items()) for c in some}) == 5 and some == search.drawn({"a": [1, 2, 3], "b": list("xyzw")}, 5, 1)
