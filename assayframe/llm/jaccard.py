@@ -42,6 +42,8 @@ HUB_ROUNDS = 1
 HOT_POSTINGS = 100_000
 LIST_BLOCK = 512
 HOT = 1 << 30
+#: rows of (doc_id, set name, flag) that are broadcast at most: some 25 MB
+BROADCAST_ROWS = 1_000_000
 ORDERS = (U(0x632BE59BD9B4E019), U(0x8CB92BA72F3D8DD7), U(0xAC565AD4ED9B4F3B))
 
 
@@ -420,7 +422,7 @@ def ends(pairs: DataFrame) -> DataFrame:
 
 
 def named_rows(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, fp, n, group (the least doc_id of its similarity group, null without words)."""
+    """One row a document: doc_id, fp, n, component (a set name that its similarity group shares) and group (the group's least doc_id), both null without words."""
     spark = docs.sparkSession
     scanned = common.staged(scan_sets(docs), "jaccard-scan")
     nodes = scanned.where("slot is null").select("doc_id", "fp", "n")
@@ -467,10 +469,11 @@ def named_rows(docs: DataFrame) -> DataFrame:
         done = pairs if done is None else done.unionByName(pairs)
         common.release(spark)
     common.discard(*spent)
-    named = links.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-    groups = connected_components(named.select("ra", "rb"), "ra", "rb")
-    by_fp = reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("group"))
-    return nodes.join(by_fp, "fp", "left").select("doc_id", "fp", "n", F.when(F.col("n") > 0, F.col("group")).alias("group"))
+    comps = connected_components(links).select(F.col("node").alias("fp"), "component")
+    named = common.staged(reps.join(comps, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "jaccard-named")
+    least = named.groupBy("component").agg(F.min("rep").alias("group"))
+    by_fp = named.join(least, "component").select("fp", "component", "group")
+    return nodes.join(by_fp, "fp", "left").select("doc_id", "fp", "n", *[F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("component", "group")])
 
 
 def similarity_groups(docs: DataFrame) -> DataFrame:
@@ -510,16 +513,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     through; an empty table gives no rows.
     """
     rows = common.staged(named_rows(docs), "near-rows")
-    keyed = rows.where("n > 0").groupBy("doc_id", "fp").agg(F.count("*").alias("n_rows"), F.first("group").alias("group"))
-    group = F.coalesce(F.col("group"), F.col("fp"))  # only null ids: the equal texts are the group
-    keyed = keyed.withColumn("group", F.struct(F.col("group").isNull().alias("alone"), group.alias("id")))
-    least = keyed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")).alias("least"))
-    judged = keyed.join(least, "group").select(F.col("doc_id").alias("__doc"), F.col("fp").alias("__set"), "n_rows", (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("fp") == F.col("least.fp"))).alias("__first"))
+    keyed = rows.where("n > 0").groupBy("doc_id", "fp").agg(F.count("*").alias("n_rows"), F.first("component").alias("component"))
+    least = keyed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")).alias("least"))
+    judged = keyed.join(least, "component").select(F.col("doc_id").alias("__doc"), F.col("fp").alias("__set"), "n_rows", (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("fp") == F.col("least.fp"))).alias("__first"))
     judged = common.staged(judged.where("not __first or n_rows > 1").select("__doc", "__set", "__first"), "near-judged")
+    repeated = judged.where("__first")
+    if judged.count() <= BROADCAST_ROWS:  # else the join moves the texts
+        judged = F.broadcast(judged)
     named = docs.withColumn("__name", set_name("text"))
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__name") == F.col("__set"))
     kept = named.join(judged, same, "left_anti").select(*docs.columns)
-    repeated = judged.where("__first")
     if repeated.isEmpty():
         return kept
     plain = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and not t.startswith(("map", "variant"))]

@@ -428,7 +428,12 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def surrogate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data; n_chars, where there is one, follows the new text."""
+    """Replace personal data; n_chars, where there is one, follows the new text.
+
+    Null text stays null with its n_chars null, empty text stays empty; texts
+    of any length are searched whole.  Repeated rows get equal texts, ties play
+    no part; columns of other names pass through; an empty table gives no rows.
+    """
     out = replace_entities(docs, count=None)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -98,6 +98,8 @@ def test_stage_judges_rows_not_ids(spark, sf):
     assert stage(spark, sf, rows) == sorted([(5, a.upper(), "de"), (7, b, "en"), (8, None, "en"), (8, None, "en"), (9, " ", "fr")], key=str)
     rows = [(1, a, "x"), (5, a, "y"), (5, b, "z"), (None, a, "n"), (None, "only here without an id", "n"), (None, "only here without an id", "m")]
     assert stage(spark, sf, rows) == sorted([(1, a, "x"), (5, b, "z"), (None, "only here without an id", "m")], key=str)
+    rows = [(1, a, "x"), (1, b, "y"), (2, a, "z"), (3, b, "z")]  # one id, two groups
+    assert stage(spark, sf, rows) == sorted(rows[:2], key=str)
     assert stage(spark, sf, []) == []
     clash = [(1, a, 1, {"k": "v"}), (2, a, 2, {"k": "w"}), (1, a, 3, {"k": "u"})]
     assert stage(spark, sf, clash, "doc_id long, text string, fp int, m map<string,string>") == [(1, a, 1, {"k": "v"})]
