@@ -11,6 +11,7 @@ from .hilbert import op3_hilbert_sharding
 from .idstream import op10_arrow_id_streams
 from .ivfpq import op2_ivf_pq_search
 from .jaccard import op7_ngram_jaccard_join
+from .merkle import op13_merkle_manifest
 from .pieces import op4_sentencepiece
 from .quality import op5_bradley_terry_quality
 from .suffixes import op9_suffix_dedup
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_factorization_toxicity": op8_factorization_toxicity,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_arrow_id_streams": op10_arrow_id_streams,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
