@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .decontam import op6_bm25_decontamination
 from .golay import op12_golay_simhash
+from .hardneg import op11_multi_index_hard_negatives
 from .hilbert import op3_hilbert_sharding
 from .idstream import op10_arrow_id_streams
 from .ivfpq import op2_ivf_pq_search
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_factorization_toxicity": op8_factorization_toxicity,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_arrow_id_streams": op10_arrow_id_streams,
+        "op11_multi_index_hard_negatives": op11_multi_index_hard_negatives,
         "op12_golay_simhash": op12_golay_simhash,
         "op13_merkle_manifest": op13_merkle_manifest,
     }

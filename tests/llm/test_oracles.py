@@ -8,7 +8,8 @@ from assayframe.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     want = con.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in want.description]
     got = queries.queries()[name](spark, sf)
