@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
+from .places import Placed, placed, row_hash
 from .textnp import U, chunks, mix, ragged, shingle_sets
 
 SKETCH_BITS = 20
@@ -42,8 +43,8 @@ HUB_ROUNDS = 1
 HOT_POSTINGS = 100_000
 LIST_BLOCK = 512
 HOT = 1 << 30
-#: rows of (doc_id, set name, flag) that are broadcast at most: some 25 MB
-BROADCAST_ROWS = 1_000_000
+#: rows of cells that one task takes
+CELL_ROWS = 2_000_000
 ORDERS = (U(0x632BE59BD9B4E019), U(0x8CB92BA72F3D8DD7), U(0xAC565AD4ED9B4F3B))
 
 
@@ -102,28 +103,30 @@ def frequency_classes(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(np.where(counts <= bar, inner, outer)), 0, 255).astype(np.uint8)
 
 
-def scan_sets(docs: DataFrame) -> DataFrame:
-    """Per document (doc_id, fp, n, histogram); per task and slot a piece of the token-count sketch."""
+def scan_sets(docs: Placed) -> DataFrame:
+    """Per document (row, doc_id, tie, fp, n, histogram); per task and slot a piece of the token-count sketch."""
+    names = ["row", "doc_id", "tie", "fp", "n", "counts", "slot"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             fps, sizes, hists = [], [], []
-            for _, _, raw, offs in chunks(batch.column(1)):
+            for _, _, raw, offs in chunks(batch.column(3)):
                 flat, bounds = shingle_sets(raw, offs, SHINGLE)
                 total += np.bincount((flat >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
                 fps.append(fingerprint(flat, bounds))
                 sizes.append(np.diff(bounds))
                 hists += histograms(flat, bounds)
             if fps:
-                k = len(batch)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps)), pa.array(np.concatenate(sizes)), pa.array(hists, pa.binary()), pa.nulls(k, pa.int32())], names=["doc_id", "fp", "n", "counts", "slot"])
+                found = [pa.array(np.concatenate(fps)), pa.array(np.concatenate(sizes)), pa.array(hists, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *found, pa.nulls(len(batch), pa.int32())], names=names)
         if total.any():
             pieces = [p.tobytes() for p in total.astype(np.uint32).reshape(SLOTS, -1)]
-            none = pa.nulls(SLOTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(pieces, pa.binary()), pa.array(range(SLOTS), pa.int32())], names=["doc_id", "fp", "n", "counts", "slot"])
+            none = [pa.nulls(SLOTS, pa.int64())] * 5
+            yield pa.RecordBatch.from_arrays([*none, pa.array(pieces, pa.binary()), pa.array(range(SLOTS), pa.int32())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, fp long, n long, counts binary, slot int")
+    read = docs.table.select(F.col(docs.row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs.table.select(*docs.columns)).alias("tie"), "text")
+    return read.mapInArrow(scan, "row long, doc_id long, tie long, fp long, n long, counts binary, slot int")
 
 
 def sketch(scanned: DataFrame) -> np.ndarray:
@@ -297,18 +300,27 @@ def cross_pairs(placed: DataFrame, lists: DataFrame, n_parts: int) -> DataFrame:
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), "own", "fp", "n", "pos", "comp")
+    dealt = mixed.agg(F.sum(F.col("size") * F.ceil(F.col("size") / LIST_BLOCK))).first()[0] or 0
+    n_parts = max(n_parts, -(-int(dealt) // CELL_ROWS))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """Whole cells, some at a time; the last cell of a batch waits for the next."""
+        rest = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = [c.to_numpy() for c in batch.columns]
+            if rest is not None:
+                table = [np.concatenate((x, y)) for x, y in zip(rest, table)]
+            cell = np.flatnonzero(np.any([v[1:] != v[:-1] for v in table[:3]], 0)) + 1
+            at = int(cell[-1]) if len(cell) else 0
+            rest = [v[at:] for v in table]
+            if at:
+                yield [v[:at] for v in table]
+        if rest is not None:
+            yield rest
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        key, x, y, own, fp, n, pos, comp = (t.column(c).to_numpy() for c in ("key", "i", "j", "own", "fp", "n", "pos", "comp"))
-        order = np.lexsort((fp, n, y, x, key))
-        key, x, y, own, fp, n, pos, comp = (v[order] for v in (key, x, y, own, fp, n, pos, comp))
-        head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
-        tail = np.concatenate((head[1:], [len(key)]))
-        mixed = np.minimum.reduceat(comp, head) != np.maximum.reduceat(comp, head)
         out: list[np.ndarray] = []
         held = 0
 
@@ -316,25 +328,30 @@ def cross_pairs(placed: DataFrame, lists: DataFrame, n_parts: int) -> DataFrame:
             pairs = np.unique(np.concatenate(out), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-        for s, e in zip(head[mixed].tolist(), tail[mixed].tolist()):
-            rn, rp, rc, rf, ro = n[s:e], pos[s:e], comp[s:e], fp[s:e], own[s:e]
-            apart = x[s] != y[s]
-            upto = np.searchsorted(rn, rn * DEN // NUM, "right")
-            for i, u in enumerate(upto.tolist()):
-                meets = (rc[i + 1 : u] != rc[i]) & may_pair(rn[i], rp[i], rn[i + 1 : u], rp[i + 1 : u])
-                if apart:
-                    meets &= ro[i + 1 : u] != ro[i]
-                j = np.flatnonzero(meets) + i + 1
-                if len(j):
-                    out.append(np.stack((np.minimum(rf[i], rf[j]), np.maximum(rf[i], rf[j])), 1))
-                    held += len(j)
-                if held > 500_000:
-                    yield flush()
-                    out, held = [], 0
+        for key, x, y, own, fp, n, pos, comp in cells(batches):
+            head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+            tail = np.concatenate((head[1:], [len(key)]))
+            mixed = np.minimum.reduceat(comp, head) != np.maximum.reduceat(comp, head)
+            for s, e in zip(head[mixed].tolist(), tail[mixed].tolist()):
+                rn, rp, rc, rf, ro = n[s:e], pos[s:e], comp[s:e], fp[s:e], own[s:e]
+                apart = x[s] != y[s]
+                upto = np.searchsorted(rn, rn * DEN // NUM, "right")
+                for i, u in enumerate(upto.tolist()):
+                    meets = (rc[i + 1 : u] != rc[i]) & may_pair(rn[i], rp[i], rn[i + 1 : u], rp[i + 1 : u])
+                    if apart:
+                        meets &= ro[i + 1 : u] != ro[i]
+                    j = np.flatnonzero(meets) + i + 1
+                    if len(j):
+                        out.append(np.stack((np.minimum(rf[i], rf[j]), np.maximum(rf[i], rf[j])), 1))
+                        held += len(j)
+                    if held > 500_000:
+                        yield flush()
+                        out, held = [], 0
         if out:
             yield flush()
 
-    return rows.repartition(n_parts, "key", "i", "j").mapInArrow(meet, "a long, b long").distinct()
+    rows = rows.repartition(n_parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "fp")
+    return rows.mapInArrow(meet, "a long, b long").distinct()
 
 
 def plausible(pairs: DataFrame, hists: DataFrame) -> DataFrame:
@@ -358,31 +375,22 @@ def plausible(pairs: DataFrame, hists: DataFrame) -> DataFrame:
     return joined.mapInArrow(check, schema)
 
 
-def node_sets(docs: DataFrame, wanted: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(fp, heads, tokens) of wanted nodes (doc_id, fp): 32-bit hashes of its prefixes under the further orders, and the set."""
+def node_sets(docs: Placed, wanted: DataFrame, classes: np.ndarray) -> DataFrame:
+    """(fp, heads, tokens) of the sets of wanted rows: 32-bit hashes of the prefixes under the further orders, and the set."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
         for batch in batches:
-            want = batch.column(1).to_numpy()
-            for a, b, raw, offs in chunks(batch.column(0)):
+            for _, _, raw, offs in chunks(batch.column(0)):
                 flat, bounds = shingle_sets(raw, offs, SHINGLE)
-                fps = fingerprint(flat, bounds)
                 further = [order_keys(flat, classes, k) for k in range(1, len(ORDERS))]
-                heads, sets, ids = [], [], []
-                for d in np.flatnonzero(fps == want[a:b]).tolist():
-                    if fps[d] in done:
-                        continue
-                    done.add(fps[d])
-                    s, e = bounds[d], bounds[d + 1]
+                heads, sets = [], []
+                for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                     p = int(prefix_sizes(np.array([e - s]))[0])
                     heads.append(b"".join(np.partition(k[s:e], p - 1)[:p].astype(np.uint32).tobytes() for k in further))
                     sets.append(flat[s:e].tobytes())
-                    ids.append(fps[d])
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)), pa.array(heads, pa.binary()), pa.array(sets, pa.binary())], names=["fp", "heads", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(fingerprint(flat, bounds)), pa.array(heads, pa.binary()), pa.array(sets, pa.binary())], names=["fp", "heads", "tokens"])
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "fp").mapInArrow(build, "fp long, heads binary, tokens binary")
+    return docs.only(wanted).select("text").mapInArrow(build, "fp long, heads binary, tokens binary")
 
 
 def shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -421,17 +429,17 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
 
 
-def named_rows(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, fp, n, component (a set name that its similarity group shares) and group (the group's least doc_id), both null without words."""
-    spark = docs.sparkSession
+def named_rows(docs: Placed) -> DataFrame:
+    """One row a document: row, doc_id, tie, fp, n, component (a set name that its similarity group shares) and group (the group's least doc_id), both null without words."""
+    spark = docs.table.sparkSession
     scanned = common.staged(scan_sets(docs), "jaccard-scan")
-    nodes = scanned.where("slot is null").select("doc_id", "fp", "n")
+    nodes = scanned.where("slot is null").select("row", "doc_id", "tie", "fp", "n")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     n_parts = max(common.parts(spark), -(-int(total) // (5 * POSTINGS_A_PART)))
     counts = sketch(scanned) if total else np.zeros(1 << SKETCH_BITS, np.int64)
     classes = frequency_classes(counts)
-    met = common.staged(runs(postings(docs, counts, n_parts), n_parts), "jaccard-runs")
-    reps = scanned.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.first("counts").alias("hist"))
+    met = common.staged(runs(postings(docs.table, counts, n_parts), n_parts), "jaccard-runs")
+    reps = scanned.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("counts").alias("hist"))
     reps = common.staged(reps, "jaccard-reps")
     common.release(spark)
 
@@ -453,7 +461,7 @@ def named_rows(docs: DataFrame) -> DataFrame:
         pairs = common.staged(pairs, "jaccard-pairs")
         if step:
             common.discard(lists)
-        lack = reps.join(ends(pairs), "fp", "left_semi").where("rep is not null").select(F.col("rep").alias("doc_id"), "fp")
+        lack = reps.join(ends(pairs), "fp", "left_semi").select("row", "fp")
         if sets is not None:
             lack = lack.join(sets.select("fp"), "fp", "left_anti")
         lack = common.staged(lack, "jaccard-lack")
@@ -473,7 +481,7 @@ def named_rows(docs: DataFrame) -> DataFrame:
     named = common.staged(reps.join(comps, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "jaccard-named")
     least = named.groupBy("component").agg(F.min("rep").alias("group"))
     by_fp = named.join(least, "component").select("fp", "component", "group")
-    return nodes.join(by_fp, "fp", "left").select("doc_id", "fp", "n", *[F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("component", "group")])
+    return nodes.join(by_fp, "fp", "left").select("row", "doc_id", "tie", "fp", "n", *[F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("component", "group")])
 
 
 def similarity_groups(docs: DataFrame) -> DataFrame:
@@ -481,50 +489,41 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
 
     Null and empty texts and texts of white space have no shingles and link
     with nothing.  Equal sets link (similarity 1), so repeated rows share a
-    group.  A text whose rows have no id but null gets the group of equal
-    texts only.  Texts of any length count whole.  An empty table gives no
+    group.  Null ids are the least of no group.  Texts of any length count whole.  An empty table gives no
     rows.  Extra columns are ignored.
     """
     component = F.when(F.col("n") > 0, F.col("group")).otherwise(F.col("doc_id"))
-    return named_rows(docs).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    at_hand = placed(docs.select("doc_id", "text"), "jaccard-docs")
+    named = named_rows(at_hand)
+    at_hand.discard()  # all that is left to do needs no texts
+    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_groups(common.table(spark, sf_dir, "documents"))
 
 
-def set_name(text: str) -> Column:
-    """The fingerprint of each text's shingle set."""
-
-    @F.arrow_udf("long")
-    def name(column: pa.Array) -> pa.Array:
-        out = [fingerprint(*shingle_sets(raw, offs, SHINGLE)) for _, _, raw, offs in chunks(column)]
-        return pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
-
-    return name(F.col(text))
-
-
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each similarity group: the least doc_id (null last), then the least set name and text.
 
     Rows are judged one by one: a doc_id that repeats with another text is a
     document of its own.  Null and empty texts and texts of white space are
-    copies of nothing, so all their rows stay.  Columns of any name pass
-    through; an empty table gives no rows.
+    copies of nothing, so all their rows stay.  Of rows that differ in other
+    columns only, the one with the least hash stays.  Columns of any name pass
+    through; an empty table gives no rows.  The texts stay where they are: a
+    task meets the list of rows to drop of each run of its own rows.  Only
+    texts that tell two rows of one id and one set apart are compared.
     """
-    rows = common.staged(named_rows(docs), "near-rows")
-    keyed = rows.where("n > 0").groupBy("doc_id", "fp").agg(F.count("*").alias("n_rows"), F.first("component").alias("component"))
-    least = keyed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")).alias("least"))
-    judged = keyed.join(least, "component").select(F.col("doc_id").alias("__doc"), F.col("fp").alias("__set"), "n_rows", (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("fp") == F.col("least.fp"))).alias("__first"))
-    judged = common.staged(judged.where("not __first or n_rows > 1").select("__doc", "__set", "__first"), "near-judged")
-    repeated = judged.where("__first")
-    if judged.count() <= BROADCAST_ROWS:  # else the join moves the texts
-        judged = F.broadcast(judged)
-    named = docs.withColumn("__name", set_name("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__name") == F.col("__set"))
-    kept = named.join(judged, same, "left_anti").select(*docs.columns)
-    if repeated.isEmpty():
-        return kept
-    plain = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and not t.startswith(("map", "variant"))]
-    once = named.join(repeated, same, "left_semi").groupBy("doc_id", "__name").agg(F.min_by(F.struct(*docs.columns), F.struct("text", *plain)).alias("r"))
-    return kept.unionByName(once.select("r.*"))
+    at_hand = placed(docs, "near-docs")
+    rows = common.staged(named_rows(at_hand).where("n > 0").drop("n", "group"), "near-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")
+    first = rows.groupBy("component").agg(F.min(order).alias("first"))
+    heads = rows.join(first, "component").where(order == F.col("first"))
+    heads = common.staged(heads.groupBy("component", "tie").agg(F.min("row").alias("row")), "near-heads")
+    tied = heads.groupBy("component").agg(F.count("*").alias("c")).where("c > 1")
+    unlike = common.staged(heads.join(tied.select("component"), "component"), "near-tied")
+    texts = at_hand.only(unlike, numbered=True).select(F.col(at_hand.row).alias("row"), "text")
+    least = unlike.join(texts, "row").groupBy("component").agg(F.min(F.struct("text", "tie", "row")).alias("t")).select("component", "t.row")
+    stays = heads.join(tied.select("component"), "component", "left_anti").select("component", "row").unionByName(least)
+    gone = rows.select("row").join(common.staged(stays, "near-stays").select("row"), "row", "left_anti")
+    return at_hand.without(common.staged(gone, "near-gone"))

@@ -4,8 +4,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from assayframe.llm import components, jaccard, textnp
+from assayframe.llm import components, jaccard, places, textnp
 
 
 def shingles(text):
@@ -159,3 +160,27 @@ def test_components_of_chains_and_hubs(spark):
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 160)) and got[201] == got[200] == 200
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_stage_with_the_code_s_own_names(spark, sf):
+    names = ("row", "row_number", "row_run", "listed_rows", "tie", "fp", "n", "component", "first", "l", "r")
+    docs = spark.createDataFrame([(i, "a b c d e f g" if i < 5 else f"text {i} of its own here") for i in range(9)], "doc_id long, text string").withColumns({c: F.lit(7) for c in names})
+    out = jaccard.near_duplicate_stage(spark, docs, sf)
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {0, 5, 6, 7, 8}
+    assert out.where(" or ".join(f"{c} != 7" for c in names)).isEmpty()
+
+
+def test_texts_stay_in_place(spark):
+    """The rows to drop come to the texts by run: the side that holds texts has no exchange."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        at_hand = places.placed(docs, "test")
+        rows = at_hand.table.where("doc_id % 3 = 0").select(F.col(at_hand.row).alias("row"))
+        some, rest = at_hand.only(rows), at_hand.without(rows)
+        plan = rest._jdf.queryExecution().executedPlan().toString()
+        assert {r.doc_id for r in some.collect()} == set(range(0, 300, 3)) and {r.doc_id for r in rest.collect()} == set(range(300)) - set(range(0, 300, 3))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joined = plan.split("SortMergeJoin")[1]
+    assert "Exchange" not in joined.split("Scan parquet")[0] and "Bucketed: true" in joined
