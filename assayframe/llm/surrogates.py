@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .places import fresh
 
 KEY = "assayframe"
 #: syllables of a name's first draw; each later draw has one more
@@ -57,22 +58,27 @@ HONORIFIC = "(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.?"
 NAME = r"(?:[dl]['’])?\p{Lu}[\p{L}'’-]++"
 INITIAL = r"(?:\p{Lu}\.-?)++\p{Lu}?(?!\p{L})|\p{Lu}(?![\p{L}'’-])"
 PARTICLE = "(?:de|da|do|dos|das|du|di|del|della|degli|der|den|des|van|von|vom|zu|zum|zur|la|le|las|los|el|al|bin|ibn|bint|ben|ter|ten|af|av)"
-PART = rf"(?:{PARTICLE} )*(?:{NAME}|{INITIAL})"
+ADDRESS = r"[\p{L}\p{M}\p{N}._%+-]"
 # Prefixes of access tokens.
 TOKEN_PREFIX = "(?:A[KS]IA|AIza|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-)"
-PATTERNS = {
+SECRETS = {
     "token": rf"(?<![0-9A-Za-z_-])(?:A[KS]IA[0-9A-Z]{{16}}|AIza[0-9A-Za-z_-]{{35}}|gh[pousr]_[0-9A-Za-z]{{36,}}+|github_pat_[0-9A-Za-z_]{{22,}}+|(?:glpat-|xox[abprs]-|sk-)[0-9A-Za-z_-]{{20,}}+)(?![0-9A-Za-z_-])",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])",
+}
+IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
+# a part of a name is not the start of a token, a secret, an account or an address
+PART = rf"(?:{PARTICLE} )*(?!{SECRETS['token']}|{SECRETS['secret']}|{IBAN})(?:{NAME}|{INITIAL})(?!{ADDRESS}*+@)"
+PATTERNS = SECRETS | {
     "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@(?:[\p{L}\p{M}\p{N}-]++\.)++[\p{L}\p{M}\p{N}-]*\p{L}[\p{L}\p{M}\p{N}-]*+",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?[0-9])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "national": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "account": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
+    "iban": IBAN,
     "name": rf"(?<!\p{{L}}){HONORIFIC} {PART}(?: {PART})*",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-HINT = rf"[0-9@]|{TOKEN_PREFIX}|{HONORIFIC}"
+HINT = rf"[0-9@]|{TOKEN_PREFIX}|{HONORIFIC}|[a-f]{{32}}|[A-F]{{32}}"
 
 
 def kind_of(e: Column) -> Column:
@@ -348,8 +354,8 @@ def found(text: Column) -> Column:
     return F.when(text.isNotNull() & text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
 
 
-def with_units(df: DataFrame) -> DataFrame:
-    """Add ``__units``: for each entity of the text its units (text, kind, glue, norm).
+def with_units(df: DataFrame, units: str = "units") -> DataFrame:
+    """Add ``units``: for each entity of the text its units (text, kind, glue, norm).
 
     Each step is one transform over the last, so nothing is computed twice.
     """
@@ -357,13 +363,13 @@ def with_units(df: DataFrame) -> DataFrame:
     alone = lambda x: F.array(F.struct(x.e.alias("text"), x.kind.alias("kind"), F.lit("").alias("glue")))
     split = F.transform(kinds, lambda x: F.when(x.kind == "name", name_units(x.e)).otherwise(alone(x)))
     norm = lambda u: F.struct(u.text.alias("text"), u.kind.alias("kind"), u.glue.alias("glue"), normal(u.text, u.kind).alias("norm"))
-    return df.withColumn("__units", F.transform(split, lambda us: F.transform(us, norm)))
+    return df.withColumn(units, F.transform(split, lambda us: F.transform(us, norm)))
 
 
 def name_parts(docs: DataFrame) -> DataFrame:
     """(text_key, kind, norm, text) of every part of a name; only texts with an honorific are searched."""
     spoken = with_units(docs.where(F.col("text").rlike(HONORIFIC)).select("text"))
-    rows = spoken.select(F.xxhash64("text").alias("text_key"), F.explode(F.flatten("__units")).alias("u"))
+    rows = spoken.select(F.xxhash64("text").alias("text_key"), F.explode(F.flatten("units")).alias("u"))
     return rows.where("u.kind like 'name:%'").select("text_key", "u.kind", "u.norm", "u.text")
 
 
@@ -401,25 +407,26 @@ def replace_entities(docs: DataFrame, key: str = KEY, count: str | None = "n_ent
     texts with a name whose first draw collides are joined to its draw, by
     the hash of the text, whatever ids the rows have.
     """
-    marked = with_units(docs)
+    units, draws, text_key = fresh(docs.columns, "units", "draws", "text_key")
+    marked = with_units(docs, units)
     parts = name_parts(docs)
     entities = common.staged(parts.groupBy("kind", "norm").agg(F.min("text").alias("text")), "surrogate-names")
     later = common.staged(later_draws(entities, key), "surrogate-later")
     if not later.isEmpty():
         entry = F.struct(F.concat_ws("\x1f", "kind", "norm").alias("k"), F.col("attempt").alias("v"))
-        per_text = parts.join(later, ["kind", "norm"]).groupBy("text_key").agg(F.map_from_entries(F.collect_set(entry)).alias("__draws"))
-        per_text = common.staged(per_text.withColumnRenamed("text_key", "__text"), "surrogate-overrides")
-        marked = marked.join(per_text, F.xxhash64("text") == F.col("__text"), "left")
-        attempt = lambda u: F.coalesce(F.try_element_at("__draws", F.concat_ws("\x1f", u.kind, u.norm)), F.lit(0))
+        per_text = parts.join(later, ["kind", "norm"]).groupBy("text_key").agg(F.map_from_entries(F.collect_set(entry)).alias(draws))
+        per_text = common.staged(per_text.withColumnRenamed("text_key", text_key), "surrogate-overrides")
+        marked = marked.join(per_text, F.xxhash64("text") == F.col(text_key), "left")
+        attempt = lambda u: F.coalesce(F.try_element_at(draws, F.concat_ws("\x1f", u.kind, u.norm)), F.lit(0))
     else:
         attempt = lambda u: F.lit(0)
 
     unit = lambda u: F.concat(surrogate(u.kind, u.text, u.norm, attempt(u), key), u.glue)
-    new = F.transform("__units", lambda us: F.array_join(F.transform(us, unit), ""))
+    new = F.transform(units, lambda us: F.array_join(F.transform(us, unit), ""))
     woven = F.zip_with(F.split("text", ANY, -1), new, lambda s, r: F.concat(s, F.coalesce(r, F.lit(""))))
-    text = F.when(F.size("__units") > 0, F.array_join(woven, "")).otherwise(F.col("text"))
+    text = F.when(F.size(units) > 0, F.array_join(woven, "")).otherwise(F.col("text"))
     order = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns if c != count]
-    return marked.select(*order, *([F.size("__units").alias(count)] if count else []))
+    return marked.select(*order, *([F.size(units).alias(count)] if count else []))
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
