@@ -27,6 +27,8 @@ from . import common
 SAMPLE_ROWS = 20_000
 MAX_LISTS = 2048
 BLOCK = 4096
+#: sums of products of components below this fit a float
+LARGE = 1e15
 QUERY_BLOCK = 1024
 #: members of all visited lists that a query ranks exactly
 RERANK = 150
@@ -126,9 +128,18 @@ def valid_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return good.where(F.size("vec") == (sizes[0]["d"] if sizes else -1))
 
 
-def matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array, scale: float = 1.0) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float32)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return (flat if scale == 1.0 else flat * scale).reshape(len(column), -1).astype(np.float32)
+
+
+def index_scale(vectors: DataFrame) -> float:
+    """A power of two that brings doubles too large for the index's floats to at most 1; 1 for all others."""
+    if vectors.schema["vec"].dataType.simpleString() == "array<float>":
+        return 1.0
+    most = vectors.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 0.0
+    return 1.0 if most < LARGE else float(np.ldexp(1.0, -int(np.frexp(most)[1])))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float = 0.97, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -144,6 +155,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
     that is lower; queries that find fewer than ``k`` above it (clustered or
     repeated vectors) search again without one.
 
+    Doubles too large for the index's floats are scaled in the index alone; the
+    scores returned are those of the original vectors.
+
     Repeated vec_ids: each row is found for itself; as a query the least
     vector of the vec_id stands.  Ties go to the smaller vec_id.  An empty
     table on either side gives no rows; columns beside the two are ignored.
@@ -153,11 +167,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
     n = vectors.count()
     if not n:
         return empty
+    scale = index_scale(vectors)
     part = F.pmod(F.xxhash64(F.lit(17), "vec_id"), F.lit(1_000_000))
     picked = vectors.where(part < min(1_000_000, -(-1_000_000 * sample_rows // n))).select("vec_id", "vec").limit(2 * sample_rows).toArrow()
     if not len(picked):
         picked = vectors.limit(sample_rows).toArrow()
-    picked = matrix(picked.take(pa.array(np.argsort(picked.column("vec_id").to_numpy(), kind="stable"))).column("vec"))
+    picked = matrix(picked.take(pa.array(np.argsort(picked.column("vec_id").to_numpy(), kind="stable"))).column("vec"), scale)
     index = train(picked, int(np.clip(n**0.5, 1, MAX_LISTS)))
     n_lists = len(index.centers)
     n_probe = max(8, tuned_probes(index, picked, k, target))
@@ -166,7 +181,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
 
     def assign(batches):
         for b in batches:
-            at, codes = index.encode(matrix(b.column(2)))
+            at, codes = index.encode(matrix(b.column(2), scale))
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())],
                 names=["row", "vec_id", "vec", "list", "codes"],
@@ -183,7 +198,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
         for b in batches:
             for a in range(0, len(b), 512):
                 some = b.slice(a, 512)
-                q = matrix(some.column(1))
+                q = matrix(some.column(1), scale)
                 bar = bars(index, sample, q, rank) if sample else np.full(len(q), -np.inf, np.float32)
                 order = np.argsort(-(q @ index.centers.T), 1, kind="stable")
                 reach = np.cumsum(sizes[order], 1)

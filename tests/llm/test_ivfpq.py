@@ -74,3 +74,16 @@ def test_hot_vector_is_dealt_over_cells(spark, monkeypatch):
         if q < 300:
             assert g.sort_values("rank")["vec_id"].tolist() == want.tolist()
     assert np.mean(found) >= 0.9
+
+
+def test_doubles_beyond_floats(spark):
+    """Finite components above the range of a float take part and come in the order of their products."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4)) * 1e150
+    v = ivfpq.valid_vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = ivfpq.search(v, v.where("vec_id % 20 = 0"), k=5).toPandas()
+    assert len(got) == 15
+    for q, g in got.groupby("query_id"):
+        ids, score = exact(np.arange(60), x, q, 5)
+        g = g.sort_values("rank")
+        assert g["vec_id"].tolist() == ids.tolist() and np.allclose(g["score"], score, rtol=1e-12)
