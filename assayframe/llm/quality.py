@@ -21,8 +21,8 @@ from .textnp import chunks, span_hashes, word_bounds
 
 CUT = 0.7
 SAMPLE_ROWS = 20_000
+#: pairs of each sampled document of the rarer label, so at most 4 pairs for each row of the sample
 PAIRS_PER_DOC = 8
-MAX_PAIRS = 30_000
 
 LEVELS = np.arange(1, 1000) / 1000
 
@@ -90,7 +90,7 @@ def preference_pairs(labels: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndar
     """(preferred, other) rows: each document of the rarer label meets several of the other."""
     good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     few, many = (bad, good) if len(bad) <= len(good) else (good, bad)
-    each = max(1, min(MAX_PAIRS // max(1, len(few)), max(PAIRS_PER_DOC, 2 * len(many) // max(1, len(few)))))
+    each = max(PAIRS_PER_DOC, 2 * len(many) // max(1, len(few)))
     rng = np.random.default_rng(seed)
     left = np.repeat(few, each)
     right = many[rng.integers(0, len(many), len(left))]
