@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from .catalog import CANDIDATES, DOMAIN, WIDE, candidates, one_feature, part_long, query, read
 from .catalog_models import ga_select, hpo_rounds, sfs_select, training
+from .functions.molecule import canonical_column
 from .functions.scalars import r6
-from .operators import colstats, domain, plots, registry, search, select
+from .operators import colstats, domain, external, plots, registry, search, select
 from .operators.branches import unique_branches
 from .operators.oversample import oversample
 
@@ -116,6 +117,24 @@ def grid_sizes(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "estimator string, status string, n_all int, n_kept int, randomized boolean")
 
 
+CHAINS = """c AS (SELECT p_partkey, p_retailprice, p_size % 9 + 1 AS k, ['', 'O', 'N'][p_partkey % 3 + 1] AS e FROM part)"""
+
+
+@query("external_structure_join", f"""WITH {CHAINS}, x AS (SELECT k, e, min_by(p_retailprice, p_partkey) AS price FROM c GROUP BY 1, 2)
+SELECT p_partkey::VARCHAR AS compound_id, repeat('C', k::INTEGER) || e AS canonical_smiles, price FROM c JOIN x USING (k, e)""")
+def external_structure_join(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptors joined by structure, the two sides writing it differently; a chain's length and end come from a part."""
+    part = read(spark, d, "part")
+    k, end = (F.col("p_size") % 9).cast("int"), F.element_at(F.array(*map(F.lit, ("", "O", "N"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    left = part.select(F.col("p_partkey").cast("string").alias("compound_id"), F.concat(end, F.lit("C"), F.repeat(F.lit("C"), k)).alias("smiles"))
+    generated = left.select("compound_id", canonical_column(F.col("smiles")).alias("canonical_smiles"))
+    written = F.concat(F.lit(" [CH3]"), F.repeat(F.lit("[CH2]"), k - 1), F.when(k > 0, F.when(end == "", "C").otherwise(F.concat(F.lit("C"), end))).otherwise(end))
+    written = F.when(k == 0, F.concat(F.lit("C"), end)).otherwise(written)
+    outside = part.select(F.concat(F.lit("x"), "p_partkey").alias("compound_id"), written.alias("smiles"), F.col("p_retailprice").alias("price"), F.col("p_partkey").alias("row"))
+    merged = external.merge_external(generated, outside, ordinal="row", canonical=canonical_column)
+    return merged.table.select("compound_id", "canonical_smiles", "price")
+
+
 @query("minority_oversample")
 def minority_oversample(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings").select("vec_id", (F.col("label") == 0).cast("int").alias("y"), F.col("embedding").cast("array<double>").alias("features"))

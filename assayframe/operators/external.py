@@ -1,12 +1,14 @@
 """Left join of external descriptors, with a fallback key and overlap reports."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import strip_id, to_number
+from ..sources.tables import staged
 from .clean import META
 
 #: the order of an external table's rows, unless another column is named
@@ -49,9 +51,15 @@ def examples(left: DataFrame, right: DataFrame, key: str, n: int = 5) -> list[st
     return [r[0] for r in rows]
 
 
-def merge_external(generated: DataFrame, external: DataFrame, ordinal: str | None = None) -> Merge:
+def merge_external(
+    generated: DataFrame, external: DataFrame, ordinal: str | None = None, canonical: Callable[[Column], Column] | None = None
+) -> Merge:
     """Left join on compound_id, or on the structure where no id matches.
 
+    ``canonical`` brings the external structures into the form of
+    ``canonical_smiles``; without it they are taken as they are written, less
+    outer white space.  Structures that it turns to null match nothing.
+
     The side joined is keyed once and left to the optimizer: it is broadcast
     only if its measured size allows.  Of rows with one key the first by
     ``ordinal`` (or ORDINAL, which readers can add) stays; a table without any
@@ -78,8 +86,13 @@ def merge_external(generated: DataFrame, external: DataFrame, ordinal: str | Non
     matched = overlap(gen, right, key)
     if not matched and alias:
         key = "canonical_smiles"
-        right = keep_first_by(ext.drop("compound_id").withColumnRenamed("__structure", key), key, order)
+        by_structure = ext.drop("compound_id").withColumnRenamed("__structure", key)
+        if canonical is not None:
+            by_structure = staged(by_structure.withColumn(key, canonical(F.col(key))), "external-structures")
+        right = keep_first_by(by_structure, key, order)
         matched = overlap(gen, right, key)
+        if matched:
+            warnings.append(f"no compound_id matched; joined on structure ({matched} matched)")
     if not matched:
         raise ValueError(f"no matching compound_id; examples: {examples(gen, right, key)} against {examples(right, gen, key)}")
     if key == "compound_id":

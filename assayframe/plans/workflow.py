@@ -130,7 +130,7 @@ def run(spark: SparkSession, raw: DataFrame, config: Config | None = None, extra
     def merge() -> DataFrame:
         if extra is None:
             return long
-        m = external.merge_external(rows.select(*clean.META), extra)
+        m = external.merge_external(rows.select(*clean.META), extra, canonical=canonical_column)
         r.report["external"] = {"key": m.key, "warnings": m.warnings}
         return keep(long.unionByName(colstats.to_long(m.table, "compound_id", m.features)), "merged")
 

@@ -49,3 +49,15 @@ def test_proposer_and_failing_branch(spark, tmp_path, monkeypatch):
     assert asked and asked[0][0] == "pls" and r.report["failed_branches"] == {"svr": "no such luck"}
     assert r.report["skipped_expansions"] == {"pls": "disabled"}
     assert "Branch svr failed" in workflow.markdown(r) and "## Feature count" not in workflow.markdown(r)
+
+
+def test_outside_descriptors_join_by_structure(spark, tmp_path, monkeypatch):
+    """Ids that do not match, structures written otherwise: the run joins them."""
+    (tmp_path / "in.csv").write_text("compound_id,smiles,y\n" + "".join(f"C{i:03d},{s},{i * 7 % 11}\n" for i, s in enumerate(SMILES)))
+    (tmp_path / "more.csv").write_text("compound_id,smiles,logp\n" + "".join(f"other{i},{s},{i + i % 4}\n" for i, s in enumerate(["OCC", "OCCC", "Oc1ccccc1", "NCC", "CCCC", "N#CC", *SMILES[14:29]])))
+    raw, extra = (tables.read_csv(spark, str(tmp_path / f)) for f in ("in.csv", "more.csv"))
+    extra = extra.withColumnRenamed("original_row_index", "external_row_index")
+    c = workflow.Config(activity="y", compound_id="compound_id", k_range=(2, 2), sfs_features=1, population=4, generations=1, rounds=0, estimator="pls", params={"n_components": 1}, fallback=False, folds=3, expand_by=0, max_missing=0.5)
+    r = workflow.run(spark, raw, c, extra)
+    assert r.report["external"]["key"] == "canonical_smiles" and any("joined on structure" in w for w in r.report["external"]["warnings"])
+    assert "logp" in {*r.tables["matrix"].columns, *r.report["removed"]}
