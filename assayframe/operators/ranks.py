@@ -5,6 +5,9 @@ the bracket, a thousandth of a large group, are put in order.
 """
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,14 +26,23 @@ def bracket(df: DataFrame, by: list[str], value: Column, level: float) -> DataFr
     return got.select(*by, "n", F.when(small, F.col("least")).otherwise(F.col("q")[0]).alias("lo"), F.when(small, F.col("most")).otherwise(F.col("q")[1]).alias("hi"))
 
 
+def with_groups(left: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """Join one row a group to the group's rows; a null group meets itself."""
+    if not by:
+        return left.crossJoin(F.broadcast(groups))  # one row
+    names = {c: f"__by{i}" for i, c in enumerate(by)}
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    return left.join(groups.withColumnsRenamed(names), same).drop(*names.values())
+
+
 def exact_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, median) of the values that are not null; groups without any are left out.
+    """(by, median) of the values that are not null; groups without any are left out, a null group is one.
 
     Equal values are counted before they move, so ties cost nothing.
     """
     v = F.col(value)
-    found = bracket(df, by, v, 0.5)
-    joined = df.where(v.isNotNull()).join(found, by) if by else df.where(v.isNotNull()).crossJoin(F.broadcast(found))  # one row
+    known = df.where(v.isNotNull()).select(*by, value)
+    joined = with_groups(known, bracket(known, by, v, 0.5), by)
     inside = joined.where(v <= F.col("hi")).groupBy(*by, "n", F.when(v >= F.col("lo"), v).alias("x")).agg(F.count("*").alias("c"))
     order = Window.partitionBy(*by).orderBy(F.asc_nulls_first("x"))
     upto = inside.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -42,17 +54,24 @@ def exact_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def first_share(df: DataFrame, by: list[str], order: Column, ties: list[str], share: float) -> DataFrame:
     """Add ``n``, the group's rows, and ``first``: whether a row is among its group's first ceil(share n) by (order, ties).
 
-    ``order`` is numeric and not null.
+    ``order`` is a number that a double holds exactly, and not null; a null
+    group is a group.  Only keys
+    inside the bracket are put in order, to find the last row that counts;
+    the rows themselves are compared with it where they are.  Rows that equal
+    it in order and ties count alike.
     """
-    keyed = df.withColumn("__order", order)
-    joined = keyed.join(bracket(keyed, by, F.col("__order"), share), by)
-    below = joined.groupBy(*by).agg(F.count_if(F.col("__order") < F.col("lo")).alias("below"))
-    lot = F.col("__order").between(F.col("lo"), F.col("hi"))
-    # rows outside the bracket need no order: they go to windows of their own, many and small
-    window = Window.partitionBy(*by, F.when(lot, -1).otherwise(F.pmod(F.xxhash64(*ties), F.lit(4096)))).orderBy("__order", *ties)
-    placed = joined.withColumn("__place", F.row_number().over(window)).join(below, by)
-    inside = F.col("below") + F.col("__place") <= F.ceil(F.lit(share) * F.col("n"))
-    return placed.withColumn("first", F.when(lot, inside).otherwise(F.col("__order") < F.col("lo"))).drop("__order", "__place", "lo", "hi", "below")
+    keyed = df.withColumn("__order", order.cast("double"))
+    keys = keyed.select(*by, "__order", *ties)
+    found = bracket(keys, by, F.col("__order"), share)
+    spread = with_groups(keys, found, by)
+    below = spread.groupBy(*by, "n").agg(F.count_if(F.col("__order") < F.col("lo")).alias("below"))
+    inside = spread.where(F.col("__order").between(F.col("lo"), F.col("hi"))).select(*by, "__order", *ties)
+    window = Window.partitionBy(*by).orderBy("__order", *ties)
+    placed = with_groups(inside.withColumn("__place", F.row_number().over(window)), below, by)
+    last = F.col("below") + F.col("__place") == F.ceil(F.lit(share) * F.col("n"))
+    edge = placed.groupBy(*by, "n").agg(F.min(F.when(last, F.struct("__order", *ties))).alias("__edge"))
+    first = F.coalesce(F.struct("__order", *ties) <= F.col("__edge"), F.lit(False))
+    return with_groups(keyed, edge, by).withColumn("first", first).drop("__order", "__edge")
 
 
 def cut_points(df: DataFrame, order: str, parts: int = 64) -> list:

@@ -25,7 +25,7 @@ def stratified_split(df: DataFrame, key: str, cluster: str = "cluster", fraction
     whole table is split with max(fraction, 1/n).
     """
     def divide(frame: DataFrame, by: list[str], share: float, least: int) -> DataFrame:
-        code = F.conv(F.substring(shuffled(seed, key), 1, 15), 16, 10).cast("long")  # the order of the whole hash, but for ties
+        code = F.conv(F.substring(shuffled(seed, key), 1, 13), 16, 10).cast("long")  # the order of the whole hash, but for ties; exact as a double
         placed = first_share(frame.withColumn("__md5", shuffled(seed, key)), by, code, ["__md5", key], share)
         return placed.withColumn("split", F.when((F.col("n") > least) & F.col("first"), F.lit("test")).otherwise(F.lit("train"))).drop("n", "first", "__md5")
 

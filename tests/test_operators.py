@@ -494,3 +494,19 @@ def test_searches_beyond_the_plain_ones(spark):
     assert search.matthews(np.array([1, 1, 0, 0]), np.array([0.9, 0.2, 0.1, 0.3])) == pytest.approx((1 * 2 - 0 * 1) / (1 * 2 * 2 * 3) ** 0.5)
     some = search.drawn({"a": [1, 2, 3], "b": list("xyzw")}, 5, 1)
     assert len({tuple(c.items()) for c in some}) == 5 and some == search.drawn({"a": [1, 2, 3], "b": list("xyzw")}, 5, 1)
+
+
+def test_null_groups_keep_their_rows(spark, monkeypatch):
+    """A null cluster is split like any other, and a null group has a median."""
+    from assayframe.operators import ranks, split
+
+    for small in (ranks.SMALL, 5):
+        monkeypatch.setattr(ranks, "SMALL", small)
+        rows = [(i, None if i < 20 else i % 2, float(i % 17)) for i in range(60)]
+        df = spark.createDataFrame(rows, "compound_id long, cluster int, activity double")
+        out = split.stratified_split(df, "compound_id").collect()
+        assert sorted(r.compound_id for r in out) == list(range(60))
+        assert {c: sum(r.split == "test" for r in out if r.cluster == c) for c in (None, 0, 1)} == {None: 4, 0: 4, 1: 4}
+        medians = {r.cluster: r["median"] for r in ranks.exact_median(df, ["cluster"], "activity").collect()}
+        assert medians == {c: float(np.median([v for _, k, v in rows if k == c])) for c in (None, 0, 1)}
+        assert ranks.first_share(df, ["cluster"], F.col("activity"), ["compound_id"], 0.0).where("first").isEmpty()
