@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .catalog import dims_of, embedding_names, predictions, query, read
 from .operators import search, split
-from .oracle_pls import pls_sql
+from .operators.products import FoldProducts
 from .operators.scalable import pls_fit
+from .oracle_pls import pls_sql
 
 
 def embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -30,6 +31,13 @@ def training(spark: SparkSession, d: str) -> search.Training:
     return search.Training.load(wide, "vec_id", names, "label")
 
 
+def fold_products(spark: SparkSession, d: str) -> FoldProducts:
+    e = embeddings(spark, d)
+    names = embedding_names(dims_of(e, "features"))
+    wide = e.select("vec_id", "label", *[F.col("features")[i].alias(c) for i, c in enumerate(names)])
+    return FoldProducts.load(wide, "vec_id", names, "label")
+
+
 @query("kmeans_split")
 def kmeans_split(spark: SparkSession, d: str) -> DataFrame:
     placed = split.cluster(split.embed(embeddings(spark, d)), 4)
@@ -58,18 +66,18 @@ def pls_fit_predict(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sfs_select")
 def sfs_select(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(search.forward_selection(spark, training(spark, d), "pls", {"n_components": 3}))
+    return spark.createDataFrame(search.forward_selection(spark, fold_products(spark, d), "pls", {"n_components": 3}))
 
 
 @query("ga_select")
 def ga_select(spark: SparkSession, d: str) -> DataFrame:
-    best, history = search.genetic_selection(spark, training(spark, d), 4, "pls", {"n_components": 3})
+    best, history = search.genetic_selection(spark, fold_products(spark, d), 4, "pls", {"n_components": 3})
     return spark.createDataFrame(history).withColumn("selected", F.array(*map(F.lit, best)))
 
 
 @query("hpo_rounds")
 def hpo_rounds(spark: SparkSession, d: str) -> DataFrame:
-    found = search.tune(spark, training(spark, d), "pls")
+    found = search.tune(spark, fold_products(spark, d), "pls")
     rows = [(s["source"], s["mean_train_r2"], s["mean_cv_r2"], s["std_cv_r2"], s["status"], s is found.chosen) for s in found.summaries]
     return spark.createDataFrame(rows, "source string, mean_train_r2 double, mean_cv_r2 double, std_cv_r2 double, status string, selected boolean")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .colstats import gramian
+from .products import pls_coefficients
 
 
 @dataclass
@@ -32,21 +33,5 @@ def pls_fit(df: DataFrame, features: str, target: str, dims: int, n_components:
     mean = np.array([stats[f"m{i}"] for i in range(dims)])
     a, b = g[:dims, :dims].copy(), g[:dims, dims].copy()
     k = max(1, min(n_components, dims, stats["n"] - 1))
-    weights, loads, heads = [], [], []
-    for _ in range(k):
-        size = np.linalg.norm(b)
-        if size < 1e-12:
-            break
-        w = b / size
-        tt = w @ a @ w
-        if tt < 1e-12:
-            break
-        p, q = a @ w / tt, b @ w / tt
-        a = a - tt * np.outer(p, p)
-        b = b - tt * q * p
-        weights.append(w), loads.append(p), heads.append(q)
-    if not weights:
-        return Linear(np.zeros(dims), stats["y"], 0)
-    w, p = np.array(weights).T, np.array(loads).T
-    coef = w @ np.linalg.pinv(p.T @ w) @ np.array(heads)
-    return Linear(coef, float(stats["y"] - mean @ coef), len(heads))
+    coef = pls_coefficients(a, b, k)
+    return Linear(coef, float(stats["y"] - mean @ coef), k)

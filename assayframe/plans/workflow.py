@@ -81,7 +81,7 @@ def branch(spark: SparkSession, data: search.Training, c: Config, estimator: str
     sfs = search.forward_selection(spark, data, estimator, params, min(c.sfs_features, len(data.names)))
     k = search.one_se(sfs)
     chosen, history = search.genetic_selection(spark, data, k, estimator, params, population=c.population, generations=c.generations, seed=c.seed)
-    part = search.Training(data.x[:, [data.names.index(n) for n in chosen]], data.y, chosen, data.folds)
+    part = data.select(chosen)
     tuned = search.tune(spark, part, estimator, rounds, c.cap, proposer)
     out = {"estimator": estimator, "features": chosen, "sfs": sfs, "history": history, "summaries": tuned.summaries, "is_expansion": False, **tuned.chosen}
     free = len(data.names) - len(chosen)
@@ -92,7 +92,7 @@ def branch(spark: SparkSession, data: search.Training, c: Config, estimator: str
         return out
     used = tuned.chosen["params"] if base else {}  # other estimators expand with their defaults
     more, _ = search.genetic_selection(spark, data, c.expand_by, estimator, used, fixed=chosen, population=c.population, generations=c.generations, seed=c.seed)
-    wide = search.Training(data.x[:, [data.names.index(n) for n in more]], data.y, more, data.folds)
+    wide = data.select(more)
     again = search.tune(spark, wide, estimator, rounds, c.cap, proposer)
     out["expansion"] = {"estimator": estimator, "features": more, "summaries": again.summaries, "is_expansion": True, **again.chosen}
     return out
