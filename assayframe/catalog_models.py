@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from .catalog import dims_of, embedding_names, predictions, query, read
 from .operators import search, split
+from .operators.manifold import umap_embed
 from .operators.products import FoldProducts
 from .operators.scalable import pls_fit
 from .oracle_pls import pls_sql
+from .sources.tables import staged
 
 
 def embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -44,9 +46,19 @@ def kmeans_split(spark: SparkSession, d: str) -> DataFrame:
     return split.stratified_split(placed, "vec_id").select("vec_id", "cluster", "split")
 
 
+@query("umap_split")
+def umap_split(spark: SparkSession, d: str) -> DataFrame:
+    """Manifold layout of every vector, clusters of it, and their split; tests hold the layout to its neighbours."""
+    laid = staged(umap_embed(embeddings(spark, d)), "umap-split")
+    placed = split.cluster(laid, 4)
+    out = split.stratified_split(placed, "vec_id")
+    return out.select("vec_id", F.col("embedding")[0].alias("umap_1"), F.col("embedding")[1].alias("umap_2"), "cluster", "split")
+
+
 @query("choose_clusters")
 def choose_clusters(spark: SparkSession, d: str) -> DataFrame:
-    best, scores = split.choose_k(split.embed(embeddings(spark, d)), "vec_id")
+    """The layout is written once; every k and measure reads it."""
+    best, scores = split.choose_k(staged(split.embed(embeddings(spark, d)), "choose-clusters"), "vec_id")
     return spark.createDataFrame([(k, float(s), k == best) for k, s in scores.items()], "k int, score double, chosen boolean")
 
 

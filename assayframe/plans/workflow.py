@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.molecule import canonical_column, descriptor_table
 from ..operators import branches as branching
 from ..operators import clean, colstats, domain, evaluate, external, registry, search, split
+from ..operators.manifold import umap_embed
 from ..sources import models, tables
 
 STAGES = (
@@ -27,6 +28,9 @@ class Config:
     min_valid: int = 20
     test_fraction: float = 0.20
     seed: int = 42
+    embedding: str = "umap"  # or "pca"
+    n_neighbors: int = 15
+    min_dist: float = 0.1
     k_range: tuple[int, int] = (2, 10)
     cluster_seed: int = 60
     max_missing: float = 0.20
@@ -139,7 +143,9 @@ def run(spark: SparkSession, raw: DataFrame, config: Config | None = None, extra
     def embed() -> DataFrame:
         fitted = keep(colstats.filter_reasons(long, 1.0, 0.0), "provisional")
         vectors = keep(colstats.to_vectors(colstats.zscore(long, fitted), "compound_id"), "provisional-vectors")
-        return keep(split.embed(vectors), "embedding")
+        if c.embedding == "pca":
+            return keep(split.embed(vectors), "embedding")
+        return keep(umap_embed(vectors, n_neighbors=c.n_neighbors, min_dist=c.min_dist, seed=c.seed), "embedding")
 
     embedded = step("embedding", embed)
 
