@@ -277,7 +277,7 @@ def pair_of(x: str, y: str) -> list[Column]:
 
 def components_of_lists(placed: DataFrame) -> DataFrame:
     """(key, comp, size, early, other) of lists: two of each component's nodes, the one earliest in its prefix and one by hash."""
-    early, other = F.struct("pos", "fp", "n"), F.struct(F.xxhash64("fp").alias("h"), "fp", "n", "pos")
+    early, other = F.struct("pos", "fp", "n"), F.struct("fp", "n", "pos")  # set names are hashes
     return placed.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min(early).alias("early"), F.min(other).alias("other"))
 
 
@@ -292,7 +292,7 @@ def hub_pairs(lists: DataFrame) -> DataFrame:
 def cross_pairs(placed: DataFrame, lists: DataFrame, n_parts: int) -> DataFrame:
     """All pairs of one list that pass the position filter and lie in different components.
 
-    Lists of a single component are left out before anything is dealt.  A
+    Lists that ``lists`` has as a single component are left out before anything is dealt.  A
     list's blocks meet two at a time, each meeting in a cell of its own.
     """
     mixed = lists.groupBy("key").agg(F.count("*").alias("n_comps"), F.sum("size").alias("size")).where("n_comps > 1")
@@ -438,7 +438,7 @@ def named_rows(docs: Placed) -> DataFrame:
     n_parts = max(common.parts(spark), -(-int(total) // (5 * POSTINGS_A_PART)))
     counts = sketch(scanned) if total else np.zeros(1 << SKETCH_BITS, np.int64)
     classes = frequency_classes(counts)
-    met = common.staged(runs(postings(docs.table, counts, n_parts), n_parts), "jaccard-runs")
+    met = common.staged(runs(postings(docs.source, counts, n_parts), n_parts), "jaccard-runs")
     reps = scanned.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("counts").alias("hist"))
     reps = common.staged(reps, "jaccard-reps")
     common.release(spark)
@@ -447,7 +447,7 @@ def named_rows(docs: Placed) -> DataFrame:
     first = met.where("a is not null").groupBy("a", "b").agg(F.count("*").alias("c"))
     best = Window.partitionBy("b").orderBy(F.desc("c"), "a")
     first = plausible(first, reps).withColumn("r", F.row_number().over(best)).where(F.col("r") <= FIRST_PARTNERS)
-    done = sets = links = None
+    done = sets = links = lists = None
     spent = [met]
     for step in range(HUB_ROUNDS + 2):
         if step == 0:
@@ -455,12 +455,13 @@ def named_rows(docs: Placed) -> DataFrame:
         else:
             comps = connected_components(links)
             placed = posted.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", "pos", F.coalesce("component", "fp").alias("comp"))
-            lists = common.staged(components_of_lists(placed), "jaccard-lists")
+            if step <= HUB_ROUNDS or lists is None:
+                common.discard(lists)
+                lists = common.staged(components_of_lists(placed), "jaccard-lists")
+            # components only merge: a list of one component stays so, and the lists of the last hub round hold all others
             fresh = hub_pairs(lists) if step <= HUB_ROUNDS else cross_pairs(placed, lists, n_parts)
             pairs = plausible(fresh.join(done, ["a", "b"], "left_anti"), reps)
         pairs = common.staged(pairs, "jaccard-pairs")
-        if step:
-            common.discard(lists)
         lack = reps.join(ends(pairs), "fp", "left_semi").select("row", "fp")
         if sets is not None:
             lack = lack.join(sets.select("fp"), "fp", "left_anti")
@@ -476,7 +477,7 @@ def named_rows(docs: Placed) -> DataFrame:
         links = linked if links is None else links.unionByName(linked)
         done = pairs if done is None else done.unionByName(pairs)
         common.release(spark)
-    common.discard(*spent)
+    common.discard(lists, *spent)
     comps = connected_components(links).select(F.col("node").alias("fp"), "component")
     named = common.staged(reps.join(comps, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "jaccard-named")
     least = named.groupBy("component").agg(F.min("rep").alias("group"))

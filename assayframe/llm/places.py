@@ -32,8 +32,9 @@ def fresh(columns: list[str], *names: str) -> list[str]:
 
 @dataclass
 class Placed:
-    """``table`` holds the rows, ``row`` names the column of their numbers and ``run`` that of their runs."""
+    """``table`` holds the rows of ``source``, ``row`` names the column of their numbers and ``run`` that of their runs."""
 
+    source: DataFrame
     table: DataFrame
     columns: list[str]
     row: str
@@ -74,7 +75,7 @@ def placed(docs: DataFrame, name: str) -> Placed:
     numbered.write.format("parquet").option("path", path).bucketBy(common.parts(spark), run).saveAsTable(table)
     out = spark.table(table)
     out._staged_path = path
-    return Placed(out, columns, row, run, table)
+    return Placed(docs, out, columns, row, run, table)
 
 
 def row_hash(docs: DataFrame) -> Column:
