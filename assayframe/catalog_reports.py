@@ -1,6 +1,7 @@
 """Report-shaped queries: counts, top rows, list columns, unions and plot tables."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,39 +83,28 @@ def latest_per_conversation(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max_by("role", "turn").alias("last_role"))
 
 
-# Combinations of the grids, as products of their lists and after the longest lists lost their middle values.
-GRID_SIZES = """('random_forest', 'overfit', 432, 96, false),
-('random_forest', 'underfit', 384, 96, false),
-('random_forest', 'unstable', 648, 96, false),
-('random_forest', 'default', 216, 96, false),
-('pls', 'overfit', 16, 16, false),
-('pls', 'underfit', 16, 16, false),
-('pls', 'unstable', 4, 4, false),
-('pls', 'default', 6, 6, false),
-('extra_trees', 'overfit', 216, 108, false),
-('extra_trees', 'underfit', 192, 108, false),
-('extra_trees', 'unstable', 216, 108, false),
-('extra_trees', 'default', 108, 108, false),
-('svr', 'overfit', 54, 54, false),
-('svr', 'underfit', 54, 54, false),
-('svr', 'unstable', 18, 18, false),
-('svr', 'default', 72, 72, false),
-('knn', 'overfit', 3, 3, false),
-('knn', 'underfit', 24, 24, false),
-('knn', 'unstable', 4, 4, false),
-('knn', 'default', 8, 8, false)"""
-
-
-@query("grid_sizes", f"SELECT * FROM (VALUES {GRID_SIZES}) g(estimator, status, n_all, n_kept, randomized)")
+# The lists of components of the PLS grids by status, and combinations of the other parameters.
+PLS_GRIDS = "('overfit', [2, 3, 5, 8], 4), ('underfit', [10, 15, 20, 30], 4), ('unstable', [5, 8, 10, 15], 1), ('default', [5, 10, 15], 2)"
+
+
+@query("grid_sizes", f"""WITH n AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), g(status, components, rest) AS (VALUES {PLS_GRIDS})
+SELECT p_brand, status, (len(components) * rest)::INTEGER AS n_all, (greatest(1, len(list_filter(components, lambda c: c <= least(n // 3, n - 1)))) * rest)::INTEGER AS n_kept FROM n, g""")
 def grid_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Combinations of each estimator's grid by status, before and after shrinking to 120."""
-    rows = []
-    for e in registry.NAMES:
-        for status in ("overfit", "underfit", "unstable", "default"):
-            grid = registry.grid_for(e, status)
-            small, drawn = registry.shrink(grid, 120)
-            rows.append((e, status, registry.combinations(grid), registry.combinations(small), drawn))
-    return spark.createDataFrame(rows, "estimator string, status string, n_all int, n_kept int, randomized boolean")
+    """Combinations of the PLS grids before and after they are fitted to a table; a brand's parts stand for one of a third as many descriptors."""
+    sizes = read(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
+
+    def fitted(batches):
+        for pdf in batches:
+            rows = []
+            for brand, n in zip(pdf["p_brand"], pdf["n"]):
+                for status in ("overfit", "underfit", "unstable", "default"):
+                    grid = registry.grid_for("pls", status)
+                    kept, _ = registry.sanitise("pls", grid, n // 3, n)
+                    kept, _ = registry.shrink(kept, 120)
+                    rows.append((brand, status, registry.combinations(grid), registry.combinations(kept)))
+            yield pd.DataFrame(rows, columns=["p_brand", "status", "n_all", "n_kept"])
+
+    return sizes.mapInPandas(fitted, "p_brand string, status string, n_all int, n_kept int")
 
 
 CHAINS = """c AS (SELECT p_partkey, p_retailprice, p_size % 9 + 1 AS k, ['', 'O', 'N'][p_partkey % 3 + 1] AS e FROM part)"""
