@@ -3,14 +3,25 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import logging.config
+import shlex
 
-from .log import get_logger
-from .operators import external
+from .operators import backend, external
 from .plans import workflow
 from .session import get_spark
 from .sources import artifacts, tables
 
 
+#: stages of a run on standard error; libraries' own loggers stay as they are
+LOGGING = {
+    "version": 1,
+    "disable_existing_loggers": False,
+    "formatters": {"stage": {"format": "{asctime} {message}", "style": "{", "datefmt": "%H:%M:%S"}},
+    "handlers": {"stages": {"class": "logging.StreamHandler", "formatter": "stage"}},
+    "loggers": {"assayframe.run": {"level": "INFO", "handlers": ["stages"], "propagate": False}},
+}
+
+
 def named(reference: str | None):
     """The function of ``module:function``, a proposer of grids."""
     if not reference:
@@ -28,6 +39,9 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--activity", default="activity")
     run.add_argument("--compound-id")
     run.add_argument("--external", help="CSV of external descriptors, rows in file order")
+    run.add_argument("--backend", help="command of an outside program that answers lines of JSON")
+    run.add_argument("--backend-descriptors", default="", help="its descriptors, with commas between")
+    run.add_argument("--backend-seconds", type=float, default=600.0, help="time for each compound")
     run.add_argument("--disable-fallback", action="store_true", help="model with the first estimator only")
     again = sub.add_parser("resume", help="tune again on a stored run")
     again.add_argument("run_dir", nargs="?", help="the run's folder; or give --run-id")
@@ -48,7 +62,8 @@ def main(argv: list[str] | None = None) -> int:
         q.add_argument("--max-candidates", type=int, default=120)
         q.add_argument("--cv-folds", type=int, default=5)
     a = p.parse_args(argv)
-    log = get_logger()
+    logging.config.dictConfig(LOGGING)
+    log = logging.getLogger("assayframe.run")
     if a.command == "resume" and not (a.run_dir or a.run_id):
         p.error("resume needs a run folder or --run-id")
     spark = get_spark()
@@ -67,7 +82,10 @@ def main(argv: list[str] | None = None) -> int:
     artifacts.copy_input(a.csv, folder / "input.csv")
     c = workflow.Config(structure=a.structure, activity=a.activity, compound_id=a.compound_id, rounds=rounds, cap=a.max_candidates, folds=a.cv_folds, tuning=not a.disable_hpo, fallback=not a.disable_fallback)
     extra = tables.read_csv(spark, a.external, external.ORDINAL) if a.external else None
-    workflow.run(spark, tables.read_csv(spark, a.csv), c, extra, str(folder), lambda e: log.info("%s: %s in %s s", e["stage"], e["status"], e["seconds"]), named(a.proposer))
+    program = backend.Supervised(shlex.split(a.backend), a.backend_seconds) if a.backend else None
+    names = [n for n in a.backend_descriptors.split(",") if n]
+    told = lambda e: log.info("%s: %s in %s s", e["stage"], e["status"], e["seconds"])
+    workflow.run(spark, tables.read_csv(spark, a.csv), c, extra, str(folder), told, named(a.proposer), program, names)
     artifacts.zip_run(folder, folder / "run.zip")
     print((folder / "report.md").read_text())
     return 0

@@ -1,7 +1,21 @@
-"""Descriptors of an outside program, called a partition at a time and joined back by key."""
+"""Descriptors of an outside program, called a partition at a time and joined back by key.
+
+A program may hang or die on a compound.  ``Supervised`` runs one beside each
+task, gives every compound its own time, kills and restarts what does not
+answer, and turns a compound that fails again into an error row, so no
+compound ends a task.
+"""
 from __future__ import annotations
 
+import contextlib
+import json
+import os
+import selectors
+import signal
+import subprocess
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,6 +46,85 @@ def run_backend(compounds: DataFrame, key: str, smiles: str, backend: Backend, d
     return compounds.select(key, smiles).mapInPandas(call, f"{key} {kind}, ordinal long, error string{columns}")
 
 
+@dataclass
+class Supervised:
+    """A backend out of a command that answers lines of JSON, one for each compound.
+
+    It reads ``{"key": .., "structure": ..}`` and writes one object of numbers
+    by descriptor; a member ``error`` says why there are none.  ``seconds`` is
+    a compound's time and ``retries`` how often it is tried again, each time
+    with a fresh process.
+    """
+
+    command: list[str]
+    seconds: float = 600.0
+    retries: int = 1
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        child = Child(self.command)
+        try:
+            for pdf in batches:
+                key, structure = pdf.columns[:2]
+                rows = []
+                for k, s in zip(pdf[key], pdf[structure]):
+                    error = None
+                    for _ in range(1 + self.retries):
+                        try:
+                            answer = child.ask({"key": k, "structure": s}, self.seconds)
+                            break
+                        except (OSError, TimeoutError, ValueError) as e:
+                            answer, error = {}, str(e) or type(e).__name__
+                            child.stop()
+                    else:
+                        answer = {"error": error}
+                    rows.append({"error": "", **answer, key: k})
+                yield pd.DataFrame(rows, columns=None if rows else [key, "error"])
+        finally:
+            child.stop()
+
+
+class Child:
+    """One run of a command at a time, started when it is asked."""
+
+    def __init__(self, command: list[str]):
+        self.command, self.process, self.rest = command, None, b""
+
+    def ask(self, question: dict, seconds: float) -> dict:
+        if self.process is None or self.process.poll() is not None:
+            self.stop()
+            self.process = subprocess.Popen(self.command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, start_new_session=True)
+        self.process.stdin.write(json.dumps(question, default=str).encode() + b"\n")
+        self.process.stdin.flush()
+        answer = json.loads(self.line(time.monotonic() + seconds, seconds))
+        if not isinstance(answer, dict):
+            raise ValueError(f"no object: {str(answer)[:80]}")
+        return answer
+
+    def line(self, until: float, seconds: float) -> bytes:
+        with selectors.DefaultSelector() as ready:
+            ready.register(self.process.stdout, selectors.EVENT_READ)
+            while b"\n" not in self.rest:
+                if not ready.select(max(0.0, until - time.monotonic())):
+                    raise TimeoutError(f"no answer in {seconds:g} s")
+                more = os.read(self.process.stdout.fileno(), 1 << 16)
+                if not more:
+                    raise OSError(f"the program ended with code {self.process.wait()}")
+                self.rest += more
+        line, _, self.rest = self.rest.partition(b"\n")
+        return line
+
+    def stop(self) -> None:
+        """Kill the program and whatever it has started."""
+        if self.process is not None:
+            with contextlib.suppress(ProcessLookupError):
+                os.killpg(self.process.pid, signal.SIGKILL)
+            self.process.wait()
+            for pipe in (self.process.stdin, self.process.stdout):
+                with contextlib.suppress(OSError):
+                    pipe.close()
+        self.process, self.rest = None, b""
+
+
 def align_backend(compounds: DataFrame, output: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
     """Left join on the key: the first row of a key wins, values that are not finite and missing rows are null.
 

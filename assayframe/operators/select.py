@@ -56,19 +56,36 @@ def select_simplest(df: DataFrame, order: str = "seq") -> DataFrame:
     return near.orderBy("simplicity", order).limit(1)
 
 
+# What a parameter adds to an estimator's score, by value where it is a number ("x" times it)
+# or by name; "else" is for a value that is not listed, and the last number is that of a missing parameter.
+FOREST_TERMS = {
+    "max_depth": {"x": 1, None: 50, "missing": None},
+    "min_samples_leaf": {"x": -1, "missing": 1},
+    "min_samples_split": {"x": -1, "missing": 2},
+    "max_features": {"x": 10, "sqrt": 3.0, "log2": 2.5, None: 5.0, "else": 5.0, "missing": "sqrt"},
+    "n_estimators": {"x": 0.01, "missing": 100},
+}
+TERMS = {
+    "random_forest": FOREST_TERMS,
+    "extra_trees": FOREST_TERMS,
+    "pls": {"n_components": {"x": 1, "missing": 10}},
+    "svr": {"C": {"x": 1, "missing": 1.0}, "epsilon": {"x": -10, "missing": 0.1}},
+    "knn": {"n_neighbors": {"x": 1, "missing": 5}},
+}
+#: of the share of rows that a forest's bootstrap leaves out
+LEFT_OUT = 5
+
+
 def simplicity(estimator: str, p: dict) -> float:
     """Lower is preferred; only comparable within one estimator."""
-    if estimator in ("random_forest", "extra_trees"):
-        depth = p.get("max_depth")
-        f = p.get("max_features", "sqrt")
-        share = {"sqrt": 0.3, "log2": 0.25}.get(f, 0.5) if isinstance(f, str) else float(f if f is not None else 0.5)
-        reuse = 0.0 if not p.get("bootstrap", True) else 1 - (p.get("max_samples") or 1)
-        return (50 if depth is None else depth) - p.get("min_samples_leaf", 1) - p.get("min_samples_split", 2) + 10 * share + 0.01 * p.get("n_estimators", 100) + 5 * reuse
-    if estimator == "pls":
-        return float(p.get("n_components", 10))
-    if estimator == "svr":
-        return p.get("C", 1.0) - 10 * p.get("epsilon", 0.1)
-    return float(p.get("n_neighbors", 5))
+    total = 0.0
+    for name, term in TERMS[estimator].items():
+        value = p.get(name, term["missing"])
+        number = isinstance(value, (int, float)) and not isinstance(value, bool)
+        total += term["x"] * value if number else term.get(value, term.get("else", 0.0))
+    if TERMS[estimator] is FOREST_TERMS and p.get("bootstrap", True):
+        total += LEFT_OUT * (1 - (p.get("max_samples") or 1))
+    return float(total)
 
 
 def stop_search(summary: dict, baseline_cv: float, status: str, t: Thresholds = Thresholds(), least_gain: float = 0.02) -> bool:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.molecule import canonical_column, descriptor_table
+from ..operators import backend as outside
 from ..operators import branches as branching
 from ..operators import clean, colstats, domain, evaluate, external, registry, search, split
 from ..operators.manifold import umap_embed
@@ -114,9 +115,12 @@ def cross_model(branches: list[dict]) -> dict:
     return min(near, key=lambda b: b["simplicity"])
 
 
-def run(spark: SparkSession, raw: DataFrame, config: Config | None = None, extra: DataFrame | None = None, out_dir: str | None = None, callback=None, proposer=None) -> Run:
+def run(spark: SparkSession, raw: DataFrame, config: Config | None = None, extra: DataFrame | None = None, out_dir: str | None = None, callback=None, proposer=None, backend: outside.Backend | None = None, backend_descriptors: list[str] | None = None) -> Run:
     """All stages; ``raw`` needs the ordinal that ``tables.read_csv`` adds.
 
+    ``backend`` is an outside program whose ``backend_descriptors`` join those
+    of this library; compounds that it fails on are reported and stay.
+
     ``proposer(estimator, status, summaries)`` may give the grids of the tuning
     rounds.  A fallback branch that fails is reported and the others go on.
     """
@@ -129,7 +133,17 @@ def run(spark: SparkSession, raw: DataFrame, config: Config | None = None, extra
     source = raw.select(F.col("original_row_index").cast("long").alias("original_row_index"), F.col(c.structure).alias("__smiles"))
     rows = keep(rows.join(source, "original_row_index"), "rows")
     r.tables |= {"invalid": invalid, "duplicates": dups}
-    long = step("descriptors", lambda: keep(descriptor_table(rows, "compound_id", "__smiles"), "descriptors"))
+
+    def describe() -> DataFrame:
+        own = descriptor_table(rows, "compound_id", "__smiles")
+        if backend is None:
+            return keep(own, "descriptors")
+        answers = keep(outside.run_backend(rows, "compound_id", "__smiles", backend, backend_descriptors), "backend")
+        aligned = outside.align_backend(rows.select("compound_id"), answers, "compound_id")
+        r.tables["backend_report"] = outside.backend_report(aligned, "compound_id")
+        return keep(own.unionByName(colstats.to_long(aligned, "compound_id", backend_descriptors)), "descriptors")
+
+    long = step("descriptors", describe)
 
     def merge() -> DataFrame:
         if extra is None:

@@ -1,42 +1,86 @@
-"""Run folders: ids, safe names, hashes, copies, archives, fenced JSON."""
+"""Folders of runs on any file system that Spark reaches: ids, digests, copies, archives; fenced JSON.
+
+All files go through Hadoop's FileSystem of the running session, so a run's
+folder can lie in a cluster's store as well as on this machine.
+"""
 from __future__ import annotations
 
-import hashlib
 import json
 import re
-import shutil
-import uuid
-import zipfile
-from pathlib import Path
+import secrets
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAFE = re.compile(r"^[a-zA-Z0-9_\-\.]+$")
+#: fixed value: the characters of a run id or a file name
+SAFE = re.compile(r"[a-zA-Z0-9_\-\.]+")
 
 
-def new_run_id() -> str:
-    return uuid.uuid4().hex[:12]
+class StoredPath:
+    """A file or folder of the session's file systems."""
+
+    def __init__(self, place, spark: SparkSession | None = None):
+        self.spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+        self.place = str(place)
+        self.path = self.spark._jvm.org.apache.hadoop.fs.Path(self.place)
+        self.conf = self.spark._jsc.hadoopConfiguration()
+        self.fs = self.path.getFileSystem(self.conf)
+
+    def __truediv__(self, name: str) -> "StoredPath":
+        return StoredPath(f"{self.place.rstrip('/')}/{name}", self.spark)
+
+    def __str__(self) -> str:
+        return self.place
+
+    def __fspath__(self) -> str:
+        return self.place
+
+    def exists(self) -> bool:
+        return self.fs.exists(self.path)
+
+    def resolved(self) -> str:
+        return self.fs.makeQualified(self.path).toString()
 
+    def read_text(self) -> str:
+        stream = self.fs.open(self.path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
-def run_dir(base: str | Path, run_id: str) -> Path:
-    if not SAFE.match(run_id) or run_id in (".", ".."):
-        raise ValueError(f"unsafe run id: {run_id!r}")
-    path = Path(base) / run_id
-    path.mkdir(parents=True, exist_ok=True)
-    return path
+    def files(self):
+        """(path, name within the folder) of all files below, in the order of their names."""
+        found, walk, root = [], self.fs.listFiles(self.path, True), self.resolved().rstrip("/") + "/"
+        while walk.hasNext():
+            path = walk.next().getPath()
+            found.append((path.toString().removeprefix(root), path))
+        return [(path, name) for name, path in sorted(found, key=lambda x: x[0])]
+
+
+def new_run_id() -> str:
+    return secrets.token_hex(6)
 
 
 def safe_name(name: str) -> str:
-    return re.sub(r"[^a-zA-Z0-9_\-\.]", "_", Path(name).name) or "file"
+    """The name itself; names with other characters, and those of folders, are refused."""
+    if not SAFE.fullmatch(name) or not name.strip("."):
+        raise ValueError(f"unsafe name: {name!r}")
+    return name
+
 
+def run_dir(base, run_id: str) -> StoredPath:
+    folder = StoredPath(base) / safe_name(run_id)
+    folder.fs.mkdirs(folder.path)
+    return folder
 
-def file_sha256(path: str | Path) -> str:
-    digest = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            digest.update(block)
-    return digest.hexdigest()
+
+def file_sha256(place) -> str:
+    at = StoredPath(place)
+    stream = at.fs.open(at.path)
+    try:
+        return at.spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
@@ -46,24 +90,36 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.sha2(F.concat_ws("-", *[p.cast("string") for p in parts]), 256).alias("sha256"))
 
 
-def copy_input(source: str | Path, target: str | Path) -> Path:
-    source, target = Path(source).resolve(), Path(target).resolve()
-    if source != target:
-        target.parent.mkdir(parents=True, exist_ok=True)
-        shutil.copy2(source, target)
-    return target
+def copy_input(source, target) -> StoredPath:
+    """Copy a file between file systems; onto itself it stays as it is."""
+    a, b = StoredPath(source), StoredPath(target)
+    if a.resolved() != b.resolved():
+        a.spark._jvm.org.apache.hadoop.fs.FileUtil.copy(a.fs, a.path, b.fs, b.path, False, True, a.conf)
+    return b
+
+
+def zip_run(folder, target) -> StoredPath:
+    """All files below ``folder``, but for the archive itself, streamed into one archive."""
+    a, b = StoredPath(folder), StoredPath(target)
+    jvm, own = a.spark._jvm, b.resolved()
+    entries = [(path, name) for path, name in a.files() if path.toString() != own and not name.endswith(".crc")]
+    out = jvm.java.util.zip.ZipOutputStream(b.fs.create(b.path, True))
+    try:
+        for path, name in entries:
+            out.putNextEntry(jvm.java.util.zip.ZipEntry(name))
+            stream = a.fs.open(path)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            stream.close()
+            out.closeEntry()
+    finally:
+        out.close()
+    return b
 
 
-def zip_run(folder: str | Path, target: str | Path) -> Path:
-    folder, target = Path(folder), Path(target)
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for path in sorted(p for p in folder.rglob("*") if p.is_file() and p.resolve() != target.resolve()):
-            z.write(path, path.relative_to(folder).as_posix())
-    return target
+FENCE = re.compile(r"\A\s*```[^\n`]*\n?(.*?)\n?\s*```\s*\Z", re.DOTALL)
 
 
 def parse_fenced_json(text: str):
-    body = text.strip()
-    if body.startswith("```"):
-        body = re.sub(r"^```[a-zA-Z]*\s*|\s*```$", "", body)
-    return json.loads(body)
+    """JSON, bare or inside one fenced block."""
+    inside = FENCE.match(text)
+    return json.loads(inside[1] if inside else text)

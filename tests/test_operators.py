@@ -510,3 +510,55 @@ def test_null_groups_keep_their_rows(spark, monkeypatch):
         medians = {r.cluster: r["median"] for r in ranks.exact_median(df, ["cluster"], "activity").collect()}
         assert medians == {c: float(np.median([v for _, k, v in rows if k == c])) for c in (None, 0, 1)}
         assert ranks.first_share(df, ["cluster"], F.col("activity"), ["compound_id"], 0.0).where("first").isEmpty()
+
+
+def test_run_folders_on_the_session_s_file_systems(tmp_path, spark):
+    import hashlib
+    import zipfile
+
+    folder = artifacts.run_dir(f"file://{tmp_path}", artifacts.new_run_id())
+    (tmp_path / "in.csv").write_text("a,b\n1,ü\n")
+    copied = artifacts.copy_input(tmp_path / "in.csv", folder / "input.csv")
+    assert copied.read_text() == "a,b\n1,ü\n" and artifacts.copy_input(copied, copied).exists()
+    assert artifacts.file_sha256(copied) == hashlib.sha256((tmp_path / "in.csv").read_bytes()).hexdigest()
+    spark.range(3).coalesce(1).write.parquet(str(folder / "table"))
+    artifacts.zip_run(folder, folder / "run.zip")
+    with zipfile.ZipFile(str(folder / "run.zip").removeprefix("file://")) as z:
+        names = z.namelist()
+        assert z.read("input.csv").decode() == "a,b\n1,ü\n" and "run.zip" not in names and any(n.startswith("table/part-") for n in names)
+    for name in ("../x", "a/b", "", ".", "..", "a b", "x\n"):
+        with pytest.raises(ValueError):
+            artifacts.safe_name(name)
+    assert artifacts.safe_name("report-1.md") == "report-1.md" and artifacts.parse_fenced_json(' {"a": 2}') == {"a": 2}
+
+
+PROGRAM = """
+import json, sys, time
+for line in sys.stdin:
+    q = json.loads(line)
+    s = q["structure"]
+    if s == "hang":
+        time.sleep(60)
+    if s == "die":
+        sys.exit(3)
+    if s == "once" and not __import__("os").path.exists(sys.argv[1]):
+        open(sys.argv[1], "w").close()
+        time.sleep(60)
+    print("no json" if s == "odd" else json.dumps({"error": "refused"} if s == "bad" else {"size": len(s), "nan": None}), flush=True)
+"""
+
+
+def test_a_supervised_program_ends_no_task(spark, tmp_path):
+    """Programs that hang, die, refuse or babble give error rows; what answers at the second try is kept."""
+    import sys
+
+    from assayframe.operators import backend
+
+    (tmp_path / "program.py").write_text(PROGRAM)
+    program = backend.Supervised([sys.executable, str(tmp_path / "program.py"), str(tmp_path / "seen")], seconds=2.0)
+    names = ["CCO", "hang", "C", "die", "odd", "bad", "once", "CC"]
+    df = spark.createDataFrame([(f"k{i}", s) for i, s in enumerate(names)], "id string, smiles string").coalesce(1)
+    got = {r.smiles: r for r in df.join(backend.run_backend(df, "id", "smiles", program, ["size"]), "id").collect()}
+    assert len(got) == 8 and {s: got[s].size for s in ("CCO", "C", "once", "CC")} == {"CCO": 3.0, "C": 1.0, "once": 4.0, "CC": 2.0}
+    assert all(got[s].error == "" for s in ("CCO", "C", "once", "CC")) and got["bad"].error == "refused"
+    assert "no answer in 2 s" in got["hang"].error and "code 3" in got["die"].error and got["odd"].error and got["odd"].size is None
