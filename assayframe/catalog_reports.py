@@ -12,6 +12,8 @@ from .functions.scalars import r6
 from .operators import colstats, domain, external, plots, registry, search, select
 from .operators.branches import unique_branches
 from .operators.oversample import oversample
+from .sources import tables
+from .streaming import arrivals
 
 
 @query("variance_threshold", f"WITH {WIDE} SELECT descriptor, round(var_samp(value), 6) AS variance FROM filled GROUP BY 1 HAVING var_samp(value) > 0.01")
@@ -125,6 +127,18 @@ def external_structure_join(spark: SparkSession, d: str) -> DataFrame:
     return merged.table.select("compound_id", "canonical_smiles", "price")
 
 
+@query("stream_first_arrivals", """SELECT user_id, min(event_id) AS event_id, count(*) AS copies FROM events WHERE user_id IS NOT NULL GROUP BY 1""")
+def stream_first_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """The events table read as a stream: the first event of each user, with state in the stream's checkpoint."""
+    path = tables.staged_path(spark, "first-arrivals")
+    known = read(spark, d, "events").select("user_id", "event_id").schema
+    stream = spark.readStream.schema(known).parquet(f"{d}/event[s].parquet")
+    found = arrivals.first_arrivals(stream, "user_id", "event_id")
+    into = found.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state")
+    into.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{path}/rows").select("user_id", "event_id", "copies")
+
+
 @query("minority_oversample")
 def minority_oversample(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings").select("vec_id", (F.col("label") == 0).cast("int").alias("y"), F.col("embedding").cast("array<double>").alias("features"))

@@ -64,13 +64,11 @@ def save_json(path: str | Path, data: dict) -> None:
     path.write_text(json.dumps(data, indent=2, default=str))
 
 
-def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """The table written as Parquet and read back: later stages neither repeat its work nor carry its plan.
+def staged_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A fresh place in ``folder`` or in ``spark.checkpoint.dir``.
 
-    It goes to ``folder`` or to ``spark.checkpoint.dir``.  Only a session on
-    one machine that names neither gets a temporary folder.
+    Only a session on one machine that names neither gets a temporary folder.
     """
-    spark = df.sparkSession
     root = folder or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
@@ -78,6 +76,11 @@ def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="assayframe-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/stages/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{root.rstrip('/')}/stages/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """The table written as Parquet and read back: later stages neither repeat its work nor carry its plan."""
+    path = staged_path(df.sparkSession, name, folder)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
