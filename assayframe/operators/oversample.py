@@ -39,13 +39,15 @@ def oversample(df: DataFrame, key: str, features: str, label: str, minority: int
         c = c.sort_values("place")
         x, at = np.stack(c["x"]).astype(float), c["place"].to_numpy()
         b, g = int(a["b"].iloc[0]), int(c["g"].iloc[0])
-        out = []
-        for p, v in zip(a["place"], a["x"]):
-            d = ((x - np.asarray(v, float)) ** 2).sum(1)
+        places, points = a["place"].to_numpy(), np.stack(a["x"]).astype(float)
+        few, some, out = min(k, len(x) - (b == g)), max(1, (1 << 22) // max(1, x.size)), []
+        for s in range(0, len(points), some):  # a block of points meets the whole block at once
+            d = ((x[None] - points[s : s + some, None]) ** 2).sum(2)
             if b == g:
-                d[at == p] = np.inf
-            top = np.argsort(d, kind="stable")[: min(k, len(d) - (b == g))]
-            out.append(pd.DataFrame({"b": b, "place": p, "tb": g, "tplace": at[top], "d": d[top]}))
+                d[places[s : s + some, None] == at[None]] = np.inf
+            top = np.argsort(d, 1, kind="stable")[:, :few]
+            row = np.repeat(places[s : s + some], few)
+            out.append(pd.DataFrame({"b": b, "place": row, "tb": g, "tplace": at[top].ravel(), "d": np.take_along_axis(d, top, 1).ravel()}))
         return pd.concat(out)
 
     met = asks.groupBy("b", "g").cogroup(gives.groupBy("b", "g")).applyInPandas(near, "b int, place int, tb int, tplace int, d double")

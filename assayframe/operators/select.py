@@ -16,15 +16,26 @@ class Thresholds:
     min_train: float = 0.40
 
 
+#: statuses and what they mean, the first that holds; of numbers and of columns alike
+STATUSES = (
+    ("unstable", lambda train, cv, std, t: std > t.max_std),
+    ("underfit", lambda train, cv, std, t: (train < t.min_train) & (cv < t.min_cv)),
+    ("overfit", lambda train, cv, std, t: (train - cv > t.max_gap) & (train > t.min_train)),
+    ("poor_performance", lambda train, cv, std, t: cv < t.min_cv),
+)
+
+
 def overfit_status(train: Column, cv: Column, std: Column, t: Thresholds = Thresholds()) -> Column:
     """First match wins: unstable, underfit, overfit, poor_performance, good."""
-    return (
-        F.when(std > t.max_std, F.lit("unstable"))
-        .when((train < t.min_train) & (cv < t.min_cv), F.lit("underfit"))
-        .when((train - cv > t.max_gap) & (train > t.min_train), F.lit("overfit"))
-        .when(cv < t.min_cv, F.lit("poor_performance"))
-        .otherwise(F.lit("good"))
-    )
+    out = F.lit("good")
+    for name, holds in reversed(STATUSES):
+        out = F.when(holds(train, cv, std, t), F.lit(name)).otherwise(out)
+    return out
+
+
+def status(train: float, cv: float, std: float, t: Thresholds = Thresholds()) -> str:
+    """``overfit_status`` of one candidate's numbers."""
+    return next((name for name, holds in STATUSES if holds(train, cv, std, t)), "good")
 
 
 def assess(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -42,13 +53,15 @@ def one_se_count(sfs: DataFrame) -> DataFrame:
 
 
 def rank_candidates(df: DataFrame, order: str = "candidate_id") -> DataFrame:
+    """Add ``rank`` and ``is_best``; the table has one row a candidate of a search, some thousands at most, and is ordered in one task."""
     w = Window.orderBy(F.desc("mean_cv_r2"), order)
     return df.withColumn("rank", F.row_number().over(w)).withColumn("is_best", F.col("rank") == 1)
 
 
 def select_simplest(df: DataFrame, order: str = "seq") -> DataFrame:
     """The row chosen among acceptable ones (all, if none): within one deviation
-    of the greatest mean the least ``simplicity``, the first at a tie."""
+    of the greatest mean the least ``simplicity``, the first at a tie.  The
+    table has one row a summary of a search: a handful."""
     every = Window.partitionBy()
     pool = df.withColumn("__any", F.max(F.col("acceptable").cast("int")).over(every)).where("acceptable or __any = 0").drop("__any")
     best = F.first(F.struct("mean_cv_r2", "std_cv_r2")).over(every.orderBy(F.desc("mean_cv_r2"), order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
