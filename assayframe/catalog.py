@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.scalars import finite, generated_id, molecule_file_id, r6, safe_run_id, squeeze
-from .operators import clean, colstats, domain, evaluate, external, neighbours, plots, select, split
+from .operators import blocked, clean, colstats, domain, evaluate, external, neighbours, plots, select, split
 from .streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -297,9 +297,7 @@ def corr_prune_greedy(spark: SparkSession, d: str) -> DataFrame:
     """Pairs by falling correlation; of each the one farther from the target goes, unless either is gone."""
     e = read(spark, d, "embeddings")
     n = dims_of(e, "embedding")
-    r = colstats.correlation(e, "embedding", n, extra="label")
-    gone = colstats.greedy_prune(r[:n, :n], r[:n, n], embedding_names(n), 0.08)
-    return spark.createDataFrame(gone, "dropped string, because_of string")
+    return blocked.prune_correlated(e, "embedding", "label", embedding_names(n), 0.08, block=16)
 
 
 # --------------------------------------------------------------------- split

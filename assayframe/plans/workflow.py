@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.molecule import canonical_column, descriptor_table
 from ..operators import backend as outside
 from ..operators import branches as branching
-from ..operators import clean, colstats, domain, evaluate, external, registry, search, split
+from ..operators import blocked, clean, colstats, domain, evaluate, external, registry, search, split
 from ..operators.manifold import umap_embed
 from ..sources import models, tables
 
@@ -182,8 +182,8 @@ def run(spark: SparkSession, raw: DataFrame, config: Config | None = None, extra
         if not names:
             raise ValueError("no descriptor is left after the filters")
         vectors = keep(colstats.to_vectors(z, "compound_id").join(rows.select("compound_id", "activity"), "compound_id").join(parts.select("compound_id", "split"), "compound_id"), "vectors")
-        corr = colstats.correlation(vectors.where("split = 'train'"), "features", len(names), "activity")
-        gone = dict(colstats.greedy_prune(corr[:-1, :-1], corr[:-1, -1], names, c.max_corr))
+        pruned = blocked.prune_correlated(vectors.where("split = 'train'"), "features", "activity", names, c.max_corr)
+        gone = {x["dropped"]: x["because_of"] for x in pruned.collect()}  # one row a descriptor at most
         r.report["removed"] = {x["descriptor"]: x["reason"] for x in fitted.where("reason is not null").collect()} | {k: f"correlated_with_{v}" for k, v in gone.items()}
         kept = [n for n in names if n not in gone]
         wide = keep(vectors.select("compound_id", "activity", "split", *[F.col("features")[names.index(n)].alias(n) for n in kept]), "matrix")
