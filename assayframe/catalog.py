@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.scalars import finite, generated_id, molecule_file_id, r6, safe_run_id, squeeze
+from .functions.scalars import finite, generated_id, inactive, measured, molecule_file_id, r6, safe_run_id, squeeze
 from .operators import blocked, clean, colstats, domain, evaluate, external, neighbours, plots, select, split
 from .streaming import monitor
 
@@ -535,6 +535,30 @@ def binarise_labels(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "customer").select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", 0).otherwise(1).alias("y"))
 
 
+WRITTEN = "CASE p_size % 5 WHEN 0 THEN 'ni' WHEN 1 THEN p_size::VARCHAR || '/4' WHEN 2 THEN ' ' || p_retailprice::VARCHAR || ' ' WHEN 3 THEN '0' ELSE p_brand END"
+
+
+@query("regression_labels", f"""WITH w AS (SELECT p_partkey, p_size, p_retailprice, {WRITTEN} AS response FROM part)
+SELECT p_partkey, (response <> 'ni')::INTEGER AS active, CASE p_size % 5 WHEN 1 THEN p_size / 4.0 WHEN 2 THEN p_retailprice END::DOUBLE AS value FROM w""")
+def regression_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Classes and numbers of one response column that holds marks, quotients, numbers and other text; parts stand for samples."""
+    size = F.col("p_size") % 5
+    response = (
+        F.when(size == 0, "ni").when(size == 1, F.concat(F.col("p_size").cast("string"), F.lit("/4")))
+        .when(size == 2, F.concat(F.lit(" "), F.col("p_retailprice").cast("string"), F.lit(" "))).when(size == 3, "0").otherwise(F.col("p_brand"))
+    )
+    part = read(spark, d, "part").select("p_partkey", response.alias("response"))
+    return part.select("p_partkey", inactive(F.col("response")).cast("int").alias("active"), measured(F.col("response")).alias("value"))
+
+
+@query("example_split", f"WITH {WIDE}, {SPLITS} SELECT p_partkey, cluster, split FROM splits")
+def example_split(spark: SparkSession, d: str) -> DataFrame:
+    """Train and test tables of the split by clusters, put together again."""
+    train, test = split.cluster_tables(part_descriptors(spark, d).withColumnRenamed("p_brand", "cluster"), "p_partkey")
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return both.select("p_partkey", "cluster", "split")
+
+
 @query("event_drift", """SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, count(value) AS n, round(avg(value), 6) AS mean_value, round((avg(value) - 50) * sqrt(count(value)) / 10, 6) AS drift_z FROM events GROUP BY 1""")
 def event_drift(spark: SparkSession, d: str) -> DataFrame:
     """The batch form of the streaming monitor."""

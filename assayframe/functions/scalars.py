@@ -15,6 +15,23 @@ def to_number(col: Column) -> Column:
     return finite(col.try_cast("double"))
 
 
+def inactive(col: Column, mark: str = "ni") -> Column:
+    """0 where a response is the mark of no activity, else 1; null stays null."""
+    return F.when(col.isNull(), None).when(col == mark, 0).otherwise(1)
+
+
+def measured(col: Column, mark: str = "ni") -> Column:
+    """The number of a measured response, written plainly or as a quotient of two numbers.
+
+    Null where it is the mark of no activity, 0, or no number; rows of a
+    regression are those that are not null.
+    """
+    text = strip_id(col)
+    parts = F.split(text, "/", 2)
+    value = F.when(F.size(parts) == 2, F.try_divide(to_number(F.trim(parts[0])), to_number(F.trim(F.get(parts, F.lit(1)))))).otherwise(to_number(text))
+    return F.when((text != mark) & (value != 0), finite(value))
+
+
 def strip_id(col: Column) -> Column:
     """An id as text without white space at either end."""
     return F.regexp_replace(col.cast("string"), r"^\s+|\s+$", "")

@@ -18,24 +18,35 @@ def shuffled(seed: int, key: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
+def divided(df: DataFrame, key: str, by: list[str], share: float, seed: int, least: int) -> DataFrame:
+    """Add ``split``: of each group of more than ``least`` rows the first ceil(share n) in seeded order are test."""
+    code = F.conv(F.substring(shuffled(seed, key), 1, 13), 16, 10).cast("long")  # the order of the whole hash, but for ties; exact as a double
+    placed = first_share(df.withColumn("__md5", shuffled(seed, key)), by, code, ["__md5", key], share)
+    return placed.withColumn("split", F.when((F.col("n") > least) & F.col("first"), F.lit("test")).otherwise(F.lit("train"))).drop("n", "first", "__md5")
+
+
 def stratified_split(df: DataFrame, key: str, cluster: str = "cluster", fraction: float = 0.20, seed: int = 42, least: int = 5) -> DataFrame:
     """Add ``split``: per cluster the first ceil(fraction n) rows in seeded order are test.
 
     Clusters of ``least`` rows or fewer are all train.  If none is test, the
     whole table is split with max(fraction, 1/n).
     """
-    def divide(frame: DataFrame, by: list[str], share: float, least: int) -> DataFrame:
-        code = F.conv(F.substring(shuffled(seed, key), 1, 13), 16, 10).cast("long")  # the order of the whole hash, but for ties; exact as a double
-        placed = first_share(frame.withColumn("__md5", shuffled(seed, key)), by, code, ["__md5", key], share)
-        return placed.withColumn("split", F.when((F.col("n") > least) & F.col("first"), F.lit("test")).otherwise(F.lit("train"))).drop("n", "first", "__md5")
-
-    out = divide(df, [cluster], fraction, least)
+    out = divided(df, key, [cluster], fraction, seed, least)
     got = out.agg(F.count_if(F.col("split") == "test").alias("t"), F.count("*").alias("n")).first()
     if got["n"] < 2:
         raise ValueError("a split needs at least two rows")
     if got["t"]:
         return out
-    return divide(df.withColumn("__all", F.lit(1)), ["__all"], max(fraction, 1 / got["n"]), 0).drop("__all")
+    return divided(df.withColumn("__all", F.lit(1)), key, ["__all"], max(fraction, 1 / got["n"]), seed, 0).drop("__all")
+
+
+def cluster_tables(df: DataFrame, key: str, cluster: str = "cluster", fraction: float = 0.20, seed: int = 42, least: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(train, test) with all columns: the stratified split without its fallback, so small tables may have no test rows.
+
+    Clusters of ``least`` rows or fewer are all train; a null cluster is one.
+    """
+    placed = divided(df, key, [cluster], fraction, seed, least)
+    return tuple(placed.where(F.col("split") == part).drop("split") for part in ("train", "test"))
 
 
 def check_split(df: DataFrame, key: str) -> None:

@@ -562,3 +562,13 @@ def test_a_supervised_program_ends_no_task(spark, tmp_path):
     assert len(got) == 8 and {s: got[s].size for s in ("CCO", "C", "once", "CC")} == {"CCO": 3.0, "C": 1.0, "once": 4.0, "CC": 2.0}
     assert all(got[s].error == "" for s in ("CCO", "C", "once", "CC")) and got["bad"].error == "refused"
     assert "no answer in 2 s" in got["hang"].error and "code 3" in got["die"].error and got["odd"].error and got["odd"].size is None
+
+
+def test_responses_of_examples(spark):
+    """Marks, quotients, numbers and other text; nothing is evaluated."""
+    from assayframe.functions.scalars import inactive, measured
+
+    want = {"ni": (0, None), "0": (1, None), " 2.5 ": (1, 2.5), "3/4": (1, 0.75), "1/0": (1, None), "1/2/4": (1, None), "x": (1, None), "": (1, None), "-7e2": (1, -700.0), "nan": (1, None), "__import__('os')": (1, None)}
+    df = spark.createDataFrame([(s,) for s in want] + [(None,)], "s string")
+    got = {r.s: (r.a, r.v) for r in df.select("s", inactive(F.col("s")).alias("a"), measured(F.col("s")).alias("v")).collect()}
+    assert got == want | {None: (None, None)}
