@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 from .components import connected_components
 from .places import Placed, placed, row_hash
-from .textnp import U, chunks, mix, ragged, shingle_sets
+from .textnp import U, chunks, mix, ragged, shingle_sets, tidy
 
 SKETCH_BITS = 20
 SLOTS = 128
@@ -126,7 +126,7 @@ def scan_sets(docs: Placed) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*none, pa.array(pieces, pa.binary()), pa.array(range(SLOTS), pa.int32())], names=names)
 
     read = docs.table.select(F.col(docs.row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs.table.select(*docs.columns)).alias("tie"), "text")
-    return read.mapInArrow(scan, "row long, doc_id long, tie long, fp long, n long, counts binary, slot int")
+    return read.mapInArrow(tidy(scan), "row long, doc_id long, tie long, fp long, n long, counts binary, slot int")
 
 
 def sketch(scanned: DataFrame) -> np.ndarray:
@@ -142,8 +142,8 @@ def sketch(scanned: DataFrame) -> np.ndarray:
 
     schema = "slot int, counts binary"
     pieces = scanned.where("slot is not null").select("slot", "counts")
-    pieces = pieces.mapInArrow(add, schema)  # the sum of each task's pieces
-    rows = pieces.repartition(SLOTS, "slot").mapInArrow(add, schema).collect()
+    pieces = pieces.mapInArrow(tidy(add), schema)  # the sum of each task's pieces
+    rows = pieces.repartition(SLOTS, "slot").mapInArrow(tidy(add), schema).collect()
     out = np.zeros((SLOTS, (1 << SKETCH_BITS) // SLOTS), np.int64)
     for r in rows:
         out[r["slot"]] += np.frombuffer(r["counts"], np.int64)
@@ -199,7 +199,7 @@ def postings(docs: DataFrame, counts: np.ndarray, n_parts: int) -> DataFrame:
                     blobs.append(b"".join((key[a:b].tobytes(), fps[doc[a:b]].tobytes(), size[a:b].tobytes(), pos[a:b].tobytes())))
                 yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
-    return docs.select("text").mapInArrow(post, "part int, blob binary")
+    return docs.select("text").mapInArrow(tidy(post), "part int, blob binary")
 
 
 def unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -262,7 +262,7 @@ def runs(packed: DataFrame, n_parts: int) -> DataFrame:
             none, small = pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32())
             yield pa.RecordBatch.from_arrays([none, none, small, small, pa.array(a), pa.array(b)], names=["key", "fp", "n", "pos", "a", "b"])
 
-    return packed.repartitionById(n_parts, F.col("part")).mapInArrow(gather, RUN_SCHEMA)
+    return packed.repartitionById(n_parts, F.col("part")).mapInArrow(tidy(gather), RUN_SCHEMA)
 
 
 def can_pair(x: str, y: str) -> Column:
@@ -351,7 +351,7 @@ def cross_pairs(placed: DataFrame, lists: DataFrame, n_parts: int) -> DataFrame:
             yield flush()
 
     rows = rows.repartition(n_parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "fp")
-    return rows.mapInArrow(meet, "a long, b long").distinct()
+    return rows.mapInArrow(tidy(meet), "a long, b long").distinct()
 
 
 def plausible(pairs: DataFrame, hists: DataFrame) -> DataFrame:
@@ -372,7 +372,7 @@ def plausible(pairs: DataFrame, hists: DataFrame) -> DataFrame:
     left = hists.select(F.col("fp").alias("a"), F.col("hist").alias("x"), F.col("n").alias("nx"))
     right = hists.select(F.col("fp").alias("b"), F.col("hist").alias("y"), F.col("n").alias("ny"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", *cols, "x", "y", "nx", "ny")
-    return joined.mapInArrow(check, schema)
+    return joined.mapInArrow(tidy(check), schema)
 
 
 def node_sets(docs: Placed, wanted: DataFrame, classes: np.ndarray) -> DataFrame:
@@ -390,7 +390,7 @@ def node_sets(docs: Placed, wanted: DataFrame, classes: np.ndarray) -> DataFrame
                     sets.append(flat[s:e].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(fingerprint(flat, bounds)), pa.array(heads, pa.binary()), pa.array(sets, pa.binary())], names=["fp", "heads", "tokens"])
 
-    return docs.only(wanted).select("text").mapInArrow(build, "fp long, heads binary, tokens binary")
+    return docs.only(wanted).select("text").mapInArrow(tidy(build), "fp long, heads binary, tokens binary")
 
 
 def shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -410,7 +410,7 @@ def checked(pairs: DataFrame, sets: DataFrame, column: str, holds) -> DataFrame:
 
     left = sets.select(F.col("fp").alias("a"), F.col(column).alias("x"))
     right = sets.select(F.col("fp").alias("b"), F.col(column).alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long")
 
 
 def share_prefixes(x, y) -> bool:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .textnp import BASE, INVERSE, U, chunks, mix, powers, ragged, text_buffer
+from .textnp import BASE, INVERSE, U, chunks, mix, powers, ragged, text_buffer, tidy
 
 MARK = "▁"
 NORMAL, UNKNOWN, USER_DEFINED, BYTE_PIECE = 1, 2, 4, 6
@@ -272,7 +272,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids", "decoded_crc32", "exact"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n_tokens long, ids array<int>, decoded_crc32 long, exact boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(scan), "doc_id long, n_tokens long, ids array<int>, decoded_crc32 long, exact boolean")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Whole-batch numpy kernels on UTF-8 text held in Arrow buffers."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,27 @@ U = np.uint64
 CHUNK_BYTES = 2 << 20
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker that waits, or goes on to another stage, keeps none of it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task over batches that releases its memory when it starts and when it ends."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        release_memory()
+        try:
+            yield from task(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, a bijection on 64-bit values."""
     x = x ^ (x >> U(30))
