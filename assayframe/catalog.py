@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.scalars import finite, generated_id, inactive, measured, molecule_file_id, r6, safe_run_id, squeeze
 from .operators import blocked, clean, colstats, domain, evaluate, external, neighbours, plots, select, split
+from .sources.tables import staged
 from .streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,7 +185,8 @@ def part_descriptors(spark: SparkSession, d: str) -> DataFrame:
         F.stddev_samp("l_tax").alias("std_tax"), F.count_if(F.col("l_returnflag") == "R").cast("double").alias("n_returned"),
     )
     part = read(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("activity"), "p_brand")
-    wide = part.join(per, F.col("p_partkey") == F.col("l_partkey"), "left").withColumn("constant", F.lit(5.0))
+    # both sides are rows: by its file alone ``part`` would seem small enough to send
+    wide = part.join(per.hint("merge"), F.col("p_partkey") == F.col("l_partkey"), "left").withColumn("constant", F.lit(5.0))
     sparse = F.when(F.col("n_lines") >= 22, F.col("max_price"))
     return wide.withColumn("max_price", sparse).select("p_partkey", "activity", "p_brand", *DESCRIPTORS)
 
@@ -242,8 +244,8 @@ def part_split(spark: SparkSession, d: str) -> DataFrame:
 @query("zscore_fit_transform", f"""WITH {TRAINED} SELECT p_partkey, split, descriptor, round((coalesce(value, median) - mean) / scale, 6) AS value FROM long JOIN splits USING (p_partkey) JOIN kept USING (descriptor)""")
 def zscore_fit_transform(spark: SparkSession, d: str) -> DataFrame:
     """Statistics from train rows alone, applied to train and test."""
-    parts = part_split(spark, d)
-    long = colstats.to_long(parts, "p_partkey", DESCRIPTORS).join(parts.select("p_partkey", "split"), "p_partkey")
+    parts = staged(part_split(spark, d), "zscore-rows")
+    long = colstats.to_long(parts, "p_partkey", DESCRIPTORS, ("split",))
     fitted = colstats.filter_reasons(long.where("split = 'train'").drop("split"))
     return colstats.zscore(long, fitted).select("p_partkey", "split", "descriptor", r6(F.col("value")).alias("value"))
 
@@ -505,7 +507,7 @@ def knn_predict(spark: SparkSession, d: str) -> DataFrame:
 @query("ols_fit_predict", f"""WITH {PREDICTED}, c AS (SELECT regr_slope(activity, avg_qty) AS b, regr_intercept(activity, avg_qty) AS a FROM preds WHERE split = 'train')
 SELECT p_partkey, split, round(a + b * avg_qty, 4) AS predicted FROM preds, c""")
 def ols_fit_predict(spark: SparkSession, d: str) -> DataFrame:
-    p = predictions(spark, d)
+    p = staged(predictions(spark, d), "ols-rows")
     c = p.where("split = 'train'").agg(F.regr_slope("activity", "avg_qty").alias("b"), F.regr_intercept("activity", "avg_qty").alias("a")).first()
     return p.select("p_partkey", "split", F.round(F.lit(c["a"]) + F.lit(c["b"]) * F.col("avg_qty"), 4).alias("predicted"))
 

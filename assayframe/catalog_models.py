@@ -111,6 +111,6 @@ def hpo_rounds(spark: SparkSession, d: str) -> DataFrame:
 @query("feature_importance")
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
     """Share of each descriptor in what the cuts of a forest gain, the greatest first."""
-    rows = forest_rows(spark, d).where("split = 'train'")
+    rows = staged(forest_rows(spark, d), "forest-rows").where("split = 'train'")
     shares = fit_forest(rows, "p_partkey", "x", "activity").importances().tolist()
     return spark.createDataFrame(list(zip(FOREST_COLUMNS, shares)), "descriptor string, importance double").orderBy(F.desc("importance"))

@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
-from .ranks import exact_median
+from ..sources.tables import staged
+from .ranks import exact_median, with_groups
 
 
-def to_long(wide: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Unpivot numeric columns; non-finite values become null and stay as rows."""
+def to_long(wide: DataFrame, key: str, columns: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Unpivot numeric columns; non-finite values become null and stay as rows.  ``keep`` names columns to repeat beside the key."""
     pairs = F.array(*[F.struct(F.lit(c).alias("descriptor"), finite(F.col(c).cast("double")).alias("value")) for c in columns])
-    return wide.select(key, F.explode(pairs).alias("d")).select(key, "d.descriptor", "d.value")
+    return wide.select(key, *keep, F.explode(pairs).alias("d")).select(key, *keep, "d.descriptor", "d.value")
 
 
 def vector_to_long(df: DataFrame, key: str, vector: str, prefix: str = "d") -> DataFrame:
@@ -35,7 +36,7 @@ def medians(long: DataFrame) -> DataFrame:
 
 def impute(long: DataFrame, fitted: DataFrame) -> DataFrame:
     """Fill nulls with the fitted median; descriptors not fitted go, missing ones do not come."""
-    return long.join(fitted.select("descriptor", "median"), "descriptor").withColumn("value", F.coalesce("value", "median")).drop("median")
+    return with_groups(long, fitted.select("descriptor", "median"), ["descriptor"]).withColumn("value", F.coalesce("value", "median")).drop("median")
 
 
 def spread(long: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def filter_reasons(train: DataFrame, max_missing: float = 0.20, min_std: float =
     In order: nonnumeric (no value at all), missing share above the limit,
     constant, and sample deviation under the limit, after imputation.
     """
-    base = medians(train)
+    base = staged(medians(train), "medians")
     stats = spread(impute(train, base))
     missing = 1 - F.col("present") / F.col("n")
     reason = (
@@ -83,7 +84,7 @@ def reason_counts(removed: DataFrame) -> DataFrame:
 def zscore(long: DataFrame, fitted: DataFrame) -> DataFrame:
     """Train-fitted imputation and scaling, applied to any rows."""
     stats = fitted.where("reason is null").select("descriptor", "median", "mean", "scale")
-    return long.join(stats, "descriptor").withColumn("value", (F.coalesce("value", "median") - F.col("mean")) / F.col("scale")).drop("median", "mean", "scale")
+    return with_groups(long, stats, ["descriptor"]).withColumn("value", (F.coalesce("value", "median") - F.col("mean")) / F.col("scale")).drop("median", "mean", "scale")
 
 
 def to_vectors(long: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
 from .colstats import gramian
 
 
@@ -51,7 +52,9 @@ def applicability(predictions: DataFrame, features: str, dims: int) -> DataFrame
 
     ``predictions`` has split, activity, predicted and the feature array.  The
     residual scale pools train and test rows; with all residuals 0 it is 0.
+    They are written once, since every figure takes a pass.
     """
+    predictions = staged(predictions, "domain-rows")
     train = predictions.where("split = 'train'")
     n = train.count()
     inverse = augmented_inverse(train, features, dims)

@@ -8,12 +8,10 @@ from .ranks import running_before
 
 
 def regression_metrics(df: DataFrame, by: list[str], y: str = "activity", p: str = "predicted") -> DataFrame:
-    """n, r2, rmse, mae by group, from partial sums about the group's mean."""
-    mean = df.groupBy(*by).agg(F.avg(y).alias("__m"))
+    """n, r2, rmse, mae by group in one pass: the squares about the group's mean are its moment; a null group is one."""
     e = F.col(y) - F.col(p)
-    joined = df.join(mean, by) if by else df.crossJoin(mean)
-    total = F.sum((F.col(y) - F.col("__m")) ** 2)
-    return joined.groupBy(*by).agg(
+    total = F.var_pop(y) * F.count(y)
+    return df.groupBy(*by).agg(
         F.count("*").alias("n"), (1 - F.try_divide(F.sum(e * e), total)).alias("r2"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
     )
 

@@ -11,6 +11,10 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+
+#: groups up to which one row each is sent to all tasks
+FEW_GROUPS = 10_000
 #: rank error of the sketch is 1 / ACCURACY; the bracket reaches SLACK to both sides
 ACCURACY = 10_000
 SLACK = 1e-3
@@ -27,12 +31,19 @@ def bracket(df: DataFrame, by: list[str], value: Column, level: float) -> DataFr
 
 
 def with_groups(left: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
-    """Join one row a group to the group's rows; a null group meets itself."""
+    """Join one row a group to the group's rows; a null group meets itself.
+
+    The groups are written and counted, so it is they that are sent to all
+    tasks, and only if they are few.  Left to estimates, the rows would be: a
+    file of repeated values is far smaller than its rows in memory.
+    """
     if not by:
         return left.crossJoin(F.broadcast(groups))  # one row
     names = {c: f"__by{i}" for i, c in enumerate(by)}
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
-    return left.join(groups.withColumnsRenamed(names), same).drop(*names.values())
+    each = staged(groups.withColumnsRenamed(names), "groups")
+    each = F.broadcast(each) if each.count() <= FEW_GROUPS else each.hint("merge")
+    return left.join(each, same).drop(*names.values())
 
 
 def exact_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -61,7 +72,7 @@ def first_share(df: DataFrame, by: list[str], order: Column, ties: list[str], sh
     it in order and ties count alike.
     """
     keyed = df.withColumn("__order", order.cast("double"))
-    keys = keyed.select(*by, "__order", *ties)
+    keys = staged(keyed.select(*by, "__order", *ties), "share-keys")
     found = bracket(keys, by, F.col("__order"), share)
     spread = with_groups(keys, found, by)
     below = spread.groupBy(*by, "n").agg(F.count_if(F.col("__order") < F.col("lo")).alias("below"))

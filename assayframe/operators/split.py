@@ -101,7 +101,7 @@ def davies_bouldin(df: DataFrame, key: str, point: str = "embedding", label: str
     """Mean over clusters of the worst (scatter_i + scatter_j) / distance; k is small."""
     c = centroids(df, point, label)
     off = (
-        df.select(key, label, F.posexplode(point).alias("i", "v")).join(c, [label, "i"])
+        df.select(key, label, F.posexplode(point).alias("i", "v")).join(F.broadcast(c), [label, "i"])  # the centroids come to the driver below as well
         .groupBy(key, label).agg(F.sqrt(F.sum((F.col("v") - F.col("c")) ** 2)).alias("d")).groupBy(label).agg(F.avg("d").alias("s"))
     )
     scatter = {r[label]: r["s"] for r in off.collect()}

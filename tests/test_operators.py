@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayframe.functions.molecule import canonical, canonical_column, descriptor_table, parse
-from assayframe.operators import clean, colstats, domain, evaluate, external, neighbours, registry, search, select, split
+from assayframe.operators import clean, colstats, domain, evaluate, external, neighbours, ranks, registry, search, select, split
 from assayframe.operators.scalable import pls_fit
 from assayframe.sources import artifacts, tables
 from assayframe.streaming import monitor
@@ -572,3 +572,28 @@ def test_responses_of_examples(spark):
     df = spark.createDataFrame([(s,) for s in want] + [(None,)], "s string")
     got = {r.s: (r.a, r.v) for r in df.select("s", inactive(F.col("s")).alias("a"), measured(F.col("s")).alias("v")).collect()}
     assert got == want | {None: (None, None)}
+
+
+def test_rows_are_never_broadcast_to_groups(spark, tmp_path):
+    """Rows whose file is small by repeats: not they but the groups are sent, and neither where groups are many."""
+    rows = spark.range(50_000).select(F.col("id"), (F.col("id") % 7).alias("g"), (F.col("id") % 11).cast("double").alias("y"), F.lit(1.0).alias("predicted"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    groups = rows.groupBy("g").agg(F.max("y").alias("m"), F.collect_list("id").alias("all")).select("g", "m")
+
+    def sides(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return plan.count("BuildRight"), plan.count("BuildLeft"), plan.count("SortMergeJoin")
+
+    met = ranks.with_groups(rows, groups, ["g"])
+    assert sides(met)[:2] == (1, 0) and met.count() == 50_000
+    few = ranks.FEW_GROUPS
+    try:
+        ranks.FEW_GROUPS = 3
+        met = ranks.with_groups(rows, groups, ["g"])
+        assert sides(met) == (0, 0, 1) and met.count() == 50_000
+    finally:
+        ranks.FEW_GROUPS = few
+    assert "Join" not in evaluate.regression_metrics(rows, ["g"], "y")._jdf.queryExecution().executedPlan().toString()
+    with_null = spark.createDataFrame([(None, 1.0, 1.0), (None, 3.0, 2.0), ("a", 2.0, 2.0)], "g string, activity double, predicted double")
+    assert {r["g"]: (r["n"], r["r2"]) for r in evaluate.regression_metrics(with_null, ["g"]).collect()} == {None: (2, 0.5), "a": (1, None)}
