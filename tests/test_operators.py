@@ -597,3 +597,25 @@ def test_rows_are_never_broadcast_to_groups(spark, tmp_path):
     assert "Join" not in evaluate.regression_metrics(rows, ["g"], "y")._jdf.queryExecution().executedPlan().toString()
     with_null = spark.createDataFrame([(None, 1.0, 1.0), (None, 3.0, 2.0), ("a", 2.0, 2.0)], "g string, activity double, predicted double")
     assert {r["g"]: (r["n"], r["r2"]) for r in evaluate.regression_metrics(with_null, ["g"]).collect()} == {None: (2, 0.5), "a": (1, None)}
+
+
+def test_knn_meets_few_pairs_and_misses_none(spark, monkeypatch):
+    """Copies, ties and points far from all cells: as brute force says, from a small part of all pairs."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate((np.round(rng.normal(size=(3000, 2)), 2), np.repeat(rng.integers(0, 3, (40, 2)), 25, 0).astype(float)))
+    x = x[rng.permutation(len(x))]
+    z = np.concatenate((x[:200], rng.normal(size=(100, 2)) * 3, [[50.0, -50.0]]))
+    y = rng.normal(size=len(x))
+    train = spark.createDataFrame([(i, r.tolist(), float(v)) for i, (r, v) in enumerate(zip(x, y))], "id long, x array<double>, y double")
+    test = spark.createDataFrame([(10_000 + i, r.tolist()) for i, r in enumerate(z)] + [(1, None), (2, [float("nan"), 0.0])], "id long, x array<double>")
+    seen = {}
+    staged = neighbours.staged
+    monkeypatch.setattr(neighbours, "staged", lambda df, name: seen.setdefault(name, staged(df, name)))
+    got = {r["id"]: r["predicted"] for r in neighbours.knn_predict(train, test, "id", "x", "y", block=64).collect()}
+    want = {}
+    for i, q in enumerate(z):
+        d = np.sqrt(((x - q) ** 2).sum(1))
+        want[10_000 + i] = y[np.lexsort((np.arange(len(x)), d))[:5]].mean()
+    assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()))
+    points, cells = seen["knn-points"].count(), seen["knn-cells"].select("cell").distinct().count()
+    assert cells > 20 and points + seen["knn-visits"].count() < 0.3 * points * cells
