@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
 from .ranks import first_share, running_before
 
 
@@ -113,31 +114,78 @@ def davies_bouldin(df: DataFrame, key: str, point: str = "embedding", label: str
     return float(np.mean(worst))
 
 
-def silhouette(df: DataFrame, key: str, point: str = "embedding", label: str = "cluster", block: int = 2048) -> DataFrame:
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all pairs by one matrix product; close pairs, where that would cancel, by their differences."""
+    own, other = (x * x).sum(1)[:, None], (y * y).sum(1)[None]
+    d = x @ y.T
+    d *= -2
+    d += own
+    d += other
+    close = d < 1e-5 * (own + other) if not d.min() >= 1e-5 * (own.max() + other.max()) else None
+    np.sqrt(np.maximum(d, 0, out=d), out=d)
+    if close is not None:
+        near = np.flatnonzero(close)
+        for a in range(0, len(near), 1 << 13):
+            i, j = np.divmod(near[a : a + (1 << 13)], len(y))
+            gap = x[i] - y[j]
+            d[i, j] = np.sqrt((gap * gap).sum(1))
+    return d
+
+
+def silhouette(df: DataFrame, key: str, point: str = "embedding", label: str = "cluster", block: int = 32768) -> DataFrame:
     """(key, label, silhouette) with Euclidean distances, exact.
 
-    Points are dealt into blocks and every point meets each block once: a task
-    holds two blocks, never the table.
+    Points are dealt into blocks; each two blocks meet in one task, which
+    serves the points of both.  A task holds two blocks, their sums by cluster
+    and the distances of a few of their rows, never the table; many clusters
+    make blocks smaller.  The work is quadratic all the same.
     """
-    n = df.count()
-    blocks = max(1, -(-n // block))
-    dealt = df.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(point).alias("x")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = dealt.select(F.col("label").alias("to_label"), F.col("x").alias("y"), F.col("b").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    head = df.agg(F.count("*"), F.approx_count_distinct(label)).first()
+    n, block = head[0], int(np.clip((1 << 21) // max(1, head[1]), min(1024, block), block))
+    blocks = max(1, -(-n // block), min(16, -(-n // 2048)))
     kind = dict(df.dtypes)
-
-    def sums(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(l) or not len(r):
-            return pd.DataFrame({"id": [], "label": [], "to": [], "s": [], "n": []})
-        x, y = np.stack(l["x"]), np.stack(r["y"])
+    dealt = df.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(point).alias("x")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    dealt = staged(dealt, "silhouette-blocks")
+    every = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = every.select(F.least("b", "other").alias("p"), F.greatest("b", "other").alias("q"), (F.col("b") <= F.col("other")).alias("first"), "id", "label", "x")
+
+    def places(labels: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+        coded = labels.combine_chunks().dictionary_encode(null_encoding="encode")
+        return coded.dictionary, coded.indices.to_numpy()
+
+    def meet(pair: tuple, t: pa.Table) -> pa.Table:
+        p, q = (v.as_py() for v in pair)
+        first = t.column("first").to_numpy()
+        left = t if p == q else t.filter(pa.array(first))
+        right = t if p == q else t.filter(pa.array(~first))
+        schema = pa.schema([t.schema.field("id"), t.schema.field("label"), ("to", t.schema.field("label").type), ("s", pa.float64()), ("n", pa.int64())])
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        x, y = (np.asarray(s.column("x").combine_chunks().flatten(), float).reshape(len(s), -1) for s in (left, right))
+        x, y = x - x[0], y - x[0]  # nearer the origin less is lost
+        (names, at), (others, to) = places(left.column("label")), places(right.column("label"))
+        across, down = np.argsort(to, kind="stable"), np.argsort(at, kind="stable")
+        x, at, left = x[down], at[down], left.take(pa.array(down))
+        y, to, right = y[across], to[across], right.take(pa.array(across))
+        here, there = np.zeros((len(x), len(others))), np.zeros((len(names), len(y)))
+        for c in range(0, len(y), 8192):  # pieces that stay in a core's cache
+            columns, from_column = np.unique(to[c : c + 8192], return_index=True)
+            for a in range(0, len(x), 32):
+                d = distances(x[a : a + 32], y[c : c + 8192])
+                here[a : a + 32, columns] += np.add.reduceat(d, from_column, 1)
+                if p != q:
+                    rows, from_row = np.unique(at[a : a + 32], return_index=True)
+                    there[rows, c : c + 8192] += np.add.reduceat(d, from_row, 0)
         out = []
-        for to, at in r.groupby("to_label").indices.items():
-            d = np.sqrt(((x[:, None, :] - y[at][None]) ** 2).sum(2)) if len(x) * len(at) * x.shape[1] < 5e7 else np.stack([np.sqrt(((y[at] - p) ** 2).sum(1)) for p in x])
-            out.append(pd.DataFrame({"id": l["id"], "label": l["label"], "to": to, "s": d.sum(1), "n": len(at)}))
-        return pd.concat(out)
+        both = ((left, here.T, others, np.bincount(to, minlength=len(others))), (right, there, names, np.bincount(at, minlength=len(names))))
+        for of, values, labels, counts in both[: 1 if p == q else 2]:
+            for c in range(len(labels)):
+                to_all = labels.take(pa.array(np.full(len(of), c)))
+                out.append(pa.table([of.column("id"), of.column("label"), to_all, pa.array(values[c]), pa.array(np.full(len(of), counts[c]))], schema=schema))
+        return pa.concat_tables(out)
 
     schema = f"id {kind[key]}, label {kind[label]}, to {kind[label]}, s double, n long"
-    met = left.groupBy("b", "other").cogroup(right.groupBy("b", "other")).applyInPandas(sums, schema)
+    met = met.groupBy("p", "q").applyInArrow(meet, schema)
     mean = met.groupBy("id", "label", "to").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = F.max(F.when(F.col("to") == F.col("label"), F.try_divide("s", F.col("n") - 1)))
     alone = F.max(F.when(F.col("to") == F.col("label"), F.col("n"))) == 1

@@ -619,3 +619,23 @@ def test_knn_meets_few_pairs_and_misses_none(spark, monkeypatch):
     assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()))
     points, cells = seen["knn-points"].count(), seen["knn-cells"].select("cell").distinct().count()
     assert cells > 20 and points + seen["knn-visits"].count() < 0.3 * points * cells
+
+
+def test_silhouette_by_products_of_blocks(spark):
+    """Blocks in pairs, copies far from the origin, and a single point."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 6)) + 1000
+    x[:60] = x[0]
+    x[60:90] = x[0] + 1e-7 * rng.normal(size=(30, 6))
+    of = [None if i % 9 == 8 else i % 4 for i in range(399)] + [77]
+    df = spark.createDataFrame([(i, r.tolist(), c) for i, (r, c) in enumerate(zip(x, of))], "id long, embedding array<double>, cluster int")
+    got = {r["id"]: r["silhouette"] for r in split.silhouette(df.where("cluster is not null"), "id", block=64).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    c = np.array([-1 if v is None else v for v in of])
+    for i in np.flatnonzero(c >= 0):
+        mean = {k: d[i, c == k].sum() / max(1, (c == k).sum() - (k == c[i])) for k in (0, 1, 2, 3, 77)}
+        a, b = mean[c[i]], min(v for k, v in mean.items() if k != c[i])
+        want = 0.0 if c[i] == 77 else (b - a) / max(a, b)
+        assert abs(got[int(i)] - want) < 1e-9
+    assert len(got) == (c >= 0).sum()
+    assert np.array_equal(split.distances(x[:1], x[:60])[0], np.zeros(60)) and np.allclose(split.distances(x[60:90], x[:90]), d[60:90, :90], rtol=1e-9, atol=0)
