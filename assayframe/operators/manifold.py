@@ -3,7 +3,8 @@
 * Graph: points are dealt into cells by random projections, and each point
   keeps its nearest within them.  Rounds of neighbour descent follow: the
   neighbours of a point (a bounded sample, both ways) are compared with each
-  other, until a round moves few edges.  A table of one cell is compared whole.
+  other, until a round moves few edges; only pairs within a point's reach so
+  far leave a task.  A table of one cell is compared whole.
 * Memberships: distances of a point are scaled so that they sum to log2 of
   their number, and both directions of an edge are joined as a fuzzy union.
 * Layout: from principal components, by sampled gradient steps.  A task holds
@@ -29,6 +30,8 @@ from ..sources.tables import staged
 CELL, BLOCK = 2048, 8192
 #: random projections that deal the first cells, and neighbours of a point that one descent round compares
 TREES, SAMPLE = 4, 8
+#: points whose lists one task compares at a time
+LOT = 1024
 #: descent ends when a round moves fewer than this share of the edges
 SETTLED, MOST_ROUNDS = 0.005, 12
 #: epochs of gradient steps in all, and rounds they are parted in where there are several blocks
@@ -61,6 +64,30 @@ def nearest_within(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray,
     return np.concatenate(us), np.concatenate(vs), np.concatenate(ds)
 
 
+def nearer_pairs(at: np.ndarray, ids: np.ndarray, x: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point, neighbour, distance) of the pairs of one list (rows of equal ``at``) that are within the point's ``bar``."""
+    order = np.lexsort((ids, at))
+    order = order[np.concatenate(([True], (np.diff(at[order]) != 0) | (np.diff(ids[order]) != 0)))] if len(order) else order
+    at, ids, x, bar = at[order], ids[order], x[order], bar[order]
+    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, int)
+    sizes = np.diff(np.concatenate((starts, [len(at)])))
+    square = (x * x).sum(1)
+    us, vs, ds = [ids[:0]], [ids[:0]], [np.zeros(0)]
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        rows = starts[sizes == size][:, None] + np.arange(size)
+        own = square[rows]
+        about = own[:, :, None] + own[:, None] - 2 * x[rows] @ x[rows].transpose(0, 2, 1)
+        near = about <= bar[rows][:, :, None] ** 2 + 1e-9 * (own[:, :, None] + own[:, None])
+        near[:, np.arange(size), np.arange(size)] = False
+        g, i, j = np.nonzero(near)
+        u, v = rows[g, i], rows[g, j]
+        exact = x[u] - x[v]
+        d = np.sqrt((exact * exact).sum(1))
+        keep = d <= bar[u]
+        us.append(ids[u[keep]]), vs.append(ids[v[keep]]), ds.append(d[keep])
+    return np.concatenate(us), np.concatenate(vs), np.concatenate(ds)
+
+
 EDGES = "u long, v long, d double"
 
 
@@ -112,16 +139,19 @@ def neighbour_graph(points: DataFrame, k: int = 15, seed: int = 42) -> DataFrame
         return graph
 
     def compared(t: pa.Table) -> pa.Table:
-        ids, first = np.unique(t.column("id").to_numpy(), return_index=True)
-        return edge_table(*nearest_within(ids, matrix(t.column("x"))[first], k))
+        return edge_table(*nearer_pairs(t.column("at").to_numpy(), t.column("id").to_numpy(), matrix(t.column("x")), t.column("bar").to_numpy()))
 
+    lots = max(1, -(-n // LOT))
     for r in range(MOST_ROUNDS):
         draw = F.xxhash64("u", "v", F.lit(seed + r))
         both = graph.select(F.col("u").alias("at"), F.col("v").alias("id"), draw.alias("h")).union(graph.select(F.col("v").alias("at"), F.col("u").alias("id"), draw.alias("h")))
         w = Window.partitionBy("at").orderBy("h", "id")
         lists = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * SAMPLE).select("at", "id")
         lists = lists.union(graph.select(F.col("u").alias("at"), F.col("u").alias("id")).distinct())
-        found = lists.join(points.select("id", "x"), "id").groupBy("at").applyInArrow(compared, EDGES)
+        reach = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(float("inf")).alias("bar"))
+        known = points.select("id", "x").join(reach.withColumnRenamed("u", "id"), "id", "left").withColumn("bar", F.coalesce("bar", F.lit(float("inf"))))
+        met = lists.join(known, "id").withColumn("lot", F.pmod(F.xxhash64("at", F.lit(seed)), F.lit(lots)))
+        found = met.groupBy("lot").applyInArrow(compared, EDGES)
         last, graph = graph, staged(closest(graph.union(found), k), "manifold-graph")
         moved = graph.join(last, ["u", "v"], "left_anti").count()
         if moved < SETTLED * k * n:

@@ -101,3 +101,27 @@ def test_odd_rows(spark):
         few = umap_embed(spark.createDataFrame(rows[:n], "id long, features array<double>"), epochs=2).collect()
         assert len(few) == n and all(len(r.embedding) == 2 for r in few)
     assert umap_embed(spark.createDataFrame(rows[:10], "id long, features array<double>").select("features"), epochs=2).columns == ["features", "embedding"]
+
+
+def test_descent_sends_only_pairs_within_reach():
+    """Lists of several points at once: every pair within a point's reach comes with its exact distance, none beyond it."""
+    from assayframe.operators.manifold import nearer_pairs
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(30, 5))
+    x[7] = x[3]
+    bar = rng.uniform(1, 4, 30)
+    bar[4] = np.inf
+    lists = {0: [0, 3, 7, 9, 9], 1: [1], 2: [2, 4, 5], 5: [5, 6, 8, 3]}
+    at, ids = (np.array(c) for c in zip(*[(a, i) for a, some in lists.items() for i in some]))
+    mix = rng.permutation(len(at))
+    got = sorted(zip(*(c.tolist() for c in nearer_pairs(at[mix], ids[mix], x[ids[mix]], bar[ids[mix]]))))
+    want = []
+    for some in lists.values():
+        for u in set(some):
+            for v in set(some) - {u}:
+                d = float(np.sqrt(((x[u] - x[v]) ** 2).sum()))
+                if d <= bar[u]:
+                    want.append((u, v, d))
+    assert got == sorted(want) and (3, 7, 0.0) in got
+    assert all(len(c) == 0 for c in nearer_pairs(at[:0], ids[:0], x[:0], bar[:0]))
