@@ -265,6 +265,57 @@ def test_svr_does_not_depend_on_held_rows(monkeypatch):
             assert np.allclose(linear.SVR(kernel=kernel).fit(x, y).predict(x), a, atol=1e-6)
 
 
+def test_svr_by_working_sets_finds_the_same_function(monkeypatch):
+    """Equal rows count as one with a wider bound, and many rows are fitted by working sets: no kernel of all rows is formed."""
+    from assayframe.kernels import linear
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 4))
+    y = rng.integers(0, 10, 500).astype(float)
+    a = linear.SVR(tol=1e-6).fit(x, y)
+    monkeypatch.setattr(linear, "WHOLE_ROWS", 120)
+    monkeypatch.setattr(linear, "WORKING_ROWS", 60)
+    seen = []
+    kernel = linear.SVR.kernel
+    with monkeypatch.context() as m:
+        m.setattr(linear.SVR, "kernel", lambda self, a, b: seen.append(min(len(a), len(b))) or kernel(self, a, b))
+        b = linear.SVR(tol=1e-6).fit(x, y)
+    assert max(seen) <= 60 and abs(b.beta.sum()) < 1e-6
+    assert np.allclose(a.predict(x), b.predict(x), atol=1e-4)
+    many = linear.SVR(C=0.25, tol=1e-6).fit(np.tile(x, (4, 1)), np.tile(y, 4))
+    assert len(many.x) <= 500 and np.allclose(a.predict(x), many.predict(x), atol=1e-4)
+
+
+def test_knn_kernel_compares_equal_points_once():
+    from assayframe.kernels.trees import KNN
+
+    rng = np.random.default_rng(6)
+    x = np.tile(rng.integers(0, 4, size=(40, 2)).astype(float), (5, 1))
+    y, q = rng.normal(size=200), rng.integers(0, 5, size=(60, 2)) / 1.0
+    for p in (1, 2):
+        for weights in ("uniform", "distance"):
+            m = KNN(7, weights, p).fit(x, y)
+            assert len(m.points) <= 16
+            want = []
+            for v in q:
+                d = (np.abs(x - v) ** p).sum(1) ** (1 / p)
+                top = np.argsort(d, kind="stable")[:7]
+                w = np.ones(7) if weights == "uniform" else (d[top] == 0) * 1.0 if (d[top] == 0).any() else 1 / d[top]
+                want.append((w * y[top]).sum() / w.sum())
+            assert np.allclose(m.predict(q), want, atol=1e-12)
+
+
+def test_units_of_a_search_are_dealt_in_turn(spark):
+    """No task gets two of 25 units while others get none; a search of ten features loads ten."""
+    from assayframe.catalog_models import training
+
+    data = training(spark, "/root/testdata/sf0.001", 10)
+    assert data.x.shape[1] == 10
+    out = search.evaluate(spark, data, [(i, "pls", {}, [0, 1]) for i in range(5)])
+    per = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in per) == -(-25 // min(25, 4 * spark.sparkContext.defaultParallelism))
+
+
 def test_oversample_neighbours_of_all_blocks(spark):
     """New points lie between true near neighbours, however many blocks there are."""
     from assayframe.operators.oversample import oversample
