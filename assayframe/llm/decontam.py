@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .textnp import STEP, U, chunks, mix, ragged, span_hashes, text_buffer
+from .textnp import SMALL_BYTES, STEP, U, chunks, mix, ragged, release_memory, span_hashes, text_buffer, tidy
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -256,7 +256,7 @@ def slices(benchmark: DataFrame) -> Iterator[list[tuple[Index, int]]]:
 
 def found_in(index: list[tuple[Index, int]], column: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
     """(row, item_id, score, question overlap, answer overlap) of a slice's items in whole texts."""
-    for a, _, raw, offs in chunks(column):
+    for a, _, raw, offs in chunks(column, SMALL_BYTES):
         h, bounds = term_spans(raw, offs)
         for part, step in index:
             for d, i, *figures in search(part, step, h, bounds):
@@ -282,7 +282,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     d, *rest = zip(*rows)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), *map(pa.array, rest)], names=names)
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, SCHEMA)
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(scan), SCHEMA)
 
     out = last = None
     for index in slices(benchmark):
@@ -304,6 +304,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             out = np.zeros(len(column), bool)
             for row in found_in(index, column):
                 out[row[0]] = True
+            release_memory()  # the worker may wait through later stages
             return pa.array(out)
 
         return leaked(F.col("text"))

@@ -23,11 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .textnp import BASE, INVERSE, U, chunks, mix, powers, ragged, text_buffer, tidy
+from .textnp import BASE, INVERSE, SMALL_BYTES, U, chunks, mix, powers, ragged, text_buffer, tidy
 
 MARK = "▁"
 NORMAL, UNKNOWN, USER_DEFINED, BYTE_PIECE = 1, 2, 4, 6
-CHUNK = 2 << 20
 PRESENT_BITS = 20
 _models: dict[str, "Pieces"] = {}
 
@@ -177,7 +176,7 @@ class Pieces:
         marked = pc.if_else(pa.array(full), pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string())), texts)
         marked = pc.replace_substring(marked, MARK, " ")
         ids, counts = [], []
-        for _, _, raw, offs in chunks(marked, CHUNK):
+        for _, _, raw, offs in chunks(marked, SMALL_BYTES):
             got = self.encode_chunk(raw, offs)
             ids.append(got[0])
             counts.append(got[1])
@@ -263,7 +262,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for batch in batches:
-            for a, b, raw, offs in chunks(batch.column(1), 2 * CHUNK):
+            for a, b, raw, offs in chunks(batch.column(1), 2 * SMALL_BYTES):
                 ids, counts = pieces.encode(batch.column(1).slice(a, b - a))
                 back = pieces.decode(ids, counts)
                 same = [raw[s:e].tobytes() == t for s, e, t in zip(offs[:-1].tolist(), offs[1:].tolist(), back)]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .textnp import chunks, span_hashes, word_bounds
+from .textnp import SMALL_BYTES, chunks, release_memory, span_hashes, word_bounds
 
 CUT = 0.7
 SAMPLE_ROWS = 20_000
@@ -51,7 +51,7 @@ def features(column: pa.Array) -> np.ndarray:
     before.
     """
     out = np.zeros((len(column), N_FEATURES))
-    for a, b, raw, offs in chunks(column):
+    for a, b, raw, offs in chunks(column, SMALL_BYTES):
         cls = CLASS[raw]
         code = cls[:-1] * np.uint8(N_CLASS) + cls[1:]
         starts, ends, n_words = word_bounds(raw, offs)
@@ -191,7 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, rows: int = SAMPLE_ROW
 def score_column(model: Model, text: str = "text") -> Column:
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        return pa.array(model.score(features(column)))
+        out = pa.array(model.score(features(column)))
+        release_memory()  # the worker may wait through later stages
+        return out
 
     return score(F.col(text))
 

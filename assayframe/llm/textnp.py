@@ -10,6 +10,8 @@ import pyarrow as pa
 
 U = np.uint64
 CHUNK_BYTES = 2 << 20
+#: for kernels with many values a byte: an executor's workers share what the heap leaves
+SMALL_BYTES = 1 << 19
 
 
 def release_memory() -> None:
