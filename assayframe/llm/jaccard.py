@@ -7,14 +7,16 @@ length and position filters.  Only the prefixes under two further orders then
 move, and pairs that share no token in either of them go; the full sets move
 for what is left, and are intersected.
 
-Sets that are equal are one node.  Nodes of one group do not meet in all
-pairs: each first meets the best supported partner of its prefix lists, then
-one node of each component meets those of the list's largest one, the
-verified links are contracted, and only pairs of different components follow.
+Sets that are equal are one node.  Lists of up to SHORT_LIST nodes give all
+their pairs where they are gathered, so their postings move once; the pairs
+are counted over all lists.  Each node first meets its best supported
+partners, the verified links are contracted, and only pairs of different
+components follow.  In longer lists one node of each component meets those of
+the list's largest one before all others do.
 
 No list is held whole: postings of a token that the sketch calls hot are dealt
-over several parts, the components of a list are counted before the shuffle,
-and a list of more than LIST_BLOCK nodes meets itself block by block.
+over several parts, the components of a long list are counted before the
+shuffle, and a list of more than LIST_BLOCK nodes meets itself block by block.
 """
 from __future__ import annotations
 
@@ -39,10 +41,11 @@ POSTINGS_A_PART = 1_000_000
 #: partners that a node tries first, and rounds in which components meet the largest of each list
 FIRST_PARTNERS = 2
 HUB_ROUNDS = 1
+#: nodes of a list that gives all its pairs at once
+SHORT_LIST = 8
 #: postings of one token in a part, and nodes of one list that meet in a cell
 HOT_POSTINGS = 100_000
 LIST_BLOCK = 512
-HOT = 1 << 30
 #: rows of cells that one task takes
 CELL_ROWS = 2_000_000
 ORDERS = (U(0x632BE59BD9B4E019), U(0x8CB92BA72F3D8DD7), U(0xAC565AD4ED9B4F3B))
@@ -150,13 +153,25 @@ def sketch(scanned: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def pack(key: np.ndarray, fp: np.ndarray, n: np.ndarray, pos: np.ndarray, hot: np.ndarray) -> bytes:
+    """One array after another, behind their length and two flags.
+
+    Keys keep 48 bits: tokens that agree in them share a list, which only lets
+    more pairs pass.  Sizes and positions take two bytes each if all fit.
+    """
+    wide, some = bool((n >> 16).any()), bool(hot.any())
+    kind = np.int32 if wide else np.uint16
+    head = np.array([len(key), wide, some], np.int32)
+    cols = [head, key.astype(np.uint32), (key >> U(32)).astype(np.uint16), fp, n.astype(kind), pos.astype(kind), *[hot] * some]
+    return b"".join(c.tobytes() for c in cols)
+
+
 def postings(docs: DataFrame, counts: np.ndarray, n_parts: int) -> DataFrame:
     """Prefix postings under the first order, packed by target part.
 
-    A blob holds keys, fingerprints, set sizes and positions, one array after
-    another.  Equal sets of one task are posted once.  The postings of a token
+    Equal sets of one task are posted once.  The postings of a token
     with more than HOT_POSTINGS in the sketch go to several parts by their
-    fingerprints, and HOT is added to their positions.
+    fingerprints, and are marked.
     """
     classes, hot = frequency_classes(counts), -(-counts // HOT_POSTINGS)
     hot = hot.astype(np.int32) if (hot > 1).any() else None
@@ -184,30 +199,38 @@ def postings(docs: DataFrame, counts: np.ndarray, n_parts: int) -> DataFrame:
                 take = ragged(bounds[docs_at], p)
                 key, doc = keys[take], np.repeat(docs_at, p)
                 pos = (take - bounds[doc]).astype(np.int32)
-                lot = key
+                lot, marked = key, np.zeros(len(key), bool)
                 if hot is not None:
                     many = hot[(flat_key[take] >> U(64 - SKETCH_BITS)).astype(np.int64)]
                     lot = key + np.where(many > 1, mix(fps[doc].view(U)) % np.maximum(many, 1).astype(U), U(0))
-                    pos = pos + np.where(many > 1, HOT, 0).astype(np.int32)
+                    marked = many > 1
                 part = (lot % U(n_parts)).astype(np.int32 if n_parts > 1 << 15 else np.int16)
                 order = np.argsort(part, kind="stable")
-                key, doc, pos, part = key[order], doc[order], pos[order], part[order]
+                key, doc, pos, part, marked = key[order], doc[order], pos[order], part[order], marked[order]
                 cuts = np.concatenate((np.flatnonzero(np.diff(part, prepend=-1)), [len(part)]))
                 size = n[doc].astype(np.int32)
                 ids, blobs = part[cuts[:-1]], []
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    blobs.append(b"".join((key[a:b].tobytes(), fps[doc[a:b]].tobytes(), size[a:b].tobytes(), pos[a:b].tobytes())))
+                    blobs.append(pack(key[a:b], fps[doc[a:b]], size[a:b], pos[a:b], marked[a:b]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     return docs.select("text").mapInArrow(tidy(post), "part int, blob binary")
 
 
 def unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    cols: tuple[list, ...] = ([], [], [], [])
+    """Keys, fingerprints, set sizes, positions and marks of packed postings."""
+    cols: tuple[list, ...] = ([], [], [], [], [])
     for blob in blobs:
-        k = len(blob) // 24
-        for c, kind, at in zip(cols, (U, np.int64, np.int32, np.int32), (0, 8 * k, 16 * k, 20 * k)):
-            c.append(np.frombuffer(blob, kind, k, at))
+        k, wide, hot = (int(v) for v in np.frombuffer(blob, np.int32, 3))
+        kind = np.int32 if wide else np.uint16
+        at, found = 12, []
+        for t in (np.uint32, np.uint16, np.int64, kind, kind, *[bool] * hot):
+            found.append(np.frombuffer(blob, t, k, at))
+            at += k * np.dtype(t).itemsize
+        low, high, fp, n, pos, *marked = found
+        key = low.astype(U) | (high.astype(U) << U(32))
+        for c, v in zip(cols, (key, fp, n.astype(np.int32), pos.astype(np.int32), marked[0] if hot else np.zeros(k, bool))):
+            c.append(v)
     return tuple(np.concatenate(c) for c in cols)
 
 
@@ -217,50 +240,66 @@ def may_pair(n1, pos1, n2, pos2):
     return most * (NUM + DEN) >= NUM * (n1.astype(np.int64) + n2)
 
 
-RUN_SCHEMA = "key long, fp long, n int, pos int, a long, b long"
+RUN_SCHEMA = "key long, fp long, n int, pos int, a long, b long, c int"
 
 
 def runs(packed: DataFrame, n_parts: int) -> DataFrame:
-    """Postings of prefix tokens that several nodes share, and first candidates.
+    """Pairs of nodes that share prefix tokens, and the postings of long lists.
 
-    Rows with ``key`` are postings; rows with ``a`` and ``b`` pair each posting
-    with the one of its list that stands earliest in its own prefix.
+    Rows with ``a`` and ``b`` are pairs that pass the position filter in ``c``
+    of a task's lists: all pairs of short lists, and of long ones each posting
+    with the one before it and with the one that stands earliest in its own
+    prefix.  Rows with ``key`` are the postings of long lists.
     """
 
+    names = ["key", "fp", "n", "pos", "a", "b", "c"]
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x for b in batches for x in b.column(1).to_pylist()]
         if not blobs:
             return
-        key, fp, n, pos = unpack(blobs)
+        key, fp, n, pos, hot = unpack(blobs)
         del blobs
-        hot, pos = pos >= HOT, pos & (HOT - 1)
-        order = np.lexsort((fp, key))
+        order = np.lexsort((pos, fp, key))
         key, fp, n, pos, hot = key[order], fp[order], n[order], pos[order], hot[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
         key, fp, n, pos, hot = key[new], fp[new], n[new], pos[new], hot[new]
-        order = np.lexsort((fp, n, pos, key))
-        key, fp, n, pos, hot = key[order], fp[order], n[order], pos[order], hot[order]
         head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.concatenate((head, [len(key)])))
-        many = np.repeat(size > 1, size)
-        hub = np.repeat(head, size)
-        star = many & may_pair(n[hub], pos[hub], n, pos)
-        star[head] = False
-        a, b = fp[hub[star]], fp[star]
-        after = many.copy()
-        after[head] = False
-        at = np.flatnonzero(after)
-        chain = at[may_pair(n[at - 1], pos[at - 1], n[at], pos[at])]
-        many |= hot  # the rest of a hot list is in other parts
-        a, b = np.concatenate((a, fp[chain - 1])), np.concatenate((b, fp[chain]))
-        for k in range(0, int(many.sum()), 100_000):
-            i = np.flatnonzero(many)[k : k + 100_000]
+        hot = np.logical_or.reduceat(hot, head)  # the rest of a hot list is in other parts
+        keep = np.repeat((size > 1) | hot, size)
+        key, fp, n, pos = key[keep], fp[keep], n[keep], pos[keep]
+        if not len(key):
+            return
+        size, hot = size[(size > 1) | hot], hot[(size > 1) | hot]
+        order = np.lexsort((fp, n, pos, key))
+        fp, n, pos = fp[order], n[order], pos[order]
+        long = np.repeat((size > SHORT_LIST) | hot, size)
+        head = np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])), size)
+        left = head + np.repeat(size, size) - 1 - np.arange(len(fp))  # nodes after this one
+        x, y = [head[long]], [np.flatnonzero(long)]
+        for d in range(1, SHORT_LIST):
+            at = np.flatnonzero((left >= d) & (~long | (d == 1)))
+            x.append(at)
+            y.append(at + d)
+        x, y = np.concatenate(x), np.concatenate(y)
+        meets = (x != y) & may_pair(n[x], pos[x], n[y], pos[y])
+        x, y = fp[x[meets]], fp[y[meets]]
+        at = np.flatnonzero(long)
+        for k in range(0, len(at), 100_000):
+            i = at[k : k + 100_000]
             none = pa.nulls(len(i), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(key[i].view(np.int64)), pa.array(fp[i]), pa.array(n[i]), pa.array(pos[i]), none, none], names=["key", "fp", "n", "pos", "a", "b"])
-        if len(a):
-            none, small = pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32())
-            yield pa.RecordBatch.from_arrays([none, none, small, small, pa.array(a), pa.array(b)], names=["key", "fp", "n", "pos", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[i].view(np.int64)), pa.array(fp[i]), pa.array(n[i]), pa.array(pos[i]), none, none, pa.nulls(len(i), pa.int32())], names=names)
+        a, b = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)])
+        c = np.diff(np.concatenate((first, [len(a)]))).astype(np.int32)
+        for k in range(0, len(first), 100_000):
+            i = first[k : k + 100_000]
+            none, small = pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int32())
+            yield pa.RecordBatch.from_arrays([none, none, small, small, pa.array(a[i]), pa.array(b[i]), pa.array(c[k : k + 100_000])], names=names)
 
     return packed.repartitionById(n_parts, F.col("part")).mapInArrow(tidy(gather), RUN_SCHEMA)
 
@@ -429,57 +468,87 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
 
 
+def best_partners(near: DataFrame) -> DataFrame:
+    """The pairs (a, b) of each node with those that share most of its prefix lists."""
+    both = [near.select("a", "b", "c", F.col(x).alias("node"), F.col(y).alias("other")) for x, y in (("a", "b"), ("b", "a"))]
+    best = Window.partitionBy("node").orderBy(F.desc("c"), "other")
+    return both[0].unionByName(both[1]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= FIRST_PARTNERS).select("a", "b").distinct()
+
+
+def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes lie in different components."""
+    for end in ("a", "b"):
+        of = comps.select(F.col("node").alias(end), F.col("component").alias(f"comp_{end}"))
+        pairs = pairs.join(of, end, "left").withColumn(f"comp_{end}", F.coalesce(f"comp_{end}", end))
+    return pairs.where("comp_a != comp_b").select("a", "b")
+
+
+def verified(docs: Placed, pairs: DataFrame, reps: DataFrame, classes: np.ndarray) -> DataFrame:
+    """The similar ones of the pairs; their sets are made for this and go."""
+    spark = docs.table.sparkSession
+    wanted = common.staged(reps.join(ends(pairs), "fp", "left_semi").select("row"), "jaccard-wanted")
+    sets = common.staged(node_sets(docs, wanted, classes), "jaccard-sets")
+    common.release(spark)
+    met_in_all = common.staged(checked(pairs, sets, "heads", share_prefixes), "jaccard-candidates")
+    linked = common.staged(checked(met_in_all, sets, "tokens", similar), "jaccard-links")
+    common.discard(wanted, sets, met_in_all)
+    return linked
+
+
 def named_rows(docs: Placed) -> DataFrame:
     """One row a document: row, doc_id, tie, fp, n, component (a set name that its similarity group shares) and group (the group's least doc_id), both null without words."""
     spark = docs.table.sparkSession
     scanned = common.staged(scan_sets(docs), "jaccard-scan")
-    nodes = scanned.where("slot is null").select("row", "doc_id", "tie", "fp", "n")
+    nodes = common.staged(scanned.where("slot is null").select("row", "doc_id", "tie", "fp", "n"), "jaccard-nodes")
+    reps = scanned.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("counts").alias("hist"))
+    reps = common.staged(reps, "jaccard-reps")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     n_parts = max(common.parts(spark), -(-int(total) // (5 * POSTINGS_A_PART)))
     counts = sketch(scanned) if total else np.zeros(1 << SKETCH_BITS, np.int64)
     classes = frequency_classes(counts)
+    common.discard(scanned)
+    common.release(spark)
     met = common.staged(runs(postings(docs.source, counts, n_parts), n_parts), "jaccard-runs")
-    reps = scanned.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("counts").alias("hist"))
-    reps = common.staged(reps, "jaccard-reps")
     common.release(spark)
 
     posted = met.where("key is not null").select("key", "fp", "n", "pos")
-    first = met.where("a is not null").groupBy("a", "b").agg(F.count("*").alias("c"))
-    best = Window.partitionBy("b").orderBy(F.desc("c"), "a")
-    first = plausible(first, reps).withColumn("r", F.row_number().over(best)).where(F.col("r") <= FIRST_PARTNERS)
-    done = sets = links = lists = None
-    spent = [met]
-    for step in range(HUB_ROUNDS + 2):
+    near = met.where("a is not null").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    near = common.staged(plausible(near, reps), "jaccard-near")
+    common.release(spark)
+    done = comps = lists = None
+    spent, long = [met, near], not posted.isEmpty()
+    for step in range(HUB_ROUNDS + 2 if long else 2):
         if step == 0:
-            pairs = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = best_partners(near)
         else:
-            comps = connected_components(links)
-            placed = posted.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", "pos", F.coalesce("component", "fp").alias("comp"))
-            if step <= HUB_ROUNDS or lists is None:
-                common.discard(lists)
-                lists = common.staged(components_of_lists(placed), "jaccard-lists")
-            # components only merge: a list of one component stays so, and the lists of the last hub round hold all others
-            fresh = hub_pairs(lists) if step <= HUB_ROUNDS else cross_pairs(placed, lists, n_parts)
-            pairs = plausible(fresh.join(done, ["a", "b"], "left_anti"), reps)
+            last = step > HUB_ROUNDS
+            fresh = []
+            if long:
+                placed = posted.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", "pos", F.coalesce("component", "fp").alias("comp"))
+                if not last or lists is None:
+                    common.discard(lists)
+                    lists = common.staged(components_of_lists(placed), "jaccard-lists")
+                # components only merge: a list of one component stays so, and the lists of the last hub round hold all others
+                met_here = cross_pairs(placed, lists, n_parts) if last else hub_pairs(lists)
+                fresh.append(plausible(met_here.join(done, ["a", "b"], "left_anti"), reps))
+            if step == 1:
+                fresh.append(apart(near, comps).join(done, ["a", "b"], "left_anti"))
+            pairs = fresh[0] if len(fresh) == 1 else fresh[0].unionByName(fresh[1]).distinct()
         pairs = common.staged(pairs, "jaccard-pairs")
-        lack = reps.join(ends(pairs), "fp", "left_semi").select("row", "fp")
-        if sets is not None:
-            lack = lack.join(sets.select("fp"), "fp", "left_anti")
-        lack = common.staged(lack, "jaccard-lack")
-        found = common.staged(node_sets(docs, lack, classes), "jaccard-sets")
-        common.discard(lack)
-        sets = found if sets is None else sets.unionByName(found)
-        common.release(spark)
-        met_in_all = common.staged(checked(pairs, sets, "heads", share_prefixes), "jaccard-candidates")
-        wanted = sets.select("fp", "tokens").join(ends(met_in_all), "fp", "left_semi")
-        linked = common.staged(checked(met_in_all, wanted, "tokens", similar), "jaccard-links")
-        spent += [pairs, found, met_in_all]
-        links = linked if links is None else links.unionByName(linked)
+        spent.append(pairs)
         done = pairs if done is None else done.unionByName(pairs)
+        if step and pairs.isEmpty():
+            continue
+        linked = verified(docs, pairs, reps, classes)
+        if step == 0 or not linked.isEmpty():
+            known = linked if comps is None else linked.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            spent.append(comps)
+            comps = common.staged(connected_components(known), "jaccard-components")
+        spent.append(linked)
         common.release(spark)
     common.discard(lists, *spent)
-    comps = connected_components(links).select(F.col("node").alias("fp"), "component")
-    named = common.staged(reps.join(comps, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "jaccard-named")
+    named = common.staged(reps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "jaccard-named")
+    common.discard(reps, comps)
     least = named.groupBy("component").agg(F.min("rep").alias("group"))
     by_fp = named.join(least, "component").select("fp", "component", "group")
     return nodes.join(by_fp, "fp", "left").select("row", "doc_id", "tie", "fp", "n", *[F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("component", "group")])
