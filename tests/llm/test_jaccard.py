@@ -184,3 +184,54 @@ def test_texts_stay_in_place(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     joined = plan.split("SortMergeJoin")[1]
     assert "Exchange" not in joined.split("Scan parquet")[0] and "Bucketed: true" in joined
+
+
+def test_short_lists_give_pairs_and_no_postings(spark):
+    key, n = np.array([7, 7, 9, 9, 9, 11], np.uint64), np.full(6, 100)
+    fp, pos, hot = np.array([5, 3, 3, 4, 5, 6]), np.array([0, 1, 2, 0, 60, 0]), np.zeros(6, bool)
+    blobs = [jaccard.pack(key[i], fp[i], n[i], pos[i], hot[i]) for i in (slice(0, 3), slice(3, 6))]
+    packed = spark.createDataFrame([(0, b) for b in blobs], "part int, blob binary")
+    rows = jaccard.runs(packed, 1).collect()
+    assert sorted((r.a, r.b, r.c) for r in rows) == [(3, 4, 1), (3, 5, 1)]
+    k = jaccard.SHORT_LIST + 1
+    blob = jaccard.pack(np.full(k, 7, np.uint64), np.arange(k), np.full(k, 100_000), np.zeros(k, np.int32), np.zeros(k, bool))
+    rows = jaccard.runs(spark.createDataFrame([(0, blob)], "part int, blob binary"), 1).collect()
+    assert sorted(r.fp for r in rows if r.key is not None) == list(range(k))
+    assert {r.n for r in rows if r.key is not None} == {100_000}
+
+
+def test_postings_take_18_bytes():
+    k = 1000
+    rng = np.random.default_rng(2)
+    key, fp = rng.integers(0, 1 << 48, k).astype(np.uint64), rng.integers(-(1 << 62), 1 << 62, k)
+    n, pos, hot = rng.integers(1, 60_000, k), rng.integers(0, 9_000, k), rng.integers(0, 2, k).astype(bool)
+    assert len(jaccard.pack(key, fp, n, pos, hot & False)) == 18 * k + 12
+    for sizes in (n, n + 70_000):
+        for marks in (hot, hot & False):
+            got = jaccard.unpack([jaccard.pack(key, fp, sizes, pos, marks)])
+            assert all((x == y).all() for x, y in zip(got, (key, fp, sizes, pos, marks), strict=True))
+
+
+def test_components_of_one_partition_take_one_pass(spark, monkeypatch):
+    names, staged = [], components.common.staged
+    monkeypatch.setattr(components.common, "staged", lambda df, name: names.append(name) or staged(df, name))
+    edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(7, 100)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in range(61)}, **{k: 0 for k in range(100, 140)}}
+    assert names == ["edges"]
+
+
+def test_components_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(components, "FOREST_EDGES", 3)
+    rng = random.Random(5)
+    edges = [(k, k + 1) for k in range(300) if k % 50] + [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(80)]
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    top = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in range(500):
+        for x, y in edges:
+            if x != y:
+                top[x] = top[y] = min(top[x], top[y])
+    assert got == top
