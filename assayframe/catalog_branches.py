@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import PREDICTED, R2, predictions, query, read
-from .catalog_models import embeddings, fold_products, training
+from .catalog_models import embeddings, fold_products, fold_rows, training
 from .functions.scalars import r6
 from .operators import backend, branches, evaluate, search
 from .operators.forests import fit_forest, forest_column
@@ -103,7 +103,7 @@ def exhaustive_select(spark: SparkSession, d: str) -> DataFrame:
 @query("two_objective_select")
 def two_objective_select(spark: SparkSession, d: str) -> DataFrame:
     """The front of subsets of 4 features by CV r2 and CV error."""
-    return spark.createDataFrame(search.two_objective_selection(spark, training(spark, d), 4, "pls", {"n_components": 3}))
+    return spark.createDataFrame(search.two_objective_selection(spark, fold_rows(spark, d), 4, "pls", {"n_components": 3}))
 
 
 @query("mcc_sfs_select")
